@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license, urlfilter
+from . import license, packing, tokencount, urlfilter
 from .session import tables
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(tables(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.report(tables(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op7_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(tables(spark, sf_dir, "pages"), urlfilter.RULES)
 
@@ -16,5 +25,5 @@ def op9_license(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license.scan(tables(spark, sf_dir, "documents"), license.known_digests(spark))
 
 
-QUERIES = {"op7_urlfilter": op7_urlfilter, "op9_license": op9_license}
+QUERIES = {"op3_packing": op3_packing, "op6_token_counts": op6_token_counts, "op7_urlfilter": op7_urlfilter, "op9_license": op9_license}
 ORACLES = {"op7_urlfilter": urlfilter.oracle(), "op9_license": license.oracle()}
