@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license, packing, tokencount, toxicity, urlfilter
+from . import decontam, license, packing, tokencount, toxicity, urlfilter
 from .session import tables
 
 
@@ -13,6 +13,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "labels"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.scan(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "benchmark")).drop("item_ids")
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(tables(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -29,5 +33,5 @@ def op9_license(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license.scan(tables(spark, sf_dir, "documents"), license.known_digests(spark))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op3_packing": op3_packing, "op6_token_counts": op6_token_counts, "op7_urlfilter": op7_urlfilter, "op9_license": op9_license}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_decontamination": op2_decontamination, "op3_packing": op3_packing, "op6_token_counts": op6_token_counts, "op7_urlfilter": op7_urlfilter, "op9_license": op9_license}
 ORACLES = {"op7_urlfilter": urlfilter.oracle(), "op9_license": license.oracle()}
