@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, license, packing, tokencount, toxicity, urlfilter
+from . import decontam, license, packing, substring, tokencount, toxicity, urlfilter
 from .session import tables
 
 
@@ -33,5 +33,9 @@ def op9_license(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license.scan(tables(spark, sf_dir, "documents"), license.known_digests(spark))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_decontamination": op2_decontamination, "op3_packing": op3_packing, "op6_token_counts": op6_token_counts, "op7_urlfilter": op7_urlfilter, "op9_license": op9_license}
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.report(tables(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_decontamination": op2_decontamination, "op3_packing": op3_packing, "op6_token_counts": op6_token_counts, "op7_urlfilter": op7_urlfilter, "op9_license": op9_license, "op10_substring_dedup": op10_substring_dedup}
 ORACLES = {"op7_urlfilter": urlfilter.oracle(), "op9_license": license.oracle()}
