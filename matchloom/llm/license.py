@@ -22,7 +22,8 @@ SPELLINGS = [
 
 #: A line that states a copyright: from its start, after signs, up to its end. In lower case.
 COPYRIGHT_LINE = r"(^|\n)[^\p{L}\p{N}\n]*(?:copyright[^\p{L}\p{N}\n]*(?:c[^\p{L}\p{N}]|by |[0-9]{4}|<|\[)|©|c\)|all rights reserved)[^\n]*"
-NOT_WORD = r"[^\p{L}\p{N}]+"
+NOT_WORD = r"[^\p{L}\p{N}\n]+"
+BREAK = r" *\n[ \n]*"
 
 _PERMISSION = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
 _ISC_WARRANTY = (
@@ -71,19 +72,32 @@ KNOWN = [
 ]
 
 
-def canonical(text: Column) -> Column:
-    """The canonical form: words with a space on either side. Null stays null; a text without words is empty."""
-    t = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "\n")
-    t = F.trim(F.regexp_replace(t, NOT_WORD, "  "))
-    t = F.when(F.length(t) > 0, F.concat(F.lit(" "), t, F.lit(" "))).otherwise(t)
-    for old, new in SPELLINGS:
+def _respelt(t: Column, spellings: list[tuple[str, str]]) -> Column:
+    for old, new in spellings:
         t = F.replace(t, F.lit(f" {old.replace(' ', '  ')} "), F.lit(f" {new.replace(' ', '  ')} "))
     return t
 
 
+def canonical_lines(text: Column) -> Column:
+    """The canonical form with line breaks: words with a space on either side, lines without words left out. Null stays null."""
+    t = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "\n")
+    t = F.regexp_replace(F.regexp_replace(t, NOT_WORD, "  "), BREAK, " \n ")
+    return _respelt(F.concat(F.lit(" "), F.trim(t), F.lit(" ")), SPELLINGS)
+
+
+def joined_lines(lines: Column) -> Column:
+    """The canonical form as one line; spellings of two words may have met at a line break."""
+    t = F.concat(F.lit(" "), F.trim(F.replace(lines, F.lit("\n"), F.lit(""))), F.lit(" "))
+    return _respelt(t, [x for x in SPELLINGS if " " in x[0]])
+
+
+def _digest(canonical: Column) -> Column:
+    return F.when(F.length(F.trim(canonical)) > 0, F.sha2(canonical, 256))
+
+
 def digest(text: Column) -> Column:
     """SHA-256 of the canonical form; null where it has no words."""
-    return F.sha2(F.nullif(canonical(text), F.lit("")), 256)
+    return _digest(joined_lines(canonical_lines(text)))
 
 
 def known_digests(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
@@ -106,31 +120,41 @@ def scan(docs: DataFrame, known: DataFrame, id_column: str = "doc_id", text_colu
     line_licenses: the licences of lines that are known texts, distinct, sorted, comma-joined; empty if none. Null and wordless texts have a null
     digest and no licence. Repeated rows give repeated results; other columns of docs play no part.
 
-    Lines are joined one by one and only hits are grouped, by text digest and line set, so no group grows with the copies
-    of a text: hits are made distinct before they are gathered, and there are no more of them than known licences.
+    The canonical form is made once a text. Its lines are joined one by one; of these rows only hits and one row a text go on, and are
+    gathered by row, so that no group grows with the copies of a text.
     """
     known = _sided(known)
-    own = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("t"))
-    lines = own.select(F.xxhash64("t").alias("k"), F.col("id"), F.explode(F.split("t", "\n")).alias("line"))
-    hits = lines.select("id", "k", digest(F.col("line")).alias("digest")).join(known, "digest").groupBy("id", "k").agg(F.array_join(F.sort_array(F.collect_set("license_id")), ",").alias("line_licenses"))
-    whole = own.select("id", F.xxhash64("t").alias("k"), digest(F.col("t")).alias("text_digest")).join(known.withColumnRenamed("digest", "text_digest"), "text_digest", "left")
-    return whole.join(hits, [whole["id"].eqNullSafe(hits["id"]), whole["k"] == hits["k"]], "left").select(whole["id"].alias(id_column), "text_digest", "license_id", F.coalesce("line_licenses", F.lit("")).alias("line_licenses"))
+    own = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).alias("id"), canonical_lines(F.coalesce(F.col(text_column), F.lit(""))).alias("c"))
+    lines = own.select("row", "id", _digest(joined_lines(F.col("c"))).alias("text_digest"), F.posexplode(F.split("c", "\n")).alias("pos", "line"))
+    marked = lines.select("row", "id", "pos", F.when(F.col("pos") == 0, F.col("text_digest")).alias("text_digest"), _digest(F.col("line")).alias("digest")).join(known, "digest", "left")
+    kept = marked.where("pos = 0 or license_id is not null")
+    texts = kept.groupBy("row").agg(F.first("id", ignorenulls=True).alias("id"), F.max("text_digest").alias("text_digest"), F.array_join(F.sort_array(F.collect_set("license_id")), ",").alias("line_licenses"))
+    whole = known.select(F.col("digest").alias("text_digest"), "license_id")
+    return texts.join(_sided(whole), "text_digest", "left").select(F.col("id").alias(id_column), "text_digest", "license_id", "line_licenses")
 
 
-def _sql_canonical(x: str) -> str:
-    t = f"trim(regexp_replace(regexp_replace(lower({x}), '{COPYRIGHT_LINE}', chr(10), 'g'), '{NOT_WORD}', '  ', 'g'))"
-    t = f"CASE WHEN length({t}) > 0 THEN ' ' || {t} || ' ' ELSE {t} END"
-    for old, new in SPELLINGS:
+def _sql_respelt(t: str, spellings: list[tuple[str, str]]) -> str:
+    for old, new in spellings:
         t = f"replace({t}, ' {old.replace(' ', '  ')} ', ' {new.replace(' ', '  ')} ')"
     return t
 
 
+def _sql_lines(x: str) -> str:
+    t = f"regexp_replace(regexp_replace(regexp_replace(lower({x}), '{COPYRIGHT_LINE}', chr(10), 'g'), '{NOT_WORD}', '  ', 'g'), '{BREAK}', ' ' || chr(10) || ' ', 'g')"
+    return _sql_respelt(f"(' ' || trim({t}, ' ') || ' ')", SPELLINGS)
+
+
+def _sql_joined(x: str) -> str:
+    return _sql_respelt(f"(' ' || trim(replace({x}, chr(10), ''), ' ') || ' ')", [s for s in SPELLINGS if " " in s[0]])
+
+
 def oracle(known: list[tuple[str, str]] | None = None) -> str:
     values = ", ".join("('{}', '{}')".format(i, t.replace("'", "''")) for i, t in known or KNOWN)
     return f"""
-WITH known AS (SELECT min(license_id) AS license_id, sha256({_sql_canonical("t")}) AS digest FROM (VALUES {values}) k(license_id, t) GROUP BY 2),
-lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
-hits AS (SELECT doc_id, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS line_licenses FROM lines JOIN known ON sha256({_sql_canonical("line")}) = digest GROUP BY doc_id),
-whole AS (SELECT doc_id, sha256(nullif({_sql_canonical("text")}, '')) AS text_digest FROM documents)
+WITH known AS (SELECT min(license_id) AS license_id, sha256({_sql_joined(_sql_lines("t"))}) AS digest FROM (VALUES {values}) k(license_id, t) GROUP BY 2),
+own AS (SELECT doc_id, {_sql_lines("coalesce(text, '')")} AS c FROM documents),
+lines AS (SELECT doc_id, unnest(string_split(c, chr(10))) AS line FROM own),
+hits AS (SELECT doc_id, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS line_licenses FROM lines JOIN known ON sha256(line) = digest GROUP BY doc_id),
+whole AS (SELECT doc_id, CASE WHEN length(trim(j, ' ')) > 0 THEN sha256(j) END AS text_digest FROM (SELECT doc_id, {_sql_joined("c")} AS j FROM own))
 SELECT doc_id, text_digest, license_id, coalesce(line_licenses, '') AS line_licenses
 FROM whole LEFT JOIN known ON text_digest = digest LEFT JOIN hits USING (doc_id)"""
