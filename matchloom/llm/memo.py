@@ -14,13 +14,11 @@ class Memo(dict):
 
     def learn(self, words: Iterable) -> None:
         """Make sure that all of `words` are there."""
-        missing = set(words)
-        missing.difference_update(self.keys())
-        if not missing:
-            return
+        missing = words if isinstance(words, set) else set(words)
         if len(self) > self.limit:
             self.old = dict(self)
             self.clear()
+        missing.difference_update(self.keys())
         new = []
         for w in missing:
             v = self.old.get(w)
@@ -31,5 +29,3 @@ class Memo(dict):
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
             self.update(zip(part, self.compute(part), strict=True))
-        if len(self.old) and not self.keys() >= missing:  # what the clearing took away
-            self.learn(missing)

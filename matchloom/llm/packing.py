@@ -8,10 +8,10 @@ at examples. Each task packs its own rows through a bounded buffer: nothing is s
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import defaultdict, deque
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -123,13 +123,12 @@ def pack_examples(examples: DataFrame, tokens: int, segments: int, loss: int, id
     return examples.select(id_column, tokens_column, loss_column).mapInArrow(run, schema)
 
 
-#: Word bounds of the byte-level vocabulary, for texts of the characters below only; others go through the library.
-PRETOKEN = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-OTHER = re.compile("[^\t\n\r -~¡-©«¬®-±´¶-¸»¿-ɏ‐-‧‰-⁞€]")
-
-
 class WordIds:
-    """Ids of whole texts as little-endian 32-bit bytes: a text is cut at the bounds that the tokenizer itself keeps to, and each word is encoded once."""
+    """Ids of whole texts as little-endian 32-bit bytes, from ids of words that are encoded once each.
+
+    The byte-level tokenizer always begins a word at a space that stands before another character, and at a lone line feed between characters
+    that are not white space. Texts where white space meets white space, or with special tokens in them, go to the library whole.
+    """
 
     def __init__(self, tokenizer_file: str):
         import os
@@ -138,19 +137,29 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memo = Memo(self._encode)
+        self.apart = ["  ", "\n\n", " \n", "\n ", *(t.content for t in self.tokenizer.get_added_tokens_decoder().values())]
+        self.memo = Memo(lambda words: self._encode([w if w[:1] == "\n" else " " + w for w in words]))
+        self.first = Memo(self._encode, 50_000)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        plain = [(t.isascii() or not OTHER.search(t)) and not any(s in t for s in self.specials) for t in texts]
-        found = [PRETOKEN.findall(t) if p else [] for t, p in zip(texts, plain, strict=True)]
-        self.memo.learn(w for ws in found for w in ws)
+        plain = [not any(s in t for s in self.apart) for t in texts]
+        found = [t.replace("\n", " \n").split(" ") for t, p in zip(texts, plain, strict=True) if p]
+        begins = [ws.pop(0) for ws in found]
+        self.memo.learn(set().union(*found))
+        self.first.learn(begins)
         get = self.memo.__getitem__
+        made = iter([self.first[b] + b"".join(map(get, ws)) for b, ws in zip(begins, found, strict=True)])
         rest = iter(self._encode([t for t, p in zip(texts, plain, strict=True) if not p]))
-        return [b"".join(map(get, ws)) if p else next(rest) for ws, p in zip(found, plain, strict=True)]
+        return [next(made) if p else next(rest) for p in plain]
+
+
+@lru_cache(maxsize=2)
+def word_ids(tokenizer_file: str) -> WordIds:
+    """One for all tasks of a Python worker, so that words stay known."""
+    return WordIds(tokenizer_file)
 
 
 PIECES = T.StructType([T.StructField(n, T.LongType()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
@@ -165,7 +174,7 @@ def pack_documents(docs: DataFrame, tokenizer_file: str, tokens: int = 1024, seg
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = WordIds(tokenizer_file)
+        ids = word_ids(tokenizer_file)
         packer = Packer(tokens, segments, tokens, cut=True)
         end = np.array([end_id], "<u4").tobytes()
         sequence = TaskContext.get().partitionId() * SEQUENCES_A_PARTITION

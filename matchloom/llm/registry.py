@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, license, packing, substring, tokencount, toxicity, urlfilter
+from . import decontam, license, packing, simhash, substring, tokencount, toxicity, urlfilter
 from .session import tables
 
 
@@ -21,6 +21,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(tables(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(tables(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.report(tables(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -37,5 +41,5 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.report(tables(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_decontamination": op2_decontamination, "op3_packing": op3_packing, "op6_token_counts": op6_token_counts, "op7_urlfilter": op7_urlfilter, "op9_license": op9_license, "op10_substring_dedup": op10_substring_dedup}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_decontamination": op2_decontamination, "op3_packing": op3_packing, "op4_simhash": op4_simhash, "op6_token_counts": op6_token_counts, "op7_urlfilter": op7_urlfilter, "op9_license": op9_license, "op10_substring_dedup": op10_substring_dedup}
 ORACLES = {"op7_urlfilter": urlfilter.oracle(), "op9_license": license.oracle()}

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,8 @@ class PrefixCounts:
         self.longest = max(map(len, self.score))
         self.may: dict[tuple[str, str], bool] = {}
         self.whole: dict[str, bool] = {}
-        self.totals = Memo(lambda words: [self.prefixes(w)[-1] for w in words])
+        #: by word; one that begins with neither a line feed nor a space stands for itself after a space, one that begins with a space is as it is without the first
+        self.totals = Memo(lambda words: [self.prefixes(w[1:] if w[:1] == " " else w if w[:1] == "\n" else " " + w)[-1] for w in words])
 
     def merged(self, text: str) -> list[str]:
         """BPE proper of a short text: the best pair first, from the left among equals."""
@@ -88,17 +90,21 @@ class PrefixCounts:
                 counts.append(counts[i - 1] + len(w[i - 1].encode()))
         return counts
 
-    def count(self, text: str) -> int:
-        words = WORD.findall(" " + text.replace(MARK, " ")) if text else []
-        self.totals.learn(words)
-        return sum(map(self.totals.__getitem__, words))
-
     def counts(self, texts: Sequence[str]) -> list[int]:
-        found = [WORD.findall(" " + t.replace(MARK, " ")) if t else [] for t in texts]
-        self.totals.learn(w for ws in found for w in ws)
+        """Counts of whole texts: sums over words, which begin at a space or a line feed."""
+        found = []
+        for t in texts:
+            if "  " in t or t[:1] == " " or MARK in t:  # spaces that meet may be one piece
+                found.append([" " + w for w in WORD.findall(" " + t.replace(MARK, " "))])
+            else:
+                found.append(t.replace("\n", " \n").split(" ") if t else [])
+        self.totals.learn(set().union(*found))
         get = self.totals.__getitem__
         return [sum(map(get, ws)) for ws in found]
 
+    def count(self, text: str) -> int:
+        return self.counts([text])[0]
+
     def every_prefix(self, text: str) -> np.ndarray:
         """Counts of text[:0], text[:1], ..., text. The mark that the encoder puts before a text counts from the first character on."""
         out, total = [0], 0
@@ -113,6 +119,12 @@ class PrefixCounts:
         return int(np.flatnonzero(self.every_prefix(text) <= budget)[-1]) if budget >= 0 else 0
 
 
+@lru_cache(maxsize=2)
+def prefix_counts(model_file: str) -> PrefixCounts:
+    """One for all tasks of a Python worker, so that words stay known."""
+    return PrefixCounts(model_file)
+
+
 def token_counts(docs: DataFrame, model_file: str, budgets: Sequence[int] = (), prefixes: bool = False, id_column: str = "doc_id", text_column: str = "text", batch_bytes: int = 1 << 20) -> DataFrame:
     """One row per row of docs: id, n_tokens, for each budget cut_<budget> (characters that fit), and with `prefixes` the counts at every prefix.
 
@@ -123,7 +135,7 @@ def token_counts(docs: DataFrame, model_file: str, budgets: Sequence[int] = (),
     fields += [T.StructField(f"cut_{b}", T.LongType()) for b in budgets] + [T.StructField("prefix_tokens", T.ArrayType(T.LongType()))] * prefixes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = PrefixCounts(model_file)
+        counter = prefix_counts(model_file)
         for batch in batches:
             raw, offsets = column_bytes(batch.column(1))
             totals, lo, n = [], 0, batch.num_rows
