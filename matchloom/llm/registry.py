@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontam, license, packing, simhash, substring, tokencount, toxicity, urlfilter
+from . import ann, decontam, license, packing, simhash, substring, tokencount, toxicity, urlfilter
 from .session import tables
 
 
@@ -25,6 +26,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(tables(spark, sf_dir, "documents"))
 
 
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(tables(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.report(tables(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -41,5 +46,5 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.report(tables(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_decontamination": op2_decontamination, "op3_packing": op3_packing, "op4_simhash": op4_simhash, "op6_token_counts": op6_token_counts, "op7_urlfilter": op7_urlfilter, "op9_license": op9_license, "op10_substring_dedup": op10_substring_dedup}
-ORACLES = {"op7_urlfilter": urlfilter.oracle(), "op9_license": license.oracle()}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_decontamination": op2_decontamination, "op3_packing": op3_packing, "op4_simhash": op4_simhash, "op5_nearest": op5_nearest, "op6_token_counts": op6_token_counts, "op7_urlfilter": op7_urlfilter, "op9_license": op9_license, "op10_substring_dedup": op10_substring_dedup}
+ORACLES = {"op5_nearest": ann.oracle(), "op7_urlfilter": urlfilter.oracle(), "op9_license": license.oracle()}
