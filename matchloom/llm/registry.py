@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, license, packing, simhash, substring, tokencount, toxicity, urlfilter
+from . import ann, decontam, license, packing, quality, simhash, substring, tokencount, toxicity, urlfilter
 from .session import tables
 
 
@@ -38,6 +38,10 @@ def op7_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(tables(spark, sf_dir, "pages"), urlfilter.RULES)
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "labels"))
+
+
 def op9_license(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license.scan(tables(spark, sf_dir, "documents"), license.known_digests(spark))
 
@@ -46,5 +50,5 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.report(tables(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_decontamination": op2_decontamination, "op3_packing": op3_packing, "op4_simhash": op4_simhash, "op5_nearest": op5_nearest, "op6_token_counts": op6_token_counts, "op7_urlfilter": op7_urlfilter, "op9_license": op9_license, "op10_substring_dedup": op10_substring_dedup}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_decontamination": op2_decontamination, "op3_packing": op3_packing, "op4_simhash": op4_simhash, "op5_nearest": op5_nearest, "op6_token_counts": op6_token_counts, "op7_urlfilter": op7_urlfilter, "op8_quality": op8_quality, "op9_license": op9_license, "op10_substring_dedup": op10_substring_dedup}
 ORACLES = {"op5_nearest": ann.oracle(), "op7_urlfilter": urlfilter.oracle(), "op9_license": license.oracle()}
