@@ -98,9 +98,7 @@ class PrefixCounts:
                 found.append([" " + w for w in WORD.findall(" " + t.replace(MARK, " "))])
             else:
                 found.append(t.replace("\n", " \n").split(" ") if t else [])
-        self.totals.learn(set().union(*found))
-        get = self.totals.__getitem__
-        return [sum(map(get, ws)) for ws in found]
+        return list(map(sum, self.totals.resolve(found)))
 
     def count(self, text: str) -> int:
         return self.counts([text])[0]

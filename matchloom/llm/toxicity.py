@@ -42,7 +42,7 @@ def features(t: Texts) -> tuple[np.ndarray, np.ndarray]:
 class Ftrl:
     """The state of FTRL-proximal: z and n by place, and of the intercept, which is not made sparse."""
 
-    def __init__(self, alpha: float = 0.5, beta: float = 1.0, l1: float = 3.0, l2: float = 0.1):
+    def __init__(self, alpha: float = 4.0, beta: float = 1.0, l1: float = 3.0, l2: float = 0.1):
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
         self.z, self.n = np.zeros(1 << BITS), np.zeros(1 << BITS)
         self.bias = np.zeros(2)
@@ -66,8 +66,21 @@ class Ftrl:
         self.bias += (g - (np.sqrt(self.bias[1] + g * g) - root) / self.alpha * b, g * g)
 
 
+def _packed(places: np.ndarray) -> bytes:
+    """Sorted places as compressed gaps, byte by byte."""
+    gaps = np.diff(places, prepend=places.dtype.type(0)).astype("<u4")
+    raw = np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 4).T).tobytes()
+    return len(gaps).to_bytes(4, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    n = int.from_bytes(packed[:4], "little")
+    raw = np.frombuffer(pa.decompress(packed[4:], 4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, n)
+    return np.cumsum(np.ascontiguousarray(raw.T).view("<u4").reshape(-1), dtype=np.uint32)
+
+
 def _featurised(docs: DataFrame) -> DataFrame:
-    """(row_key, label, shard, places) of labelled texts; places are the distinct ones as 32-bit integers."""
+    """(row_key, label, shard, places) of labelled texts; places are the distinct ones, packed."""
     schema = T.StructType([T.StructField("row_key", T.LongType()), T.StructField("label", T.DoubleType()), T.StructField("shard", T.IntegerType()), T.StructField("places", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,60 +90,108 @@ def _featurised(docs: DataFrame) -> DataFrame:
                 both = np.unique(owner.astype(np.uint64) << np.uint64(BITS) | place)
                 bounds = np.searchsorted(both, np.arange(hi - lo + 1, dtype=np.uint64) << np.uint64(BITS))
                 own = (both & np.uint64((1 << BITS) - 1)).astype(np.uint32)
-                packed = [own[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                packed = [_packed(own[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in range(3)), pa.array(packed, pa.binary())], names=schema.names)
 
     return docs.select("row_key", "label", "shard", "text").mapInArrow(run, schema)
 
 
 def _shard_pass(shared, passes: int):
-    """A function from the training rows of a shard to what running over them changes in the shared state."""
+    """A function from a partition of training rows to what running over each of its shards changes in the shared state."""
+
+    def run(parts):
+        import pandas as pd
+
+        rows: dict[int, list] = {}
+        for pdf in parts:
+            for shard, key, y, p in zip(pdf["shard"], pdf["row_key"], pdf["label"], pdf["places"], strict=True):
+                rows.setdefault(shard, []).append((key, y, p))
+        for shard in sorted(rows):
+            own = Ftrl()
+            z, n, bias = shared.value
+            own.z[:], own.n[:], own.bias[:] = z, n, bias
+            ready = [(_unpacked(p), y) for _, y, p in sorted(rows[shard])]
+            for _ in range(passes):
+                for at, y in ready:
+                    own.learn(at, y)
+            yield pd.DataFrame({"dz": [(own.z - z).astype(np.float32).tobytes()], "dn": [(own.n - n).astype(np.float32).tobytes()], "b0": [own.bias[0] - bias[0]], "b1": [own.bias[1] - bias[1]]})
+
+    return run
 
-    def run(pdf):
+
+_CHANGE = "dz binary, dn binary, b0 double, b1 double"
+
+
+def _mean_change(pdf):
+    """The mean of the changes of all shards: SHARDS rows of two arrays of 2**BITS places."""
+    import pandas as pd
+
+    dz, dn = (np.mean([np.frombuffer(x, np.float32) for x in pdf[c]], axis=0, dtype=np.float32) for c in ("dz", "dn"))
+    return pd.DataFrame({"dz": [dz.tobytes()], "dn": [dn.tobytes()], "b0": [pdf["b0"].mean()], "b1": [pdf["b1"].mean()]})
+
+
+def _logits(shared):
+    """A function from a partition of training rows to (label, logit)."""
+
+    def run(parts):
         import pandas as pd
 
-        own = Ftrl()
-        z, n, bias = shared.value
-        own.z[:], own.n[:], own.bias[:] = z, n, bias
-        rows = [(np.frombuffer(p, np.uint32), y) for _, y, p in sorted(zip(pdf["row_key"], pdf["label"], pdf["places"], strict=True))]
-        for _ in range(passes):
-            for at, y in rows:
-                own.learn(at, y)
-        dz, dn = own.z - z, own.n - n
-        at = np.flatnonzero((dz != 0) | (dn != 0)).astype(np.uint32)
-        return pd.DataFrame({"at": [at.tobytes()], "dz": [dz[at].astype(np.float32).tobytes()], "dn": [dn[at].astype(np.float32).tobytes()], "b0": [own.bias[0] - bias[0]], "b1": [own.bias[1] - bias[1]]})
+        at, weights, intercept = shared.value
+        w = np.zeros(1 << BITS)
+        w[at] = weights
+        for pdf in parts:
+            yield pd.DataFrame({"label": pdf["label"], "logit": [float(w[_unpacked(p)].sum() + intercept) for p in pdf["places"]]})
 
     return run
 
 
+def calibration(logit: np.ndarray, label: np.ndarray) -> tuple[float, float]:
+    """Slope and shift that turn logits into probabilities: Newton steps on smoothed labels (of n rows, 1 and 0 are (n + 1) / (n + 2) and 1 / (n + 2))."""
+    up = label > 0.5
+    if not up.any() or up.all():
+        return 1.0, 0.0
+    target = np.where(up, (up.sum() + 1) / (up.sum() + 2), 1 / ((~up).sum() + 2))
+    x, theta = np.column_stack([logit, np.ones(len(logit))]), np.array([1.0, 0.0])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-np.clip(x @ theta, -35, 35)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-4 * np.eye(2), x.T @ (p - target) + 1e-4 * (theta - [1.0, 0.0]))
+        theta = theta - step / max(1.0, np.abs(step).max())
+        if np.abs(step).max() < 1e-6:
+            break
+    return (float(theta[0]), float(theta[1])) if theta[0] > 0 else (1.0, 0.0)
+
+
 def fit(docs: DataFrame, labels: DataFrame, rounds: int = 4, passes: int = 2, most: int = TRAIN_DOCS) -> dict:
     """Weights from at most about `most` labelled documents (doc_id, toxic), chosen by a hash of the id.
 
     Null ids and labels are left out; of several labels of one id the largest counts. The result has the places whose weight is not
-    zero, their weights, and the intercept. Without any labels all weights are zero and every score is 0.5.
+    zero, their weights, and the intercept, all calibrated. Without any labels all weights are zero and every score is 0.5.
     """
-    spark = docs.sparkSession
+    sc = docs.sparkSession.sparkContext
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("double")).alias("label"))
     there = known.count()
     share = min(1.0, most / max(1, there))
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))).select(F.col("doc_id").alias("id"), "label")
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id"))
     key = F.xxhash64(F.col("doc_id"), F.lit(7))
-    ready = checkpointed(_featurised(rows.select(key.alias("row_key"), "label", F.pmod(key, F.lit(SHARDS)).cast("int").alias("shard"), "text")))
+    ready = _featurised(rows.select(key.alias("row_key"), "label", F.pmod(key, F.lit(SHARDS)).cast("int").alias("shard"), "text"))
+    ready = checkpointed(ready.repartition(SHARDS, "shard"))
     state = Ftrl()
     for _ in range(rounds):
-        shared = spark.sparkContext.broadcast((state.z.astype(np.float32), state.n.astype(np.float32), state.bias))
-
-        changes = ready.groupBy("shard").applyInPandas(_shard_pass(shared, passes), "at binary, dz binary, dn binary, b0 double, b1 double").collect()  # SHARDS rows of bounded size
-        for c in changes:
-            at = np.frombuffer(c["at"], np.uint32)
-            state.z[at] += np.frombuffer(c["dz"], np.float32) / len(changes)
-            state.n[at] += np.frombuffer(c["dn"], np.float32) / len(changes)
-            state.bias += np.array([c["b0"], c["b1"]]) / len(changes)
-        shared.unpersist()
+        shared = sc.broadcast((state.z.astype(np.float32), state.n.astype(np.float32), state.bias))
+        change = ready.mapInPandas(_shard_pass(shared, passes), _CHANGE).groupBy().applyInPandas(_mean_change, _CHANGE).first()
+        if change is not None:
+            state.z += np.frombuffer(change["dz"], np.float32)
+            state.n += np.frombuffer(change["dn"], np.float32)
+            state.bias += np.array([change["b0"], change["b1"]])
+        shared.destroy()
     w = state.weights(np.arange(1 << BITS))
     at = np.flatnonzero(w).astype(np.uint32)
-    return {"at": at, "weights": w[at].astype(np.float32), "intercept": state.intercept()}
+    shared = sc.broadcast((at, w[at], state.intercept()))
+    own = ready.mapInPandas(_logits(shared), "label double, logit double").collect()  # of the bounded sample
+    shared.destroy()
+    slope, shift = calibration(np.array([r["logit"] for r in own]), np.array([r["label"] for r in own]))
+    return {"at": at, "weights": (slope * w[at]).astype(np.float32), "intercept": slope * state.intercept() + shift}
 
 
 def score(docs: DataFrame, model: dict, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
