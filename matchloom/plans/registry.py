@@ -1,4 +1,9 @@
 """All queries of the library proper, with their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from . import search
+
+PARTS = [search]
+QUERIES: dict = {name: f for part in PARTS for name, f in part.QUERIES.items()}
+ORACLES: dict = {name: sql for part in PARTS for name, sql in part.ORACLES.items()}
