@@ -54,7 +54,7 @@ def ruled(urls: DataFrame, rules: Sequence[tuple[str, str, str]] | DataFrame) ->
         rules = urls.sparkSession.createDataFrame(rules, "verdict string, host string, path string")
     keyed = rules.select(F.col("verdict").alias("v__"), F.col("host").alias("suffix__"), F.col("path").alias("p__"))
     labels = F.size(F.split("host", r"\."))
-    tried = urls.select("host", "path").distinct().withColumn("suffix__", F.explode(F.transform(F.sequence(F.lit(1), labels), lambda i: F.substring_index(F.col("host"), ".", -i))))
+    tried = urls.select("host", "path").distinct().withColumn("suffix__", F.explode(F.transform(F.sequence(F.lit(1), labels), lambda i: F.call_function("substring_index", F.col("host"), F.lit("."), -i))))
     hits = tried.join(keyed, "suffix__").where("startswith(path, p__)").groupBy("host", "path").agg(F.max(F.struct((F.length("suffix__") + F.length("p__")).alias("len"), F.concat("suffix__", "p__").alias("rule"), F.col("v__").alias("verdict"))).alias("best__"))
     return urls.join(hits, ["host", "path"], "left").withColumns({"rule": F.col("best__.rule"), "verdict": F.col("best__.verdict")}).drop("best__")
 

@@ -8,7 +8,6 @@ same. Texts are bytes throughout: nothing is decoded, and nulls count as empty t
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +15,8 @@ import pyarrow as pa
 U64 = np.uint64
 BYTE_BASE, RUN_BASE, RUN_BASE_2 = 0x9DDFEA08EB382D69, 0xC2B2AE3D27D4EB4F, 0x9FB21C651E98DF25
 SLICE_BYTES = 2 << 20
+#: Bytes, or words, whose running sums are made together; a longer word is one part.
+PART = 1 << 18
 
 #: A-Z to a-z, all other bytes as they are.
 LOWER = np.arange(256, dtype=np.uint8)
@@ -39,17 +40,17 @@ def table(pattern: str) -> np.ndarray:
 SPACE, ALNUM = table("space"), table("alnum")
 
 
-@lru_cache(maxsize=8)
-def _powers(base: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and its inverse for i < 2**bits, modulo 2**64."""
-    n = 1 << bits
-    up, down = np.full(n, U64(base)), np.full(n, U64(pow(base, -1, 1 << 64)))
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+_TABLES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(base, max(16, int(n).bit_length()))
+    """base**i and its inverse for i < n at least, modulo 2**64. Tables are kept, and grow with the longest run of bytes or words asked for."""
+    if base not in _TABLES or len(_TABLES[base][0]) < n:
+        size = 1 << max(19, int(n - 1).bit_length())
+        up, down = np.full(size, U64(base)), np.full(size, U64(pow(base, -1, 1 << 64)))
+        up[0] = down[0] = 1
+        _TABLES[base] = (np.multiply.accumulate(up), np.multiply.accumulate(down))
+    return _TABLES[base]
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -96,13 +97,19 @@ class Texts:
         return np.repeat(self.first[1:], self.n_words) - np.arange(len(self.starts))
 
     def hashes(self) -> np.ndarray:
-        n = len(self.buf)
-        if not len(self.starts):
-            return np.zeros(0, U64)
-        up, down = powers(BYTE_BASE, n)
-        total = np.zeros(n + 1, U64)
-        np.cumsum((self.buf.astype(U64) + U64(1)) * up[:n], out=total[1:])
-        return mix((total[self.ends] - total[self.starts]) * down[self.starts], 0x5BF03635)
+        out = np.zeros(len(self.starts), U64)
+        lo = 0
+        while lo < len(out):
+            origin = self.starts[lo]
+            hi = max(lo + 1, int(np.searchsorted(self.ends, origin + PART, side="right")))
+            n = int(self.ends[hi - 1] - origin)
+            up, down = powers(BYTE_BASE, n + 1)
+            total = np.zeros(n + 1, U64)
+            np.cumsum((self.buf[origin : origin + n].astype(U64) + U64(1)) * up[:n], out=total[1:])
+            at = self.starts[lo:hi] - origin
+            out[lo:hi] = mix((total[self.ends[lo:hi] - origin] - total[at]) * down[at], 0x5BF03635)
+            lo = hi
+        return out
 
     def word(self, i: int) -> bytes:
         return self.buf[self.starts[i] : self.ends[i]].tobytes()
@@ -110,13 +117,15 @@ class Texts:
 
 def runs(hashes: np.ndarray, k: int, base: int = RUN_BASE, salt: int = 0) -> np.ndarray:
     """Hash of the k words from each word on; the last k-1 places are left out. Runs may cross texts: see room()."""
-    n = len(hashes)
-    if n < k:
-        return np.zeros(0, U64)
-    up, down = powers(base, n)
-    total = np.zeros(n + 1, U64)
-    np.cumsum(mix(hashes, salt) * up[:n] if salt else hashes * up[:n], out=total[1:])
-    return mix((total[k:] - total[:-k]) * down[: n - k + 1], k)
+    out = np.zeros(max(0, len(hashes) - k + 1), U64)
+    for lo in range(0, len(out), PART):
+        own = hashes[lo : min(lo + PART, len(out)) + k - 1]
+        n = len(own)
+        up, down = powers(base, n + 1)
+        total = np.zeros(n + 1, U64)
+        np.cumsum((mix(own, salt) if salt else own) * up[:n], out=total[1:])
+        out[lo : lo + n - k + 1] = mix((total[k:] - total[:-k]) * down[: n - k + 1], k)
+    return out
 
 
 def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
