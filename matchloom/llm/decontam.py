@@ -260,3 +260,18 @@ def brute_force(texts: dict, items: dict, window: int = WINDOW) -> dict:
                         found.add(str(i))
         out[d] = (len(ws), len(hit), sorted(found))
     return out
+
+
+def oracle(window: int = WINDOW) -> str:
+    words = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {words} AS w FROM documents),
+items AS (SELECT item_id, {words} AS w, least({window}, len({words})) AS k FROM benchmark WHERE item_id IS NOT NULL),
+iw AS (SELECT DISTINCT item_id, k, list_slice(w, i, i + k - 1) AS ws FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM items WHERE k > 0)),
+ks AS (SELECT DISTINCT k FROM iw),
+dw AS (SELECT rid, k, i, list_slice(w, i, i + k - 1) AS ws FROM (SELECT rid, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, ks WHERE len(w) >= k)),
+hits AS (SELECT rid, i, k, item_id FROM dw JOIN iw USING (k, ws)),
+n AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT rid, unnest(range(i, i + k)) AS p FROM hits) GROUP BY rid),
+m AS (SELECT rid, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM hits GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (rid) LEFT JOIN m USING (rid)"""

@@ -51,4 +51,4 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_toxicity": op1_toxicity, "op2_decontamination": op2_decontamination, "op3_packing": op3_packing, "op4_simhash": op4_simhash, "op5_nearest": op5_nearest, "op6_token_counts": op6_token_counts, "op7_urlfilter": op7_urlfilter, "op8_quality": op8_quality, "op9_license": op9_license, "op10_substring_dedup": op10_substring_dedup}
-ORACLES = {"op5_nearest": ann.oracle(), "op7_urlfilter": urlfilter.oracle(), "op9_license": license.oracle()}
+ORACLES = {"op2_decontamination": decontam.oracle(), "op10_substring_dedup": substring.oracle(), "op5_nearest": ann.oracle(), "op7_urlfilter": urlfilter.oracle(), "op9_license": license.oracle()}

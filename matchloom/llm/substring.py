@@ -313,3 +313,16 @@ def brute_force(texts: list[tuple], window: int = 13) -> list[tuple]:
                 gone.update(range(p, p + window))
         out.append((i, len(ws), len(gone), b" ".join(w for k, w in enumerate(ws) if k not in gone)))
     return out
+
+
+def oracle(window: int = 13) -> str:
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT rid, doc_id, i, list_slice(w, i, i + {window - 1}) AS ws FROM (SELECT *, unnest(range(1, len(w) - {window - 2})) AS i FROM d WHERE len(w) >= {window} AND doc_id IS NOT NULL)),
+first AS (SELECT ws, min(doc_id) AS least FROM win GROUP BY ws HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT DISTINCT rid, unnest(range(i, i + {window})) AS p FROM win JOIN first USING (ws) WHERE doc_id > least),
+ps AS (SELECT rid, list(p) AS ps FROM gone GROUP BY rid),
+words AS (SELECT rid, i, w[i] AS word FROM (SELECT rid, w, unnest(range(1, len(w) + 1)) AS i FROM d JOIN ps USING (rid))),
+kept AS (SELECT words.rid, string_agg(word, ' ' ORDER BY i) AS t FROM words LEFT JOIN gone ON words.rid = gone.rid AND words.i = gone.p WHERE gone.p IS NULL GROUP BY words.rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(ps), 0)::BIGINT AS n_removed, sha256(CASE WHEN ps IS NULL THEN array_to_string(w, ' ') ELSE coalesce(t, '') END) AS kept_sha256
+FROM d LEFT JOIN ps USING (rid) LEFT JOIN kept USING (rid)"""
