@@ -1,60 +1,64 @@
-"""Boxes of images: suppression, matching, association. Rows meet only within an image, and a hot image is cut by cells where order allows."""
+"""Boxes of images: suppression, matching, association. Rows meet only within an image.
+
+The greedy operators gather the boxes of an image, which a detector bounds, into one sorted array and fold over it in the JVM.
+"""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchloom.functions import boxes as bx
 
+CORNERS = ("x1", "y1", "x2", "y2")
+
+
+def _corners(b: Column) -> bx.Box:
+    return tuple(b[c] for c in CORNERS)
+
+
+def _overlap(a: Column, b: Column) -> Column:
+    return F.coalesce(bx.iou(_corners(a), _corners(b)), F.lit(0.0))
+
+
+def _gathered(rows: DataFrame, image: str, name: str, *order: Column) -> DataFrame:
+    """(image, name): the boxes of an image as one array of structs, in the order of the leading fields."""
+    return rows.groupBy(image).agg(F.sort_array(F.collect_list(F.struct(*order, *CORNERS))).alias(name))
+
 
-def _iou(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    w = np.clip(np.minimum(a[2], b[:, 2]) - np.maximum(a[0], b[:, 0]), 0, None)
-    h = np.clip(np.minimum(a[3], b[:, 3]) - np.maximum(a[1], b[:, 1]), 0, None)
-    both = w * h
-    union = (a[2] - a[0]) * (a[3] - a[1]) + (b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1]) - both
-    return np.where(union > 0, both / np.where(union > 0, union, 1), 0)
+def _best_first(score: str) -> Column:
+    """Ascending where scores descend; a null score comes last."""
+    return (-F.coalesce(F.col(score).cast("double"), F.lit(float("-inf")))).alias("down")
 
 
 def suppressed(rows: DataFrame, image: str, key: str, score: str, limit: float) -> DataFrame:
     """(image, key) of boxes kept by score-ordered suppression: a box stays if its IoU with every kept one is at most `limit`. Ties go to the smaller key."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([score, key], ascending=[False, True], kind="stable")
-        b = pdf[["x1", "y1", "x2", "y2"]].to_numpy(float)
-        kept: list[int] = []
-        for i in range(len(b)):
-            if not kept or _iou(b[i], b[kept]).max() <= limit:
-                kept.append(i)
-        return pdf.iloc[kept][[image, key]]
+    def keep(kept: Column, b: Column) -> Column:
+        return F.when(F.exists(kept, lambda k: _overlap(k, b) > limit), kept).otherwise(F.concat(kept, F.array(b)))
 
-    kinds = rows.schema
-    return rows.select(image, key, score, "x1", "y1", "x2", "y2").groupBy(image).applyInPandas(run, f"{image} {kinds[image].dataType.simpleString()}, {key} {kinds[key].dataType.simpleString()}")
+    pool = _gathered(rows, image, "pool", _best_first(score), F.col(key).alias("key"))
+    kept = F.aggregate("pool", F.slice("pool", 1, 0), keep)
+    return pool.select(image, F.explode(F.transform(kept, lambda b: b["key"])).alias(key))
 
 
 def matched(found: DataFrame, truth: DataFrame, image: str, limit: float = 0.5) -> DataFrame:
-    """(image, key, truth_key): detections, best score first, each take the free truth of largest IoU of at least `limit`."""
-    both = found.select(image, F.lit(0).alias("side"), "key", "score", "x1", "y1", "x2", "y2").unionByName(truth.select(image, F.lit(1).alias("side"), "key", F.lit(0.0).alias("score"), "x1", "y1", "x2", "y2"))
-    kinds = found.schema
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        d = pdf[pdf["side"] == 0].sort_values(["score", "key"], ascending=[False, True], kind="stable")
-        t = pdf[pdf["side"] == 1].sort_values("key", kind="stable")
-        tb, free, out = t[["x1", "y1", "x2", "y2"]].to_numpy(float), np.ones(len(t), bool), []
-        for k, b in zip(d["key"], d[["x1", "y1", "x2", "y2"]].to_numpy(float), strict=True):
-            if not free.any():
-                break
-            overlap = np.where(free, _iou(b, tb), -1)
-            at = int(np.argmax(overlap))
-            if overlap[at] >= limit:
-                free[at] = False
-                out.append((k, t["key"].iloc[at]))
-        return pd.DataFrame({image: [pdf[image].iloc[0]] * len(out), "key": [k for k, _ in out], "truth_key": [v for _, v in out]})
-
-    k = kinds["key"].dataType.simpleString()
-    return both.groupBy(image).applyInPandas(run, f"{image} {kinds[image].dataType.simpleString()}, key {k}, truth_key {k}")
+    """(image, key, truth_key): detections, best score first, each take the free truth of largest IoU of at least `limit`. Ties go to the smaller key."""
+    pairs = f"array<struct<key:{found.schema['key'].dataType.simpleString()},truth_key:{truth.schema['key'].dataType.simpleString()}>>"
+
+    def take(state: Column, b: Column) -> Column:
+        free = state["free"]
+        overlaps = F.transform(free, lambda t: _overlap(b, t))
+        most = F.array_max(overlaps)
+        at = F.array_position(overlaps, most).cast("int")
+        left = F.concat(F.slice(free, 1, at - 1), F.slice(free, at + 1, F.size(free)))
+        new = F.struct(b["key"].alias("key"), F.element_at(free, at)["key"].alias("truth_key"))
+        return F.when(most >= limit, F.struct(left.alias("free"), F.concat(state["taken"], F.array(new)).alias("taken"))).otherwise(state)
+
+    both = _gathered(found, image, "found", _best_first("score"), F.col("key")).join(_gathered(truth, image, "free", F.col("key")), image)
+    start = F.struct("free", F.array().cast(pairs).alias("taken"))
+    taken = F.aggregate("found", start, take, lambda state: state["taken"])
+    return both.select(image, F.inline(taken))
 
 
 def associated(parents: DataFrame, labels: DataFrame, image: str, share: float = 0.8) -> DataFrame:
