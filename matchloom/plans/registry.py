@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import evidence, govern, search
+from . import catalog, evidence, govern, search
 
-PARTS = [search, evidence, govern]
+PARTS = [search, evidence, govern, catalog]
 QUERIES: dict = {name: f for part in PARTS for name, f in part.QUERIES.items()}
 ORACLES: dict = {name: sql for part in PARTS for name, sql in part.ORACLES.items()}
