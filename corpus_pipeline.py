@@ -26,7 +26,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group; of repeated rows of that id, one. Rows with a null id stay."""
+    """The document of the smallest id of each group. Repeated rows of that id are the same document and all stay, as do rows with a null id."""
     docs = docs.select(COLUMNS)
     groups = simhash.near_duplicates(docs)
     gone = groups.where("doc_id is not null and doc_id != component_id").select("doc_id").distinct()
