@@ -13,11 +13,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm import decontam, packing, quality, simhash, substring
+from matchloom.llm import decontam, nearsets, packing, quality, substring
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _shared(spark: SparkSession) -> str:
+    """The folder that the cluster shares."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")).rstrip("/")
+
+
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier does not reject."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -26,11 +31,16 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group. Repeated rows of that id are the same document and all stay, as do rows with a null id."""
-    docs = docs.select(COLUMNS)
-    groups = simhash.near_duplicates(docs)
-    gone = groups.where("doc_id is not null and doc_id != component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
+    """One row of each group of near copies: chains of sets of five-word shingles that are at least 0.8 alike, by nearsets.
+
+    op4's own fingerprints (three words, 2 of 64 bits) lose nearly all copies below 0.9, and bits enough for 0.8 are too many for its trie.
+    The row of the smallest doc_id stays, nulls last, then that of the smallest number. Decisions are by row: of two rows of one id, each is judged by its own text.
+    """
+    at = f"{_shared(spark)}/near-copies-{spark.sparkContext.applicationId}-{os.urandom(6).hex()}"
+    docs.select(F.monotonically_increasing_id().alias("row"), *COLUMNS).write.parquet(at)
+    rows = spark.read.parquet(at)
+    gone = nearsets.near_copies(rows).where("row != kept").select("row")
+    return rows.join(gone, "row", "left_anti").select(COLUMNS)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,8 +73,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; what each returns is kept in the folder that the cluster shares."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
-    at = f"{shared.rstrip('/')}/pipeline-{spark.sparkContext.applicationId}-{os.urandom(6).hex()}"
+    at = f"{_shared(spark)}/pipeline-{spark.sparkContext.applicationId}-{os.urandom(6).hex()}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{k}-{name}")
