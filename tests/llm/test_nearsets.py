@@ -64,3 +64,10 @@ def test_similarity_just_above_and_below(spark):
     assert {r["doc_id"] for r in staged(spark, [rows[0], rows[2]])} == {1, 3}
     # a chain: 79 of 89 shingles
     assert {r["doc_id"] for r in staged(spark, rows)} == {1}
+
+
+def test_decisions_are_by_row(spark):
+    a, b, c = (" ".join(f"{p}{k}" for k in range(40)) for p in "abc")
+    rows = [(1, a)] * 3 + [(None, b)] * 3 + [(2, a), (2, c), (None, a), (3, ""), (4, None), (5, "One two"), (6, "one TWO")]
+    got = sorted(((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "") for r in staged(spark, rows)))
+    assert got == sorted([(False, 1, a), (True, 0, b), (False, 2, c), (False, 3, ""), (False, 5, "One two")])
