@@ -1,8 +1,9 @@
 """Quality by co-training: a text-content view and a page-metadata view teach each other.
 
-Each view has its own logistic regression. In every round each view labels the unlabelled sample, and the documents it is surest of
-join the other view's training rows. Both are then calibrated on labelled documents that neither has seen, and the calibrated views are
-combined into one score for every document. Only bounded samples are gathered for the fit; scoring reads every whole text once.
+Each view has its own logistic regression. In every round each view scores all unlabelled documents, whatever their number, and the documents it is
+surest of, by a threshold over all of them, join the other view's training rows. Both are then calibrated on labelled documents that neither has
+seen, and the calibrated views are combined into one score for every document. Only rows that enter a fit are bounded: labelled ones by a hash of the
+id, and of the sure ones a weighted sample in which every language and source that has any takes part.
 """
 
 from __future__ import annotations
@@ -20,8 +21,13 @@ from pyspark.sql import types as T
 from .session import checkpointed
 from .words import SPACE, Texts, mix, per_text, slices
 
-#: Bounds of the fit: labelled and unlabelled documents, chosen by a hash of the id. A row of features takes about 2.5 KB.
-LABELLED, UNLABELLED = 8_000, 8_000
+#: Bounds of a fit: labelled documents, and sure documents that one view gives to the other in a round. A row of features takes about 2.5 KB.
+LABELLED, GIVEN = 8_000, 4_000
+#: Rounds, the share of all unlabelled documents that a round adds, the logit from which a view is sure (19 to 1), and the weight of given documents
+#: against labelled ones: of one document, and at most of all of them together, so that the balance is the same at every size.
+ROUNDS, SHARE, SURE, WEIGHT = 3, 0.1, 3.0, 0.3
+#: Steps of a logit by which thresholds are found.
+STEPS = 100
 WORDS, LANGS, SOURCES = 512, 8, 32
 SHAPES = 6
 
@@ -132,34 +138,21 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), *packed], names=_VIEWS.names)
 
 
-def co_train(views: tuple[np.ndarray, np.ndarray], label: np.ndarray, held: np.ndarray, rounds: int = 3, share: float = 0.1) -> dict:
-    """Models of both views and their combination. label: 1, 0, or -1 for unlabelled rows; held: labelled rows kept for calibration."""
-    train, pool = np.flatnonzero((label >= 0) & ~held), label < 0
-    positive = float(np.clip(label[train].mean(), 0.02, 0.98))
-    rows = [train, train]
-    marks = [label[train], label[train]]
-    models = [Logit().fit(v[r], m) for v, r, m in zip(views, rows, marks, strict=True)]
-    given = [np.zeros(len(label), bool), np.zeros(len(label), bool)]
-    for _ in range(rounds):
-        for me in (0, 1):
-            other = 1 - me
-            free = np.flatnonzero(pool & ~given[other])
-            if not len(free):
-                continue
-            s = models[me].logit(views[me][free])
-            most = max(1, int(share * pool.sum()))
-            up, down = np.argsort(-s, kind="stable")[: max(1, int(most * positive))], np.argsort(s, kind="stable")[: max(1, int(most * (1 - positive)))]
-            up, down = up[s[up] > 3], down[s[down] < -3]  # confident: 19 to 1
-            new = np.concatenate([free[up], free[down]])
-            given[other][new] = True
-            rows[other] = np.concatenate([rows[other], new])
-            marks[other] = np.concatenate([marks[other], np.ones(len(up)), np.zeros(len(down))])
-        models = [Logit().fit(v[r], m, np.where(np.arange(len(r)) < len(train), 1.0, 0.3)) for v, r, m in zip(views, rows, marks, strict=True)]
-    kept = np.flatnonzero(held & (label >= 0))
-    both = np.column_stack([m.logit(v[kept]) for m, v in zip(models, views, strict=True)])
+def trained(views: tuple[np.ndarray, np.ndarray], label: np.ndarray, held: np.ndarray, given: tuple[tuple | None, tuple | None] = (None, None), last: bool = True) -> dict:
+    """Models of both views and, after the last round, their combination. held: labelled rows kept for calibration; given: by view, (features, labels, weights) of documents that the other view is sure of."""
+    train = np.flatnonzero(~held)
+    models = []
+    for v, more in zip(views, given, strict=True):
+        x, y, weight = v[train], label[train], np.ones(len(train))
+        if more is not None and len(more[1]):
+            w = more[2] * WEIGHT * min(1.0, len(train) / more[2].sum())
+            x, y, weight = np.concatenate([x, more[0]]), np.concatenate([y, more[1]]), np.concatenate([weight, w])
+        models.append(Logit().fit(x, y, weight))
     scales, shifts = [1.0, 1.0], [0.0, 0.0]
     joint = np.array([0.5, 0.5, 0.0])
-    if len(kept) >= 20 and 0 < label[kept].sum() < len(kept):
+    kept = np.flatnonzero(held)
+    if last and len(kept) >= 20 and 0 < label[kept].sum() < len(kept):
+        both = np.column_stack([m.logit(v[kept]) for m, v in zip(models, views, strict=True)])
         for k in (0, 1):
             one = Logit().fit(both[:, k : k + 1].astype(np.float32), label[kept], ridge=1e-2)
             scales[k], shifts[k] = float(one.w[0] / one.scale[0]), float(one.b - one.w[0] * one.mean[0] / one.scale[0])
@@ -167,49 +160,116 @@ def co_train(views: tuple[np.ndarray, np.ndarray], label: np.ndarray, held: np.n
         one = Logit().fit(calibrated.astype(np.float32), label[kept], ridge=1e-2)
         slope = one.w / one.scale
         joint = np.array([slope[0], slope[1], one.b - float((slope * one.mean).sum())])
-    out = {"scales": np.array(scales), "shifts": np.array(shifts), "joint": joint}
+    out = {"scales": np.array(scales), "shifts": np.array(shifts), "joint": joint, "positive": np.array(np.clip(label[train].mean(), 0.02, 0.98))}
     for k, m in enumerate(models):
         out |= {f"w{k}": m.w, f"b{k}": np.array([m.b]), f"mean{k}": m.mean, f"scale{k}": m.scale}
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled: int = UNLABELLED) -> dict | None:
-    """The models, from at most about `labelled` labelled and `unlabelled` other documents; None if the labels have no two kinds.
+def _logit(model: dict, k: int, x: np.ndarray) -> np.ndarray:
+    return np.clip(((x - model[f"mean{k}"]) / model[f"scale{k}"]) @ model[f"w{k}"] + model[f"b{k}"][0], -15, 15)
 
-    labels: doc_id and quality (1 good, 0 bad); null ids and labels are left out, and of several labels of one id the smallest counts.
+
+def _sure(rest: DataFrame, model: dict) -> DataFrame:
+    """(key, stratum, step0, step1) for each row of rest: the logits of both views in whole steps away from zero, and the language and source as the model tells them apart."""
+    shared = rest.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in batches:
+            for lo, hi, a, b in _views(batch, 2):
+                stratum = np.argmax(b[:, :LANGS], axis=1) * SOURCES + np.argmax(b[:, LANGS : LANGS + SOURCES], axis=1)
+                steps = [np.trunc(_logit(own, k, x) * STEPS).astype(np.int32) for k, x in enumerate((a, b))]
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(lo, hi - lo), pa.array(stratum.astype(np.int32)), *map(pa.array, steps)], names=["key", "stratum", "step0", "step1"])
+
+    return rest.mapInArrow(run, "key long, stratum int, step0 int, step1 int")
+
+
+def thresholds(counts: dict[int, int], up: int, down: int) -> tuple[int, int]:
+    """The steps from which on up and down to which documents are sure: at least SURE, and as few steps as hold `up` and `down` documents; equal ones all come."""
+    out = []
+    for sign, most in ((1, up), (-1, down)):
+        found, edge = 0, 0
+        for step in sorted((s for s in counts if s * sign > SURE * STEPS), key=lambda s: -s * sign):
+            if found >= most:
+                break
+            found, edge = found + counts[step], step
+        out.append(edge if edge else sign * (16 * STEPS))
+    return out[0], out[1]
+
+
+def exchange(scores: DataFrame, positive: float, rounds: int, most: int) -> DataFrame:
+    """(key, taught, label, weight): the documents that one view gives to the view `taught`, about `most` a view of all that are sure.
+
+    scores: what _sure returns for all unlabelled documents. Half of the sample is spread evenly over labels, languages and sources, half follows their
+    numbers; the weight of a row is the number of documents that it stands for.
     """
-    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"))
-    n = known.count()
-    m = docs.count()
-    unit = 1 << 20
-    draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(3)), F.lit(unit))
-    part = lambda most, there: int(min(1.0, most / max(1, there)) * unit)
-    chosen = F.broadcast(known.where(draw < part(labelled, n)).select(F.col("doc_id").alias("id"), "label"))
-    rows = docs.where("doc_id is not null").select("doc_id", *_INPUT).join(chosen, F.col("doc_id") == F.col("id"), "left")
-    rows = rows.where(F.col("label").isNotNull() | (draw < part(unlabelled, m)))
-    sample = rows.select(F.coalesce("label", F.lit(-1)).alias("label"), F.xxhash64(F.col("doc_id"), F.lit(5)).alias("key"), *_INPUT)
+    counts = scores.select(F.explode(F.array(*(F.struct(F.lit(k).alias("view"), F.col(f"step{k}").alias("step")) for k in (0, 1)))).alias("s")).groupBy("s.view", "s.step").count().collect()  # 6002 rows at most
+    n = sum(r["count"] for r in counts if r["view"] == 0)
+    share = SHARE * rounds * n
+    cut = [thresholds({r["step"]: r["count"] for r in counts if r["view"] == k}, max(1, int(share * positive)), max(1, int(share * (1 - positive)))) for k in (0, 1)]
+    marks = [F.when(F.col(f"step{k}") >= cut[k][0], 1).when(F.col(f"step{k}") <= cut[k][1], 0) for k in (0, 1)]
+    sure = scores.select("key", "stratum", F.explode(F.array(*(F.struct(F.lit(1 - k).alias("taught"), marks[k].alias("label")) for k in (0, 1)))).alias("s")).select("key", "stratum", "s.taught", "s.label").where("label is not null")
+    sizes = sure.groupBy("taught", "label", "stratum").agg(F.count("*").alias("n"))  # 1024 rows at most
+    totals = sizes.groupBy("taught").agg(F.sum("n").alias("all"), F.count("*").alias("strata"))
+    rates = sizes.join(totals, "taught").select("taught", "label", "stratum", F.least(F.lit(1.0), most / 2 / F.col("strata") / F.col("n") + most / 2 / F.col("all")).alias("rate"))
+    unit = 1 << 30
+    drawn = sure.join(F.broadcast(rates), ["taught", "label", "stratum"]).where(F.pmod(F.xxhash64("key", F.lit(7)), F.lit(unit)) < F.col("rate") * unit)
+    # repeated rows are drawn together: one stands for all
+    return drawn.groupBy("key", "taught", "label").agg(F.sum(1 / F.col("rate")).alias("weight"))
+
+
+def _fitted(rows: DataFrame, last: bool) -> dict | None:
+    """The models of labelled rows (taught -1) and given ones, in one group of bounded size."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         order = np.lexsort((pdf["content"].to_numpy(), pdf["key"].to_numpy()))
-        label = pdf["label"].to_numpy()[order]
-        a, b = (np.frombuffer(b"".join(pdf[c].to_numpy()[order]), np.float32).reshape(len(pdf), -1) for c in ("content", "metadata"))
-        held = (label >= 0) & (pdf["key"].to_numpy()[order] % 4 == 0)
-        train = label[(label >= 0) & ~held]
+        label, taught, weight, key = (pdf[c].to_numpy()[order] for c in ("label", "taught", "weight", "key"))
+        views = tuple(np.frombuffer(b"".join(pdf[c].to_numpy()[order]), np.float32).reshape(len(pdf), -1) for c in ("content", "metadata"))
+        known = taught < 0
+        held = key[known] % 4 == 0
+        train = label[known][~held]
         if not len(train) or train.min() == train.max():
             return pd.DataFrame({"model": pd.Series([], dtype=object)})
+        more = tuple((v[taught == j], label[taught == j], weight[taught == j]) for j, v in enumerate(views))
         out = io.BytesIO()
-        np.savez(out, **co_train((a, b), label, held))
+        np.savez(out, **trained(tuple(v[known] for v in views), label[known], held, more, last))
         return pd.DataFrame({"model": [out.getvalue()]})
 
-    # one group of bounded size
-    found = checkpointed(sample.mapInArrow(_sampled, _VIEWS)).groupBy().applyInPandas(run, "model binary").first()
+    found = rows.groupBy().applyInPandas(run, "model binary").first()
     return dict(np.load(io.BytesIO(found["model"]))) if found else None
 
 
+def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, given: int = GIVEN) -> dict | None:
+    """The models, from at most about `labelled` labelled documents and all others, of which about `given` enter the fit of a view; None if the labels have no two kinds.
+
+    labels: doc_id and quality (1 good, 0 bad); null ids and labels are left out, and of several labels of one id the smallest counts.
+    """
+    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"))
+    n = known.count()
+    unit = 1 << 20
+    draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(3)), F.lit(unit))
+    chosen = F.broadcast(known.where(draw < int(min(1.0, labelled / max(1, n)) * unit)).select(F.col("doc_id").alias("id"), "label"))
+    joined = docs.select("doc_id", *_INPUT).join(chosen, F.col("doc_id") == F.col("id"), "left")
+    mine = joined.where("label is not null").select("label", F.xxhash64(F.col("doc_id"), F.lit(5)).alias("key"), *_INPUT)
+    rest = joined.where("label is null").select(F.lit(-1).alias("label"), F.xxhash64("doc_id", *_INPUT, F.lit(5)).alias("key"), *_INPUT)
+    own = checkpointed(mine.mapInArrow(_sampled, _VIEWS).select("*", F.lit(-1).alias("taught"), F.lit(1.0).alias("weight")))
+    model, rows = None, own
+    for k in range(ROUNDS + 1):
+        model = _fitted(rows, k == ROUNDS)
+        if model is None:
+            return None
+        if k < ROUNDS:
+            drawn = checkpointed(exchange(checkpointed(_sure(rest, model)), float(model["positive"]), k + 1, given))
+            keys = F.broadcast(drawn.select("key").distinct())
+            features = rest.join(keys, "key", "left_semi").select("label", "key", *_INPUT).dropDuplicates(["key"]).mapInArrow(_sampled, _VIEWS)
+            rows = checkpointed(own.unionByName(features.drop("label").join(F.broadcast(drawn), "key")))
+    return model
+
+
 def _score(model: dict, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
     def logit(k, x):
-        own = np.clip(((x - model[f"mean{k}"]) / model[f"scale{k}"]) @ model[f"w{k}"] + model[f"b{k}"][0], -15, 15)
-        return own * model["scales"][k] + model["shifts"][k]
+        return _logit(model, k, x) * model["scales"][k] + model["shifts"][k]
 
     s, t = logit(0, a), logit(1, b)
     p = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
