@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from fractions import Fraction
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -41,5 +43,24 @@ def rrf_units(rank: Column) -> Column:
     return F.coalesce(F.element_at(table, rank.cast("int")), F.lit(0).cast("decimal(38,0)"))
 
 
+#: Digits of the exact sum: sums of different value differ in them as long as the product of their denominators is below 10**RRF_DIGITS.
+RRF_DIGITS = 80
+
+
+@F.udf(returnType=T.StructType([T.StructField("units", T.StringType()), T.StructField("exact", T.StringType())]))
+def _rrf_sum(ranks):
+    own = [RRF_BASE + r for r in ranks if r is not None and r > 0]
+    total = sum((Fraction(1, d) for d in own), Fraction(0))
+    return str(sum(RRF_LCM // d for d in own)), str(total.numerator * 10**RRF_DIGITS // total.denominator).zfill(RRF_DIGITS + 6)
+
+
+def rrf_sum(ranks: Column) -> Column:
+    """struct(units, exact) of an array of ranks of any size: 1 / (60 + rank) in whole units of 1 / RRF_LCM, summed, and the digits of the sum as one fraction.
+
+    Strings of digits: equal sums have equal `exact`, which sorts as the sums do. Null ranks count for nothing.
+    """
+    return _rrf_sum(F.transform(ranks, lambda r: r.cast("long")))
+
+
 def log_size(n: Column, most: int = 128) -> Column:
     return F.log1p(n.cast("double")) / math.log1p(most)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchloom.functions import text as tx
-from matchloom.functions.numbers import RRF_RANKS, rrf_units
+from matchloom.functions.numbers import rrf_sum
 
 
 def postings(docs: DataFrame, key: str, text: str, terms=tx.tokens) -> DataFrame:
@@ -106,18 +106,27 @@ def phrase_hits(phrases: DataFrame, docs: DataFrame, phrase_key: str, doc_key: s
 
 
 def fuse(first: DataFrame, second: DataFrame, by: str, key: str, families: DataFrame | None = None, limit: int = 40) -> DataFrame:
-    """(by, key, rank_first, rank_second, rrf_units, rrf, rank): reciprocal-rank fusion of two lists (by, key, rank), exact in ties.
+    """(by, key, rank_first, rank_second, rrf_units, rank): reciprocal-rank fusion of two lists (by, key, rank), exact in ties at every rank.
 
-    families: (key, family); the kept list is the first `limit`, and every later row whose family is already kept.
+    families: (key, family); the kept list is the first `limit`, and every further member of a family that is kept: rows of the lists, and members
+    that are in neither list, which have no ranks and 0 units and come last.
     """
     a, b = first.select(by, key, F.col("rank").alias("rank_first")), second.select(by, key, F.col("rank").alias("rank_second"))
-    both = a.join(b, [by, key], "full").withColumn("rrf_units", (rrf_units(F.col("rank_first")) + rrf_units(F.col("rank_second"))).cast("decimal(38,0)"))
-    out = both.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("rrf_units"), key)))
+    summed = a.join(b, [by, key], "full").withColumn("rrf__", rrf_sum(F.array("rank_first", "rank_second")))
+    both = summed.select(by, key, "rank_first", "rank_second", F.col("rrf__.units").cast("decimal(38,0)").alias("rrf_units"), F.col("rrf__.exact").alias("exact__"))
+    place = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("exact__"), key))
+    out = both.withColumn("rank", place)
     if families is None:
-        return out.where(F.col("rank") <= limit)
+        return out.where(F.col("rank") <= limit).drop("exact__")
     out = out.join(families, key, "left")
-    kept = out.where(F.col("rank") <= limit).select(by, "family").distinct().withColumn("kept", F.lit(True))
-    return out.join(kept, [by, "family"], "left").where((F.col("rank") <= limit) | F.coalesce("kept", F.lit(False))).drop("kept")
+    kept = out.where(F.col("rank") <= limit).select(by, "family").where("family is not null").distinct().withColumn("kept", F.lit(True))
+    missing = kept.join(families, "family").select(by, key, "family").distinct().join(both.select(by, key), [by, key], "left_anti")
+    added = missing.withColumns({"rrf_units": F.lit(0).cast("decimal(38,0)"), "exact__": F.lit("")})
+    found = out.join(kept, [by, "family"], "left").where((F.col("rank") <= limit) | F.coalesce("kept", F.lit(False))).drop("kept")
+    # members outside the lists come after all that the lists hold
+    size = out.groupBy(by).agg(F.max("rank").alias("size__"))
+    last = added.join(size, by).withColumn("rank", (F.col("size__") + F.row_number().over(Window.partitionBy(by).orderBy(key))).cast("int")).drop("size__")
+    return found.unionByName(last, allowMissingColumns=True).drop("exact__")
 
 
 def vote(ranks: DataFrame, by: str, product: str) -> DataFrame:
@@ -126,8 +135,7 @@ def vote(ranks: DataFrame, by: str, product: str) -> DataFrame:
     A channel counts a product once, at the dense rank of its best card among products.
     """
     best = ranks.groupBy(by, "channel", product).agg(F.min("rank").alias("first"))
-    dense = best.withColumn("r", F.row_number().over(Window.partitionBy(by, "channel").orderBy("first", product))).where(F.col("r") <= RRF_RANKS)
-    votes = dense.groupBy(by, product).agg(F.sum(rrf_units(F.col("r"))).cast("decimal(38,0)").alias("units"), F.countDistinct("channel").alias("support"))
-    return votes.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("units"), product)))
-
-
+    dense = best.withColumn("r", F.row_number().over(Window.partitionBy(by, "channel").orderBy("first", product)))
+    votes = dense.groupBy(by, product).agg(F.collect_list("r").alias("rs"), F.countDistinct("channel").alias("support")).withColumn("rrf__", rrf_sum(F.col("rs")))
+    placed = votes.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("rrf__.exact"), product)))
+    return placed.select(by, product, F.col("rrf__.units").cast("decimal(38,0)").alias("units"), "support", "rank")
