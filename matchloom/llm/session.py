@@ -7,18 +7,37 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, written to the shared folder of spark.checkpoint.dir.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Where the session names none, a temporary one if all runs on one machine; else it raises."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not (spark.sparkContext.master or "").startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="checkpoints-")
 
-    Where the session names no such folder (tests on one machine), a temporary one is set.
-    """
-    spark: SparkSession = df.sparkSession
-    sc = spark.sparkContext
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df with its lineage cut, written to the shared folder."""
+    sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """df checkpointed in partitions by key, as many as the session shuffles to; joins and groups by that key do not shuffle it again.
+
+    A checkpoint of an adaptive plan forgets how its rows are dealt, so that adaptive execution is off while this one is written.
+    """
+    spark = df.sparkSession
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return checkpointed(df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), key))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
 def tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -3,11 +3,13 @@
 Every window of `window` words whose words also start in a document with a smaller id goes. Windows are not shuffled at every word: with the
 difference cover {1, 2, 4} of the period 7, any two equal runs of 13 words have an offset at which both stand at cover
 positions of their own documents, and there they share a 7-word anchor. So anchors at cover positions are compared first, in 3 of 7 places; only
-windows that hold an anchor found in two rows are extended to all 13 words and compared with a hash of 96 bits and a bucket.
+windows that hold an anchor found in two rows are extended to all 13 words and compared by 96 bits: of two run hashes that have different bases and
+rest on two independent hashes of every word (of its bytes, eight at a time, none of them a polynomial).
 
-Documents travel in blocks of a few megabytes, written once to the shared checkpoint folder. A block sends, for each bucket
-of hash values, its distinct values (a passage common to many documents is thus one value a block), and gets back one bit for each: a reply is an
-eighth of a byte, and no text is shuffled.
+Documents travel in blocks of a few megabytes, dealt by block and written once to the shared checkpoint folder; joins with the blocks' answers keep that
+dealing, so the texts are shuffled once. A block sends, for each bucket of hash values, its distinct values in order, as differences (a passage
+common to many documents is thus one value a block), and gets back one bit for each. The number of buckets follows from the bytes of all texts, without a
+bound; a block's message to a bucket has a fixed part of about 100 bytes, which outweighs its values beyond about a terabyte of text: larger blocks move that point.
 """
 
 from __future__ import annotations
@@ -23,13 +25,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .session import checkpointed
-from .words import SPACE, Texts, column_bytes, cover, mix, per_text, runs
+from .session import checkpointed, dealt
+from .words import RUN_BASE_2, SPACE, Texts, column_bytes, cover, per_text, runs
 
 #: A perfect difference set: every difference modulo PERIOD is one of two of its members.
 PERIOD, COVER = 7, (1, 2, 4)
-BLOCK_BYTES, BUCKET_VALUES = 4 << 20, 400_000
-_LOW48 = np.uint64((1 << 48) - 1)
+BLOCK_BYTES, BUCKET_VALUES = 6 << 20, 600_000
+#: Bits of an anchor's hash that are not sent: anchors only propose, and 48 bits let few strangers in.
+ANCHOR_CUT = np.uint64(16)
+SECOND = 0x2545F491
+_LOW32, _32 = np.uint64((1 << 32) - 1), np.uint64(32)
 _CODEC = "zstd"
 
 
@@ -46,6 +51,14 @@ def _unplanes(packed: bytes, n: int, width: int) -> np.ndarray:
     return out.view("<u8").reshape(-1)
 
 
+def _gaps(sorted_values: np.ndarray) -> bytes:
+    return _planes(np.diff(sorted_values, prepend=np.uint64(0)), 8)
+
+
+def _ungaps(packed: bytes, n: int) -> np.ndarray:
+    return np.cumsum(_unplanes(packed, n, 8), dtype=np.uint64)
+
+
 def blocks_of(docs: DataFrame, columns: list[str], block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(block_id, bytes, payload): rows of docs in Arrow form, compressed; a row is never cut."""
     schema = T.StructType([T.StructField("block_id", T.LongType()), T.StructField("bytes", T.LongType()), T.StructField("payload", T.BinaryType())])
@@ -83,15 +96,14 @@ class Block:
         self.room = self.texts.room()
         self.owner = self.texts.owner()
 
-    def anchors(self, n_buckets: int) -> None:
-        """Distinct anchors by (bucket, value): self.anchor, whether two rows of the block hold it, and the word of each occurrence."""
+    def anchors(self) -> None:
+        """Distinct anchors in order: self.anchor, whether two rows of the block hold it, and the word of each occurrence."""
         k = self.window - PERIOD + 1
         own = runs(self.h, k)
         place = (np.arange(len(own)) - self.texts.first[self.owner[: len(own)]]) % PERIOD
         long = self.texts.n_words[self.owner] >= self.window
         at = np.flatnonzero(np.isin(place, COVER) & (self.room[: len(own)] >= k) & long[: len(own)] & self.known[self.owner[: len(own)]])
-        value = own[at]
-        key = ((value >> np.uint64(48)) % np.uint64(n_buckets)) << np.uint64(48) | (value & _LOW48)
+        key = own[at] >> ANCHOR_CUT
         order = np.argsort(key, kind="stable")
         self.anchor_word = at[order]
         key = key[order]
@@ -103,8 +115,8 @@ class Block:
         self.anchor_many = np.zeros(len(self.anchor), bool)
         np.logical_or.at(self.anchor_many, self.anchor_of, self.owner[self.anchor_word] != first[self.anchor_of])
 
-    def extend(self, shared: np.ndarray, n_buckets: int) -> None:
-        """Distinct windows around shared anchors: self.win (bucket and 48 bits), self.win2 (48 more), the least id, and each occurrence."""
+    def extend(self, shared: np.ndarray) -> None:
+        """Distinct windows around shared anchors: self.win (64 bits), self.win2 (32 more, of other word hashes), the least id, and each occurrence."""
         n, reach = len(self.h), self.window - (self.window - PERIOD + 1)
         edge = np.zeros(n + 1, np.int64)
         words = self.anchor_word[shared[self.anchor_of]]
@@ -112,12 +124,10 @@ class Block:
         np.add.at(edge, words + 1, -1)
         start = np.flatnonzero((np.cumsum(edge[:-1]) > 0) & (self.room >= self.window) & self.known[self.owner])
         if len(start):
-            a = runs(self.h, self.window)[start]
-            b = runs(self.h, self.window, 0x9FB21C651E98DF25, 0x2545F491)[start]
+            key = runs(self.h, self.window)[start]
+            b = runs(self.texts.hashes(SECOND), self.window, RUN_BASE_2)[start] & _LOW32
         else:
-            a = b = np.zeros(0, np.uint64)
-        key = ((a >> np.uint64(48)) % np.uint64(n_buckets)) << np.uint64(48) | (a & _LOW48)
-        b = mix(b) & _LOW48
+            key = b = np.zeros(0, np.uint64)
         order = np.lexsort((b, key))
         key, b, self.win_start = key[order], b[order], start[order]
         new = np.ones(len(key), bool)
@@ -134,11 +144,11 @@ class Block:
         return cover(self.win_start[gone], self.window, len(self.h))
 
 
-def _sent(keys: np.ndarray) -> list[tuple[int, int, int]]:
-    """(bucket, from, to) of sorted keys."""
-    bucket = (keys >> np.uint64(48)).astype(np.int64)
+def _sent(values: np.ndarray, bits: int, n_buckets: int) -> list[tuple[int, int, int]]:
+    """(bucket, from, to) of sorted values of so many bits; buckets are equal ranges of the values."""
+    bucket = ((values >> np.uint64(bits - 32)) * np.uint64(n_buckets) >> _32).astype(np.int64)
     cut = np.flatnonzero(np.diff(bucket)) + 1
-    edges = [0, *cut.tolist(), len(keys)]
+    edges = [0, *cut.tolist(), len(values)]
     return [(int(bucket[a]), a, b) for a, b in zip(edges[:-1], edges[1:], strict=True) if b > a]
 
 
@@ -165,7 +175,7 @@ def _columns(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _shared_anchors(group: pa.Table) -> pa.Table:
     """Marks of values that two rows hold, in one block or in two."""
     blocks, buckets, sizes = _columns(group)
-    value = np.concatenate([_unplanes(a, n, 6) for a, n in zip(group.column("a").to_pylist(), sizes.tolist(), strict=True)])
+    value = np.concatenate([_ungaps(a, n) for a, n in zip(group.column("a").to_pylist(), sizes.tolist(), strict=True)])
     many = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), count=n).astype(bool) for b, n in zip(group.column("b").to_pylist(), sizes.tolist(), strict=True)])
     order = np.argsort(value, kind="stable")
     value = value[order]
@@ -180,7 +190,8 @@ def _shared_anchors(group: pa.Table) -> pa.Table:
 def _smaller_elsewhere(group: pa.Table) -> pa.Table:
     """Marks of windows whose least id is larger than the least of all."""
     blocks, buckets, sizes = _columns(group)
-    a, b, c = (np.concatenate([_unplanes(x, n, w) for x, n in zip(group.column(k).to_pylist(), sizes.tolist(), strict=True)]) for k, w in (("a", 6), ("b", 6), ("c", 8)))
+    a = np.concatenate([_ungaps(x, n) for x, n in zip(group.column("a").to_pylist(), sizes.tolist(), strict=True)])
+    b, c = (np.concatenate([_unplanes(x, n, w) for x, n in zip(group.column(k).to_pylist(), sizes.tolist(), strict=True)]) for k, w in (("b", 4), ("c", 8)))
     least = c.view(np.int64)
     order = np.lexsort((least, b, a))
     new = np.ones(len(order), bool)
@@ -191,11 +202,11 @@ def _smaller_elsewhere(group: pa.Table) -> pa.Table:
     return _replies(blocks, buckets, sizes, marks)
 
 
-def _marked(keys: np.ndarray, replies: list | None) -> np.ndarray:
-    """The bits of the replies, in the order of the keys that were sent."""
-    out = np.zeros(len(keys), bool)
+def _marked(sent: list[tuple[int, int, int]], n: int, replies: list | None) -> np.ndarray:
+    """The bits of the replies, in the order of the n values that were sent."""
+    out = np.zeros(n, bool)
     bits = {r["bucket"]: r["bits"] for r in replies or ()}
-    for bucket, a, b in _sent(keys):
+    for bucket, a, b in sent:
         if bucket in bits:
             out[a:b] = np.unpackbits(np.frombuffer(bits[bucket], np.uint8), count=b - a).astype(bool)
     return out
@@ -213,16 +224,21 @@ def dedup(docs: DataFrame, keep: list[str], finish: Callable[[Block, np.ndarray]
     """
     if window < PERIOD:
         raise ValueError(f"windows need at least {PERIOD} words")
-    blocks = checkpointed(blocks_of(docs, keep, block_bytes))
+    blocks = dealt(blocks_of(docs, keep, block_bytes), "block_id")
     total = blocks.agg(F.sum("bytes")).first()[0] or 0
-    n_buckets = int(min(1 << 16, max(16, total // 14 // BUCKET_VALUES * 4)))
+    # a text has an anchor for about 14 of its bytes
+    n_buckets = max(64, total // 14 // BUCKET_VALUES)
+
+    def opened(payload: bytes) -> tuple[Block, list]:
+        block = Block(payload, window, id_column)
+        block.anchors()
+        return block, _sent(block.anchor, 48, n_buckets)
 
     def send_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block_id, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                block = Block(payload, window, id_column)
-                block.anchors(n_buckets)
-                if rows := [(k, block_id, b - a, _planes(block.anchor[a:b], 6), np.packbits(block.anchor_many[a:b]).tobytes(), None) for k, a, b in _sent(block.anchor)]:
+                block, sent = opened(payload)
+                if rows := [(k, block_id, b - a, _gaps(block.anchor[a:b]), np.packbits(block.anchor_many[a:b]).tobytes(), None) for k, a, b in sent]:
                     yield _entries(rows)
 
     shared = blocks.select("block_id", "payload").mapInArrow(send_anchors, _ENTRY).groupBy("bucket").applyInArrow(_shared_anchors, _REPLY)
@@ -231,10 +247,9 @@ def dedup(docs: DataFrame, keep: list[str], finish: Callable[[Block, np.ndarray]
     def send_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block_id, payload, replies in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                block = Block(payload, window, id_column)
-                block.anchors(n_buckets)
-                block.extend(_marked(block.anchor, replies), n_buckets)
-                if rows := [(k, block_id, b - a, _planes(block.win[a:b], 6), _planes(block.win2[a:b], 6), _planes(block.win_least[a:b], 8)) for k, a, b in _sent(block.win)]:
+                block, sent = opened(payload)
+                block.extend(_marked(sent, len(block.anchor), replies))
+                if rows := [(k, block_id, b - a, _gaps(block.win[a:b]), _planes(block.win2[a:b], 4), _planes(block.win_least[a:b], 8)) for k, a, b in _sent(block.win, 64, n_buckets)]:
                     yield _entries(rows)
 
     smaller = blocks.join(shared, "block_id").select("block_id", "payload", "anchors").mapInArrow(send_windows, _ENTRY).groupBy("bucket").applyInArrow(_smaller_elsewhere, _REPLY)
@@ -242,12 +257,12 @@ def dedup(docs: DataFrame, keep: list[str], finish: Callable[[Block, np.ndarray]
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for payload, anchors, windows in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                block = Block(payload, window, id_column)
                 if anchors:
-                    block.anchors(n_buckets)
-                    block.extend(_marked(block.anchor, anchors), n_buckets)
-                    gone = block.removed(_marked(block.win, windows))
+                    block, sent = opened(payload)
+                    block.extend(_marked(sent, len(block.anchor), anchors))
+                    gone = block.removed(_marked(_sent(block.win, 64, n_buckets), len(block.win), windows))
                 else:
+                    block = Block(payload, window, id_column)
                     gone = np.zeros(len(block.h), bool)
                 yield finish(block, gone)
 
@@ -267,7 +282,7 @@ def kept_bytes(block: Block, gone: np.ndarray) -> tuple[np.ndarray, list[bytes]]
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """One row per row of docs: doc_id, n_words, n_removed, kept_sha256."""
+    """One row per row of docs: doc_id, n_words, n_removed, kept_sha256. Null and empty texts, null and repeated ids, and empty tables are as in dedup; other columns play no part."""
     schema = T.StructType([docs.schema["doc_id"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())])
 
     def finish(block: Block, gone: np.ndarray) -> pa.RecordBatch:

@@ -51,6 +51,19 @@ def test_word_runs_over_part_bounds(monkeypatch):
     assert len(set(whole[0].tolist())) == len(set(whole[2]))
 
 
+def test_words_that_collide_in_polynomial_hashes_differ():
+    import pyarrow as pa
+
+    a, b = b"a", b"b"
+    for _ in range(11):  # Thue-Morse words: equal modulo 2**64 under every base
+        a, b = a + b, b + a
+    for column in ([a + b" " + b], [a[:200] + b" " + b[:200]], [bytes([97 + i % 7]) * i + b" " + bytes([97 + i % 7]) * (i + 1) for i in range(1, 300)]):
+        for _, _, t in words.slices(pa.array(column, pa.binary()), words.SPACE, False):
+            for salt in (0, substring.SECOND):
+                assert len(set(t.hashes(salt).tolist())) == len({t.word(i) for i in range(len(t.starts))})
+            assert not set(t.hashes().tolist()) & set(t.hashes(substring.SECOND).tolist())
+
+
 # 1
 
 
@@ -334,6 +347,16 @@ def test_substrings_against_plain_search(docs, none, block_bytes, monkeypatch):
     assert substring.report(none).count() == 0
 
 
+def test_passages_of_colliding_words_are_apart(spark):
+    a, b = "a", "b"
+    for _ in range(10):
+        a, b = a + b, b + a
+    tail = " ".join(f"t{i}" for i in range(12))
+    rows = [(1, f"{a} {tail}"), (2, f"{b} {tail}"), (3, f"{a} {tail}")]
+    got = {r["doc_id"]: r["n_removed"] for r in substring.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 0, 3: 13}
+
+
 def test_cleaned_texts_stay_as_they_are_without_repeats(docs):
     keep = ["doc_id", "text", "lang", "source", "n_chars"]
     got = {r["doc_id"]: r for r in substring.cleaned(docs, keep).collect()}
