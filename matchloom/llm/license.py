@@ -3,6 +3,11 @@
 Only DataFrame expressions. A text is lower-cased, loses its copyright lines, has every run of characters other than
 letters and digits made one gap, and has equivalent spellings made one; the SHA-256 of what is left is joined to the
 digests of the known texts. The same is done with every line of a text, since a notice is often one line.
+
+A copyright line has at most LONGEST_STATEMENT characters, so that a licence written on one line stays, and either
+- begins with the word "copyright", followed by the word "c" or "by", by a word that begins with four digits, or by one of the signs © < [ before its next word,
+- begins with "(c)" in brackets and then a word that begins with four digits or is "copyright" (a lettered clause "(c) you may" stays),
+- has the sign © before its first word, or has no words but "all rights reserved".
 """
 
 from __future__ import annotations
@@ -15,13 +20,20 @@ SPELLINGS = [
     ("acknowledgement", "acknowledgment"), ("analogue", "analog"), ("analyse", "analyze"), ("artefact", "artifact"), ("authorisation", "authorization"),
     ("authorised", "authorized"), ("cancelled", "canceled"), ("catalogue", "catalog"), ("centre", "center"), ("copyright owner", "copyright holder"),
     ("copyright owners", "copyright holders"), ("favour", "favor"), ("favourite", "favorite"), ("fulfil", "fulfill"), ("fulfilment", "fulfillment"), ("judgement", "judgment"),
-    ("labour", "labor"), ("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("merchantibility", "merchantability"), ("modelled", "modeled"),
+    ("https", "http"), ("labour", "labor"), ("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("merchantibility", "merchantability"), ("modelled", "modeled"),
     ("non commercial", "noncommercial"), ("offence", "offense"), ("organisation", "organization"), ("per cent", "percent"), ("practise", "practice"), ("programme", "program"),
     ("realise", "realize"), ("recognise", "recognize"), ("sub license", "sublicense"), ("utilisation", "utilization"), ("whilst", "while"), ("wilful", "willful"),
 ]
 
-#: A line that states a copyright: from its start, after signs, up to its end. In lower case.
-COPYRIGHT_LINE = r"(^|\n)[^\p{L}\p{N}\n]*(?:copyright[^\p{L}\p{N}\n]*(?:c[^\p{L}\p{N}]|by |[0-9]{4}|<|\[)|©|c\)|all rights reserved)[^\n]*"
+LONGEST_STATEMENT = 200
+_APART = r"[^\p{L}\p{N}\n]"
+#: A copyright line in lower case, by the rules above.
+COPYRIGHT_LINE = (
+    rf"(?md)^(?=[^\n]{{0,{LONGEST_STATEMENT}}}$){_APART}*(?:copyright{_APART}*(?:(?:c|by)(?:{_APART}[^\n]*)?|[0-9]{{4}}[^\n]*|[©<\[][^\n]*)"
+    rf"|\(c\){_APART}*(?:[0-9]{{4}}[^\n]*|copyright(?:{_APART}[^\n]*)?)|©[^\n]*|all{_APART}+rights{_APART}+reserved{_APART}*)$"
+)
+#: One of these is in every text that has a copyright line.
+SIGNS = ["copyright", "©", "(c)", "rights"]
 NOT_WORD = r"[^\p{L}\p{N}\n]+"
 BREAK = r" *\n[ \n]*"
 
@@ -50,21 +62,86 @@ _MIT = (
     "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
 )
 
-#: Known texts, whole licences and the usual one-line notices of those that are only referred to.
+_APACHE_HEADER = (
+    'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at '
+    "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "
+    '"AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'
+)
+_MPL_HEADER = (
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, "
+    "You can obtain one at https://mozilla.org/MPL/2.0/."
+)
+_UNLICENSE = (
+    "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, "
+    "either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. "
+    "In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. "
+    "We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of "
+    "relinquishment in perpetuity of all present and future rights to this software under copyright law. "
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR '
+    "PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, "
+    "OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_ZLIB = (
+    "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. "
+    "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: "
+    "1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product "
+    "documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. "
+    "3. This notice may not be removed or altered from any source distribution."
+)
+_BOOST = (
+    "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, "
+    "reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, "
+    "all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included "
+    "in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code "
+    'generated by a source language processor. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, '
+    "FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN "
+    "CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_MIT_0 = _MIT.replace(", subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software", "")
+
+
+def _gnu(name: str, version: str, warranty: str = "") -> str:
+    """The notice that the GNU licences ask for at the head of a file."""
+    return (
+        f"This {warranty or 'program'} is free software: you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation, either "
+        f"version {version} of the License, or (at your option) any later version. This {warranty or 'program'} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the "
+        f"implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} for more details. You should have received a copy of the GNU {name} "
+        f"along with this {warranty or 'program'}. If not, see <https://www.gnu.org/licenses/>."
+    )
+
+
+#: Known texts, whole licences, headers of files, and the usual one-line notices of those that are only referred to.
 KNOWN = [
     ("MIT", _MIT),
     ("MIT", "MIT License\n" + _MIT),
     ("MIT", "The MIT License (MIT)\n" + _MIT),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
+    ("MIT-0", _MIT_0),
+    ("MIT-0", "MIT No Attribution\n" + _MIT_0),
     ("ISC", _PERMISSION + ", provided that the above copyright notice and this permission notice appear in all copies.\n" + _ISC_WARRANTY),
     ("ISC", "ISC License\n" + _PERMISSION + ", provided that the above copyright notice and this permission notice appear in all copies.\n" + _ISC_WARRANTY),
     ("0BSD", _PERMISSION + ".\n" + _ISC_WARRANTY),
+    ("0BSD", "BSD Zero Clause License\n" + _PERMISSION + ".\n" + _ISC_WARRANTY),
     ("BSD-2-Clause", _BSD_TWO + _BSD_WARRANTY),
     ("BSD-2-Clause", "BSD 2-Clause License\n" + _BSD_TWO + _BSD_WARRANTY),
     ("BSD-3-Clause", _BSD_TWO + _BSD_THIRD + _BSD_WARRANTY),
     ("BSD-3-Clause", "BSD 3-Clause License\n" + _BSD_TWO + _BSD_THIRD + _BSD_WARRANTY),
+    ("Zlib", _ZLIB),
+    ("Zlib", "zlib License\n" + _ZLIB),
+    ("BSL-1.0", _BOOST),
+    ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003\n" + _BOOST),
+    ("Unlicense", _UNLICENSE),
+    ("Unlicense", _UNLICENSE + "\nFor more information, please refer to <https://unlicense.org/>"),
+    ("Unlicense", _UNLICENSE + "\nFor more information, please refer to <https://unlicense.org>"),
+    ("Apache-2.0", _APACHE_HEADER),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    ("MPL-2.0", _MPL_HEADER),
+    ("GPL-3.0-or-later", _gnu("General Public License", "3")),
+    ("GPL-2.0-or-later", _gnu("General Public License", "2")),
+    ("LGPL-3.0-or-later", _gnu("Lesser General Public License", "3")),
+    ("LGPL-3.0-or-later", _gnu("Lesser General Public License", "3", "library")),
+    ("AGPL-3.0-or-later", _gnu("Affero General Public License", "3")),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
@@ -72,15 +149,28 @@ KNOWN = [
 ]
 
 
+def _any_old(spellings: list[tuple[str, str]]) -> str:
+    """A pattern of all old spellings, by first letter."""
+    by: dict[str, list[str]] = {}
+    for old, _ in sorted(spellings):
+        by.setdefault(old[0], []).append(old[1:].replace(" ", "  "))
+    return " (?:" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in by.items()) + ") "
+
+
 def _respelt(t: Column, spellings: list[tuple[str, str]]) -> Column:
+    new_t = t
     for old, new in spellings:
-        t = F.replace(t, F.lit(f" {old.replace(' ', '  ')} "), F.lit(f" {new.replace(' ', '  ')} "))
-    return t
+        new_t = F.replace(new_t, F.lit(f" {old.replace(' ', '  ')} "), F.lit(f" {new.replace(' ', '  ')} "))
+    return F.when(t.rlike(_any_old(spellings)), new_t).otherwise(t)
 
 
 def canonical_lines(text: Column) -> Column:
     """The canonical form with line breaks: words with a space on either side, lines without words left out. Null stays null."""
-    t = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "\n")
+    lower = F.lower(text)
+    may = F.lit(False)
+    for sign in SIGNS:
+        may = may | lower.contains(sign)
+    t = F.when(may, F.regexp_replace(lower, COPYRIGHT_LINE, "")).otherwise(lower)
     t = F.regexp_replace(F.regexp_replace(t, NOT_WORD, "  "), BREAK, " \n ")
     return _respelt(F.concat(F.lit(" "), F.trim(t), F.lit(" ")), SPELLINGS)
 
@@ -100,9 +190,12 @@ def digest(text: Column) -> Column:
     return _digest(joined_lines(canonical_lines(text)))
 
 
-def known_digests(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
-    """Rows (digest, license_id) of known texts, one row a digest (the smallest id where two share a form)."""
-    rows = spark.createDataFrame(known or KNOWN, "license_id string, text string")
+def known_digests(spark: SparkSession, known: list[tuple[str, str]] | DataFrame | None = None) -> DataFrame:
+    """Rows (digest, license_id) of known texts, one row a digest (the smallest id where two share a form).
+
+    known: pairs, or a table (license_id, text) of any size, such as one of whole licences; by default KNOWN. Null and wordless texts are left out.
+    """
+    rows = known.select("license_id", "text") if isinstance(known, DataFrame) else spark.createDataFrame(known or KNOWN, "license_id string, text string")
     return rows.select(digest(F.col("text")).alias("digest"), "license_id").where("digest is not null").groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
@@ -133,28 +226,31 @@ def scan(docs: DataFrame, known: DataFrame, id_column: str = "doc_id", text_colu
     return texts.join(_sided(whole), "text_digest", "left").select(F.col("id").alias(id_column), "text_digest", "license_id", "line_licenses")
 
 
-def _sql_respelt(t: str, spellings: list[tuple[str, str]]) -> str:
-    for old, new in spellings:
-        t = f"replace({t}, ' {old.replace(' ', '  ')} ', ' {new.replace(' ', '  ')} ')"
-    return t
-
-
-def _sql_lines(x: str) -> str:
-    t = f"regexp_replace(regexp_replace(regexp_replace(lower({x}), '{COPYRIGHT_LINE}', chr(10), 'g'), '{NOT_WORD}', '  ', 'g'), '{BREAK}', ' ' || chr(10) || ' ', 'g')"
-    return _sql_respelt(f"(' ' || trim({t}, ' ') || ' ')", SPELLINGS)
-
-
-def _sql_joined(x: str) -> str:
-    return _sql_respelt(f"(' ' || trim(replace({x}, chr(10), ''), ' ') || ' ')", [s for s in SPELLINGS if " " in s[0]])
-
-
 def oracle(known: list[tuple[str, str]] | None = None) -> str:
+    """The same by lists of lines and words. The rule for copyright lines is spelt out on words and what stands between them."""
     values = ", ".join("('{}', '{}')".format(i, t.replace("'", "''")) for i, t in known or KNOWN)
+    word, sign = r"[\p{L}\p{N}]+", "©"
+    one = "CASE w " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in SPELLINGS if " " not in a) + " ELSE w END"
+
+    def two(x: str) -> str:
+        for a, b in SPELLINGS:
+            if " " in a:
+                x = f"replace({x}, ' {a.replace(' ', '  ')} ', ' {b.replace(' ', '  ')} ')"
+        return x
+
+    spelt = lambda ws: two(f"(' ' || array_to_string({ws}, '  ') || ' ')")
     return f"""
-WITH known AS (SELECT min(license_id) AS license_id, sha256({_sql_joined(_sql_lines("t"))}) AS digest FROM (VALUES {values}) k(license_id, t) GROUP BY 2),
-own AS (SELECT doc_id, {_sql_lines("coalesce(text, '')")} AS c FROM documents),
-lines AS (SELECT doc_id, unnest(string_split(c, chr(10))) AS line FROM own),
-hits AS (SELECT doc_id, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS line_licenses FROM lines JOIN known ON sha256(line) = digest GROUP BY doc_id),
-whole AS (SELECT doc_id, CASE WHEN length(trim(j, ' ')) > 0 THEN sha256(j) END AS text_digest FROM (SELECT doc_id, {_sql_joined("c")} AS j FROM own))
-SELECT doc_id, text_digest, license_id, coalesce(line_licenses, '') AS line_licenses
-FROM whole LEFT JOIN known ON text_digest = digest LEFT JOIN hits USING (doc_id)"""
+WITH texts AS (SELECT 'd' AS kind, row_number() OVER () AS id, doc_id, NULL AS license_id, coalesce(text, '') AS t FROM documents
+  UNION ALL SELECT 'k', row_number() OVER (), NULL, license_id, t FROM (VALUES {values}) k(license_id, t)),
+cut AS (SELECT kind, id, pos, line, regexp_extract_all(line, '{word}') AS ws, string_split_regex(line, '{word}') AS gaps
+  FROM (SELECT kind, id, unnest(range(1, len(ls) + 1)) AS pos, unnest(ls) AS line FROM (SELECT kind, id, string_split(lower(t), chr(10)) AS ls FROM texts))),
+kept AS (SELECT kind, id, pos, list_transform(ws, lambda w: {one}) AS ws FROM cut WHERE len(ws) > 0 AND NOT (length(line) <= {LONGEST_STATEMENT} AND (
+  (ws[1] = 'copyright' AND (coalesce(ws[2] IN ('c', 'by') OR regexp_matches(ws[2], '^[0-9]{{4}}'), false) OR gaps[2] LIKE '%{sign}%' OR gaps[2] LIKE '%<%' OR gaps[2] LIKE '%[%'))
+  OR (ws[1] = 'c' AND gaps[1] LIKE '%(' AND gaps[2] LIKE ')%' AND coalesce(ws[2] = 'copyright' OR regexp_matches(ws[2], '^[0-9]{{4}}'), false))
+  OR gaps[1] LIKE '%{sign}%' OR ws = ['all', 'rights', 'reserved']))),
+lines AS (SELECT kind, id, pos, sha256({spelt("ws")}) AS digest FROM kept),
+whole AS (SELECT kind, id, sha256({two(f"(' ' || trim(string_agg({spelt('ws')}, '' ORDER BY pos), ' ') || ' ')")}) AS digest FROM kept GROUP BY kind, id),
+known AS (SELECT digest, min(license_id) AS license_id FROM whole JOIN texts USING (kind, id) WHERE kind = 'k' GROUP BY digest),
+hits AS (SELECT id, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS line_licenses FROM lines JOIN known USING (digest) WHERE kind = 'd' GROUP BY id)
+SELECT doc_id, w.digest AS text_digest, n.license_id, coalesce(line_licenses, '') AS line_licenses
+FROM texts t LEFT JOIN whole w ON w.kind = 'd' AND w.id = t.id LEFT JOIN known n ON n.digest = w.digest LEFT JOIN hits h ON h.id = t.id WHERE t.kind = 'd'"""

@@ -335,6 +335,50 @@ def test_licence_forms(spark):
     assert license.scan(spark.createDataFrame([], "doc_id long, text string"), license.known_digests(spark)).count() == 0
 
 
+def plain_form(text):
+    """The canonical form by plain loops, or None without words."""
+    lines = []
+    for line in (text or "").lower().split("\n"):
+        ws = re.findall(r"[^\W_]+", line)
+        gaps = re.split(r"[^\W_]+", line)
+        year = lambda w: w[:4].isdigit() and len(w) >= 4
+        second = ws[1] if len(ws) > 1 else ""
+        states = len(line) <= 200 and bool(ws) and (
+            (ws[0] == "copyright" and (second in ("c", "by") or year(second) or any(c in gaps[1] for c in "©<[")))
+            or (ws[0] == "c" and gaps[0].endswith("(") and gaps[1].startswith(")") and (second == "copyright" or year(second)))
+            or "©" in gaps[0] or ws == ["all", "rights", "reserved"]
+        )
+        if ws and not states:
+            lines.append(ws)
+    out = " ".join(w for ws in lines for w in ws)
+    for old, new in license.SPELLINGS:
+        out = re.sub(rf"(?<!\S){old}(?!\S)", new, out)
+    return out or None
+
+
+def test_licence_digests_against_plain_loops(spark):
+    whole = dict(license.KNOWN)["BSD-2-Clause"]
+    clause = "do x\n{}\nend"
+    texts = [
+        None, "", "©", "Copyright 2020 A\nbody", "copyright holder says\nbody", "(c) you must retain the notices\nbody", "(c) 2021 B\nbody", "(C) Copyright 2021 B\nbody", "c) 2020 things\nbody",
+        clause.format("(c) you must retain the source form notices"), clause.format("(c) you need not retain them"), clause.format("(b) x"), "All rights reserved.\nbody", "All rights reserved by law to A\nbody",
+        "Copyright (c) 2020 X. " + whole, "* Copyright © The Authors\nbody", "copyright <year> <holder>\nbody", "copyright by A\nbody", "copyright byte\nbody", "sub-\nlicence in the centre, whilst non-commercial", "copyright\nowner", "a https://x",
+    ]
+    got = {r["i"]: r["d"] for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", license.digest(F.col("t")).alias("d")).collect()}
+    forms = [plain_form(t) for t in texts]
+    for i, a in enumerate(forms):
+        assert (got[i] is None) == (a is None)
+        if a is not None:
+            assert got[i] == hashlib.sha256((" " + a.replace(" ", "  ") + " ").encode()).hexdigest(), texts[i]
+    assert len({got[9], got[10], got[11]}) == 3
+
+
+def test_known_texts_from_a_table(spark):
+    known = license.known_digests(spark, spark.createDataFrame([("X", "The text of X.\nTwo lines"), ("Y", None), ("W", "the TEXT of x two lines")], "license_id string, text string"))
+    docs = spark.createDataFrame([(1, "the text of x\n\ntwo lines!"), (2, "other")], "doc_id long, text string")
+    assert {r["doc_id"]: r["license_id"] for r in license.scan(docs, known).collect()} == {1: "W", 2: None}
+
+
 # 10
 
 
