@@ -4,7 +4,9 @@ A window is `window` consecutive words of an item (a shorter item is one window)
 documents that hold each. A document that contains a window has all of its shingles, so the rarest alone is the prefix that
 must be joined. A match of that shingle at word p of a document, and at word k of the window, gives the only place where the window can
 stand, p - k; it is dropped unless the window lies inside the document (positional and length bounds), and then checked
-word by word. Items are worked on in blocks of bounded size, each of which is broadcast; documents are never shuffled.
+word by word. Items are worked on in blocks of bounded size. One block, the usual case, is broadcast and answers in one scan, and nothing is
+shuffled. More blocks are worked on one after the other, so that driver and executors hold one at a time: each sends, for documents with
+occurrences alone, the words and items it found, which are then gathered by row.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .session import checkpointed
 from .words import ALNUM, Texts, column_bytes, cover, per_text, runs, slices
 
 WINDOW, SHINGLE = 10, 5
@@ -113,33 +117,40 @@ class Lookup:
         return places[ok], which[ok]
 
 
-def _counted(docs: DataFrame, shared: list) -> DataFrame:
-    """(block, size, shingle, n): in how many texts each shingle of the blocks occurs."""
-    schema = T.StructType([T.StructField(n, T.LongType()) for n in ("block", "size", "shingle", "n")])
+def _counted(docs: DataFrame, shared) -> DataFrame:
+    """(size, shingle, n): in how many texts each shingle of the block occurs."""
+    schema = T.StructType([T.StructField(n, T.LongType()) for n in ("size", "shingle", "n")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookups: dict = {}
-        totals: dict = {}
+        shingles = shared.value.shingles
+        lookups = {k: Lookup(keys) for k, keys in shingles.items()}
+        totals = {k: np.zeros(len(keys), np.int64) for k, keys in shingles.items()}
         for batch in batches:
             for _, _, t in slices(batch.column(0), ALNUM, lower=True):
                 h, room, owner = t.hashes(), t.room(), t.owner()
-                made: dict[int, np.ndarray] = {}
-                for b, block in enumerate(shared):
-                    for k, keys in block.value.shingles.items():
-                        if (b, k) not in lookups:
-                            lookups[b, k] = Lookup(keys)
-                        if k not in made:
-                            made[k] = runs(h, k)
-                        places, which = lookups[b, k].find(made[k])
-                        ok = room[places] >= k
-                        pairs = np.unique(owner[places[ok]].astype(np.int64) * len(keys) + which[ok]) if len(keys) else places
-                        total = totals.setdefault((b, k), np.zeros(len(keys), np.int64))
-                        total += np.bincount(pairs % max(1, len(keys)), minlength=len(keys))
-        for (b, k), total in totals.items():
+                for k, keys in shingles.items():
+                    places, which = lookups[k].find(runs(h, k))
+                    ok = room[places] >= k
+                    pairs = np.unique(owner[places[ok]].astype(np.int64) * len(keys) + which[ok])
+                    totals[k] += np.bincount(pairs % len(keys), minlength=len(keys))
+        for k, total in totals.items():
             at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), b)), pa.array(np.full(len(at), k)), pa.array(at), pa.array(total[at])], names=schema.names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k)), pa.array(at), pa.array(total[at])], names=schema.names)
 
-    return docs.select("text").mapInArrow(run, schema).groupBy("block", "size", "shingle").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(run, schema).groupBy("size", "shingle").agg(F.sum("n").alias("n"))
+
+
+def _ordered(docs: DataFrame, block: Block, shingle: int):
+    """The block, its windows ordered by rarity, as a broadcast. The counts that come back are one a shingle of the block at most."""
+    sc = docs.sparkSession.sparkContext
+    shared = sc.broadcast(block)
+    counts = {k: np.zeros(len(keys), np.int64) for k, keys in block.shingles.items()}
+    for row in _counted(docs, shared).toLocalIterator():
+        counts[row["size"]][row["shingle"]] = row["n"]
+    shared.destroy()
+    order_by_rarity(block, counts, shingle)
+    block.shingles = {}
+    return sc.broadcast(block)
 
 
 def blocks_of(items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block_words: int = BLOCK_WORDS, id_column: str = "item_id", text_column: str = "text") -> Iterator[Block]:
@@ -186,6 +197,100 @@ def matches(t: Texts, block: Block, look: Lookup, order: np.ndarray, bounds: np.
     return start[same], w[same]
 
 
+class _Ready:
+    """A block as a task uses it: made once a task."""
+
+    def __init__(self, block: Block, shingle: int):
+        self.block, self.shingle = block, shingle
+        self.order = np.argsort(block.key, kind="stable")
+        keys, first = np.unique(block.key[self.order], return_index=True)
+        self.look, self.bounds = Lookup(keys), np.append(first, len(self.order))
+
+    def found(self, t: Texts) -> tuple[np.ndarray, np.ndarray]:
+        """(word, window) of every occurrence."""
+        return matches(t, self.block, self.look, self.order, self.bounds, {}, t.hashes(), t.room(), self.shingle)
+
+    def hit(self, start: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
+        out = np.zeros(n, bool)
+        for k in np.unique(self.block.size[w]).tolist():
+            out |= cover(start[self.block.size[w] == k], k, n)
+        return out
+
+    def items(self, t: Texts, start: np.ndarray, w: np.ndarray) -> list[set[str]]:
+        out: list[set[str]] = [set() for _ in range(len(t.offsets) - 1)]
+        for d, i in np.unique(np.column_stack([t.owner()[start], self.block.item[w]]), axis=0).tolist():
+            out[d].add(self.block.items[i])
+        return out
+
+
+_FOUND = [T.StructField(n, t) for n, t in (("n_words", T.LongType()), ("n_hit", T.LongType()), ("n_items", T.LongType()), ("items_sha256", T.StringType()), ("contaminated", T.BooleanType()), ("item_ids", T.ArrayType(T.StringType())))]
+
+
+def _columns(n_words: np.ndarray, n_hit: np.ndarray, found: list[set[str]]) -> list[pa.Array]:
+    ids = [sorted(f) for f in found]
+    digests = [hashlib.sha256(",".join(i).encode()).hexdigest() for i in ids]
+    return [pa.array(n_words), pa.array(n_hit), pa.array([len(i) for i in ids], pa.int64()), pa.array(digests), pa.array(n_hit > 0), pa.array(ids, pa.list_(pa.string()))]
+
+
+def _one_scan(docs: DataFrame, shared, shingle: int, keep: tuple[str, ...]) -> DataFrame:
+    """The result where there is one block, or none."""
+    schema = T.StructType([docs.schema[c] for c in keep] + _FOUND)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ready = _Ready(shared.value, shingle) if shared is not None else None
+        for batch in batches:
+            for lo, hi, t in slices(batch.column(batch.num_columns - 1), ALNUM, lower=True):
+                n_hit, found = np.zeros(hi - lo, np.int64), [set()] * (hi - lo)
+                if ready is not None:
+                    start, w = ready.found(t)
+                    n_hit, found = per_text(ready.hit(start, w, len(t.starts)), t.first), ready.items(t, start, w)
+                own = [batch.column(i).slice(lo, hi - lo) for i in range(batch.num_columns - 1)]
+                yield pa.RecordBatch.from_arrays([*own, *_columns(t.n_words, n_hit, found)], names=schema.names)
+
+    return docs.select(*keep, F.col("text").alias("text__")).mapInArrow(run, schema)
+
+
+def _hits_of(rows: DataFrame, shared, shingle: int) -> DataFrame:
+    """(row, words, items) of rows (row, text) with occurrences: places of the words that are hit, packed, and the items."""
+    schema = "row long, words binary, items array<string>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ready = _Ready(shared.value, shingle)
+        for batch in batches:
+            for lo, _, t in slices(batch.column(1), ALNUM, lower=True):
+                start, w = ready.found(t)
+                hit, found = ready.hit(start, w, len(t.starts)), ready.items(t, start, w)
+                some = [d for d, f in enumerate(found) if f]
+                if some:
+                    words = [np.flatnonzero(hit[t.first[d] : t.first[d + 1]]).astype("<i8").tobytes() for d in some]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([lo + d for d in some])), pa.array(words, pa.binary()), pa.array([sorted(found[d]) for d in some], pa.list_(pa.string()))], names=["row", "words", "items"])
+
+    return rows.mapInArrow(run, schema)
+
+
+def _many_blocks(docs: DataFrame, blocks: Iterator[Block], shingle: int, keep: tuple[str, ...]) -> DataFrame:
+    """The result over any number of blocks, one after the other."""
+    own = checkpointed(docs.select(F.monotonically_increasing_id().alias("row__"), *keep, F.col("text").alias("text__")))
+    rows, hits = own.select(F.col("row__").alias("row"), F.col("text__").alias("text")), None
+    for block in blocks:
+        shared = _ordered(rows, block, shingle)
+        part = checkpointed(_hits_of(rows, shared, shingle))
+        shared.destroy()
+        hits = part if hits is None else hits.union(part)
+    gathered = hits.groupBy("row").agg(F.collect_list("words").alias("words__"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items__"))
+    schema = T.StructType([docs.schema[c] for c in keep] + _FOUND)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = len(keep)
+            for lo, hi, t in slices(batch.column(n), ALNUM, lower=True):
+                words, items = (batch.column(n + 1 + k).slice(lo, hi - lo).to_pylist() for k in (0, 1))
+                n_hit = np.array([len(np.unique(np.frombuffer(b"".join(w), "<i8"))) if w else 0 for w in words], np.int64)
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in range(n)), *_columns(t.n_words, n_hit, [set(i or ()) for i in items])], names=schema.names)
+
+    return own.join(gathered, own["row__"] == gathered["row"], "left").select(*keep, "text__", "words__", "items__").mapInArrow(run, schema)
+
+
 def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, keep: tuple[str, ...] = ("doc_id",), block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row per row of docs: the `keep` columns, n_words, n_hit, n_items, items_sha256, contaminated, item_ids.
 
@@ -193,52 +298,12 @@ def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int =
     words and no hits; so has every text where the item table is empty. Repeated rows give repeated results; equal windows of several items count
     for each item; items with equal ids are one; other columns play no part.
     """
-    sc = docs.sparkSession.sparkContext
-    made_blocks = []
-    for block in blocks_of(items, window, shingle, block_words):
-        made_blocks.append(sc.broadcast(block))
-    counts = {(b, k): np.zeros(len(keys), np.int64) for b, block in enumerate(made_blocks) for k, keys in block.value.shingles.items()}
-    if made_blocks:
-        for row in _counted(docs, made_blocks).toLocalIterator():
-            counts[row["block"], row["size"]][row["shingle"]] = row["n"]
-    shared = []
-    for b, old in enumerate(made_blocks):
-        block = old.value
-        order_by_rarity(block, {k: counts[b, k] for k in block.shingles}, shingle)
-        block.shingles = {}
-        shared.append(sc.broadcast(block))
-        old.unpersist()
-    extra = [T.StructField(n, t) for n, t in (("n_words", T.LongType()), ("n_hit", T.LongType()), ("n_items", T.LongType()), ("items_sha256", T.StringType()), ("contaminated", T.BooleanType()), ("item_ids", T.ArrayType(T.StringType())))]
-    schema = T.StructType([docs.schema[c] for c in keep] + extra)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ready: dict[int, tuple] = {}
-        for batch in batches:
-            text = batch.column(batch.num_columns - 1)
-            for lo, hi, t in slices(text, ALNUM, lower=True):
-                h, room, owner = t.hashes(), t.room(), t.owner()
-                made: dict[int, np.ndarray] = {}
-                hit = np.zeros(len(h), bool)
-                found: list[set[str]] = [set() for _ in range(hi - lo)]
-                for b, handle in enumerate(shared):
-                    block = handle.value
-                    if b not in ready:
-                        order = np.argsort(block.key, kind="stable")
-                        keys, first = np.unique(block.key[order], return_index=True)
-                        ready[b] = (Lookup(keys), order, np.append(first, len(order)))
-                    look, order, bounds = ready[b]
-                    start, w = matches(t, block, look, order, bounds, made, h, room, shingle)
-                    for k in np.unique(block.size[w]).tolist():
-                        hit |= cover(start[block.size[w] == k], k, len(h))
-                    for d, i in np.unique(np.column_stack([owner[start], block.item[w]]), axis=0).tolist():
-                        found[d].add(block.items[i])
-                n_hit = per_text(hit, t.first)
-                ids = [sorted(f) for f in found]
-                columns = [batch.column(i).slice(lo, hi - lo) for i in range(batch.num_columns - 1)]
-                columns += [pa.array(t.n_words), pa.array(n_hit), pa.array([len(i) for i in ids], pa.int64()), pa.array([hashlib.sha256(",".join(i).encode()).hexdigest() for i in ids]), pa.array(n_hit > 0), pa.array(ids, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
-
-    return docs.select(*keep, F.col("text").alias("text__")).mapInArrow(run, schema)
+    blocks = blocks_of(items, window, shingle, block_words)
+    first = next(blocks, None)
+    second = next(blocks, None)
+    if second is not None:
+        return _many_blocks(docs, chain([first, second], blocks), shingle, keep)
+    return _one_scan(docs, _ordered(docs, first, shingle) if first is not None else None, shingle, keep)
 
 
 def brute_force(texts: dict, items: dict, window: int = WINDOW) -> dict:
