@@ -1,13 +1,15 @@
 """Nearest neighbours by a block matrix join.
 
-Vectors travel in blocks; a tile is a block of queries and a block of rows. Each vector x is held as scale * int8 codes plus a residual of
-known length, so a product of codes gives every inner product of the tile up to an error that is bounded by the lengths: pairs
-whose upper bound is below the k-th best lower bound of their query go. The others are computed again in double precision, and the best k of a tile
-are merged. No neighbour can be lost, so recall is 1. Tiles are keyed by query block and row group, which spreads them evenly whatever the data.
+Vectors are coded once: x is scale * int8 codes plus a residual of known length. They travel in blocks, and a tile of the join is a group of query
+blocks and a group of row blocks, both of about TILE_BYTES, so that a vector is sent once for each group of the other side. A product of codes gives every
+inner product of a tile up to an error that is bounded by the lengths: pairs whose upper bound is below what k rows of their query are known to
+reach go. The others are computed again in double precision and kept in a heap of k a query; the heaps of all tiles are merged. No neighbour can be lost, so
+recall is 1. Vectors whose components are too small or too large for codes have codes of zero and a residual of their whole length: their pairs are all computed again.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +21,11 @@ from pyspark.sql import types as T
 
 from .session import checkpointed
 
-QUERY_BLOCK, ROW_BLOCK, BLOCKS_A_GROUP = 1024, 4096, 4
+QUERY_BLOCK, ROW_BLOCK = 1024, 4096
+#: Bytes of exact vectors that a tile holds of either side.
+TILE_BYTES = 32 << 20
+#: Components beyond these are not coded.
+SMALLEST, LARGEST = 1e-140, 1e140
 
 
 def usable(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
@@ -30,10 +36,45 @@ def usable(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
     return rows.where(finite & F.exists(v, lambda x: x != 0)).groupBy("id").agg(F.min("v").alias("v"))
 
 
+class Coded:
+    """Vectors with their int8 codes, scales, lengths and lengths of what the codes leave out."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, codes: np.ndarray | None = None, figures: np.ndarray | None = None):
+        self.ids, self.x = ids, x
+        if codes is None:
+            wide = x.astype(np.float64)
+            most = np.abs(wide).max(axis=1)
+            fit = (most >= SMALLEST) & (most <= LARGEST)
+            scale = np.where(fit, most / 127, 0.0)
+            with np.errstate(over="ignore"):
+                # components as shares of the largest one: their squares neither vanish nor overflow
+                share = wide / most[:, None]
+                length = most * np.sqrt((share * share).sum(axis=1))
+                codes = np.where(fit[:, None], np.rint(share * 127), 0).astype(np.int8)
+                left = share - codes / 127
+                rest = np.where(fit, most * np.sqrt((left * left).sum(axis=1)) + 1e-12 * length, length)
+            figures = np.stack([scale, length, rest])
+        self.codes = codes
+        self.scale, self.length, self.rest = figures
+        self.figures = figures
+
+    def packed(self) -> list[bytes]:
+        return [self.ids.astype("<i8").tobytes(), self.x.tobytes(), self.codes.tobytes(), self.figures.tobytes()]
+
+    @classmethod
+    def of(cls, dim: int, ids: bytes, data: bytes, codes: bytes, figures: bytes) -> Coded:
+        own = np.frombuffer(ids, "<i8")
+        x = np.frombuffer(data, "<f4" if len(data) == 4 * dim * len(own) else "<f8").reshape(-1, dim)
+        return cls(own, x, np.frombuffer(codes, np.int8).reshape(-1, dim), np.frombuffer(figures, np.float64).reshape(3, -1))
+
+
+_PACKED = ["ids", "data", "codes", "figures"]
+
+
 def _blocks(rows: DataFrame, most: int) -> DataFrame:
-    """(dim, block, ids, data): vectors of one length as little-endian doubles, or floats where the column has floats."""
+    """(dim, block, ids, data, codes, figures): coded vectors of one length; data as little-endian doubles, or floats where the column has floats."""
     wide = isinstance(rows.schema["v"].dataType.elementType, T.DoubleType)
-    schema = T.StructType([T.StructField("dim", T.IntegerType()), T.StructField("block", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("data", T.BinaryType())])
+    schema = T.StructType([T.StructField("dim", T.IntegerType()), T.StructField("block", T.LongType()), *(T.StructField(n, T.BinaryType()) for n in _PACKED)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = TaskContext.get().partitionId() << 32
@@ -47,28 +88,13 @@ def _blocks(rows: DataFrame, most: int) -> DataFrame:
                 at = np.flatnonzero(sizes == dim)
                 for lo in range(0, len(at), most):
                     own = at[lo : lo + most]
-                    data = flat[(offsets[own][:, None] + np.arange(dim))]
-                    yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([k], pa.int64()), pa.array([ids[own].astype("<i8").tobytes()]), pa.array([data.tobytes()])], names=schema.names)
+                    coded = Coded(ids[own], flat[(offsets[own][:, None] + np.arange(dim))])
+                    yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([k], pa.int64()), *(pa.array([x]) for x in coded.packed())], names=schema.names)
                     k += 1
 
     return rows.select("id", "v").mapInArrow(run, schema)
 
 
-class Coded:
-    """Vectors with their int8 codes, scales, lengths and lengths of what the codes leave out."""
-
-    def __init__(self, ids: bytes, data: bytes, dim: int):
-        self.ids = np.frombuffer(ids, "<i8")
-        self.x = np.frombuffer(data, "<f4" if len(data) == 4 * dim * len(self.ids) else "<f8").reshape(-1, dim)
-        x = self.x.astype(np.float64)
-        self.scale = np.abs(x).max(axis=1) / 127
-        # products of codes stay exact in single precision up to 1040 components
-        self.codes = np.rint(x / self.scale[:, None]).astype(np.int8)
-        self.length = np.sqrt((x * x).sum(axis=1))
-        rest = x - self.codes * self.scale[:, None]
-        self.rest = np.sqrt((rest * rest).sum(axis=1)) + 1e-12 * self.length
-
-
 def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Inner products of rows in double precision, summed from the first component on."""
     out = np.zeros(len(a))
@@ -83,63 +109,78 @@ def tile(q: Coded, r: Coded, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.
     about = (q.codes.astype(kind) @ r.codes.astype(kind).T).astype(np.float64)
     about *= q.scale[:, None]
     about *= r.scale[None, :]
-    slack = q.rest[:, None] * r.length[None, :] + (q.length + q.rest)[:, None] * r.rest[None, :] + 1e-9 * q.length[:, None] * r.length[None, :]
-    own = q.ids[:, None] == r.ids[None, :]
-    low = np.where(own, -np.inf, about - slack)
-    if low.shape[1] > k:
-        floor = np.maximum(floor, np.partition(low, low.shape[1] - k, axis=1)[:, low.shape[1] - k])
-    i, j = np.nonzero((about + slack >= floor[:, None]) & ~own)
-    return i, j, exact(q.x[i], r.x[j])
-
-
-def best(i: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k best of each i: largest score, then smallest id."""
-    order = np.lexsort((ids, -scores, i))
-    group = i[order]
-    start = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.zeros(0, np.int64)
-    rank = np.arange(len(group)) - np.repeat(start, np.diff(np.r_[start, len(group)]))
-    return order[rank < k]
-
-
-def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_column: str = "vec_id", vector_column: str = "embedding", query_block: int = QUERY_BLOCK, row_block: int = ROW_BLOCK) -> DataFrame:
+    with np.errstate(over="ignore", invalid="ignore"):
+        slack = q.rest[:, None] * r.length[None, :] + (q.length + q.rest)[:, None] * r.rest[None, :] + 1e-9 * q.length[:, None] * r.length[None, :] + np.finfo(np.float64).tiny
+        slack[np.isnan(slack)] = np.inf
+        own = q.ids[:, None] == r.ids[None, :]
+        low = np.where(own, -np.inf, about - slack)
+        if low.shape[1] > k:
+            floor = np.maximum(floor, np.partition(low, low.shape[1] - k, axis=1)[:, low.shape[1] - k])
+        i, j = np.nonzero((about + slack >= floor[:, None]) & ~own)
+        scores = exact(q.x[i], r.x[j])
+    known = ~np.isnan(scores)
+    return i[known], j[known], scores[known]
+
+
+class Heaps:
+    """The k best (score, smaller id first) of each query, as heaps whose first is the worst kept."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.heaps = k, [[] for _ in range(n)]
+        self.floor = np.full(n, -np.inf)
+
+    def add(self, i: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        for q, entry in zip(i.tolist(), zip(scores.tolist(), (-ids).tolist(), strict=True), strict=True):
+            heap = self.heaps[q]
+            if len(heap) < self.k:
+                heapq.heappush(heap, entry)
+            elif entry > heap[0]:
+                heapq.heapreplace(heap, entry)
+        for q in np.unique(i).tolist():
+            if len(self.heaps[q]) == self.k:
+                self.floor[q] = self.heaps[q][0][0]
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, id, score)"""
+        sizes = [len(h) for h in self.heaps]
+        kept = [e for h in self.heaps for e in h]
+        return np.repeat(np.arange(len(sizes)), sizes), np.array([-e[1] for e in kept], np.int64), np.array([e[0] for e in kept], np.float64)
+
+
+def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_column: str = "vec_id", vector_column: str = "embedding", query_block: int = QUERY_BLOCK, row_block: int = ROW_BLOCK, tile_bytes: int = TILE_BYTES) -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows of largest inner product for each row for which `queries` holds, all rows but its own being candidates.
 
     Ties go to the smaller id. Vectors that are null, zero, or hold null or non-finite components take no part; vectors of another length are no
-    candidates of a query; rows of equal id count once (the smallest vector); a query without candidates gives no rows; other columns play no part.
+    candidates of a query; rows of equal id count once (the smallest vector); a pair whose product is no number in
+    double precision (infinities of both signs) is no candidate; a query without candidates gives no rows; other columns play no part.
     """
-    rows = usable(vectors, id_column, vector_column)
-    base = checkpointed(_blocks(rows, row_block))
-    asked = usable(vectors.where(queries), id_column, vector_column)
-    asked = checkpointed(_blocks(asked, query_block))
-    # one row for each length of vector
-    groups = base.groupBy("dim").count().withColumn("groups", F.ceil(F.col("count") / BLOCKS_A_GROUP).cast("int")).select("dim", "groups")
-    keys = asked.select("dim", F.col("block").alias("q"))
-    left = asked.join(F.broadcast(groups), "dim").withColumn("g", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).select("dim", F.col("block").alias("q"), "g", "ids", "data")
-    spread = base.join(F.broadcast(groups), "dim").withColumn("g", F.pmod(F.xxhash64("block"), F.col("groups")).cast("int"))
-    placed = keys.join(groups, "dim").withColumn("g", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).select("dim", "g", "q")
-    right = spread.select("dim", "g", "ids", "data").join(placed, ["dim", "g"]).select("dim", "q", "g", "ids", "data")
+    base = checkpointed(_blocks(usable(vectors, id_column, vector_column), row_block))
+    asked = checkpointed(_blocks(usable(vectors.where(queries), id_column, vector_column), query_block))
+    # one row for each length of vector: into how many groups of about TILE_BYTES either side is dealt
+    sizes = lambda blocks, name: blocks.groupBy("dim").agg(F.ceil(F.sum(F.octet_length("data")) / tile_bytes).cast("int").alias(name))
+    grid = F.broadcast(sizes(base, "n_rows").join(sizes(asked, "n_queries"), "dim"))
+    place = lambda n: F.pmod(F.xxhash64("block"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = asked.join(grid, "dim").select("dim", place("n_queries").alias("g"), every("n_rows").alias("h"), *_PACKED)
+    right = base.join(grid, "dim").select("dim", every("n_queries").alias("g"), place("n_rows").alias("h"), *_PACKED)
 
     def task(asked: pa.Table, rows: pa.Table) -> pa.Table:
         out: list[tuple] = []
-        for a, d, dim in zip(asked.column("ids").to_pylist(), asked.column("data").to_pylist(), asked.column("dim").to_pylist(), strict=True):
-            q = Coded(a, d, dim)
-            i, ids, scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-            floor = np.full(len(q.ids), -np.inf)
-            for b, e in zip(rows.column("ids").to_pylist(), rows.column("data").to_pylist(), strict=True):
-                r = Coded(b, e, dim)
-                x, y, s = tile(q, r, k, floor)
-                i, ids, scores = np.concatenate([i, x]), np.concatenate([ids, r.ids[y]]), np.concatenate([scores, s])
-                top = best(i, ids, scores, k)
-                i, ids, scores = i[top], ids[top], scores[top]
-                full = np.bincount(i, minlength=len(q.ids)) >= k
-                last = np.full(len(q.ids), np.inf)
-                np.minimum.at(last, i, scores)
-                floor = np.where(full, last, -np.inf)
+        column = lambda t: list(zip(t.column("dim").to_pylist(), *(t.column(n) for n in _PACKED), strict=True))
+        coded = lambda row: Coded.of(row[0], *(memoryview(x.as_buffer()) for x in row[1:]))
+        for a in column(asked):
+            q = coded(a)
+            heaps = Heaps(len(q.ids), k)
+            for b in column(rows):
+                r = coded(b)
+                i, j, scores = tile(q, r, k, heaps.floor)
+                heaps.add(i, r.ids[j], scores)
+            i, ids, scores = heaps.rows()
             out.append((q.ids[i], ids, scores))
         a, b, c = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         return pa.table({"query_id": a, "vec_id": b, "score": c})
 
-    found = left.groupBy("dim", "q", "g").cogroup(right.groupBy("dim", "q", "g")).applyInArrow(task, "query_id long, vec_id long, score double")
+    found = left.groupBy("dim", "g", "h").cogroup(right.groupBy("dim", "g", "h")).applyInArrow(task, "query_id long, vec_id long, score double")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -216,14 +216,15 @@ def test_majority_of_long_runs():
 # 5
 
 
-def test_neighbours_against_brute_force(spark):
+@pytest.mark.parametrize("tile_bytes", [32 << 20, 2000])
+def test_neighbours_against_brute_force(spark, tile_bytes):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(400, 24)).astype(np.float32)
     x[50:90] = x[50]
     rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)] + [(1000, None), (1001, [0.0] * 24), (1002, [float("nan")] * 24), (1003, [None] * 24), (None, [1.0] * 24), (1020, [1.0, 2.0]), (1021, [3.0, 1.0]), (1040, [1.0] * 5), (3, [-9.0] + [0.0] * 23), (20, [float(c) for c in x[20]])]
     v = spark.createDataFrame([(*r, "clash", 1) for r in rows], "vec_id long, embedding array<float>, ids string, block int").repartition(5)
     got = collections.defaultdict(list)
-    for r in ann.nearest(v, F.col("vec_id") % 20 == 0, 7, query_block=8, row_block=50).collect():
+    for r in ann.nearest(v, F.col("vec_id") % 20 == 0, 7, query_block=8, row_block=50, tile_bytes=tile_bytes).collect():
         got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
     x[3] = [-9.0] + [0.0] * 23 if x[3][0] > -9 else x[3]
     y = x.astype(np.float64)
@@ -234,6 +235,17 @@ def test_neighbours_against_brute_force(spark):
     assert ann.nearest(v.where("false"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_neighbours_of_extreme_vectors(spark):
+    rows = [(20, [1e-323, 0.0]), (1, [1e200, 1e200]), (2, [1.0, 1.0]), (3, [2.0, 2.0]), (40, [1e300, -1e300]), (4, [-1e300, 1e300]), (5, [1e-300, 5e-324]), (60, [1e-200, 1e-200])]
+    got = {}
+    for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, 2).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    for q, x in rows:
+        if q % 20 == 0:
+            want = sorted(((-s, i) for i, y in rows if i != q and (s := x[0] * y[0] + x[1] * y[1]) == s))[:2]
+            assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(want)]
+
+
 # 6
 
 
