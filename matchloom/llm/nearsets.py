@@ -118,18 +118,32 @@ def _near(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     return checkpointed(both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long"))
 
 
-def near_copies(rows: DataFrame) -> DataFrame:
+def near_copies(rows: DataFrame, proposed: DataFrame | None = None) -> DataFrame:
     """(row, kept) for each row of rows (row, doc_id, text; row is distinct and the table is written, so that it reads the same again).
 
     kept is the row that stays for its component: the one of the smallest doc_id, nulls last, then of the smallest row number.
+    proposed: pairs of rows (u, v) that may be near copies; those that their sets confirm are one before the bands are looked at.
     """
     own = checkpointed(signatures(rows))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row")).alias("best")
     nodes = checkpointed(own.groupBy("same").agg(F.min("row").alias("node"), best, F.first("bands").alias("bands")))
+    told = None
+    if proposed is not None:
+        node_of = own.select("row", "same").join(nodes.select("same", "node"), "same").select("row", "node")
+        ends = proposed.join(node_of.select(F.col("row").alias("u"), F.col("node").alias("a")), "u").join(node_of.select(F.col("row").alias("v"), F.col("node").alias("b")), "v")
+        told = _near(ends.where("a != b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), rows)
     placed = nodes.select("node", F.explode("bands").alias("band"))
-    many = placed.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("band", "least")
-    groups = checkpointed(placed.join(many, "band"))
+    if told is not None:
+        # the part of a node: of a band, parts that are one already are not compared again
+        known = checkpointed(components(told)).withColumnRenamed("root", "part")
+        placed = placed.join(known, "node", "left").select("node", "band", F.coalesce("part", "node").alias("part"))
+    else:
+        placed = placed.withColumn("part", F.col("node"))
+    many = placed.groupBy("band").agg(F.min("node").alias("least"), F.min("part").alias("one"), F.max("part").alias("most")).where("one < most").select("band", "least")
+    groups = checkpointed(placed.select("node", "band").join(many, "band"))
     stars = _near(groups.where("node != least").select(F.col("least").alias("u"), F.col("node").alias("v")).distinct(), rows)
+    if told is not None:
+        stars = checkpointed(stars.union(told).distinct())
     roots = components(stars).withColumnRenamed("root", "part")
     split = groups.join(roots, "node", "left").select("band", "node", F.coalesce("part", "node").alias("part"))
     parts = checkpointed(split.select("band", "part").distinct())

@@ -2,9 +2,12 @@
 
 The trie of the distinct fingerprints is walked against itself from the root: a pair of nodes carries the bits in which their
 prefixes differ, and goes once they are more than the budget. Near the root the walk is a join of prefix tables, a few bits a
-step, over nodes that hold too many fingerprints; a pair of nodes that hold few enough becomes one task, which walks on down its
-two sorted arrays. There are at most sum(C(64, i) for i up to the budget) links a fingerprint since equal ones are one, and a task sends a
-spanning forest of its links, not the links.
+step, over nodes that hold too many fingerprints; a pair of nodes that hold few enough becomes one task, which walks on from there, with what is left of the
+budget, down the two sorted arrays. A node travels as one row of packed fingerprints, eight bytes each. There are at most sum(C(64, i) for i up to the
+budget) links a fingerprint since equal ones are one, and a task sends a spanning forest of its links, not the links.
+
+near_copies is for sets of five-word shingles of similarity 0.8 or more: links of the trie are proposals that the whole sets confirm, and what 64 bits cannot
+see within a budget that a trie can walk is proposed by bands of minima (nearsets) among the rows that stay.
 """
 
 from __future__ import annotations
@@ -17,13 +20,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import nearsets
 from .graph import components
 from .session import checkpointed
 from .words import LOWER, column_bytes
 
 SHINGLE, BUDGET, SEED = 3, 2, 42
-#: Fingerprints a node may hold in a task, and bits a step of the walk by joins.
-NODE_CAP, STEP = 16_384, 4
+#: Fingerprints a node may hold in a task, bits a step of the walk by joins, and the share of rows from which on a fingerprint is hot.
+NODE_CAP, STEP, HOT = 32_768, 2, 1000
 
 #: For a byte, its bits from the highest on as eight counters of one byte.
 _LANES = np.array([sum(((v >> (7 - i)) & 1) << (8 * i) for i in range(8)) for v in range(256)], np.uint64)
@@ -77,10 +81,13 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, id_c
     return docs.select(id_column, text_column).mapInArrow(run, schema)
 
 
-def walk(a: np.ndarray, b: np.ndarray, own: bool, budget: int, chunk: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(places in a, places in b) of pairs within the budget, chunk by chunk. a and b are sorted; own: they are the same array, and a pair comes once."""
+def walk(a: np.ndarray, b: np.ndarray, own: bool, budget: int, bits: int = 0, spent: int = 0, chunk: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places in a, places in b) of pairs within the budget, chunk by chunk. a and b are sorted; own: they are the same array, and a pair comes once.
+
+    bits: how many leading bits are equal within a and within b; spent: in how many of them a and b differ.
+    """
     top = np.uint64(63)
-    todo = [(0, np.array([0]), np.array([len(a)]), np.array([0]), np.array([len(b)]), np.array([budget]), np.array([own]))] if len(a) and len(b) else []
+    todo = [(bits, np.array([0]), np.array([len(a)]), np.array([0]), np.array([len(b)]), np.array([budget - spent]), np.array([own]))] if len(a) and len(b) and spent <= budget else []
     zeros: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     while todo:
         bit, a0, a1, b0, b1, left, same = todo.pop()
@@ -158,27 +165,52 @@ def _leaves(fps: DataFrame, budget: int, cap: int) -> list[tuple[int, DataFrame]
         pairs = down.select(F.col("cp").alias("p"), F.col("n").alias("count"), F.col("cq").alias("q"), F.col("m").alias("count_q"))
 
 
+def _nodes(fps: DataFrame, bits: int, wanted: DataFrame) -> DataFrame:
+    """(own, node): the sorted fingerprints of each wanted prefix, packed."""
+
+    def pack(group: pa.Table) -> pa.Table:
+        fp = np.sort(group.column("fp").to_numpy().view(np.uint64))
+        return pa.table({"own": pa.array([group.column("own")[0].as_py()], pa.int64()), "node": pa.array([fp.tobytes()], pa.binary())})
+
+    return fps.select("fp", _prefix(bits).alias("own")).join(wanted, "own", "left_semi").groupBy("own").applyInArrow(pack, "own long, node binary")
+
+
 def links(fps: DataFrame, budget: int = BUDGET, cap: int = NODE_CAP) -> DataFrame:
     """(u, v): links that connect exactly the fingerprints that chains of links within the budget connect. fps: distinct longs in column fp."""
-    sent = None
+    found = None
     for bits, pairs in _leaves(fps, budget, cap):
-        keyed = fps.select("fp", _prefix(bits).alias("own"))
-        sides = pairs.select("p", "q", F.explode(F.when(F.col("p") == F.col("q"), F.array("p")).otherwise(F.array("p", "q"))).alias("own"))
-        rows = keyed.join(sides, "own").select(F.lit(bits).alias("bits"), "p", "q", "fp", (F.col("own") == F.col("p")).alias("left_side"))
-        sent = rows if sent is None else sent.union(rows)
 
-    def task(group: pa.Table) -> pa.Table:
-        fp = group.column("fp").to_numpy().view(np.uint64)
-        side = group.column("left_side").to_numpy(zero_copy_only=False)
-        own = group.column("p")[0].as_py() == group.column("q")[0].as_py()
-        a = np.sort(fp[side])
-        b = a if own else np.sort(fp[~side])
-        both = a if own else np.concatenate([a, b])
-        root = forest(len(both), ((x, y if own else y + len(a)) for x, y in walk(a, b, own, budget)))
-        at = np.flatnonzero(root != np.arange(len(both)))
-        return pa.table({"u": both[at].view(np.int64), "v": both[root[at]].view(np.int64)})
-
-    return sent.groupBy("bits", "p", "q").applyInArrow(task, "u long, v long")
+        def task(batches: Iterator[pa.RecordBatch], bits: int = bits) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for p, q, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                    own = p == q
+                    a = np.frombuffer(x.as_buffer(), np.uint64)
+                    b = a if own else np.frombuffer(y.as_buffer(), np.uint64)
+                    both = a if own else np.concatenate([a, b])
+                    root = forest(len(both), ((i, j if own else j + len(a)) for i, j in walk(a, b, own, budget, bits, (p ^ q).bit_count())))
+                    at = np.flatnonzero(root != np.arange(len(both)))
+                    yield pa.RecordBatch.from_arrays([pa.array(both[at].view(np.int64)), pa.array(both[root[at]].view(np.int64))], names=["u", "v"])
+
+        ends = pairs.select(F.explode(F.array("p", "q")).alias("own")).distinct()
+        nodes = checkpointed(_nodes(fps, bits, ends))
+        sides = pairs.join(nodes.select(F.col("own").alias("p"), F.col("node").alias("a")), "p").join(nodes.select(F.col("own").alias("q"), F.col("node").alias("b")), "q")
+        # dealt by pair, so that the pairs of one node are walked in several tasks; a node with itself needs one side
+        dealt = sides.select("p", "q", "a", F.when(F.col("p") != F.col("q"), F.col("b")).alias("b")).repartition(F.xxhash64("p", "q"))
+        part = dealt.mapInArrow(task, "u long, v long")
+        found = part if found is None else found.union(part)
+    return found
+
+
+def _by_fingerprint(own: DataFrame, answers: DataFrame, columns: list[str]) -> DataFrame:
+    """own (with fp) and the columns of answers (fp, n, columns), where n counts the rows of own with that fingerprint.
+
+    Fingerprints of a thousandth of all rows, of which there are a thousand at most, are broadcast; the others are joined by a shuffle.
+    """
+    most = (own.count() // HOT) + 1
+    hot = F.broadcast(answers.where(F.col("n") >= most).select("fp", *columns, F.lit(True).alias("hot")))
+    marked = own.join(hot, "fp", "left")
+    rest = marked.where("hot is null").select(*own.columns).join(answers.where(F.col("n") < most).select("fp", *columns), "fp")
+    return marked.where("hot").select(*own.columns, *columns).unionByName(rest.select(*own.columns, *columns))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, budget: int = BUDGET, seed: int = SEED, id_column: str = "doc_id", text_column: str = "text", cap: int = NODE_CAP) -> DataFrame:
@@ -188,12 +220,26 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, budget: int = BUDGE
     a null id. Repeated rows give repeated results; an empty table gives no rows; other columns play no part.
     """
     own = checkpointed(fingerprints(docs, shingle, seed, id_column, text_column))
-    least = checkpointed(own.groupBy("fp").agg(F.min(id_column).alias("least")))
+    least = checkpointed(own.groupBy("fp").agg(F.min(id_column).alias("least"), F.count("*").alias("n")))
     joined = components(links(least.select("fp"), budget, cap))
-    roots = least.join(joined.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    roots = least.join(joined.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
     smallest = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = roots.join(smallest, "root").select("fp", "component_id")
-    return own.join(by_fp, "fp").select(id_column, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    answers = checkpointed(roots.join(smallest, "root").select("fp", "n", "component_id"))
+    return _by_fingerprint(own, answers, ["component_id"]).select(id_column, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def near_copies(rows: DataFrame, budget: int = 3, cap: int = NODE_CAP) -> DataFrame:
+    """(row, kept) for each row of rows (row, doc_id, text; row is distinct and the table is written, so that it reads the same again).
+
+    Texts are linked if their sets of five-word shingles (A-Z in lower case) are at least 0.8 alike, and by chains of such links. kept is the row that stays for
+    its group: the one of the smallest doc_id, nulls last, then of the smallest row number. Texts without words are one group. A link of the
+    trie stands only if the sets of both fingerprints' first rows confirm it, and rows of one fingerprint count as one set only if their sets are equal.
+    """
+    own = checkpointed(fingerprints(rows, nearsets.SHINGLE, SEED, "row", "text"))
+    first = checkpointed(own.groupBy("fp").agg(F.min("row").alias("row")))
+    linked = links(first.select("fp"), budget, cap).distinct()
+    pairs = linked.join(first.select(F.col("fp").alias("u"), F.col("row").alias("a")), "u").join(first.select(F.col("fp").alias("v"), F.col("row").alias("b")), "v")
+    return nearsets.near_copies(rows, pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")))
 
 
 def brute_force(texts: list[tuple], shingle: int = SHINGLE, budget: int = BUDGET) -> list[tuple]:
