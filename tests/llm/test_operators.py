@@ -92,6 +92,46 @@ def test_toxicity_odd_rows(spark, docs, none):
     assert toxicity.report(none, labels).count() == 0
 
 
+def test_weights_against_a_plain_loop(spark):
+    """FTRL-proximal coordinate by coordinate, in dictionaries, over the same shards."""
+    rng = np.random.default_rng(2)
+    rows = [(i, " ".join(rng.choice([f"w{k}" for k in range(60)], 12)) + (" vile" if i % 6 == 0 else ""), i % 6 == 0) for i in range(240)]
+    d = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(y)) for i, _, y in rows], "doc_id long, toxic int")
+    model = toxicity.fit(d, labels, rounds=2, passes=1)
+    ready = toxicity.training_rows(d, labels, 1000).collect()
+    assert {r["shard"] for r in ready} <= set(range(toxicity.SHARDS + 1)) and 5 < sum(r["shard"] == toxicity.SHARDS for r in ready) < 60
+    alpha, beta, l1, l2 = 4.0, 1.0, 3.0, 0.1
+    z, n, bias = collections.defaultdict(float), collections.defaultdict(float), [0.0, 0.0]
+
+    def weight(zi, ni):
+        return 0.0 if abs(zi) <= l1 else (l1 * (1 if zi > 0 else -1) - zi) / ((beta + ni**0.5) / alpha + l2)
+
+    for _ in range(2):
+        changes = []
+        for shard in sorted({r["shard"] for r in ready} - {toxicity.SHARDS}):
+            sz, sn, sb = collections.defaultdict(float, z), collections.defaultdict(float, n), list(bias)
+            for r in sorted((r for r in ready if r["shard"] == shard), key=lambda r: (r["row_key"], r["label"])):
+                at = toxicity._unpacked(bytes(r["places"])).tolist()
+                w = {i: weight(sz[i], sn[i]) for i in at}
+                b = -sb[0] / ((beta + sb[1] ** 0.5) / alpha)
+                g = 1 / (1 + np.exp(-(sum(w.values()) + b))) - r["label"]
+                for i in at:
+                    s = ((sn[i] + g * g) ** 0.5 - sn[i] ** 0.5) / alpha
+                    sz[i], sn[i] = sz[i] + g - s * w[i], sn[i] + g * g
+                s = ((sb[1] + g * g) ** 0.5 - sb[1] ** 0.5) / alpha
+                sb = [sb[0] + g - s * b, sb[1] + g * g]
+            changes.append((sz, sn, sb))
+        for i in {i for sz, _, _ in changes for i in sz}:
+            z[i], n[i] = z[i] + sum(c[0].get(i, z[i]) - z[i] for c in changes) / len(changes), n[i] + sum(c[1].get(i, n[i]) - n[i] for c in changes) / len(changes)
+        bias = [bias[k] + sum(c[2][k] - bias[k] for c in changes) / len(changes) for k in (0, 1)]
+    want = {i: weight(z[i], n[i]) for i in z if abs(abs(z[i]) - l1) > 1e-4}
+    have = dict(zip(model["at"].tolist(), model["weights"].tolist(), strict=True))
+    slope = next(have[i] / w for i, w in want.items() if abs(w) > 0.1)
+    assert sum(w != 0 for w in want.values()) > 0
+    assert all(have.get(i, 0.0) == pytest.approx(w * slope, rel=2e-3, abs=1e-4) for i, w in want.items())
+
+
 def test_packed_places():
     at = np.array([0, 5, 6, 1 << 19], np.uint32)
     assert (toxicity._unpacked(toxicity._packed(at)) == at).all() and len(toxicity._unpacked(toxicity._packed(at[:0]))) == 0
@@ -182,6 +222,29 @@ def test_examples_keep_three_limits(spark):
     assert len(by) < 150
 
 
+def test_conversations_keep_three_limits(spark):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = [(c, k, "assistant" if k % 2 else "user", f"turn {k} of {c} " * (1 + (c * 7 + k) % 40)) for c in range(60) for k in range(1 + c % 9)] + [(60, 0, None, None), (61, 0, "assistant", "long " * 3000), (None, 0, "user", "x")]
+    t = spark.createDataFrame([(*r, "clash") for r in rows], "conv_id long, turn int, role string, text string, n_tokens string").repartition(3)
+    got = packing.pack_conversations(t, public_tokenizers.path("byte_bpe_50k.json"), 1024, 12, 512).collect()
+    size, loss, turns = collections.Counter(), collections.Counter(), collections.Counter()
+    for c, _, role, text in rows:
+        n = len(tokenizer.encode(text or "", add_special_tokens=False).ids) + 1
+        size[c], loss[c], turns[c] = size[c] + n, loss[c] + n * (role == "assistant"), turns[c] + 1
+    assert {r["conv_id"]: (r["n_tokens"], r["n_loss"], r["n_turns"]) for r in got} == {c: (size[c], loss[c], turns[c]) for c in size} and len(got) == len(size)
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r["sequence_id"]].append(r)
+    for parts in by.values():
+        if not parts[0]["oversize"]:
+            assert sum(r["n_tokens"] for r in parts) <= 1024 and sum(r["n_turns"] for r in parts) <= 12 and sum(r["n_loss"] for r in parts) <= 512
+        else:
+            assert len(parts) == 1
+    assert packing.pack_conversations(t.where("false"), public_tokenizers.path("byte_bpe_50k.json")).count() == 0
+
+
 # 4
 
 
@@ -310,6 +373,26 @@ def test_blocks_reach_aliases_and_allow_wins(spark):
     assert urlfilter.judge(spark.createDataFrame([], "page_id long, url string, html string"), urlfilter.RULES).count() == 0
 
 
+def test_targets_are_resolved_and_nodes_are_whole_urls(spark, tmp_path):
+    import duckdb
+
+    canonical = '<link rel="canonical" href="{}">'
+    rows = [
+        (1, "http://a.io/d/x.html", canonical.format("y.html")), (2, "http://a.io/d/y.html", canonical.format("../e/./z.html")), (3, "http://A.io/e/z.html", canonical.format("https://bad.com/en/1")),
+        (4, "http://b.io/p?id=1", canonical.format("http://bad.com/en/2")), (5, "http://b.io/p?id=2", None), (6, "http://b.io/p", None), (7, "http://c.io/p?a=1&b=2#top", None),
+        (8, "http://c.io/q", '<meta content="0; url=/p?a=1&amp;b=2" http-equiv="refresh">' + canonical.format("http://bad.com/en/3") + canonical.format("mailto:x@y")), (9, "http://d.io", "<link href='?v=1' rel=canonical>"),
+        (10, "http://d.io/?v=1", canonical.format("//bad.com/en/4")), (11, "http://e.io/k/", canonical.format("#part")), (12, "http://f.io/a/b", canonical.format("../../../..")), (13, "http://f.io/", canonical.format("http://bad.com/x/../en/5")),
+        (14, "http://g.io/a/../b", None), (15, "http://g.io/b", canonical.format("http://bad.com/en/6")), (16, "http://h.io/s", canonical.format("http://h.io/t") + canonical.format("http://bad.com/en/7")), (17, "http://h.io/t", ""),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: (r["verdict"], r["via"]) for r in urlfilter.judge(pages, urlfilter.RULES).collect()}
+    aliases = {1, 2, 3, 4, 7, 8, 9, 10, 12, 13, 14, 15, 16, 17}
+    assert got == {i: (("block", "alias") if i in aliases else ("allow", "default")) for i, *_ in rows}
+    con = duckdb.connect()
+    con.register("pages", pages.toPandas())
+    assert {r[0]: (r[4], r[5]) for r in con.execute("select page_id, host, path, rule, verdict, via from (" + urlfilter.oracle() + ")").fetchall()} == got
+
+
 # 8
 
 
