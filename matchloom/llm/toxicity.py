@@ -3,7 +3,8 @@
 A text's features are its words, its pairs of neighbouring words, and its pairs with one word left out, each present or not,
 hashed to 2**BITS places. FTRL-proximal gives every place its own rate and sets small ones to zero, so the weights that are
 broadcast are few. Rounds: every shard of the training rows runs from the shared state, and the mean of what the shards changed
-is added to it.
+is added to it, both to the sums of gradients and to those of their squares: a place's rate is that of a run over one shard a round, not over all
+of them. Slope and shift that turn sums of weights into probabilities come from rows that no shard has learnt from.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from .session import checkpointed
 from .words import ALNUM, Texts, mix, slices
 
 BITS = 20
-#: The bound of the training sample, in documents; it is dealt by hash over shards.
-TRAIN_DOCS, SHARDS = 16_000, 8
+#: The bound of the training sample, in documents; it is dealt by hash over shards, but for one row in CALIBRATE, which are of shard SHARDS.
+TRAIN_DOCS, SHARDS, CALIBRATE = 16_000, 8, 10
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -106,7 +107,7 @@ def _shard_pass(shared, passes: int):
         for pdf in parts:
             for shard, key, y, p in zip(pdf["shard"], pdf["row_key"], pdf["label"], pdf["places"], strict=True):
                 rows.setdefault(shard, []).append((key, y, p))
-        for shard in sorted(rows):
+        for shard in sorted(set(rows) - {SHARDS}):
             own = Ftrl()
             z, n, bias = shared.value
             own.z[:], own.n[:], own.bias[:] = z, n, bias
@@ -131,7 +132,7 @@ def _mean_change(pdf):
 
 
 def _logits(shared):
-    """A function from a partition of training rows to (label, logit)."""
+    """A function from a partition of rows to (label, logit)."""
 
     def run(parts):
         import pandas as pd
@@ -161,6 +162,19 @@ def calibration(logit: np.ndarray, label: np.ndarray) -> tuple[float, float]:
     return (float(theta[0]), float(theta[1])) if theta[0] > 0 else (1.0, 0.0)
 
 
+def training_rows(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
+    """(row_key, label, shard, places) of at most about `most` labelled documents (doc_id, toxic), chosen by a hash of the id."""
+    known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("double")).alias("label"))
+    there = known.count()
+    share = min(1.0, most / max(1, there))
+    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))).select(F.col("doc_id").alias("id"), "label")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id"))
+    key = F.xxhash64(F.col("doc_id"), F.lit(7))
+    shard = F.when(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11)), F.lit(CALIBRATE)) == 0, SHARDS).otherwise(F.pmod(key, F.lit(SHARDS)))
+    ready = _featurised(rows.select(key.alias("row_key"), "label", shard.cast("int").alias("shard"), "text"))
+    return checkpointed(ready.repartition(SHARDS + 1, "shard"))
+
+
 def fit(docs: DataFrame, labels: DataFrame, rounds: int = 4, passes: int = 2, most: int = TRAIN_DOCS) -> dict:
     """Weights from at most about `most` labelled documents (doc_id, toxic), chosen by a hash of the id.
 
@@ -168,14 +182,7 @@ def fit(docs: DataFrame, labels: DataFrame, rounds: int = 4, passes: int = 2, mo
     zero, their weights, and the intercept, all calibrated. Without any labels all weights are zero and every score is 0.5.
     """
     sc = docs.sparkSession.sparkContext
-    known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("double")).alias("label"))
-    there = known.count()
-    share = min(1.0, most / max(1, there))
-    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))).select(F.col("doc_id").alias("id"), "label")
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id"))
-    key = F.xxhash64(F.col("doc_id"), F.lit(7))
-    ready = _featurised(rows.select(key.alias("row_key"), "label", F.pmod(key, F.lit(SHARDS)).cast("int").alias("shard"), "text"))
-    ready = checkpointed(ready.repartition(SHARDS, "shard"))
+    ready = training_rows(docs, labels, most)
     state = Ftrl()
     for _ in range(rounds):
         shared = sc.broadcast((state.z.astype(np.float32), state.n.astype(np.float32), state.bias))
@@ -188,7 +195,7 @@ def fit(docs: DataFrame, labels: DataFrame, rounds: int = 4, passes: int = 2, mo
     w = state.weights(np.arange(1 << BITS))
     at = np.flatnonzero(w).astype(np.uint32)
     shared = sc.broadcast((at, w[at], state.intercept()))
-    own = ready.mapInPandas(_logits(shared), "label double, logit double").collect()  # of the bounded sample
+    own = ready.where(F.col("shard") == SHARDS).mapInPandas(_logits(shared), "label double, logit double").collect()  # of the bounded sample
     shared.destroy()
     slope, shift = calibration(np.array([r["logit"] for r in own]), np.array([r["label"] for r in own]))
     return {"at": at, "weights": (slope * w[at]).astype(np.float32), "intercept": slope * state.intercept() + shift}
