@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .memo import Memo
@@ -37,18 +38,18 @@ class Packer:
     def __init__(self, tokens: int, segments: int, loss: int, cut: bool):
         self.limits = np.array([tokens, segments, loss], np.float64)
         self.cut = cut
-        self.waiting: dict[tuple[int, int], deque] = defaultdict(deque)
+        self.waiting: dict[tuple[int, int, int], deque] = defaultdict(deque)
         self.n = 0
         self._classes: np.ndarray | None = None
 
-    def add(self, item, tokens: int, loss: int) -> None:
-        queue = self.waiting[tokens, loss]
+    def add(self, item, tokens: int, loss: int, segments: int = 1) -> None:
+        queue = self.waiting[tokens, loss, segments]
         if not queue:
             self._classes = None
         queue.append(item)
         self.n += 1
 
-    def _take(self, key: tuple[int, int]):
+    def _take(self, key: tuple[int, int, int]):
         queue = self.waiting[key]
         item = queue.popleft()
         self.n -= 1
@@ -59,8 +60,8 @@ class Packer:
 
     def _table(self) -> np.ndarray:
         if self._classes is None:
-            keys = np.array(sorted(self.waiting), np.float64).reshape(-1, 2)
-            self._classes = np.column_stack([keys[:, 0], np.ones(len(keys)), keys[:, 1]])
+            keys = np.array(sorted(self.waiting), np.float64).reshape(-1, 3)
+            self._classes = keys[:, [0, 2, 1]]
         return self._classes
 
     def sequence(self) -> list[tuple]:
@@ -72,7 +73,7 @@ class Packer:
             if not len(fits):
                 if not out and not self.cut:
                     key = max(self.waiting)
-                    return [(self._take(key), *key, 0)]
+                    return [(self._take(key), key[0], key[1], 0)]
                 if self.cut and left[0] >= 1 and left[1] >= 1 and left[2] >= 1:
                     key = max(self.waiting)
                     room = int(min(left[0], left[2]))
@@ -80,17 +81,17 @@ class Packer:
                 break
             best = fits[np.argmax(table[fits] @ (left / self.limits**2))]
             tokens, loss = int(table[best, 0]), int(table[best, 2])
-            out.append((self._take((tokens, loss)), tokens, loss, 0))
+            out.append((self._take((tokens, loss, int(table[best, 1]))), tokens, loss, 0))
             left -= table[best]
             if not left.all():
                 break
         return out
 
 
-def pack_examples(examples: DataFrame, tokens: int, segments: int, loss: int, id_column: str = "example_id", tokens_column: str = "n_tokens", loss_column: str = "n_loss", buffer: int = BUFFER) -> DataFrame:
+def pack_examples(examples: DataFrame, tokens: int, segments: int, loss: int, id_column: str = "example_id", tokens_column: str = "n_tokens", loss_column: str = "n_loss", segments_column: str | None = None, buffer: int = BUFFER) -> DataFrame:
     """Whole examples into sequences: id, sequence_id, position, offset (tokens before it there), oversize.
 
-    An example beyond a limit stands alone and is marked oversize. Null counts are 0; an example of no tokens still takes a segment. Repeated
+    An example is one segment, or as many as segments_column says. One beyond a limit stands alone and is marked oversize. Null counts are 0; an example of no tokens still takes its segments. Repeated
     ids are packed as rows of their own; an empty table gives no rows; other columns play no part.
     """
     schema = T.StructType([T.StructField(id_column, examples.schema[id_column].dataType), T.StructField("sequence_id", T.LongType()), T.StructField("position", T.IntegerType()), T.StructField("offset", T.LongType()), T.StructField("oversize", T.BooleanType())])
@@ -104,8 +105,8 @@ def pack_examples(examples: DataFrame, tokens: int, segments: int, loss: int, id
             out = []
             while packer.n > down_to:
                 at = 0
-                for k, (item, size, bearing, _) in enumerate(packer.sequence()):
-                    out.append((item, sequence, k, at, size > tokens or bearing > loss))
+                for k, ((item, parts), size, bearing, _) in enumerate(packer.sequence()):
+                    out.append((item, sequence, k, at, size > tokens or bearing > loss or parts > segments))
                     at += size
                 sequence += 1
             if out:
@@ -114,13 +115,14 @@ def pack_examples(examples: DataFrame, tokens: int, segments: int, loss: int, id
 
         for batch in batches:
             kind = batch.column(0).type
-            for item, n, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                packer.add(item, int(n or 0), int(m or 0))
+            for item, n, m, parts in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                packer.add((item, int(parts or 0)), int(n or 0), int(m or 0), int(parts or 0))
                 if packer.n >= 2 * buffer:
                     yield from filled(buffer)
         yield from filled(0)
 
-    return examples.select(id_column, tokens_column, loss_column).mapInArrow(run, schema)
+    parts = F.col(segments_column) if segments_column else F.lit(1)
+    return examples.select(id_column, tokens_column, loss_column, parts.alias("segments__")).mapInArrow(run, schema)
 
 
 class WordIds:
@@ -185,6 +187,39 @@ def word_ids(tokenizer_file: str) -> WordIds:
     return WordIds(tokenizer_file)
 
 
+def token_sizes(rows: DataFrame, tokenizer_file: str, keys: list[str], batch_bytes: int = 1 << 20) -> DataFrame:
+    """The keys and n_tokens, the ids of a row's text and an end id; null texts are empty."""
+    schema = T.StructType([*(rows.schema[k] for k in keys), T.StructField("n_tokens", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = word_ids(tokenizer_file)
+        for batch in batches:
+            raw, offsets = column_bytes(batch.column(len(keys)))
+            lo = 0
+            while lo < batch.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + batch_bytes, side="right")) - 1)
+                texts = [raw[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "replace") for i in range(lo, hi)]
+                sizes = [len(own) // 4 + 1 for own in ids.encode(texts)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(lo, hi - lo) for k in range(len(keys))), pa.array(sizes, pa.int64())], names=schema.names)
+                lo = hi
+
+    return rows.select(*keys, F.col("text").alias("text__")).mapInArrow(run, schema)
+
+
+def pack_conversations(turns: DataFrame, tokenizer_file: str, tokens: int = 2048, segments: int = 32, loss: int = 1024) -> DataFrame:
+    """Whole conversations into sequences, with limits on tokens, on turns and on the tokens of the assistant, which bear loss.
+
+    turns: conv_id, role, text. One row a conv_id (rows of a null id are one): n_tokens, n_loss, n_turns and where it lies, as pack_examples says, segments being turns.
+    Null texts are empty and null roles no assistant; the sums of a conversation are combined before their shuffle, however many turns it has.
+    """
+    counted = token_sizes(turns, tokenizer_file, ["conv_id", "role"])
+    bearing = F.sum(F.when(F.col("role") == "assistant", F.col("n_tokens")).otherwise(0)).alias("n_loss")
+    sums = counted.groupBy("conv_id").agg(F.sum("n_tokens").alias("n_tokens"), bearing, F.count("*").alias("n_turns"))
+    example = F.struct("conv_id", "n_tokens", "n_loss", "n_turns").alias("example")
+    packed = pack_examples(sums.select(example, "n_tokens", "n_loss", "n_turns"), tokens, segments, loss, "example", segments_column="n_turns")
+    return packed.select("example.*", "sequence_id", "position", "offset", "oversize")
+
+
 PIECES = T.StructType([T.StructField(n, T.LongType()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
 
 
