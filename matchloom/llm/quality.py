@@ -2,7 +2,7 @@
 
 Each view has its own logistic regression. In every round each view scores all unlabelled documents, whatever their number, and the documents it is
 surest of, by a threshold over all of them, join the other view's training rows. Both are then calibrated on labelled documents that neither has
-seen, and the calibrated views are combined into one score for every document. Only rows that enter a fit are bounded: labelled ones by a hash of the
+seen, and the calibrated views are combined, on further such documents, into one score for every document. Only rows that enter a fit are bounded: labelled ones by a hash of the
 id, and of the sure ones a weighted sample in which every language and source that has any takes part.
 """
 
@@ -138,8 +138,16 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), *packed], names=_VIEWS.names)
 
 
+def _both_kinds(label: np.ndarray, rows: np.ndarray) -> bool:
+    return len(rows) >= 20 and 0 < label[rows].sum() < len(rows)
+
+
 def trained(views: tuple[np.ndarray, np.ndarray], label: np.ndarray, held: np.ndarray, given: tuple[tuple | None, tuple | None] = (None, None), last: bool = True) -> dict:
-    """Models of both views and, after the last round, their combination. held: labelled rows kept for calibration; given: by view, (features, labels, weights) of documents that the other view is sure of."""
+    """Models of both views and, after the last round, their combination.
+
+    held: labelled rows kept for calibration, every other one for that of the views and the rest for the combination (all for both where a half has
+    under 20 rows or one kind); given: by view, (features, labels, weights) of documents that the other view is sure of.
+    """
     train = np.flatnonzero(~held)
     models = []
     for v, more in zip(views, given, strict=True):
@@ -151,13 +159,16 @@ def trained(views: tuple[np.ndarray, np.ndarray], label: np.ndarray, held: np.nd
     scales, shifts = [1.0, 1.0], [0.0, 0.0]
     joint = np.array([0.5, 0.5, 0.0])
     kept = np.flatnonzero(held)
-    if last and len(kept) >= 20 and 0 < label[kept].sum() < len(kept):
-        both = np.column_stack([m.logit(v[kept]) for m, v in zip(models, views, strict=True)])
+    if last and _both_kinds(label, kept):
+        halves = (kept[::2], kept[1::2])
+        mine, rest = halves if all(_both_kinds(label, h) for h in halves) else (kept, kept)
+        logits = lambda rows: np.column_stack([m.logit(v[rows]) for m, v in zip(models, views, strict=True)])
+        both = logits(mine)
         for k in (0, 1):
-            one = Logit().fit(both[:, k : k + 1].astype(np.float32), label[kept], ridge=1e-2)
+            one = Logit().fit(both[:, k : k + 1].astype(np.float32), label[mine], ridge=1e-2)
             scales[k], shifts[k] = float(one.w[0] / one.scale[0]), float(one.b - one.w[0] * one.mean[0] / one.scale[0])
-        calibrated = both * scales + shifts
-        one = Logit().fit(calibrated.astype(np.float32), label[kept], ridge=1e-2)
+        calibrated = logits(rest) * scales + shifts
+        one = Logit().fit(calibrated.astype(np.float32), label[rest], ridge=1e-2)
         slope = one.w / one.scale
         joint = np.array([slope[0], slope[1], one.b - float((slope * one.mean).sum())])
     out = {"scales": np.array(scales), "shifts": np.array(shifts), "joint": joint, "positive": np.array(np.clip(label[train].mean(), 0.02, 0.98))}
@@ -279,7 +290,8 @@ def _score(model: dict, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
 def scored(docs: DataFrame, model: dict | None, keep: list[str]) -> DataFrame:
     """The `keep` columns with quality_score, content_score and metadata_score, each 0..1 (higher: better). Without a model all are 1.
 
-    Null and empty texts are texts without words; null languages and sources are values of their own; other columns play no part.
+    Null and empty texts are texts without words; null languages and sources are values of their own; repeated rows have equal scores, ties stay ties; an
+    empty table gives no rows; other columns play no part.
     """
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(n, T.DoubleType()) for n in ("quality_score", "content_score", "metadata_score")])
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -295,5 +307,9 @@ def scored(docs: DataFrame, model: dict | None, keep: list[str]) -> DataFrame:
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row per row of docs: doc_id, quality_score, content_score, metadata_score, keep (quality_score >= 0.5)."""
+    """One row per row of docs: doc_id, quality_score, content_score, metadata_score, keep (quality_score >= 0.5).
+
+    Null and empty texts, languages and sources are scored like others; repeated rows have equal scores; rows with a null id are never labelled; without labels of
+    both kinds all scores are 1; an empty table gives no rows; other columns play no part.
+    """
     return scored(docs, fit(docs, labels), ["doc_id"]).withColumn("keep", F.col("quality_score") >= 0.5)

@@ -33,3 +33,42 @@ def test_thresholds_hold_the_surest():
     assert quality.thresholds(counts, 6, 2) == (900, -500)
     assert quality.thresholds(counts, 100, 100) == (400, -500)
     assert quality.thresholds({0: 9}, 5, 5) == (1600, -1600)
+
+
+def test_scores_against_plain_co_training(spark):
+    """Co-training in one process, over all documents at once: as few documents as here are given whole, with weights of 1."""
+    import numpy as np
+
+    from matchloom.llm import words
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id is not null").dropDuplicates(["doc_id"])
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    rows = docs.select("doc_id", *quality._INPUT, F.xxhash64("doc_id", F.lit(5)).alias("known_key"), F.xxhash64("doc_id", *quality._INPUT, F.lit(5)).alias("key")).toArrow().to_pandas()
+    known = {r["doc_id"]: int(r["quality"]) for r in labels.where("quality is not null").collect()}
+    label = np.array([known.get(i, -1) for i in rows["doc_id"]])
+    import pyarrow as pa
+
+    (_, _, t), = words.slices(pa.array(rows["text"]), words.SPACE, False, 1 << 40)
+    views = quality.content(t), quality.metadata(t, list(rows["lang"]), list(rows["source"]), np.maximum(rows["n_chars"].fillna(0).to_numpy(np.float64), 0))
+    mine = np.flatnonzero(label >= 0)
+    mine = mine[np.lexsort(([v.tobytes() for v in views[0][mine].astype(np.float32)], rows["known_key"].to_numpy()[mine]))]
+    rest = np.flatnonzero(label < 0)
+    own, y, held = tuple(v[mine] for v in views), label[mine], rows["known_key"].to_numpy()[mine] % 4 == 0
+    given = (None, None)
+    for k in range(quality.ROUNDS + 1):
+        model = quality.trained(own, y, held, given, k == quality.ROUNDS)
+        if k < quality.ROUNDS:
+            steps = [np.trunc(quality._logit(model, v, views[v][rest]) * quality.STEPS).astype(int) for v in (0, 1)]
+            share, positive, new = quality.SHARE * (k + 1) * len(rest), float(model["positive"]), []
+            for taught in (0, 1):
+                s = steps[1 - taught]
+                up, down = quality.thresholds({int(a): int(n) for a, n in zip(*np.unique(s, return_counts=True), strict=True)}, max(1, int(share * positive)), max(1, int(share * (1 - positive))))
+                sure = np.flatnonzero((s >= up) | (s <= down))
+                sure = sure[np.argsort(rows["key"].to_numpy()[rest[sure]])]
+                new.append((views[taught][rest[sure]], (s[sure] >= up).astype(int), np.ones(len(sure))))
+            given = tuple(new)
+    assert all(len(g[1]) > 10 for g in given)
+    want = dict(zip(rows["doc_id"], quality._score(model, *views)[0], strict=True))
+    got = {r["doc_id"]: r["quality_score"] for r in quality.report(docs, labels).collect()}
+    assert got.keys() == want.keys()
+    assert max(abs(got[i] - want[i]) for i in got) < 0.02 and np.mean([abs(got[i] - want[i]) < 1e-3 for i in got]) > 0.95
