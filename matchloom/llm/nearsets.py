@@ -3,7 +3,8 @@
 Rows of equal sets are one node. A band is a hash of a few minima of the set; two sets of similarity s share one of the bands with
 probability 1 - (1 - s**ROWS)**BANDS, which is 0.9997 at s = 0.8 and grows with s. In each group of an equal band the members are first compared with its
 smallest node; then every pair whose nodes that leaves in different components is compared. So a large cluster of true copies costs
-one comparison a member and band, and no pair of a group is left out. All comparisons are exact, on the sets of 64-bit shingle hashes.
+one comparison a member and band, and no pair of a group is left out. All comparisons are exact, on the sets of 64-bit shingle hashes, which are made once and
+only for rows that are in some pair; texts are not shuffled.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .graph import components
-from .session import checkpointed
+from .session import checkpointed, dealt, may_hold
 from .words import SPACE, Texts, mix, runs, slices
 
 SHINGLE, BANDS, ROWS = 5, 20, 5
@@ -95,11 +96,8 @@ def _sets(rows: DataFrame) -> DataFrame:
     return rows.select("row", "text").mapInArrow(run, "node long, shingles binary")
 
 
-def _near(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Those of the pairs (u, v), which are distinct, whose sets are at least LEAST alike."""
-    pairs = checkpointed(pairs)
-    ends = pairs.select(F.col("u").alias("row")).union(pairs.select(F.col("v").alias("row"))).distinct()
-    sets = checkpointed(_sets(rows.join(ends, "row", "left_semi")))
+def _near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs (u, v), which are distinct, whose sets are at least LEAST alike. sets: (node, shingles), dealt by node."""
     both = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
     p, q = LEAST
 
@@ -118,6 +116,13 @@ def _near(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     return checkpointed(both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long"))
 
 
+def _between_nodes(proposed: DataFrame, own: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs of rows as pairs of the first rows of their sets, u < v."""
+    node_of = own.select("row", "same").join(nodes.select("same", "node"), "same").select("row", "node")
+    ends = proposed.join(node_of.select(F.col("row").alias("u"), F.col("node").alias("a")), "u").join(node_of.select(F.col("row").alias("v"), F.col("node").alias("b")), "v")
+    return ends.where("a != b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+
+
 def near_copies(rows: DataFrame, proposed: DataFrame | None = None) -> DataFrame:
     """(row, kept) for each row of rows (row, doc_id, text; row is distinct and the table is written, so that it reads the same again).
 
@@ -127,30 +132,32 @@ def near_copies(rows: DataFrame, proposed: DataFrame | None = None) -> DataFrame
     own = checkpointed(signatures(rows))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row")).alias("best")
     nodes = checkpointed(own.groupBy("same").agg(F.min("row").alias("node"), best, F.first("bands").alias("bands")))
-    told = None
-    if proposed is not None:
-        node_of = own.select("row", "same").join(nodes.select("same", "node"), "same").select("row", "node")
-        ends = proposed.join(node_of.select(F.col("row").alias("u"), F.col("node").alias("a")), "u").join(node_of.select(F.col("row").alias("v"), F.col("node").alias("b")), "v")
-        told = _near(ends.where("a != b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), rows)
     placed = nodes.select("node", F.explode("bands").alias("band"))
-    if told is not None:
-        # the part of a node: of a band, parts that are one already are not compared again
-        known = checkpointed(components(told)).withColumnRenamed("root", "part")
-        placed = placed.join(known, "node", "left").select("node", "band", F.coalesce("part", "node").alias("part"))
+    many = placed.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("band", "least")
+    groups = checkpointed(placed.join(many, "band"))
+    known = checkpointed(_between_nodes(proposed, own, nodes)) if proposed is not None else None
+    ends = groups.select("node")
+    if known is not None:
+        ends = ends.union(known.select("u")).union(known.select("v"))
+    # whole sets of the rows that are in some pair, and of few others
+    sets = dealt(_sets(rows.where(may_hold(ends, "node")(F.col("row")))), "node")
+    pairs = groups.where("node != least").select(F.col("least").alias("u"), F.col("node").alias("v")).distinct()
+    if known is not None:
+        told = _near(known, sets)
+        # what the proposals have made one is not compared again
+        one = checkpointed(components(told))
+        at = pairs.join(one.select(F.col("node").alias("u"), F.col("root").alias("p")), "u", "left").join(one.select(F.col("node").alias("v"), F.col("root").alias("q")), "v", "left")
+        pairs = at.where(F.coalesce("p", "u") != F.coalesce("q", "v")).select("u", "v")
+        stars = told.union(_near(pairs, sets))
     else:
-        placed = placed.withColumn("part", F.col("node"))
-    many = placed.groupBy("band").agg(F.min("node").alias("least"), F.min("part").alias("one"), F.max("part").alias("most")).where("one < most").select("band", "least")
-    groups = checkpointed(placed.select("node", "band").join(many, "band"))
-    stars = _near(groups.where("node != least").select(F.col("least").alias("u"), F.col("node").alias("v")).distinct(), rows)
-    if told is not None:
-        stars = checkpointed(stars.union(told).distinct())
+        stars = _near(pairs, sets)
     roots = components(stars).withColumnRenamed("root", "part")
     split = groups.join(roots, "node", "left").select("band", "node", F.coalesce("part", "node").alias("part"))
     parts = checkpointed(split.select("band", "part").distinct())
     crossed = parts.join(parts.select("band", F.col("part").alias("other")), "band").where("part < other")
     left, right = split.select("band", "part", F.col("node").alias("a")), split.select("band", F.col("part").alias("other"), F.col("node").alias("b"))
     pairs = crossed.join(left, ["band", "part"]).join(right, ["band", "other"]).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
-    joined = components(stars.union(_near(pairs, rows)))
+    joined = components(stars.union(_near(checkpointed(pairs), sets)))
     rooted = nodes.join(joined, "node", "left").select("same", "best", F.coalesce("root", "node").alias("root"))
     kept = rooted.groupBy("root").agg(F.min("best").alias("best")).select("root", F.col("best.row").alias("kept"))
     return own.select("row", "same").join(rooted.join(kept, "root").select("same", "kept"), "same").select("row", "kept")

@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -39,5 +43,35 @@ def dealt(df: DataFrame, key: str) -> DataFrame:
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
 
 
+#: Bits of a filter, and of a part of it that one row of the aggregation makes. 16 MB in all, whatever the number of keys.
+FILTER_BITS, PART_BITS = 1 << 27, 1 << 15
+
+
+def may_hold(keys: DataFrame, column: str) -> Callable[[Column], Column]:
+    """A condition on a long column that holds for all keys and for few others: a bitmap of hashes, of fixed size.
+
+    Strangers pass in the share of the bitmap that is set, so that an exact join must follow; it has little to do as long as keys are few against FILTER_BITS.
+    """
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    placed = keys.select(at(F.col(column)).alias("p")).select(F.floor(F.col("p") / PART_BITS).cast("int").alias("part"), (F.col("p") % PART_BITS).alias("bit"))
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    for row in placed.groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits")).collect():  # 4096 rows of 4 KB at most
+        bits[row["part"] * PART_BITS // 8 :][: PART_BITS // 8] = np.frombuffer(bytes(row["bits"]), np.uint8)
+    shared = keys.sparkSession.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def held(p: pd.Series) -> pd.Series:
+        place = p.to_numpy()
+        return pd.Series((shared.value[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool))
+
+    return lambda c: held(at(c))
+
+
+def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """rows (written) less those whose key, a long, is among `gone`. Only rows that may be among them are shuffled."""
+    may = may_hold(gone, key)(F.col(key))
+    return rows.where(~may).union(rows.where(may).join(gone, key, "left_anti").select(rows.columns))
+
+
 def tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
