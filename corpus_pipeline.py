@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchloom.llm import decontam, packing, quality, simhash, substring
-from matchloom.llm.session import shared_folder
+from matchloom.llm.session import checkpointed, shared_folder, without
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -39,8 +39,8 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     at = f"{shared_folder(spark)}/near-copies-{spark.sparkContext.applicationId}-{os.urandom(6).hex()}"
     docs.select(F.monotonically_increasing_id().alias("row"), *COLUMNS).write.parquet(at)
     rows = spark.read.parquet(at)
-    gone = simhash.near_copies(rows).where("row != kept").select("row")
-    return rows.join(gone, "row", "left_anti").select(COLUMNS)
+    gone = checkpointed(simhash.near_copies(rows).where("row != kept").select("row"))
+    return without(rows, gone, "row").select(COLUMNS)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
