@@ -23,12 +23,12 @@ def sigmoid(x: Column) -> Column:
     return 1.0 / (1.0 + F.exp(-F.greatest(F.lit(-40.0), F.least(F.lit(40.0), x))))
 
 
-def linear(weights: dict[str, float], scales: dict[str, float] | None = None) -> Column:
-    """Weighted sum of named columns, each divided by its scale; absent (null) features count as 0."""
-    scales = scales or {}
+def linear(weights: dict[str, float], scales: dict[str, float] | None = None, instead: dict[str, Column] | None = None) -> Column:
+    """Weighted sum of named columns, each divided by its scale; absent (null) features count as 0. instead: other columns for some names."""
+    scales, instead = scales or {}, instead or {}
     out = F.lit(0.0)
     for name, w in weights.items():
-        out = out + F.coalesce(F.col(name).cast("double"), F.lit(0.0)) * F.lit(w / scales.get(name, 1.0))
+        out = out + F.coalesce(instead.get(name, F.col(name)).cast("double"), F.lit(0.0)) * F.lit(w / scales.get(name, 1.0))
     return out
 
 

@@ -20,8 +20,11 @@ def words(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Words of two characters or more that are neither stop words nor digits alone."""
-    return F.filter(words(text), lambda w: (F.length(w) > 1) & ~w.isin(STOP_WORDS) & ~w.rlike(r"^[0-9]+$"))
+    """Words of two characters or more that are neither stop words nor digits alone.
+
+    Upper and lower case are one; other Unicode forms (ligatures, full width, sharp s) are not: give nfkc_casefold(text) where they should be.
+    """
+    return F.filter(words(text), lambda w: (F.length(w) > 1) & ~w.isin(STOP_WORDS) & (F.translate(w, "0123456789", "") != ""))
 
 
 def norm(text: Column) -> Column:
@@ -29,16 +32,25 @@ def norm(text: Column) -> Column:
     return F.array_join(words(text), " ")
 
 
+def trigrams_of(value: Column) -> Column:
+    """Distinct runs of three characters; fewer than three give none. One pass: a look-ahead at every place."""
+    return F.array_distinct(F.coalesce(F.regexp_extract_all(value, F.lit("(?=(.{3}))"), F.lit(1)), F.array().cast("array<string>")))
+
+
 def trigrams(text: Column) -> Column:
-    """Distinct character trigrams of the normal form; fewer than three characters give none. One pass: a look-ahead at every place."""
-    return F.array_distinct(F.coalesce(F.regexp_extract_all(norm(text), F.lit("(?=(.{3}))"), F.lit(1)), F.array().cast("array<string>")))
+    """Distinct character trigrams of the normal form."""
+    return trigrams_of(norm(text))
 
 
 def char_grams(token: Column, sizes: tuple[int, ...] = (3, 4, 5)) -> Column:
     """Character n-grams of a token padded by a space on either side, repeats included."""
     padded = F.concat(F.lit(" "), token, F.lit(" "))
-    each = [F.when(F.length(padded) < n, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - n + 1, F.lit(1))), lambda i, n=n: F.substring(padded, i, F.lit(n)))) for n in sizes]
-    return F.concat(*each)
+
+    def runs(n: int) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - n + 1, F.lit(1))), lambda i: F.substring(padded, i, F.lit(n)))
+        return F.when(F.length(padded) < n, F.array().cast("array<string>")).otherwise(every)
+
+    return F.concat(*map(runs, sizes))
 
 
 def contains_phrase(text: Column, phrase: Column) -> Column:

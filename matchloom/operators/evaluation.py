@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .graph import running
+
 
 def tally(rows: DataFrame, old: Column, new: Column, slices: str) -> DataFrame:
     """Per slice, and over all (slice null): n, correct before and after, fixes, regressions, net."""
@@ -33,15 +35,17 @@ def cross_tab(rows: DataFrame, by: str, cell: str, cells: list[str]) -> DataFram
 def percentiles(rows: DataFrame, by: str, value: str) -> DataFrame:
     """n, min, lower median, nearest-rank p95, p95 by floor and rounded index, max, zeros. Nulls do not count.
 
-    A value's place among its group's sorted values comes from a window, so that no group is gathered into an array.
+    Equal values are counted first; the places of different values come from running sums over ranges of them, so that no group is one task.
     """
-    w = Window.partitionBy(by).orderBy(value)
-    placed = rows.where(F.col(value).isNotNull()).select(by, value, (F.row_number().over(w) - 1).alias("i"), F.count("*").over(Window.partitionBy(by)).alias("n"))
-    n, i = F.col("n"), F.col("i")
-    at = lambda k: F.max(F.when(i == k, F.col(value)))
-    return placed.groupBy(by).agg(
+    counted = rows.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("m"))
+    placed = running(counted, [value], "m", by)
+    sizes = counted.groupBy(by).agg(F.sum("m").alias("n"))
+    sized = placed.join(sizes.withColumnRenamed(by, "by__"), F.col(by).eqNullSafe(F.col("by__"))).drop("by__")
+    n, i, m = F.col("n"), F.col("before"), F.col("m")
+    at = lambda k: F.max(F.when((i <= k) & (k < i + m), F.col(value)))
+    return sized.groupBy(by).agg(
         F.first("n").alias("n"), F.min(value).alias("least"), at(F.ceil(n * 0.5) - 1).alias("p50_lower"), at(F.ceil(n * 0.95) - 1).alias("p95_nearest"),
-        at(F.floor((n - 1) * 0.95)).alias("p95_floor"), at(F.floor((n - 1) * 0.95 + 0.5)).alias("p95_rounded"), F.max(value).alias("most"), F.count_if(F.col(value) == 0).alias("zeros"),
+        at(F.floor((n - 1) * 0.95)).alias("p95_floor"), at(F.floor((n - 1) * 0.95 + 0.5)).alias("p95_rounded"), F.max(value).alias("most"), F.sum(F.when(F.col(value) == 0, m).otherwise(0)).alias("zeros"),
     )
 
 

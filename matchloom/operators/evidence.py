@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from matchloom.functions import text as tx
 
+from .graph import checkpointed, sided
+from .retrieval import covering
+
 
 def lines(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, idx, line) of every text, in order."""
@@ -24,12 +27,17 @@ def previous_and_next(rows: DataFrame, key: str, value: str, ahead: int = 3) ->
     return rows.withColumn("before", F.lag(value).over(w)).withColumns({f"after_{i}": F.lead(value, i).over(w) for i in range(1, ahead + 1)})
 
 
-def coverage(claims: DataFrame, read: DataFrame, claim: str, packet: str, weight: str = "w") -> DataFrame:
-    """(claim, packet, coverage, n_read): the weighted share of a claim's terms that a packet reads, each term once at its best grade.
+def coverage(claims: DataFrame, read: DataFrame, claim: str, packet: str, weight: str = "w", floor: float = 0.0) -> DataFrame:
+    """(claim, packet, coverage, n_read): the weighted share of a claim's terms that a packet reads, each term once at its best grade, from `floor` on.
 
-    claims: claim, term, weight; read: packet, term, grade in 0..1.
+    claims: claim, term, weight; read: packet, term, grade in 0..1. Terms that no claim has do not leave their task; with a floor, packets are
+    found by the heaviest terms of a claim (see retrieval.covering).
     """
-    best = read.groupBy(packet, "term").agg(F.max("grade").alias("grade"))
+    wanted = sided(checkpointed(claims.select("term").distinct()))
+    best = read.join(wanted, "term", "left_semi").groupBy(packet, "term").agg(F.max("grade").alias("grade"))
+    if floor > 0:
+        got = covering(claims, best, claim, packet, weight, floor, F.col("grade"))
+        return got.select(claim, packet, F.round(F.col("hit") / F.col("mass"), 9).alias("coverage"), "n_read")
     mass = claims.groupBy(claim).agg(F.sum(weight).alias("mass"))
     hit = claims.join(best, "term").groupBy(claim, packet).agg(F.sum(F.col(weight) * F.col("grade")).alias("hit"), F.count("*").alias("n_read"))
     return hit.join(mass, claim).where("mass > 0").select(claim, packet, F.round(F.col("hit") / F.col("mass"), 9).alias("coverage"), "n_read")

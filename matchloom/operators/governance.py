@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchloom.functions.text import hash_share, pair_key
 
-from .graph import checkpointed
+from .graph import checkpointed, running
 
 
 def audit(rows: DataFrame, key: str, pools: list[tuple[str, DataFrame, str, str]]) -> DataFrame:
@@ -41,25 +42,23 @@ def closure(edges: DataFrame, roots: DataFrame, most_rounds: int = 60) -> DataFr
 def grouped_split(groups: DataFrame, group: str, size: str, salt: str, share: float, overshoot: float = 1.25) -> DataFrame:
     """(group, role): groups in the order of a salted hash go to 'selection' until it has `share` of all rows; one that would pass `overshoot` times that is skipped.
 
-    The skip makes it a sequence over groups, not rows: the table of groups, which is one row a component, is worked through once, in one task that
-    keeps one running sum.
+    A group is skipped only if it has more than overshoot - 1 of what is wanted; of such groups there are few, whatever the number of rows, and the driver walks over them alone. All
+    others are taken until there are enough, which running sums over ranges of hashes tell.
     """
-    total = groups.agg(F.sum(size)).first()[0] or 0
+    own = groups.select(F.col(group), F.col(size).cast("long").alias("n__"), F.sha2(F.concat(F.lit(salt), F.col(group).cast("string")), 256).alias("h__"))
+    total = own.agg(F.sum("n__")).first()[0] or 0
     want = share * total
-    kind = groups.schema[group].dataType.simpleString()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        taken = 0
-        for pdf in batches:
-            roles = []
-            for n in pdf["n__"]:
-                ok = taken < want and taken + n <= overshoot * want
-                taken += n if ok else 0
-                roles.append("selection" if ok else "fit")
-            yield pd.DataFrame({group: pdf[group], "role": roles})
-
-    ordered = groups.select(F.col(group), F.col(size).cast("long").alias("n__"), F.sha2(F.concat(F.lit(salt), F.col(group).cast("string")), 256).alias("h__")).coalesce(1).sortWithinPartitions("h__", group)
-    return ordered.mapInPandas(run, f"{group} {kind}, role string")
+    placed = running(own.withColumn("small__", F.when(F.col("n__") > (overshoot - 1) * want, 0).otherwise(F.col("n__"))), ["h__"], "small__")
+    taken = []  # hash, rows
+    for r in placed.where(F.col("n__") > (overshoot - 1) * want).orderBy("h__").collect():  # 1 / (share * (overshoot - 1)) groups at most
+        before = r["before"] + sum(n for _, n in taken)
+        if before < want and before + r["n__"] <= overshoot * want:
+            taken.append((r["h__"], r["n__"]))
+    before = F.col("before")
+    for h, n in taken:
+        before = before + F.when(F.col("h__") > h, n).otherwise(0)
+    chosen = F.when(F.col("n__") > (overshoot - 1) * want, F.col("h__").isin([h for h, _ in taken])).otherwise(before < want)
+    return placed.select(group, F.when(chosen, "selection").otherwise("fit").alias("role"))
 
 
 def share_split(rows: DataFrame, group: str, salt: str, share: float) -> DataFrame:
@@ -83,9 +82,34 @@ def edges_admitted(members: DataFrame, group: str, member: str, edges: DataFrame
     return n.join(hit, group, "left").select(group, "pairs", F.coalesce("admitted", F.lit(0)).alias("admitted"), (F.coalesce("admitted", F.lit(0)) == F.col("pairs")).alias("all_admitted"))
 
 
+#: Hashes of a side that a task of nearest_hash compares.
+HASH_BLOCK = 8192
+
+
 def nearest_hash(rows: DataFrame, refs: DataFrame, on: str, a: str, b: str) -> DataFrame:
-    """rows with min_bits: the least number of differing bits to a reference of the same `on` value; null without one."""
-    return rows.join(refs, on, "left").groupBy(*rows.columns).agg(F.min(F.bit_count(F.col(a).bitwiseXOR(F.col(b)))).alias("min_bits"))
+    """rows with min_bits: the least number of differing bits to a reference of the same `on` value; null without one.
+
+    Different hashes alone are compared, block against block, and a task returns one number a hash: no pair leaves it, and a large value of `on` is many tasks.
+    """
+    left, right = rows.select(on, a).where(F.col(on).isNotNull() & F.col(a).isNotNull()).distinct(), refs.select(on, b).where(F.col(on).isNotNull() & F.col(b).isNotNull()).distinct()
+    blocks = lambda side, name: side.groupBy(on).agg(F.ceil(F.count("*") / HASH_BLOCK).cast("int").alias(name))
+    grid = blocks(left, "p").join(blocks(right, "q"), on)
+    place = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one = left.join(grid, on).select(on, F.col(a).alias("a"), place(a, "p").alias("g"), every("q").alias("h")).groupBy(on, "g", "h").agg(F.collect_list("a").alias("xs"))
+    two = right.join(grid, on).select(on, F.col(b).alias("b"), every("p").alias("g"), place(b, "q").alias("h")).groupBy(on, "g", "h").agg(F.collect_list("b").alias("ys"))
+    kind = rows.schema[on].dataType.simpleString()
+
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for key, xs, ys in zip(pdf[on], pdf["xs"], pdf["ys"], strict=True):
+                y = np.asarray(ys, np.int64)
+                least = np.concatenate([np.bitwise_count((x[:, None] ^ y[None, :]).view(np.uint64)).min(axis=1) for x in np.array_split(np.asarray(xs, np.int64), max(1, len(xs) // 512))])
+                yield pd.DataFrame({on: key, a: xs, "bits": least.astype(np.int32)})
+
+    found = one.join(two, [on, "g", "h"]).select(on, "xs", "ys").mapInPandas(task, f"{on} {kind}, {a} long, bits int")
+    best = found.groupBy(on, a).agg(F.min("bits").alias("min_bits"))
+    return rows.join(best, [on, a], "left").select(*rows.columns, "min_bits")
 
 
 def batches(rows: DataFrame, by: str, order: list, size: int) -> DataFrame:

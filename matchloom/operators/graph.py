@@ -8,24 +8,36 @@ number of steps that grows with the logarithm of its size.
 
 from __future__ import annotations
 
+import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """df with its lineage cut, written to the shared folder of spark.checkpoint.dir.
 
-    Where the session names no such folder (tests on one machine), a temporary one is set.
+    Where the session names no such folder, a temporary one is set if all runs on one machine; else it raises.
     """
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master or ""):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint(eager=True)
 
 
+#: Rows (of about 100 bytes) up to which a side of a join is broadcast.
+MOST_BROADCAST = 200_000
+
+
+def sided(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """df, which is written, marked to be broadcast if it has at most `most` rows; else it is joined by a shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of u points to the smallest of u and its neighbours."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -60,3 +72,23 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def running(rows: DataFrame, order: list[str], value: str, by: str | None = None) -> DataFrame:
+    """rows (written) with `before`, the sum of `value` over the rows that come before in the order, within `by` if given. Rows of one place in the order must be one.
+
+    Rows are dealt by ranges of the order; sums of whole ranges, of which there are few, are added to those inside a range, so that no group is one task.
+    """
+    keys = ([by] if by else []) + order
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = checkpointed(rows.repartitionByRange(parts, *keys).withColumn("range__", F.spark_partition_id()))
+    group = ([by] if by else []) + ["range__"]
+    sums = dealt.groupBy(*group).agg(F.sum(value).alias("sum__"))
+    whole = Window.partitionBy(by) if by else Window.partitionBy(F.lit(0))  # one row a range
+    starts = sums.withColumn("start__", F.coalesce(F.sum("sum__").over(whole.orderBy("range__").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("sum__")
+    starts = starts.select(*(F.col(c).alias(f"{c}_s") for c in group), "start__")
+    same = F.lit(True)
+    for c in group:
+        same = same & F.col(c).eqNullSafe(F.col(f"{c}_s"))
+    inside = F.coalesce(F.sum(value).over(Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return dealt.join(F.broadcast(starts), same).withColumn("before", F.col("start__") + inside).drop("range__", "start__", *(f"{c}_s" for c in group))

@@ -41,11 +41,17 @@ def representative(rows: DataFrame, by: str, member: str, priority: list[Column]
     return rows.withColumn("r__", F.row_number().over(w)).where("r__ = 1").select(by, member)
 
 
-def perturbed(rows: DataFrame, by: str, key: str, weights: dict[str, float], step: float) -> DataFrame:
-    """(feature, n, violations): how often adding `step` times the sign of a weight to one candidate's feature lowers its own score."""
-    cells = rows.select(by, key, linear(weights).alias("base"), F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.lit(w).alias("w")) for n, w in weights.items()])).alias("f"))
-    after = F.col("base") + F.abs(F.col("f.w")) * step
-    return cells.groupBy(F.col("f.feature").alias("feature")).agg(F.count("*").alias("n"), F.count_if(after < F.col("base")).alias("violations"))
+def perturbed(rows: DataFrame, weights: dict[str, float], step: float, scales: dict[str, float] | None = None) -> DataFrame:
+    """(feature, n, raised, violations): how often a candidate's score grows, and how often it falls, if `step` times the sign of its weight is added to one feature.
+
+    The feature's column is changed and the candidate is scored again, by the scorer that ranks; a weight of the wrong sign, a scale below zero or a clipped feature shows.
+    """
+    cells = []
+    for name, w in weights.items():
+        moved = F.coalesce(F.col(name).cast("double"), F.lit(0.0)) + step * ((w > 0) - (w < 0))
+        cells.append(F.struct(F.lit(name).alias("feature"), F.round(linear(weights, scales), 9).alias("base"), F.round(linear(weights, scales, {name: moved}), 9).alias("after")))
+    each = rows.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
+    return each.groupBy("feature").agg(F.count("*").alias("n"), F.count_if(F.col("after") > F.col("base")).alias("raised"), F.count_if(F.col("after") < F.col("base")).alias("violations"))
 
 
 def without_feature(rows: DataFrame, by: str, key: str, weights: dict[str, float], feature: str) -> DataFrame:

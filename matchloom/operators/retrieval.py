@@ -1,13 +1,19 @@
-"""Text retrieval over inverted indexes: every search is an equi-join on terms, never a comparison of all pairs."""
+"""Text retrieval over inverted indexes: every search is an equi-join on terms, never a comparison of all pairs.
+
+The side of the queries comes first: documents are scanned for the terms of the queries alone, which are broadcast if they are few. Searches with a
+floor join the rarest terms of a query first, one of which every document above the floor must hold, and complete the sums of those documents alone.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchloom.functions import text as tx
 from matchloom.functions.numbers import rrf_sum
 
+from .graph import checkpointed, sided
+
 
 def postings(docs: DataFrame, key: str, text: str, terms=tx.tokens) -> DataFrame:
     """(key, term, tf) of every text."""
@@ -27,82 +33,167 @@ def specificity(pairs: DataFrame, term: str, owner: str) -> DataFrame:
     return per.join(F.broadcast(n)).select(term, "owners", value.alias("specificity"))  # n is one row
 
 
-def weighted(index: DataFrame, key: str, df: DataFrame, n_docs: DataFrame) -> DataFrame:
-    """(key, term, w): (1 + ln tf) * (ln((N + 1) / (df + 1)) + 1), of length 1 by key."""
-    raw = index.join(df, "term").join(F.broadcast(n_docs)).select(key, "term", ((1 + F.log("tf")) * (F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1)).alias("w"))
-    total = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"))
-    return raw.join(total, key).select(key, "term", (F.col("w") / F.col("len")).alias("w"))
+def sets(docs: DataFrame, key: str, text: str, terms=tx.tokens) -> DataFrame:
+    """(key, term), distinct within each row: no shuffle, as ids are those of one row each."""
+    return docs.select(F.col(key), F.explode(F.array_distinct(terms(F.col(text)))).alias("term"))
+
+
+def weights(tf: str = "tf", df: str = "df", n: str = "n_docs") -> Column:
+    """(1 + ln tf) * (ln((N + 1) / (df + 1)) + 1)"""
+    return (1 + F.log(tf)) * (F.log((F.col(n) + 1) / (F.col(df) + 1)) + 1)
+
+
+def weighted(index: DataFrame, key: str, df: DataFrame, n_docs: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """(key, term, w): weights of length 1 by key, of the wanted terms alone if given. One pass: lengths are summed where the wanted terms are gathered."""
+    raw = index.join(df, "term").join(F.broadcast(n_docs)).select(key, "term", weights().alias("w"))
+    if wanted is not None:
+        raw = raw.join(wanted.select("term", F.lit(True).alias("wanted")), "term", "left")
+    held = F.struct("term", "w") if wanted is None else F.when(F.col("wanted"), F.struct("term", "w"))
+    rows = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"), F.collect_list(held).alias("terms"))
+    return rows.select(key, "len", F.explode("terms").alias("t")).select(key, F.col("t.term").alias("term"), (F.col("t.w") / F.col("len")).alias("w"))
 
 
-def cosine_top(queries: DataFrame, docs: DataFrame, k: int, query_key: str = "query_id", doc_key: str = "doc_id", text: str = "text") -> DataFrame:
+def cosine_top(queries: DataFrame, docs: DataFrame, k: int, query_key: str = "query_id", doc_key: str = "doc_id", text: str = "text", terms=tx.tokens) -> DataFrame:
     """(query, doc, score, rank): the k documents of largest TF-IDF cosine; terms unknown to the documents count for nothing.
 
-    Scores are compared at nine digits, so that equal texts tie and the smaller id comes first.
+    terms: what a text is made of, words or character n-grams. Scores are compared at nine digits, so that equal texts tie and the smaller id comes first.
     """
-    index = postings(docs, doc_key, text)
-    df, n = document_frequency(index, doc_key), docs.agg(F.countDistinct(doc_key).alias("n_docs"))
-    d = weighted(index, doc_key, df, n)
-    q = weighted(postings(queries, query_key, text), query_key, df, n).withColumnRenamed("w", "wq")
-    scored = q.join(d, "term").groupBy(query_key, doc_key).agg(F.round(F.sum(F.col("w") * F.col("wq")), 9).alias("score"))
+    index = postings(docs, doc_key, text, terms)
+    df, n = checkpointed(document_frequency(index, doc_key)), docs.agg(F.countDistinct(doc_key).alias("n_docs"))
+    asked = checkpointed(postings(queries, query_key, text, terms))
+    q = weighted(asked, query_key, df, n).withColumnRenamed("w", "wq")
+    d = weighted(index, doc_key, sided(df), n, sided(asked.select("term").distinct()))
+    scored = sided(checkpointed(q)).join(d, "term").groupBy(query_key, doc_key).agg(F.round(F.sum(F.col("w") * F.col("wq")), 9).alias("score"))
     w = Window.partitionBy(query_key).orderBy(F.desc("score"), doc_key)
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def query_terms(queries: DataFrame, docs: DataFrame, query_key: str, doc_key: str, text: str, idf: Column, terms=tx.tokens) -> DataFrame:
+    """(query, term, df, n_docs, idf) of the distinct terms of queries; document frequencies are counted for these terms alone. idf: of columns df and n_docs."""
+    own = checkpointed(sets(queries, query_key, text, terms))
+    n = docs.agg(F.countDistinct(doc_key).alias("n_docs"))
+    df = sets(docs, doc_key, text, terms).join(sided(own.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    counted = own.join(df, "term", "left").join(F.broadcast(n)).withColumn("df", F.coalesce("df", F.lit(0)))
+    return checkpointed(counted.withColumn("idf", idf))
+
+
+def covering(claims: DataFrame, read: DataFrame, claim: str, packet: str, weight: str, floor: float, grade: Column | None = None) -> DataFrame:
+    """(claim, packet, hit, mass, n_read) of packets that read at least `floor` of a claim's mass.
+
+    claims: claim, term, weight (not below 0); read: packet, term, distinct; grade: of columns of read, in 0..1, 1 by default. Prefix filter: the terms of a claim in order of
+    falling weight, as long as what is left, this term included, reaches the floor. A packet that reads none of them cannot reach it. Those that do are completed from the other terms.
+    """
+    grade = F.lit(1.0) if grade is None else grade
+    w = Window.partitionBy(claim).orderBy(F.desc(weight), "term")
+    before = F.coalesce(F.sum(weight).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    ordered = claims.select(claim, "term", F.col(weight).alias("w__"), F.sum(weight).over(Window.partitionBy(claim)).alias("mass"), before.alias("before")).where("mass > 0")
+    ordered = checkpointed(ordered.withColumn("head", F.col("mass") - F.col("before") >= (floor - 1e-8) * F.col("mass")))
+    graded = read.select(packet, "term", grade.alias("grade"))
+    heads = sided(ordered.where("head").select(claim, "term", "w__", "mass"))
+    rest_mass = ordered.where("not head").groupBy(claim).agg(F.sum("w__").alias("rest"))
+    begun = heads.join(graded, "term").groupBy(claim, packet).agg(F.sum(F.col("w__") * F.col("grade")).alias("hit"), F.count("*").alias("n"), F.first("mass").alias("mass"))
+    may = begun.join(sided(checkpointed(rest_mass)), claim, "left").where(F.col("hit") + F.coalesce("rest", F.lit(0.0)) >= (floor - 1e-8) * F.col("mass"))
+    may = checkpointed(may.select(claim, packet, "hit", "n", "mass"))
+    tails = sided(ordered.where("not head").select(claim, "term", "w__"))
+    more = graded.join(sided(may.select(packet).distinct()), packet, "left_semi").join(tails, "term").join(may.select(claim, packet), [claim, packet], "left_semi")
+    more = more.groupBy(claim, packet).agg(F.sum(F.col("w__") * F.col("grade")).alias("more"), F.count("*").alias("m"))
+    full = may.join(more, [claim, packet], "left").select(claim, packet, (F.col("hit") + F.coalesce("more", F.lit(0.0))).alias("hit"), "mass", (F.col("n") + F.coalesce("m", F.lit(0))).alias("n_read"))
+    return full.where(F.round(F.col("hit") / F.col("mass"), 9) >= floor)
+
+
 def blended_top(queries: DataFrame, docs: DataFrame, k: int, query_key: str = "query_id", doc_key: str = "doc_id", text: str = "text", floor: float = 0.12) -> DataFrame:
     """(query, doc, overlap, jaccard, score, rank): .75 of the IDF share of the query's tokens that a document has, and .25 of trigram Jaccard.
 
-    Kept where a token is shared or the Jaccard similarity is at least `floor`.
+    IDF is ln(1 + N / (1 + df)), 1 for a token that no document has; trigrams are of the tokens, one space apart. Kept where a token is shared or the Jaccard similarity is at
+    least `floor`; a query without tokens has no results. A document that cannot reach the k-th best share of its query, even if its trigrams were as alike as
+    the numbers of trigrams allow, is not compared; documents without a shared token are found by the rarest trigrams of a query, as many as the similarity needed leaves.
     """
-    index = postings(docs, doc_key, text).drop("tf")
-    df, n = document_frequency(index, doc_key), docs.agg(F.countDistinct(doc_key).alias("n_docs"))
-    own = postings(queries, query_key, text).drop("tf").join(df, "term", "left").join(F.broadcast(n))
-    own = own.select(query_key, "term", F.log((F.col("n_docs") + 1) / (F.coalesce("df", F.lit(0)) + 1)).alias("idf"))
+    idf = F.when(F.col("df") > 0, F.log(1 + F.col("n_docs") / (1 + F.col("df")))).otherwise(1.0)
+    own = query_terms(queries, docs, query_key, doc_key, text, idf)
+    grams = lambda t: tx.trigrams_of(F.array_join(tx.tokens(t), " "))
+    forms = checkpointed(docs.select(doc_key, F.array_distinct(tx.tokens(F.col(text))).alias("terms"), grams(F.col(text)).alias("dg")).withColumn("nd", F.size("dg")))
     mass = own.groupBy(query_key).agg(F.sum("idf").alias("mass"))
-    overlap = own.join(index, "term").groupBy(query_key, doc_key).agg(F.sum("idf").alias("hit"))
-    qg = queries.select(query_key, F.explode(tx.trigrams(F.col(text))).alias("g"), F.size(tx.trigrams(F.col(text))).alias("nq"))
-    dg = docs.select(doc_key, tx.trigrams(F.col(text)).alias("gs")).select(doc_key, F.size("gs").alias("nd"), F.explode("gs").alias("g"))
-    shared = qg.join(dg, "g").groupBy(query_key, doc_key).agg(F.count("*").alias("both"), F.first("nq").alias("nq"), F.first("nd").alias("nd"))
-    pairs = shared.join(overlap, [query_key, doc_key], "full").join(mass, query_key, "left")
-    share = F.coalesce(F.col("hit") / F.when(F.col("mass") > 0, F.col("mass")), F.lit(0.0))
-    jaccard = F.coalesce(F.col("both") / (F.col("nq") + F.col("nd") - F.col("both")), F.lit(0.0))
-    scored = pairs.select(query_key, doc_key, F.round(share, 9).alias("overlap"), F.round(jaccard, 9).alias("jaccard"), F.round(0.75 * share + 0.25 * jaccard, 9).alias("score"))
+    asked = checkpointed(checkpointed(queries.select(query_key, grams(F.col(text)).alias("qg"))).join(mass, query_key).withColumn("nq", F.size("qg")))
+    held = forms.select(doc_key, "nd", F.explode("terms").alias("term"))
+    hits = held.join(sided(own.where("df > 0").select(query_key, "term", "idf")), "term").groupBy(query_key, doc_key).agg(F.sum("idf").alias("hit"), F.first("nd").alias("nd"))
+    shares = checkpointed(hits.join(sided(asked.select(query_key, "mass", "nq")), query_key).select(query_key, doc_key, "nq", "nd", (F.col("hit") / F.greatest("mass", F.lit(1e-8))).alias("overlap")))
+    place = Window.partitionBy(query_key).orderBy(F.desc("overlap"), doc_key)
+    kth = shares.withColumn("r", F.row_number().over(place)).where(F.col("r") == k).select(query_key, F.col("overlap").alias("kth"))
+    reach = F.least("nq", "nd") / F.greatest("nq", "nd", F.lit(1))
+    near = shares.join(sided(checkpointed(kth)), query_key, "left").where(0.75 * F.col("overlap") + 0.25 * reach >= 0.75 * F.coalesce("kth", F.lit(0.0)) - 1e-9)
+    # without a shared token a document needs this similarity to be kept, and to come before the k-th
+    needed = asked.join(kth, query_key, "left").withColumn("least", F.greatest(F.lit(floor), 3 * F.coalesce("kth", F.lit(0.0)) - 1e-8)).where("least <= 1 and nq > 0")
+    strangers = checkpointed(needed.select(query_key, "nq", "least", F.explode("qg").alias("g")))
+    pairs = near.select(query_key, doc_key, "overlap")
+    if not strangers.isEmpty():
+        wanted = sided(strangers.select("g").distinct())
+        index = forms.select(doc_key, "nd", F.explode("dg").alias("g")).join(wanted, "g", "left_semi")
+        df = index.groupBy("g").agg(F.count("*").alias("df"))
+        rarest = Window.partitionBy(query_key).orderBy(F.coalesce("df", F.lit(0)), "g")
+        prefix = strangers.join(df, "g", "left").withColumn("r", F.row_number().over(rarest)).where(F.col("r") <= F.col("nq") - F.ceil(F.col("least") * F.col("nq")) + 1)
+        found = index.join(sided(checkpointed(prefix.select(query_key, "g", "nq", "least"))), "g").where(F.least("nq", "nd") >= F.col("least") * F.greatest("nq", "nd") - 1e-9)
+        alone = found.select(query_key, doc_key).distinct().join(shares.select(query_key, doc_key), [query_key, doc_key], "left_anti")
+        pairs = pairs.unionByName(alone.withColumn("overlap", F.lit(0.0)))
+    pairs = checkpointed(pairs.join(sided(asked.select(query_key, "qg", "nq")), query_key).join(forms.select(doc_key, "dg", "nd"), doc_key).withColumn("shared", F.size(F.array_intersect("qg", "dg"))).drop("qg", "dg"))
+    jaccard = F.col("shared") / F.greatest(F.col("nq") + F.col("nd") - F.col("shared"), F.lit(1))
+    scored = pairs.select(query_key, doc_key, F.round("overlap", 9).alias("overlap"), F.round(jaccard, 9).alias("jaccard"), F.round(0.75 * F.col("overlap") + 0.25 * jaccard, 9).alias("score"))
     w = Window.partitionBy(query_key).orderBy(F.desc("score"), doc_key)
     return scored.where((F.col("overlap") > 0) | (F.col("jaccard") >= floor)).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def inverted_candidates(queries: DataFrame, docs: DataFrame, owner: str, k: int, cover: float = 0.5, query_key: str = "query_id", doc_key: str = "doc_id", text: str = "text") -> DataFrame:
     """(query, owner, doc, coverage, rank): for each query the k owners whose best document covers at least `cover` of its IDF mass."""
-    index = postings(docs, doc_key, text).drop("tf")
-    df, n = document_frequency(index, doc_key), docs.agg(F.countDistinct(doc_key).alias("n_docs"))
-    own = postings(queries, query_key, text).drop("tf").join(df, "term", "left").join(F.broadcast(n)).select(query_key, "term", F.log((F.col("n_docs") + 1) / (F.coalesce("df", F.lit(0)) + 1)).alias("idf"))
-    mass = own.groupBy(query_key).agg(F.sum("idf").alias("mass"))
-    got = own.join(index, "term").groupBy(query_key, doc_key).agg(F.sum("idf").alias("hit")).join(mass, query_key)
-    seeds = got.select(query_key, doc_key, F.round(F.col("hit") / F.col("mass"), 9).alias("coverage")).where(F.col("coverage") >= cover).join(docs.select(doc_key, owner), doc_key)
+    own = query_terms(queries, docs, query_key, doc_key, text, F.log((F.col("n_docs") + 1) / (F.col("df") + 1)))
+    got = covering(own, sets(docs, doc_key, text), query_key, doc_key, "idf", cover)
+    seeds = got.select(query_key, doc_key, F.round(F.col("hit") / F.col("mass"), 9).alias("coverage")).join(docs.select(doc_key, owner), doc_key)
     best = seeds.withColumn("r", F.row_number().over(Window.partitionBy(query_key, owner).orderBy(F.desc("coverage"), doc_key))).where("r = 1")
     return best.withColumn("rank", F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("coverage"), owner))).where(F.col("rank") <= k).select(query_key, owner, doc_key, "coverage", "rank")
 
 
-def fuzzy_pairs(words: DataFrame, word: str = "word") -> DataFrame:
+def _less(words: Column, most: Column) -> Column:
+    """A word and what is left of it without up to `most` (0 to 2) of its characters, distinct."""
+    one = lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))
+    once = F.when(most >= 1, one(words)).otherwise(F.array().cast("array<string>"))
+    twice = F.when(most >= 2, F.flatten(F.transform(once, one))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(F.array(words), once, twice))
+
+
+def fuzzy_pairs(words: DataFrame, word: str = "word", unblocked: bool = False) -> DataFrame:
     """(a, b, distance) of distinct words a < b within the edit limit of the shorter one.
 
-    Blocked: equal first or equal last character and lengths at most two apart, which every admitted pair of such words shares in one key.
+    Blocked: only words of equal first or equal last character and of lengths at most two apart are compared. Pairs that differ at both ends are lost, whatever
+    their distance; unblocked=True compares by all ways of leaving out up to two characters instead, which loses none.
     """
     distinct = words.select(F.col(word).alias("w")).where("w != ''").distinct()
+    a, b = F.col("a"), F.col("b")
+    limit = F.least(tx.edit_limit(F.length(a)), tx.edit_limit(F.length(b)))
+    if unblocked:
+        plain = distinct.where(~F.col("w").rlike("[0-9]") & (F.length("w") >= 5))
+        left_out = plain.select("w", F.explode(_less(F.col("w"), tx.edit_limit(F.length("w")))).alias("rest"))
+        pairs = left_out.withColumnRenamed("w", "a").join(left_out.withColumnRenamed("w", "b"), "rest").where(a < b).select("a", "b").distinct()
+        return pairs.select("a", "b", F.levenshtein(a, b).alias("distance"), limit.alias("most")).where("distance <= most").select("a", "b", "distance")
     keyed = distinct.select("w", F.explode(F.array(F.concat(F.lit("^"), F.substring("w", 1, 1)), F.concat(F.lit("$"), F.substring(F.col("w"), F.length("w"), F.lit(1))))).alias("end"), F.length("w").alias("n"))
     left = keyed.select(F.col("w").alias("a"), F.col("end"), F.explode(F.array(*[F.col("n") + d for d in range(-2, 3)])).alias("n"))
     right = keyed.select(F.col("w").alias("b"), "end", "n")
-    a, b = F.col("a"), F.col("b")
-    limit = F.least(tx.edit_limit(F.length(a)), tx.edit_limit(F.length(b)))
     pairs = left.join(right, ["end", "n"]).where((a < b) & ~a.rlike("[0-9]") & ~b.rlike("[0-9]") & (limit > 0))
     return pairs.select("a", "b", F.levenshtein(a, b).alias("distance"), limit.alias("most")).where("distance <= most").select("a", "b", "distance").distinct()
 
 
 def phrase_hits(phrases: DataFrame, docs: DataFrame, phrase_key: str, doc_key: str, text: str = "text") -> DataFrame:
-    """(phrase_key, doc_key, start): places where all words of a phrase stand in a row. phrases: phrase_key and words (an array)."""
-    p = phrases.select(phrase_key, F.size("words").alias("n"), F.posexplode("words").alias("k", "word"))
-    d = docs.select(doc_key, F.posexplode(tx.words(F.col(text))).alias("pos", "word"))
-    at = d.join(p, "word").groupBy(phrase_key, doc_key, (F.col("pos") - F.col("k")).alias("start")).agg(F.count("*").alias("found"), F.first("n").alias("n"))
-    return at.where("found = n").select(phrase_key, doc_key, "start")
+    """(phrase_key, doc_key, start): places where all words of a phrase stand in a row. phrases: phrase_key and words (an array).
+
+    Runs are joined by a hash of all their words, for each length that phrases have, and compared word by word; runs that no phrase has do not leave their task.
+    """
+    p = checkpointed(phrases.select(phrase_key, "words", F.size("words").alias("n"), F.xxhash64("words").alias("h")).where("n > 0"))
+    found = None
+    for n in sorted(r["n"] for r in p.select("n").distinct().collect()):
+        own = sided(p.where(F.col("n") == n).select(phrase_key, "h", F.col("words").alias("phrase")))
+        run = lambda i, n=n: F.slice("w", i, n)
+        long = docs.select(doc_key, tx.words(F.col(text)).alias("w")).where(F.size("w") >= n)
+        at = long.select(doc_key, F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.struct(i.alias("i"), run(i).alias("run")))).alias("r"))
+        hit = at.select(doc_key, (F.col("r.i") - 1).alias("start"), F.col("r.run").alias("run"), F.xxhash64("r.run").alias("h")).join(own, "h").where("run = phrase").select(phrase_key, doc_key, "start")
+        found = hit if found is None else found.union(hit)
+    return found if found is not None else p.join(docs.select(doc_key), F.lit(False)).select(phrase_key, doc_key, F.lit(0).alias("start"))
 
 
 def fuse(first: DataFrame, second: DataFrame, by: str, key: str, families: DataFrame | None = None, limit: int = 40) -> DataFrame:

@@ -1,8 +1,8 @@
 """Nearest entities by vector: per channel, over all rows of a gallery.
 
-A gallery row has an entity, a channel and a vector. The score of an entity in a channel is its best row's. Queries are a bounded set: their matrix
-is broadcast if it has at most MOST_QUERIES rows and is worked on in blocks of that size beyond. Every task multiplies its rows of the
-gallery with the matrix and sends the best row per query, channel and entity only.
+A gallery row has an entity, a channel and a vector. The score of an entity in a channel is its best row's. Queries and gallery are packed in blocks, and groups of
+blocks meet in a grid, so that a block is sent once for each group of the other side. A task multiplies its blocks and sends the best row per query,
+channel and entity only.
 """
 
 from __future__ import annotations
@@ -11,13 +11,42 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from matchloom.functions.numbers import length
 
-MOST_QUERIES = 4096
+from .graph import checkpointed
+
+#: Rows of a block, and blocks of a group of the grid.
+QUERY_BLOCK, GALLERY_BLOCK, GROUP = 1024, 4096, 8
+
+
+def _packed(rows: DataFrame, most: int) -> DataFrame:
+    """(block, payload): up to `most` rows as an Arrow stream."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for lo in range(0, batch.num_rows, most):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, batch.schema) as out:
+                    out.write_batch(batch.slice(lo, most))
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "payload"])
+                k += 1
+
+    return rows.mapInArrow(run, "block long, payload binary")
+
+
+def _unpacked(payload: pa.Scalar) -> pa.Table:
+    return pa.ipc.open_stream(payload.as_buffer()).read_all().combine_chunks()
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    own = column.combine_chunks()
+    return own.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(own), -1)
 
 
 def norm_report(rows: DataFrame, vector: str, tolerance: float = 1e-4) -> DataFrame:
@@ -32,44 +61,42 @@ def entity_scores(queries: DataFrame, gallery: DataFrame, query_id: str = "query
 
     Queries: query_id, vector. A query is not compared with the gallery row of its own id. Vectors must have one length.
     """
-    sc = gallery.sparkSession.sparkContext
     kinds = gallery.schema
     schema = T.StructType([T.StructField("query_id", queries.schema[query_id].dataType), T.StructField("channel", kinds[channel].dataType), T.StructField("entity", kinds[entity].dataType), T.StructField("score", T.DoubleType()), T.StructField("row_id", kinds[row_id].dataType)])
-    out, block = None, []
-
-    def part(rows: list) -> DataFrame:
-        ids = [r[0] for r in rows]
-        shared = sc.broadcast((ids, np.array([r[1] for r in rows], np.float64)))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            asked, q = shared.value
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                own, chan, ent, v = batch.columns
-                x = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-                scores = np.zeros((len(q), len(x)))
-                for d in range(x.shape[1]):  # a sum from the first component on, so that equal vectors have equal scores
-                    scores += q[:, d : d + 1] * x[None, :, d]
-                scores[np.array(asked, object)[:, None] == np.array(own.to_pylist(), object)[None, :]] = -np.inf
-                keys = [f"{c}\x00{e}" for c, e in zip(chan.to_pylist(), ent.to_pylist(), strict=True)]
-                _, key = np.unique(keys, return_inverse=True)
-                order = np.argsort(np.array(own.to_pylist()), kind="stable")
-                for k in range(key.max() + 1):
-                    at = order[key[order] == k]
-                    best = at[np.argmax(scores[:, at], axis=1)]
-                    value = scores[np.arange(len(q)), best]
-                    ok = np.flatnonzero(np.isfinite(value))
-                    yield pa.RecordBatch.from_arrays([pa.array([asked[i] for i in ok]), chan.take(pa.array(best[ok])), ent.take(pa.array(best[ok])), pa.array(value[ok]), own.take(pa.array(best[ok]))], names=schema.names)
-
-        return gallery.select(row_id, channel, entity, vector).mapInArrow(run, schema)
-
-    for row in queries.select(query_id, vector).toLocalIterator():
-        block.append((row[0], row[1]))
-        if len(block) == MOST_QUERIES:
-            out, block = part(block) if out is None else out.union(part(block)), []
-    if block or out is None:
-        out = part(block) if out is None else out.union(part(block))
+    asked, rows = checkpointed(_packed(queries.select(query_id, vector), QUERY_BLOCK)), checkpointed(_packed(gallery.select(row_id, channel, entity, vector), GALLERY_BLOCK))
+    p, q = (max(1, -(-side.count() // GROUP)) for side in (asked, rows))
+    place = lambda n: F.pmod(F.xxhash64("block"), F.lit(n)).alias
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias
+    left = asked.select(place(p)("g"), every(q)("h"), F.col("payload").alias("query_rows"))
+    right = rows.select(every(p)("g"), place(q)("h"), F.col("payload").alias("gallery_rows"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x, y in zip(batch.column(0), batch.column(1), strict=True):
+                yield tile(_unpacked(x), _unpacked(y))
+
+    def tile(some: pa.Table, held: pa.Table) -> pa.RecordBatch:
+        ids, q = some.column(0), _matrix(some.column(1))
+        own, chan, ent, x = *(held.column(k).combine_chunks() for k in range(3)), _matrix(held.column(3))
+        scores = np.zeros((len(q), len(x)))
+        for d in range(x.shape[1]):  # a sum from the first component on, so that equal vectors have equal scores
+            scores += q[:, d : d + 1] * x[None, :, d]
+        scores[np.array(ids.to_pylist(), object)[:, None] == np.array(own.to_pylist(), object)[None, :]] = -np.inf
+        _, key = np.unique([f"{c}\x00{e}" for c, e in zip(chan.to_pylist(), ent.to_pylist(), strict=True)], return_inverse=True)
+        # rows in order of key, then id: the first of the largest scores of a key is the one of the smallest id
+        order = np.lexsort((np.array(own.to_pylist()), key))
+        starts = np.flatnonzero(np.r_[True, np.diff(key[order]) > 0])
+        which, best = [], []
+        for at in np.split(order, starts[1:]):
+            first = at[np.argmax(scores[:, at], axis=1)]
+            ok = np.flatnonzero(np.isfinite(scores[np.arange(len(q)), first]))
+            which.append(ok)
+            best.append(first[ok])
+        i, j = np.concatenate(which), np.concatenate(best)
+        columns = [ids.combine_chunks().take(pa.array(i)), chan.take(pa.array(j)), ent.take(pa.array(j)), pa.array(scores[i, j]), own.take(pa.array(j))]
+        return pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    out = left.join(right, ["g", "h"]).select("query_rows", "gallery_rows").mapInArrow(run, schema)
     best = F.max(F.struct(F.col("score"), (-F.col("row_id")).alias("back"))).alias("best")
     return out.groupBy("query_id", "channel", "entity").agg(best).select("query_id", "channel", "entity", F.col("best.score").alias("score"), (-F.col("best.back")).alias("row_id"))
 

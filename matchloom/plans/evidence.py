@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchloom.functions import text as tx
-from matchloom.operators import evidence, ranking, vector
+from matchloom.operators import evidence, ranking, retrieval, vector
 
 from .common import SQL_RANKS, gallery, sql_tokens, sql_words, table, vector_queries
 
@@ -45,24 +45,16 @@ _CLAIMS = f"""ix AS (SELECT DISTINCT doc_id, unnest({sql_tokens("text")}) AS ter
 claims AS (SELECT item_id, term, ln((n + 1) / (coalesce(df, 0) + 1)) AS w FROM (SELECT DISTINCT item_id, unnest({sql_tokens("text")}) AS term FROM benchmark) LEFT JOIN df USING (term), n)"""
 
 
-def _claims(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    docs = table(spark, sf_dir, "documents")
-    read = docs.select("doc_id", F.explode(tx.tokens(F.col("text"))).alias("term")).distinct()
-    df = read.groupBy("term").agg(F.count("*").alias("df"))
-    n = docs.agg(F.count("*").alias("n"))
-    own = table(spark, sf_dir, "benchmark").select("item_id", F.explode(tx.tokens(F.col("text"))).alias("term")).distinct()
-    return own.join(df, "term", "left").join(F.broadcast(n)).select("item_id", "term", F.log((F.col("n") + 1) / (F.coalesce("df", F.lit(0)) + 1)).alias("w")), read
-
-
 @query(f"""WITH {_CLAIMS}, mass AS (SELECT item_id, sum(w) AS mass FROM claims GROUP BY item_id),
 hit AS (SELECT item_id, doc_id, sum(w * CASE WHEN length(term) > 4 THEN 1.0 ELSE 0.5 END) AS hit, count(*) AS n_read FROM claims JOIN ix USING (term) GROUP BY ALL)
-SELECT item_id, doc_id, round(hit / mass, 6) AS coverage, n_read FROM hit JOIN mass USING (item_id) WHERE mass > 0 AND hit / mass >= 0.25""")
+SELECT item_id, doc_id, round(hit / mass, 6) AS coverage, n_read FROM hit JOIN mass USING (item_id) WHERE mass > 0 AND round(hit / mass, 9) >= 0.25""")
 def evidence_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which documents read at least a quarter of an item's weighted terms; short terms count half."""
-    claims, read = _claims(spark, sf_dir)
-    graded = read.withColumn("grade", F.when(F.length("term") > 4, 1.0).otherwise(0.5))
-    out = evidence.coverage(claims, graded, "item_id", "doc_id")
-    return out.where("coverage >= 0.25").withColumn("coverage", F.round("coverage", 6))
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    claims = retrieval.query_terms(items, docs, "item_id", "doc_id", "text", F.log((F.col("n_docs") + 1) / (F.col("df") + 1)))
+    grade = F.when(F.length("term") > 4, 1.0).otherwise(0.5)
+    got = retrieval.covering(claims, retrieval.sets(docs, "doc_id", "text"), "item_id", "doc_id", "idf", 0.25, grade)
+    return got.select("item_id", "doc_id", F.round(F.col("hit") / F.col("mass"), 6).alias("coverage"), "n_read")
 
 
 _MARKS = f"""marks AS (SELECT DISTINCT source AS pool, doc_id, array_to_string({sql_words("line")}, ' ') AS line FROM (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS line FROM documents))"""
@@ -178,10 +170,26 @@ def resolve_keep_control(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("query_id", "control", "proposal", "reasons", "final")
 
 
-@query(f"""WITH {_FEATURES}, u AS (SELECT unnest(['s0', 's1', 'rr0', 'rr1', 'support']) AS feature) SELECT feature, count(*) AS n, 0::BIGINT AS violations FROM f, u GROUP BY feature""")
+def _rescored(changed: str) -> str:
+    """The score with 0.1 added to one feature."""
+    terms = {"s0": 2.0 / 0.8, "s1": 1.5 / 0.8, "rr0": 0.6, "rr1": 0.4, "support": 0.25}
+    return "round(" + " + ".join(f"(coalesce({n}, 0) + {0.1 if n == changed else 0}) * {w}" for n, w in terms.items()) + ", 9)"
+
+
+@query(f"""WITH {_FEATURES}, r AS ({" UNION ALL ".join(f"SELECT '{n}' AS feature, {_rescored('')} AS base, {_rescored(n)} AS after FROM f" for n in ("s0", "s1", "rr0", "rr1", "support"))})
+SELECT feature, count(*) AS n, count(*) FILTER (after > base) AS raised, count(*) FILTER (after < base) AS violations FROM r GROUP BY feature""")
 def eval_monotone(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raising a feature in the direction of its weight never lowers a score."""
-    return ranking.perturbed(_features(spark, sf_dir), "query_id", "entity", WEIGHTS, 0.1)
+    """Raising a feature in the direction of its weight raises a score and never lowers it: every candidate is scored again."""
+    return ranking.perturbed(_features(spark, sf_dir), WEIGHTS, 0.1, SCALES)
+
+
+@query("""WITH r AS (SELECT l_partkey, l_returnflag, l_suppkey, row_number() OVER (PARTITION BY l_partkey, l_returnflag ORDER BY l_extendedprice DESC, l_suppkey) AS rank FROM lineitem)
+SELECT l_partkey, min(l_suppkey) AS l_suppkey FROM r WHERE rank = 1 GROUP BY l_partkey HAVING count(DISTINCT l_suppkey) = 1 AND count(DISTINCT l_returnflag) >= 2""")
+def rank_agreed_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts whose dearest line has one supplier under every return flag."""
+    lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_returnflag", "l_suppkey", "l_extendedprice")
+    best = lines.groupBy("l_partkey", "l_returnflag").agg(F.min(F.struct(-F.col("l_extendedprice"), "l_suppkey")).alias("b"))
+    return ranking.agreed(best.select("l_partkey", "l_returnflag", F.col("b.l_suppkey").alias("l_suppkey"), F.lit(1).alias("rank")), "l_partkey", "l_returnflag", "l_suppkey")
 
 
 @query(f"""WITH {_FEATURES}, a AS (SELECT query_id, entity AS first FROM (SELECT query_id, entity, round(coalesce(s0, 0) * 2.0 + coalesce(s1, 0) * 1.5 + coalesce(rr0, 0) * 0.6 + coalesce(rr1, 0) * 0.4 + support * 0.25, 9) AS s FROM f) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, entity) = 1),

@@ -158,16 +158,17 @@ def text_tfidf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _GRAMS = "list_distinct(list_transform(range(1, len(z) - 1), lambda i: z[i] || z[i + 1] || z[i + 2]))"
+_LETTERS = f"string_split(array_to_string({sql_tokens('text')}, ' '), '')"
 
 
 @query(f"""WITH {_INDEX},
-own AS (SELECT item_id, term, ln((n + 1) / (coalesce(df, 0) + 1)) AS idf FROM qx LEFT JOIN df USING (term), n),
+own AS (SELECT item_id, term, CASE WHEN df IS NULL THEN 1.0 ELSE ln(1 + n / (1 + df)) END AS idf FROM (SELECT DISTINCT item_id, term FROM qx) LEFT JOIN df USING (term), n),
 mass AS (SELECT item_id, sum(idf) AS mass FROM own GROUP BY item_id),
 o AS (SELECT item_id, doc_id, sum(idf) AS hit FROM own JOIN ix USING (term) GROUP BY ALL),
-qg AS (SELECT item_id, unnest(gs) AS g, len(gs) AS nq FROM (SELECT item_id, {_GRAMS} AS gs FROM (SELECT item_id, string_split(array_to_string({sql_words("text")}, ' '), '') AS z FROM benchmark))),
-dg AS (SELECT doc_id, unnest(gs) AS g, len(gs) AS nd FROM (SELECT doc_id, {_GRAMS} AS gs FROM (SELECT doc_id, string_split(array_to_string({sql_words("text")}, ' '), '') AS z FROM documents))),
+qg AS (SELECT item_id, unnest(gs) AS g, len(gs) AS nq FROM (SELECT item_id, {_GRAMS} AS gs FROM (SELECT item_id, {_LETTERS} AS z FROM benchmark))),
+dg AS (SELECT doc_id, unnest(gs) AS g, len(gs) AS nd FROM (SELECT doc_id, {_GRAMS} AS gs FROM (SELECT doc_id, {_LETTERS} AS z FROM documents))),
 sh AS (SELECT item_id, doc_id, count(*) AS both_, any_value(nq) AS nq, any_value(nd) AS nd FROM qg JOIN dg USING (g) GROUP BY ALL),
-p AS (SELECT item_id, doc_id, coalesce(hit / nullif(mass, 0), 0) AS overlap, coalesce(both_ / (nq + nd - both_), 0) AS jaccard FROM sh FULL JOIN o USING (item_id, doc_id) LEFT JOIN mass USING (item_id)),
+p AS (SELECT item_id, doc_id, coalesce(hit / greatest(mass, 1e-8), 0) AS overlap, coalesce(both_ / (nq + nd - both_), 0) AS jaccard FROM sh FULL JOIN o USING (item_id, doc_id) JOIN mass USING (item_id)),
 s AS (SELECT item_id, doc_id, round(overlap, 9) AS overlap, round(jaccard, 9) AS jaccard, round(0.75 * overlap + 0.25 * jaccard, 9) AS score FROM p)
 SELECT item_id, doc_id, round(overlap, 6) AS overlap, round(jaccard, 6) AS jaccard, round(score, 6) AS score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s
 WHERE overlap > 0 OR jaccard >= 0.12 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 5""")
@@ -190,15 +191,25 @@ def text_inverted_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("coverage", F.round("coverage", 6))
 
 
-@query(f"""WITH w AS (SELECT DISTINCT unnest({sql_words("text")}) AS w FROM benchmark), k AS (SELECT w, length(w) AS n, CASE WHEN length(w) < 5 THEN 0 WHEN length(w) < 9 THEN 1 ELSE 2 END AS e FROM w WHERE regexp_matches(w, '^[a-z]+$'))
-SELECT a.w AS a, b.w AS b, levenshtein(a.w, b.w)::INT AS distance FROM k a JOIN k b ON a.w < b.w AND abs(a.n - b.n) <= 2 AND (a.w[1] = b.w[1] OR a.w[-1] = b.w[-1])
-WHERE least(a.e, b.e) > 0 AND levenshtein(a.w, b.w) <= least(a.e, b.e)""")
+_FUZZY = f"""WITH w AS (SELECT DISTINCT unnest({sql_words("text")}) AS w FROM benchmark),
+k AS (SELECT w, length(w) AS n, CASE WHEN length(w) < 5 THEN 0 WHEN length(w) < 9 THEN 1 ELSE 2 END AS e FROM w WHERE regexp_matches(w, '^[a-z]+$'))
+SELECT a.w AS a, b.w AS b, levenshtein(a.w, b.w)::INT AS distance FROM k a JOIN k b ON a.w < b.w WHERE least(a.e, b.e) > 0 AND levenshtein(a.w, b.w) <= least(a.e, b.e)"""
+
+
+@query(f"SELECT * FROM ({_FUZZY}) WHERE a[1] = b[1] OR a[-1] = b[-1]")
 def text_fuzzy_block_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of different unmarked words of the benchmark within the edit limit, by blocks of first or last letter and length."""
+    """Pairs of different unmarked words of the benchmark within the edit limit, by blocks of first or last letter and length; pairs that differ at both ends are lost."""
     words = table(spark, sf_dir, "benchmark").select(F.explode(tx.words(F.col("text"))).alias("word"))
     return retrieval.fuzzy_pairs(words.where(F.col("word").rlike("^[a-z]+$")))
 
 
+@query(_FUZZY)
+def text_fuzzy_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of different unmarked words of the benchmark within the edit limit, by what is left of them without one or two letters."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(tx.words(F.col("text"))).alias("word"))
+    return retrieval.fuzzy_pairs(words.where(F.col("word").rlike("^[a-z]+$")), unblocked=True)
+
+
 @query(f"""WITH p AS (SELECT item_id, i AS k, list_slice(w, i, i + 2) AS words FROM (SELECT item_id, w, unnest(range(1, len(w) - 1)) AS i FROM (SELECT item_id, {sql_words("text")} AS w FROM benchmark))),
 d AS (SELECT doc_id, list_slice(w, i, i + 2) AS words FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM (SELECT doc_id, {sql_words("text")} AS w FROM documents)))
 SELECT item_id, doc_id, count(DISTINCT k) AS phrases, count(*) AS places FROM p JOIN d USING (words) GROUP BY ALL""")
@@ -259,3 +270,31 @@ def text_normal_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.col("a") != F.lower("text")).alias("folded_apart"), F.count_if(F.col("b") != F.lower("text")).alias("had_marks"))
 
 
+
+
+_CHARS = (
+    "list_concat(" + ", ".join(f"list_filter(list_transform(range(1, len(p) - {n - 2}), lambda i: substring(p, i, {n})), lambda g: len(p) >= {n})" for n in (3, 4, 5)) + ")"
+)
+
+
+def _sql_char_index(name: str, source: str, key: str, text: str) -> str:
+    """Counts of the 3-, 4- and 5-grams of tokens of three letters or more, between spaces."""
+    return f"""{name}w AS (SELECT {key}, ' ' || w || ' ' AS p FROM (SELECT {key}, unnest({sql_words(text)}) AS w FROM {source}) WHERE length(w) >= 3),
+{name} AS (SELECT {key}, term, count(*) AS tf FROM (SELECT {key}, unnest({_CHARS}) AS term FROM {name}w) GROUP BY ALL)"""
+
+
+@query(f"""WITH {_sql_char_index("ix", "part", "p_partkey", "p_name || ' ' || p_type")}, {_sql_char_index("qx", "customer", "c_custkey", "c_name || ' ' || c_mktsegment")},
+df AS (SELECT term, count(*) AS df FROM ix GROUP BY term), n AS (SELECT count(*) AS n FROM part),
+dw AS (SELECT p_partkey, term, (1 + ln(tf)) * (ln((n + 1) / (df + 1)) + 1) AS w FROM ix JOIN df USING (term), n),
+dl AS (SELECT p_partkey, sqrt(sum(w * w)) AS l FROM dw GROUP BY ALL),
+qw AS (SELECT c_custkey, term, (1 + ln(tf)) * (ln((n + 1) / (df + 1)) + 1) AS w FROM qx JOIN df USING (term), n),
+ql AS (SELECT c_custkey, sqrt(sum(w * w)) AS l FROM qw GROUP BY ALL),
+s AS (SELECT q.c_custkey, d.p_partkey, round(sum(q.w / ql.l * d.w / dl.l), 9) AS score FROM qw q JOIN ql USING (c_custkey) JOIN dw d USING (term) JOIN dl ON dl.p_partkey = d.p_partkey GROUP BY ALL)
+SELECT c_custkey, p_partkey, round(score, 6) AS score, row_number() OVER (PARTITION BY c_custkey ORDER BY score DESC, p_partkey) AS rank FROM s
+QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY score DESC, p_partkey) <= 20""")
+def text_char_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every customer's name and segment the twenty parts of largest cosine of character 3- to 5-grams."""
+    grams = lambda t: F.flatten(F.transform(F.filter(tx.words(t), lambda w: F.length(w) >= 3), lambda w: tx.char_grams(w)))
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("text"))
+    names = table(spark, sf_dir, "customer").select("c_custkey", F.concat_ws(" ", "c_name", "c_mktsegment").alias("text"))
+    return retrieval.cosine_top(names, parts, 20, "c_custkey", "p_partkey", terms=grams).withColumn("score", F.round("score", 6))

@@ -29,14 +29,26 @@ def write_once(df: DataFrame, path: str) -> str:
     return "same"
 
 
+#: Folders into which a ledger's keys are dealt.
+LEDGER_PARTS = 64
+
+
 def append_missing(df: DataFrame, path: str, key: str) -> int:
-    """Append rows whose key the ledger at `path` does not hold; returns how many. A second run adds none."""
+    """Append rows whose key the ledger at `path` does not hold; returns how many. A second run adds none, and a null key is a key like others.
+
+    The ledger lies in folders by a hash of the key (column ledger_part), and only folders of the new keys are read. One writer at a time: two could add one key each.
+    """
     spark = df.sparkSession
-    new = df.join(spark.read.parquet(path).select(key).distinct(), key, "left_anti") if exists(spark, path) else df
-    new = new.persist()
-    n = new.count()
+    new = df.withColumn("ledger_part", F.pmod(F.xxhash64(key), F.lit(LEDGER_PARTS)).cast("int")).persist()
+    fresh = new
+    if exists(spark, path):
+        parts = [r[0] for r in new.select("ledger_part").distinct().collect()]  # LEDGER_PARTS at most
+        held = spark.read.parquet(path).where(F.col("ledger_part").isin(parts)).select(F.col("ledger_part").alias("p__"), F.col(key).alias("k__"))
+        fresh = new.join(held, (F.col("ledger_part") == F.col("p__")) & F.col(key).eqNullSafe(F.col("k__")), "left_anti").persist()
+    n = fresh.count()
     if n:
-        new.write.mode("append").parquet(path)
+        fresh.write.mode("append").partitionBy("ledger_part").parquet(path)
+    fresh.unpersist()
     new.unpersist()
     return n
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from matchloom.functions import boxes, numbers
 from matchloom.functions import text as tx
-from matchloom.operators import evidence, geometry, governance, graph, ranking, retrieval
+from matchloom.operators import evaluation, evidence, geometry, governance, graph, ranking, retrieval, vector
 from matchloom.sources import readers, sinks
 
 
@@ -22,6 +22,7 @@ def test_tokens_and_phrases(spark):
     assert one(spark, tx.tokens(F.col("t")), t="The Café of 1999, x é-9 12") == ["café", "1999"][:1]
     assert one(spark, tx.words(F.col("t")), t=None) == []
     assert one(spark, tx.trigrams(F.col("t")), t="abcab cab") == ["abc", "bca", "cab", "ab ", "b c", " ca"]
+    assert one(spark, tx.char_grams(F.col("t")), t="ab") == [" ab", "ab ", " ab "] and one(spark, tx.char_grams(F.col("t"), (3,)), t="a") == [" a "]
     assert one(spark, tx.contains_phrase(F.col("a"), F.col("b")), a="red wine glass", b="wine glass")
     assert not one(spark, tx.contains_phrase(F.col("a"), F.col("b")), a="red wineglass", b="wine")
     assert not one(spark, tx.contains_phrase(F.col("a"), F.col("b")), a="red", b="")
@@ -137,6 +138,108 @@ def test_fuzzy_pairs_against_all_pairs(spark):
     assert got == want
 
 
+def test_unblocked_fuzzy_pairs_lose_none(spark):
+    rng = random.Random(4)
+    words = sorted({"".join(rng.choice("abcd") for _ in range(rng.choice((4, 5, 6, 9, 10)))) for _ in range(120)} | {"xmargauxes", "ymargauxez", "a1b2c3d4e5"})
+    found = retrieval.fuzzy_pairs(spark.createDataFrame([(w,) for w in words], "word string"), unblocked=True).collect()
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    limit = lambda w: 0 if len(w) < 5 else 1 if len(w) < 9 else 2
+    want = {(a, b, d) for a, b in itertools.combinations(words, 2) if min(limit(a), limit(b)) > 0 and not any(c.isdigit() for c in a + b) and (d := distance(a, b)) <= min(limit(a), limit(b))}
+    assert {tuple(r) for r in found} == want and any(a[0] != b[0] and a[-1] != b[-1] for a, b, _ in want)
+
+
+def test_covering_finds_what_all_pairs_find(spark):
+    rng = random.Random(7)
+    claims = [(c, f"t{t}", rng.choice([0.0, 0.5, 1.0, 3.0])) for c in range(12) for t in rng.sample(range(40), 9)]
+    read = [(p, f"t{t}") for p in range(60) for t in rng.sample(range(40), 12)]
+    grade = F.when(F.col("term").endswith("1"), 0.5).otherwise(1.0)
+    got = retrieval.covering(spark.createDataFrame(claims, "c int, term string, w double"), spark.createDataFrame(read, "p int, term string"), "c", "p", "w", 0.5, grade).collect()
+    held, want = {}, set()
+    for p, t in read:
+        held.setdefault(p, set()).add(t)
+    for c in range(12):
+        own = {t: w for k, t, w in claims if k == c}
+        for p, terms in held.items():
+            hit = sum(w * (0.5 if t.endswith("1") else 1.0) for t, w in own.items() if t in terms)
+            if sum(own.values()) and hit / sum(own.values()) >= 0.5 and any(t in terms for t in own):
+                want.add((c, p, round(hit, 6), len(terms & set(own))))
+    assert {(r["c"], r["p"], round(r["hit"], 6), r["n_read"]) for r in got} == want and want
+
+
+def test_nearest_hash_against_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(governance, "HASH_BLOCK", 7)
+    rng = random.Random(3)
+    rows = [(i, rng.choice("ab"), rng.getrandbits(62)) for i in range(40)] + [(40, "c", 5), (41, None, 5), (42, "a", None)]
+    refs = [(rng.choice("ab"), rng.getrandbits(62)) for _ in range(50)] + [("d", 1), ("a", None)]
+    got = {r["i"]: r["min_bits"] for r in governance.nearest_hash(spark.createDataFrame(rows, "i int, k string, a long"), spark.createDataFrame(refs, "k string, b long"), "k", "a", "b").collect()}
+    assert got == {i: min((bin(a ^ b).count("1") for kk, b in refs if kk == k and b is not None), default=None) if a is not None and k else None for i, k, a in rows}
+
+
+@pytest.mark.parametrize("share", [0.1, 0.2, 0.5, 0.9])
+def test_grouped_split_against_a_plain_walk(spark, share):
+    import hashlib
+
+    rng = random.Random(int(share * 10))
+    sizes = {f"g{i}": rng.choice([1, 2, 3, 40, 90]) for i in range(80)}
+    got = {r["g"]: r["role"] for r in governance.grouped_split(spark.createDataFrame(list(sizes.items()), "g string, n int"), "g", "n", "s", share).collect()}
+    taken, want = 0, share * sum(sizes.values())
+    for g in sorted(sizes, key=lambda g: hashlib.sha256(("s" + g).encode()).hexdigest()):
+        ok = taken < want and taken + sizes[g] <= 1.25 * want
+        taken += sizes[g] * ok
+        assert got[g] == ("selection" if ok else "fit")
+
+
+def test_percentiles_by_places(spark):
+    import math
+
+    rng = random.Random(2)
+    rows = [(k, float(rng.choice([0, 1, 1, 2, 5, rng.random()]))) for k in ("a", "b", None) for _ in range(37)] + [("a", None), ("z", 1.0)]
+    got = {r["k"]: r for r in evaluation.percentiles(spark.createDataFrame(rows, "k string, v double"), "k", "v").collect()}
+    for k in ("a", "b", None, "z"):
+        v = sorted(x for g, x in rows if g == k and x is not None)
+        n = len(v)
+        r = got[k]
+        assert (r["n"], r["least"], r["most"], r["zeros"]) == (n, v[0], v[-1], v.count(0.0))
+        assert (r["p50_lower"], r["p95_nearest"], r["p95_floor"], r["p95_rounded"]) == (v[math.ceil(n * 0.5) - 1], v[math.ceil(n * 0.95) - 1], v[math.floor((n - 1) * 0.95)], v[math.floor((n - 1) * 0.95 + 0.5)])
+
+
+def test_vectors_in_a_grid_against_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(vector, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(vector, "GALLERY_BLOCK", 4)
+    monkeypatch.setattr(vector, "GROUP", 1)
+    rng = np.random.default_rng(0)
+    g = [(i, int(rng.integers(3)), int(rng.integers(2)), [float(x) for x in rng.integers(-2, 3, 4)]) for i in range(40)]
+    df = spark.createDataFrame(g, "row_id long, entity int, channel int, vector array<double>").repartition(4)
+    got = {(r["query_id"], r["channel"], r["entity"]): (r["score"], r["row_id"]) for r in vector.entity_scores(df.where("row_id % 4 = 0").select(F.col("row_id").alias("query_id"), "vector"), df).collect()}
+    want = {}
+    for q, _, _, x in g[::4]:
+        for i, e, c, y in g:
+            if i != q:
+                s = (sum(a * b for a, b in zip(x, y, strict=True)), -i)
+                want[q, c, e] = max(want.get((q, c, e), (-1e9, 0)), s)
+    assert got == {k: (s, -i) for k, (s, i) in want.items()}
+
+
+def test_perturbation_shows_a_wrong_sign(spark):
+    rows = spark.createDataFrame([(1.0, 2.0), (None, 1.0)], "a double, b double")
+    got = {r["feature"]: (r["n"], r["raised"], r["violations"]) for r in ranking.perturbed(rows, {"a": 1.0, "b": -2.0}, 0.5, {"a": -1.0}).collect()}
+    assert got == {"a": (2, 0, 2), "b": (2, 2, 0)}
+
+
+def test_ledger_takes_a_null_key_once(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (None, "n")], "id int, v string")
+    assert [sinks.append_missing(df, str(tmp_path / "l"), "id") for _ in range(2)] == [2, 0]
+
+
 def test_audit_lists_all_reasons(spark):
     rows = spark.createDataFrame([(1, "a", "x"), (2, "b", None), (3, "c", "y")], "id int, sha string, parent string")
     pool = spark.createDataFrame([("a",), ("x",)], "k string")
