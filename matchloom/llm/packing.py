@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .memo import Memo
-from .words import column_bytes
+from .words import column_bytes, release
 
 BUFFER = 4096
 #: A task numbers its sequences from its partition times this.
@@ -140,7 +140,7 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.apart = ["  ", "\n\n", " \n", "\n ", *(t.content for t in self.tokenizer.get_added_tokens_decoder().values())]
-        self.memo = Memo(self._words, 400_000)
+        self.memo = Memo(self._words, 200_000)
         self.first = Memo(self._encode, 50_000)
         #: the same vocabulary and merges (an id is the rank of its merge) in a library that is faster on unknown words
         self.faster = self._ranked()
@@ -301,5 +301,6 @@ def pack_documents(docs: DataFrame, tokenizer_file: str, tokens: int = 1024, seg
                 lo = hi
         fill(0)
         yield from told()
+        release()
 
     return docs.select("doc_id", "text").mapInArrow(run, PIECES)

@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from . import nearsets
 from .graph import components
 from .session import checkpointed
-from .words import LOWER, column_bytes
+from .words import LOWER, column_bytes, release
 
 SHINGLE, BUDGET, SEED = 3, 2, 42
 #: Fingerprints a node may hold in a task, bits a step of the walk by joins, and the share of rows from which on a fingerprint is hot.
@@ -77,6 +77,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, id_c
                 fp = majority(h, np.concatenate([[0], sizes]).astype(np.int64))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(fp.view(np.int64))], names=schema.names)
                 lo = hi
+            release()
 
     return docs.select(id_column, text_column).mapInArrow(run, schema)
 

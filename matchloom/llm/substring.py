@@ -26,11 +26,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .session import checkpointed, dealt
-from .words import RUN_BASE_2, SPACE, Texts, column_bytes, cover, per_text, runs
+from .words import RUN_BASE_2, SPACE, Texts, column_bytes, cover, per_text, release, runs
 
 #: A perfect difference set: every difference modulo PERIOD is one of two of its members.
 PERIOD, COVER = 7, (1, 2, 4)
-BLOCK_BYTES, BUCKET_VALUES = 6 << 20, 600_000
+BLOCK_BYTES, BUCKET_VALUES = 4 << 20, 400_000
 #: Bits of an anchor's hash that are not sent: anchors only propose, and 48 bits let few strangers in.
 ANCHOR_CUT = np.uint64(16)
 SECOND = 0x2545F491
@@ -240,6 +240,8 @@ def dedup(docs: DataFrame, keep: list[str], finish: Callable[[Block, np.ndarray]
                 block, sent = opened(payload)
                 if rows := [(k, block_id, b - a, _gaps(block.anchor[a:b]), np.packbits(block.anchor_many[a:b]).tobytes(), None) for k, a, b in sent]:
                     yield _entries(rows)
+                del block, sent
+            release()
 
     shared = blocks.select("block_id", "payload").mapInArrow(send_anchors, _ENTRY).groupBy("bucket").applyInArrow(_shared_anchors, _REPLY)
     shared = checkpointed(_told(shared, "anchors"))
@@ -251,6 +253,8 @@ def dedup(docs: DataFrame, keep: list[str], finish: Callable[[Block, np.ndarray]
                 block.extend(_marked(sent, len(block.anchor), replies))
                 if rows := [(k, block_id, b - a, _gaps(block.win[a:b]), _planes(block.win2[a:b], 4), _planes(block.win_least[a:b], 8)) for k, a, b in _sent(block.win, 64, n_buckets)]:
                     yield _entries(rows)
+                del block, sent
+            release()
 
     smaller = blocks.join(shared, "block_id").select("block_id", "payload", "anchors").mapInArrow(send_windows, _ENTRY).groupBy("bucket").applyInArrow(_smaller_elsewhere, _REPLY)
 
@@ -265,6 +269,8 @@ def dedup(docs: DataFrame, keep: list[str], finish: Callable[[Block, np.ndarray]
                     block = Block(payload, window, id_column)
                     gone = np.zeros(len(block.h), bool)
                 yield finish(block, gone)
+                del block, gone
+            release()
 
     answered = blocks.join(shared, "block_id", "left").join(_told(smaller, "windows"), "block_id", "left")
     return answered.select("payload", "anchors", "windows").mapInArrow(settle, schema)

@@ -7,6 +7,7 @@ same. Texts are bytes throughout: nothing is decoded, and nulls count as empty t
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -157,6 +158,15 @@ def slices(column: pa.Array, inside: np.ndarray, lower: bool, most: int = SLICE_
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + most, side="right")) - 1)
         yield lo, hi, Texts(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], inside, lower)
         lo = hi
+    release()
+
+
+def release() -> None:
+    """Gives freed memory back to the system: a Python worker lives on after its task, beside the next stage's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def per_text(values: np.ndarray, first: np.ndarray) -> np.ndarray:
