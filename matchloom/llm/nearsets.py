@@ -3,8 +3,8 @@
 Rows of equal sets are one node. A band is a hash of a few minima of the set; two sets of similarity s share one of the bands with
 probability 1 - (1 - s**ROWS)**BANDS, which is 0.9997 at s = 0.8 and grows with s. In each group of an equal band the members are first compared with its
 smallest node; then every pair whose nodes that leaves in different components is compared. So a large cluster of true copies costs
-one comparison a member and band, and no pair of a group is left out. All comparisons are exact, on the sets of 64-bit shingle hashes, which are made once and
-only for rows that are in some pair; texts are not shuffled.
+one comparison a member and band, and no pair of a group is left out. Comparisons are of whole sets, as 32-bit shingle hashes: two texts of a thousand
+words share a stranger by chance once in some thousand pairs. The sets are made once and only for rows that are in some pair; texts are not shuffled.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .graph import components
-from .session import checkpointed, dealt, may_hold
+from .session import checkpointed, dealt, may_hold, small_batches
 from .words import SPACE, Texts, mix, runs, slices
 
 SHINGLE, BANDS, ROWS = 5, 20, 5
@@ -84,13 +84,14 @@ def signatures(rows: DataFrame) -> DataFrame:
 
 
 def _sets(rows: DataFrame) -> DataFrame:
-    """(node, shingles): the sorted hashes as bytes, of rows (row, text)."""
+    """(node, shingles): the upper halves of the sorted hashes as bytes, of rows (row, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, t in slices(batch.column(1), SPACE, lower=True):
                 value, first = shingle_sets(t)
-                packed = [value[x:y].tobytes() for x, y in zip(first[:-1], first[1:], strict=True)]
+                short = (value >> np.uint64(32)).astype(np.uint32)
+                packed = [short[x:y].tobytes() for x, y in zip(first[:-1], first[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(packed, pa.binary())], names=["node", "shingles"])
 
     return rows.select("row", "text").mapInArrow(run, "node long, shingles binary")
@@ -105,15 +106,16 @@ def _near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         for batch in batches:
             ok = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                a, b = np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32)
                 if min(len(a), len(b)) * q < max(len(a), len(b)) * p:
                     ok.append(False)
                     continue
-                shared = len(np.intersect1d(a, b, assume_unique=True))
+                shared = len(np.intersect1d(a, b))
                 ok.append(shared * q >= (len(a) + len(b) - shared) * p)
             yield batch.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
-    return checkpointed(both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long"))
+    with small_batches(pairs.sparkSession, 1000):
+        return checkpointed(both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long"))
 
 
 def _between_nodes(proposed: DataFrame, own: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -140,7 +142,7 @@ def near_copies(rows: DataFrame, proposed: DataFrame | None = None) -> DataFrame
     if known is not None:
         ends = ends.union(known.select("u")).union(known.select("v"))
     # whole sets of the rows that are in some pair, and of few others
-    sets = dealt(_sets(rows.where(may_hold(ends, "node")(F.col("row")))), "node")
+    sets = dealt(_sets(may_hold(rows, "row", ends, "node").where("may")), "node")
     pairs = groups.where("node != least").select(F.col("least").alias("u"), F.col("node").alias("v")).distinct()
     if known is not None:
         told = _near(known, sets)

@@ -140,7 +140,7 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.apart = ["  ", "\n\n", " \n", "\n ", *(t.content for t in self.tokenizer.get_added_tokens_decoder().values())]
-        self.memo = Memo(self._words, 200_000)
+        self.memo = Memo(self._words, 120_000)
         self.first = Memo(self._encode, 50_000)
         #: the same vocabulary and merges (an id is the rank of its merge) in a library that is faster on unknown words
         self.faster = self._ranked()

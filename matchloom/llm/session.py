@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -43,34 +42,41 @@ def dealt(df: DataFrame, key: str) -> DataFrame:
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
 
 
-#: Bits of a filter, and of a part of it that one row of the aggregation makes. 16 MB in all, whatever the number of keys.
-FILTER_BITS, PART_BITS = 1 << 27, 1 << 15
+#: Bits of a filter, and of a part of it that one row of the aggregation makes. 4 MB in all, whatever the number of keys.
+FILTER_BITS, PART_BITS = 1 << 25, 1 << 15
 
 
-def may_hold(keys: DataFrame, column: str) -> Callable[[Column], Column]:
-    """A condition on a long column that holds for all keys and for few others: a bitmap of hashes, of fixed size.
+def may_hold(rows: DataFrame, column: str, keys: DataFrame, key: str) -> DataFrame:
+    """rows with `may`: true for all rows whose long is among keys and for few others, by a bitmap of hashes of fixed size that is broadcast.
 
     Strangers pass in the share of the bitmap that is set, so that an exact join must follow; it has little to do as long as keys are few against FILTER_BITS.
     """
     at = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
-    placed = keys.select(at(F.col(column)).alias("p")).select(F.floor(F.col("p") / PART_BITS).cast("int").alias("part"), (F.col("p") % PART_BITS).alias("bit"))
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    for row in placed.groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits")).collect():  # 4096 rows of 4 KB at most
-        bits[row["part"] * PART_BITS // 8 :][: PART_BITS // 8] = np.frombuffer(bytes(row["bits"]), np.uint8)
-    shared = keys.sparkSession.sparkContext.broadcast(bits)
-
-    @F.pandas_udf("boolean")
-    def held(p: pd.Series) -> pd.Series:
-        place = p.to_numpy()
-        return pd.Series((shared.value[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool))
-
-    return lambda c: held(at(c))
+    part = lambda c: F.floor(at(c) / PART_BITS).cast("int")
+    placed = keys.select(part(F.col(key)).alias("part__"), (at(F.col(key)) % PART_BITS).alias("bit"))
+    bits = placed.groupBy("part__").agg(F.bitmap_construct_agg("bit").alias("bits__"))  # 1024 rows of 4 KB at most
+    bit = at(F.col(column)) % PART_BITS
+    byte = F.conv(F.hex(F.substring(F.col("bits__"), (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    held = F.coalesce(F.call_function("getbit", byte, (bit % 8).cast("int")) == 1, F.lit(False))
+    return rows.withColumn("part__", part(F.col(column))).join(F.broadcast(bits), "part__", "left").withColumn("may", held).drop("part__", "bits__")
 
 
 def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     """rows (written) less those whose key, a long, is among `gone`. Only rows that may be among them are shuffled."""
-    may = may_hold(gone, key)(F.col(key))
-    return rows.where(~may).union(rows.where(may).join(gone, key, "left_anti").select(rows.columns))
+    marked = may_hold(rows, key, gone, key)
+    return marked.where(~F.col("may")).select(rows.columns).union(marked.where("may").join(gone, key, "left_anti").select(rows.columns))
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Within, tasks hand at most so many rows at a time to Python: for rows that are large."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, old)
 
 
 def tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
