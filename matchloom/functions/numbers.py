@@ -64,3 +64,8 @@ def rrf_sum(ranks: Column) -> Column:
 
 def log_size(n: Column, most: int = 128) -> Column:
     return F.log1p(n.cast("double")) / math.log1p(most)
+
+
+def capped(value: Column, most: float = 2.0) -> Column:
+    """A value cut at `most`, as a share of it."""
+    return F.least(value, F.lit(most)) / most

@@ -89,3 +89,26 @@ def set_report(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """(only_a, only_b, both): sizes of the differences and the intersection of two key sets."""
     x, y = a.select(key).distinct().withColumn("in_a", F.lit(1)), b.select(key).distinct().withColumn("in_b", F.lit(1))
     return x.join(y, key, "full").agg(F.count_if(F.col("in_b").isNull()).alias("only_a"), F.count_if(F.col("in_a").isNull()).alias("only_b"), F.count_if(F.col("in_a").isNotNull() & F.col("in_b").isNotNull()).alias("both"))
+
+
+def nested_values(rows: DataFrame, key: str, document: str, name: str, depth: int = 6) -> DataFrame:
+    """(key, path, value): every value under a name in a JSON document (text), down to `depth` levels of objects; a document that does not parse has none.
+
+    A level is taken apart into its members, whose own objects are the next level: as many steps as levels, whatever the number of rows.
+    """
+    level = rows.select(key, F.lit("").alias("at"), F.col(document).alias("doc"))
+    out = None
+    for _ in range(depth):
+        members = level.select(key, "at", F.explode(F.from_json("doc", "map<string,string>")).alias("name", "value"))
+        path = F.when(F.col("at") == "", F.col("name")).otherwise(F.concat_ws(".", "at", "name"))
+        found = members.where(F.col("name") == name).select(key, path.alias("path"), "value")
+        out = found if out is None else out.union(found)
+        level = members.where(F.col("value").startswith("{")).select(key, path.alias("at"), F.col("value").alias("doc"))
+    return out
+
+
+def scrubbed(rows: DataFrame, columns: list[str], pattern: str) -> DataFrame:
+    """rows without the columns whose name matches a pattern (times, say), so that what is left can be compared."""
+    import re
+
+    return rows.select(*[c for c in columns if not re.search(pattern, c)])

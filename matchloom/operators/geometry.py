@@ -89,3 +89,68 @@ def primary(rows: DataFrame, image: str, key: str, width: Column, height: Column
     return rows.withColumns({"r__": F.row_number().over(w), "n": n, "area_share": F.round(bx.area(b) / (width * height), 9)}).where("r__ = 1").select(image, key, "n", "area_share")
 
 
+
+
+def _pairs(rows: DataFrame, image: str, payload: list[str]) -> DataFrame:
+    """Every box with every other of its image, as a_... and b_... columns."""
+    side = lambda x: rows.select(image, *(F.col(c).alias(f"{x}{c}") for c in payload))
+    return side("a_").join(side("b_"), image).where("a_key != b_key")
+
+
+def nested(rows: DataFrame, image: str, inside: float = 0.95, times: float = 12.0, sure: float = 0.9) -> DataFrame:
+    """(image, key, state, enclosing_key): a box is a fragment if a larger one of at least `sure` and of no smaller score holds `inside` of its area and is at most `times` as large; the largest such is named.
+
+    Fragments stay as rows. A box that is a fragment itself still encloses.
+    """
+    p = _pairs(rows, image, ["key", "score", *CORNERS])
+    a, b = bx.box("a_"), bx.box("b_")
+    held = (bx.share_inside(a, b) >= inside) & (bx.area(b) > bx.area(a)) & (bx.area(b) <= times * bx.area(a)) & (F.col("b_score") >= F.greatest(F.lit(sure), F.col("a_score")))
+    parent = p.where(held).groupBy(image, F.col("a_key").alias("key")).agg(F.max(F.struct(bx.area(b).alias("s"), (-F.col("b_key")).alias("k"))).alias("m")).select(image, "key", (-F.col("m.k")).alias("enclosing_key"))
+    out = rows.select(image, "key").join(parent, [image, "key"], "left")
+    return out.select(image, "key", F.when(F.col("enclosing_key").isNull(), "kept").otherwise("fragment").alias("state"), "enclosing_key")
+
+
+def roi_match(rows: DataFrame, image: str, roi: bx.Box, sure: float = 0.9) -> DataFrame:
+    """(image, key, overlap, reason, addressed): the box of the largest overlap with a region; reason: unique_maximum, tied_overlap (within 1e-12) or no_overlap, with a key only for the first.
+
+    addressed: its overlap is at least `sure` and the next one's is not.
+    """
+    scored = rows.withColumn("o", bx.iou(bx.box(), roi))
+    w = Window.partitionBy(image).orderBy(F.desc("o"), "key")
+    first = scored.withColumns({"r": F.row_number().over(w), "next": F.lead("o").over(w)}).where("r = 1")
+    reason = F.when(F.col("o") <= 0, "no_overlap").when(F.coalesce(F.col("o") - F.col("next") <= 1e-12, F.lit(False)), "tied_overlap").otherwise("unique_maximum")
+    out = first.withColumn("reason", reason)
+    only = F.col("reason") == "unique_maximum"
+    return out.select(image, F.when(only, F.col("key")).alias("key"), F.col("o").alias("overlap"), "reason", (only & (F.col("o") >= sure) & (F.coalesce("next", F.lit(0.0)) < sure)).alias("addressed"))
+
+
+def recovered(rows: DataFrame, found: DataFrame, image: str, width: Column, height: Column, least: float = 0.1, growth: float = 1.1) -> DataFrame:
+    """(image, key, grew, x1..y2): a box and all found ones that overlap it by `least` in one, within the frame; the box itself where that is less than `growth` times as large."""
+    own = rows.select(image, "key", *(F.col(c).alias(f"a_{c}") for c in CORNERS))
+    other = found.select(image, *(F.col(c).alias(f"b_{c}") for c in CORNERS))
+    near = own.join(other, image).where(bx.iou(bx.box("a_"), bx.box("b_")) >= least)
+    spans = near.groupBy(image, "key").agg(F.min("b_x1").alias("b_x1"), F.min("b_y1").alias("b_y1"), F.max("b_x2").alias("b_x2"), F.max("b_y2").alias("b_y2"))
+    out = own.join(spans, [image, "key"], "left")
+    new = [F.greatest(F.least("a_x1", F.coalesce("b_x1", "a_x1")), F.lit(0.0)), F.greatest(F.least("a_y1", F.coalesce("b_y1", "a_y1")), F.lit(0.0)), F.least(F.greatest("a_x2", F.coalesce("b_x2", "a_x2")), width), F.least(F.greatest("a_y2", F.coalesce("b_y2", "a_y2")), height)]
+    grew = bx.area(tuple(new)) >= growth * bx.area(bx.box("a_"))
+    return out.withColumn("grew", grew).select(image, "key", "grew", *(F.when(F.col("grew"), n).otherwise(F.col(f"a_{c}")).alias(c) for n, c in zip(new, CORNERS, strict=True)))
+
+
+def owned_labels(rows: DataFrame, image: str, parent: str, limit: float = 0.65) -> DataFrame:
+    """(image, key) of labels that stay with their parent: in the order of scores a label goes if one that stays under another parent overlaps it by `limit`. Ties go to the smaller key."""
+    same = rows.schema[parent].dataType
+
+    def keep(kept: Column, b: Column) -> Column:
+        return F.when(F.exists(kept, lambda k: (k["parent"] != b["parent"]) & (_overlap(k, b) >= limit)), kept).otherwise(F.concat(kept, F.array(b)))
+
+    pool = _gathered(rows, image, "pool", _best_first("score"), F.col("key").alias("key"), F.col(parent).cast(same).alias("parent"))
+    kept = F.aggregate("pool", F.slice("pool", 1, 0), keep)
+    return pool.select(image, F.explode(F.transform(kept, lambda b: b["key"])).alias("key"))
+
+
+def best_region(rows: DataFrame, image: str, priority: Column, clear: float = 0.04) -> DataFrame:
+    """(image, key, n, state): the region of the largest priority; ambiguous, without a key, if the next one's is less than `clear` below."""
+    w = Window.partitionBy(image).orderBy(F.desc("p__"), "key")
+    first = rows.withColumn("p__", priority).withColumns({"r": F.row_number().over(w), "next": F.lead("p__").over(w), "n": F.count("*").over(Window.partitionBy(image))}).where("r = 1")
+    clear_ = F.coalesce(F.col("p__") - F.col("next") >= clear, F.lit(True))
+    return first.select(image, F.when(clear_, F.col("key")).alias("key"), "n", F.when(clear_, "chosen").otherwise("ambiguous").alias("state"))

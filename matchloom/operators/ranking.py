@@ -101,3 +101,8 @@ def fit_listwise(rows: DataFrame, by: str, label: str, features: list[str], sign
         losses.append(loss)
         rate *= 1.5
     return {"weights": dict(zip(features, w.tolist(), strict=True)), "losses": losses, "queries": n}
+
+
+def placed(rows: DataFrame, by: str, order: list, name: str) -> DataFrame:
+    """rows with their place, from 1, in each `by`."""
+    return rows.withColumn(name, F.row_number().over(Window.partitionBy(by).orderBy(*order)))

@@ -78,9 +78,11 @@ def gov_share_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return governance.share_split(rows, "source", "split-1:", 0.2)
 
 
-@query()
+@query("""WITH RECURSIVE g AS (SELECT source, count(*) AS n, row_number() OVER (ORDER BY sha256('split-2:' || source), source) AS i FROM documents GROUP BY source), t AS (SELECT 0.2 * count(*) AS want FROM documents),
+w(i, source, taken, role) AS (SELECT 0::BIGINT, NULL::VARCHAR, 0::BIGINT, '' UNION ALL SELECT g.i, g.source, w.taken + CASE WHEN w.taken < want AND w.taken + n <= 1.25 * want THEN n ELSE 0 END, CASE WHEN w.taken < want AND w.taken + n <= 1.25 * want THEN 'selection' ELSE 'fit' END
+  FROM w JOIN g ON g.i = w.i + 1, t) SELECT source, role FROM w WHERE i > 0""")
 def gov_grouped_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources in hash order until a fifth of all rows is taken, one that overshoots being skipped (a sequence: no SQL form)."""
+    """Sources in hash order until a fifth of all rows is taken, one that overshoots being skipped."""
     rows = table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"))
     return governance.grouped_split(rows, "source", "n", "split-2:", 0.2)
 
@@ -236,9 +238,15 @@ def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("image"), F.row_number().over(w).cast("long").alias("key"), F.col("l_extendedprice").alias("score"), x.alias("x1"), y.alias("y1"), (x + 5 + F.col("l_quantity")).alias("x2"), (y + 5 + F.col("l_linenumber") * 4).alias("y2"))
 
 
-@query()
+_LIST_BOTH = "greatest(least(k.x2, o.b.x2) - greatest(k.x1, o.b.x1), 0) * greatest(least(k.y2, o.b.y2) - greatest(k.y1, o.b.y1), 0)"
+_LIST_IOU = f"{_LIST_BOTH} / ((k.x2 - k.x1) * (k.y2 - k.y1) + (o.b.x2 - o.b.x1) * (o.b.y2 - o.b.y1) - {_LIST_BOTH})"
+
+
+@query(f"""WITH RECURSIVE {_BOXES}, o AS (SELECT image, {{'key': key, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}} AS b, row_number() OVER (PARTITION BY image ORDER BY score DESC, key) AS i FROM bx),
+w(image, i, kept) AS (SELECT image, i, [b] FROM o WHERE i = 1 UNION ALL SELECT w.image, o.i, CASE WHEN len(list_filter(w.kept, lambda k: {_LIST_IOU} > 0.3)) > 0 THEN w.kept ELSE list_append(w.kept, o.b) END FROM w JOIN o ON o.image = w.image AND o.i = w.i + 1),
+l AS (SELECT image, kept FROM w QUALIFY row_number() OVER (PARTITION BY image ORDER BY i DESC) = 1) SELECT image, unnest(kept).key AS key FROM l""")
 def geo_nms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boxes kept by score-ordered suppression within every order (greedy: no SQL form)."""
+    """Boxes kept by score-ordered suppression within every order."""
     return geometry.suppressed(_boxes(spark, sf_dir), "image", "key", "score", 0.3)
 
 

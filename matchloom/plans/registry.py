@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import catalog, evidence, govern, search
+from . import catalog, evidence, files, frames, govern, match, pool, roster, search
 
-PARTS = [search, evidence, govern, catalog]
+PARTS = [search, evidence, govern, catalog, match, pool, frames, roster, files]
 QUERIES: dict = {name: f for part in PARTS for name, f in part.QUERIES.items()}
 ORACLES: dict = {name: sql for part in PARTS for name, sql in part.ORACLES.items()}
