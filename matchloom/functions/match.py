@@ -39,4 +39,4 @@ def rank(token: Column, claim: Column) -> Column:
 
 
 def kind(rank_of: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, KINDS)), rank_of + 1)
+    return F.coalesce(*[F.when(rank_of == i, F.lit(k)) for i, k in enumerate(KINDS)])
