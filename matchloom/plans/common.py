@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from matchloom.functions import text as tx
 from matchloom.sources.readers import table
 
-__all__ = ["table", "sql_tokens", "sql_words", "gallery", "vector_queries"]
+__all__ = ["table", "sql_skeleton", "sql_tokens", "sql_words", "gallery", "vector_queries"]
 
 _STOP = ", ".join(f"'{w}'" for w in tx.STOP_WORDS)
 
@@ -21,6 +21,14 @@ def sql_tokens(x: str) -> str:
     return f"list_filter({sql_words(x)}, lambda w: length(w) > 1 AND w NOT IN ({_STOP}) AND NOT regexp_matches(w, '^[0-9]+$'))"
 
 
+def sql_skeleton(x: str) -> str:
+    """The phonetic key without look-around or back-references."""
+    out = f"lower({x})"
+    for pattern, new in [("ph", "f"), ("([aeiou])y", r"\1i"), ("ck|k|q", "c"), ("x", "cs"), ("w", "v"), ("h([bcdfgjlmnpqrstvz])", r"\1"), (r"iya\b", "ia")]:
+        out = f"regexp_replace({out}, '{pattern}', '{new}', 'g')"
+    return f"list_reduce(string_split({out}, ''), lambda a, b: CASE WHEN right(a, 1) = b THEN a ELSE a || b END)"
+
+
 def gallery(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All embeddings as rows of a gallery: entity = label, channel = parity of the id."""
     e = table(spark, sf_dir, "embeddings")

@@ -9,7 +9,7 @@ from matchloom.functions import match
 from matchloom.functions import text as tx
 from matchloom.operators import matching
 
-from .common import sql_words, table
+from .common import sql_skeleton, sql_words, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -25,21 +25,6 @@ def query(sql: str | None = None):
     return add
 
 
-def sql_skeleton(x: str) -> str:
-    """The phonetic key without look-around or back-references."""
-    out = f"lower({x})"
-    for pattern, new in [("ph", "f"), ("([aeiou])y", r"\1i"), ("ck|k|q", "c"), ("x", "cs"), ("w", "v"), ("h([bcdfgjlmnpqrstvz])", r"\1"), (r"iya\b", "ia")]:
-        out = f"regexp_replace({out}, '{pattern}', '{new}', 'g')"
-    return f"list_reduce(string_split({out}, ''), lambda a, b: CASE WHEN right(a, 1) = b THEN a ELSE a || b END)"
-
-
-@query(f"""WITH w AS (SELECT DISTINCT unnest({sql_words("text")}) AS word FROM benchmark) SELECT {sql_skeleton("word")} AS skeleton, count(*) AS n, min(word) AS least, max(word) AS most FROM w GROUP BY 1 HAVING count(*) > 1""")
-def text_skeletons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Phonetic keys that several benchmark words share."""
-    w = table(spark, sf_dir, "benchmark").select(F.explode(tx.words(F.col("text"))).alias("word")).distinct()
-    return w.groupBy(tx.skeleton(F.col("word")).alias("skeleton")).agg(F.count("*").alias("n"), F.min("word").alias("least"), F.max("word").alias("most")).where("n > 1")
-
-
 _PLAIN = f"list_filter({sql_words('text')}, lambda w: regexp_matches(w, '^[a-z0-9]+$'))"
 _TOKENS = f"""o AS (SELECT DISTINCT token FROM (SELECT unnest({sql_words("text")}) AS token FROM benchmark) WHERE regexp_matches(token, '^[a-z0-9]+$')), k AS (SELECT DISTINCT token AS claim FROM o WHERE length(token) % 2 = 0),
 os AS (SELECT token, {sql_skeleton("token")} AS a FROM o), ks AS (SELECT claim, {sql_skeleton("claim")} AS b FROM k),

@@ -9,9 +9,8 @@ from matchloom.functions import boxes as bx
 from matchloom.functions import text as tx
 from matchloom.operators import ranking, rules
 
-from .common import sql_words, table
+from .common import sql_skeleton, sql_words, table
 from .govern import _BOXES, _boxes
-from .match import sql_skeleton
 
 QUERIES: dict = {}
 ORACLES: dict = {}
