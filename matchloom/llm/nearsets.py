@@ -2,7 +2,7 @@
 
 Rows of equal sets are one node. A band is a hash of a few minima of the set; two sets of similarity s share one of the bands with
 probability 1 - (1 - s**ROWS)**BANDS, which is 0.9997 at s = 0.8 and grows with s. In each group of an equal band the members are first compared with its
-smallest node; then every pair whose nodes that leaves in different components is compared. So a large cluster of true copies costs
+smallest node, one band first and the others where that was no copy; then every pair whose nodes that leaves in different components is compared. So a large cluster of true copies costs
 one comparison a member and band, and no pair of a group is left out. Comparisons are of whole sets, as 32-bit shingle hashes: two texts of a thousand
 words share a stranger by chance once in some thousand pairs. The sets are made once and only for rows that are in some pair; texts are not shuffled.
 """
@@ -143,16 +143,17 @@ def near_copies(rows: DataFrame, proposed: DataFrame | None = None) -> DataFrame
         ends = ends.union(known.select("u")).union(known.select("v"))
     # whole sets of the rows that are in some pair, and of few others
     sets = dealt(_sets(may_hold(rows, "row", ends, "node").where("may")), "node")
-    pairs = groups.where("node != least").select(F.col("least").alias("u"), F.col("node").alias("v")).distinct()
-    if known is not None:
-        told = _near(known, sets)
-        # what the proposals have made one is not compared again
-        one = checkpointed(components(told))
-        at = pairs.join(one.select(F.col("node").alias("u"), F.col("root").alias("p")), "u", "left").join(one.select(F.col("node").alias("v"), F.col("root").alias("q")), "v", "left")
-        pairs = at.where(F.coalesce("p", "u") != F.coalesce("q", "v")).select("u", "v")
-        stars = told.union(_near(pairs, sets))
-    else:
-        stars = _near(pairs, sets)
+    stars = _near(known, sets) if known is not None else None
+    # a node is first compared with the smallest of its bands' smallest nodes, then with those that it is not yet one with
+    partners = groups.where("node != least").groupBy("node").agg(F.min("least").alias("least"))
+    for pairs in (partners, groups.where("node != least").select("least", "node").distinct()):
+        pairs = pairs.select(F.col("least").alias("u"), F.col("node").alias("v"))
+        if stars is not None:
+            one = checkpointed(components(stars))
+            at = pairs.join(one.select(F.col("node").alias("u"), F.col("root").alias("p")), "u", "left").join(one.select(F.col("node").alias("v"), F.col("root").alias("q")), "v", "left")
+            pairs = at.where(F.coalesce("p", "u") != F.coalesce("q", "v")).select("u", "v")
+        found = _near(pairs, sets)
+        stars = found if stars is None else stars.union(found)
     roots = components(stars).withColumnRenamed("root", "part")
     split = groups.join(roots, "node", "left").select("band", "node", F.coalesce("part", "node").alias("part"))
     parts = checkpointed(split.select("band", "part").distinct())
