@@ -8,6 +8,9 @@ the logarithm of its size. Lineage is cut by a reliable checkpoint after each ro
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,3 +51,19 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The smallest member of the component of each of n nodes."""
+    root = np.arange(n)
+    for x, y in pairs:
+        while True:
+            rx, ry = root[x], root[y]
+            apart = rx != ry
+            if not apart.any():
+                break
+            x, y, rx, ry = x[apart], y[apart], rx[apart], ry[apart]
+            np.minimum.at(root, np.maximum(rx, ry), np.minimum(rx, ry))
+            while (deeper := root[root]).tobytes() != root.tobytes():
+                root = deeper
+    return root

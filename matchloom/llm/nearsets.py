@@ -3,7 +3,8 @@
 Rows of equal sets are one node. A band is a hash of a few minima of the set; two sets of similarity s share one of the bands with
 probability 1 - (1 - s**ROWS)**BANDS, which is 0.9997 at s = 0.8 and grows with s. In each group of an equal band the members are first compared with its
 smallest node, one band first and the others where that was no copy; then every pair whose nodes that leaves in different components is compared. So a large cluster of true copies costs
-one comparison a member and band, and no pair of a group is left out. Comparisons are of whole sets, as 32-bit shingle hashes: two texts of a thousand
+one comparison a member and band, and no pair of a group is left out. Groups that would make many such pairs, as texts around one long passage do, are compared in a grid of blocks:
+a set travels once a block that it meets, not once a pair. Comparisons are of whole sets, as 32-bit shingle hashes: two texts of a thousand
 words share a stranger by chance once in some thousand pairs. The sets are made once and only for rows that are in some pair; texts are not shuffled.
 """
 
@@ -17,13 +18,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .graph import components
+from .graph import components, forest
 from .session import checkpointed, dealt, may_hold, small_batches
 from .words import SPACE, Texts, mix, runs, slices
 
 SHINGLE, BANDS, ROWS = 5, 20, 5
 #: Similarity from which two sets are near copies, as a fraction.
 LEAST = (4, 5)
+#: Bytes of sets in a block of the grid, how much less a group's blocks must carry than its pairs do, which are one over all bands, and shingles a step.
+BLOCK_BYTES, FEWER, STEP = 512 << 10, 4, 2048
 
 _MULTIPLIERS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64), 0x1F83D9AB) | np.uint64(1)
 
@@ -118,6 +121,74 @@ def _near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         return checkpointed(both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long"))
 
 
+def _alike(x: list[np.ndarray], y: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(places in x, places in y) of sets that are at least LEAST alike, by products of the matrices of members and shared shingles."""
+    p, q = LEAST
+    sizes = [np.array([len(s) for s in side], np.int64) for side in (x, y)]
+    values = [np.concatenate(side) for side in (x, y)]
+    both = np.intersect1d(*values)
+    held = []
+    for v, n in zip(values, sizes, strict=True):
+        at = np.searchsorted(both, v)
+        some = np.flatnonzero(both[np.minimum(at, len(both) - 1)] == v) if len(both) else np.zeros(0, np.int64)
+        some = some[np.argsort(at[some], kind="stable")]
+        held.append((at[some], np.repeat(np.arange(len(n)), n)[some]))
+    shared = np.zeros((len(x), len(y)), np.float32)
+    for lo in range(0, len(both), STEP):
+        sides = []
+        for (at, owner), n in zip(held, sizes, strict=True):
+            i, j = np.searchsorted(at, (lo, lo + STEP))
+            member = np.zeros((len(n), min(STEP, len(both) - lo)), np.float32)
+            member[owner[i:j], at[i:j] - lo] = 1
+            sides.append(member)
+        shared += sides[0] @ sides[1].T
+    common = shared.astype(np.int64)
+    return np.nonzero(common * q >= (sizes[0][:, None] + sizes[1][None, :] - common) * p)
+
+
+def _grid(split: DataFrame, heavy: DataFrame, sets: DataFrame) -> DataFrame:
+    """(u, v): links that connect what near copies of the heavy groups connect. split: (band, node, part); heavy: (band, largest, large, small).
+
+    The members of a group's largest part are dealt to `large` blocks, all others to `small` ones; blocks of others meet each other and those of the largest part.
+    """
+    at = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    blocks = lambda n: F.sequence(F.lit(0), (F.col(n) - 1).cast("int"))
+    cell = lambda kind, x, y, second: F.struct(F.lit(kind).alias("kind"), x.alias("x"), y.alias("y"), second.alias("second"))
+    others = F.transform(blocks("small"), lambda j: cell(0, F.least(at("small"), j), F.greatest(at("small"), j), at("small") > j))
+    first = F.transform(blocks("large"), lambda j: cell(1, at("small"), j, F.lit(False)))
+    second = F.transform(blocks("small"), lambda i: cell(1, i, at("large"), F.lit(True)))
+    members = split.join(heavy, "band")
+    cells = members.select("band", "node", F.explode(F.when(F.col("part") == F.col("largest"), second).otherwise(F.concat(others, first))).alias("cell"))
+    whole = cells.select("band", "node", "cell.*").join(sets, "node")
+
+    def compare(group: pa.Table) -> pa.Table:
+        node, second = group.column("node").to_numpy(), group.column("second").to_numpy()
+        held = [np.frombuffer(s.as_buffer(), np.uint32) for chunk in group.column("shingles").chunks for s in chunk]
+        a, b = np.flatnonzero(~second), np.flatnonzero(second)
+        b = b if len(b) else a  # a block with itself
+        if not len(a):
+            return pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
+        i, j = _alike([held[k] for k in a], [held[k] for k in b])
+        root = forest(len(node), iter([(a[i], b[j])]))
+        linked = np.flatnonzero(root != np.arange(len(node)))
+        return pa.table({"u": node[root[linked]], "v": node[linked]})
+
+    return checkpointed(whole.groupBy("band", "kind", "x", "y").applyInArrow(compare, "u long, v long"))
+
+
+def _heavy(parts: DataFrame) -> DataFrame:
+    """(band, largest, large, small) of the groups whose blocks carry much less than their pairs. parts: (band, part, n, bytes)."""
+    top = F.max(F.struct("n", "part", "bytes")).alias("top")
+    n = F.col("n").cast("double")
+    groups = parts.groupBy("band").agg(F.count("*").alias("parts"), F.sum(n).alias("n"), F.sum(n * n).alias("squares"), F.sum("bytes").alias("bytes"), top).where("parts > 1")
+    blocks = lambda b: F.greatest(F.ceil(b / BLOCK_BYTES), F.lit(1))
+    large, rest = F.col("top.bytes"), F.col("bytes") - F.col("top.bytes")
+    sized = groups.select("*", blocks(large).alias("large"), blocks(rest).alias("small"))
+    by_blocks = rest * (F.col("large") + F.col("small")) + large * F.col("small")
+    by_pairs = (F.col("n") * F.col("n") - F.col("squares")) * F.col("bytes") / F.col("n")
+    return sized.where(by_blocks * FEWER < by_pairs).select("band", F.col("top.part").alias("largest"), "large", "small")
+
+
 def _between_nodes(proposed: DataFrame, own: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs of rows as pairs of the first rows of their sets, u < v."""
     node_of = own.select("row", "same").join(nodes.select("same", "node"), "same").select("row", "node")
@@ -155,8 +226,12 @@ def near_copies(rows: DataFrame, proposed: DataFrame | None = None) -> DataFrame
         found = _near(pairs, sets)
         stars = found if stars is None else stars.union(found)
     roots = components(stars).withColumnRenamed("root", "part")
-    split = groups.join(roots, "node", "left").select("band", "node", F.coalesce("part", "node").alias("part"))
-    parts = checkpointed(split.select("band", "part").distinct())
+    split = checkpointed(groups.join(roots, "node", "left").select("band", "node", F.coalesce("part", "node").alias("part")))
+    sized = split.join(sets.select("node", F.octet_length("shingles").alias("bytes")), "node")
+    parts = checkpointed(sized.groupBy("band", "part").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")))
+    heavy = checkpointed(_heavy(parts))
+    stars = stars.union(_grid(split, heavy, sets))
+    parts = parts.join(heavy, "band", "left_anti").select("band", "part")
     crossed = parts.join(parts.select("band", F.col("part").alias("other")), "band").where("part < other")
     left, right = split.select("band", "part", F.col("node").alias("a")), split.select("band", F.col("part").alias("other"), F.col("node").alias("b"))
     pairs = crossed.join(left, ["band", "part"]).join(right, ["band", "other"]).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()

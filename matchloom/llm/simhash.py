@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import nearsets
-from .graph import components
+from .graph import components, forest
 from .session import checkpointed
 from .words import LOWER, column_bytes, release
 
@@ -125,22 +125,6 @@ def _expand(a0, a1, b0, b1) -> tuple[np.ndarray, np.ndarray]:
     return a0[which] + k // nb[which], b0[which] + k % nb[which]
 
 
-def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """The smallest member of the component of each of n nodes."""
-    root = np.arange(n)
-    for x, y in pairs:
-        while True:
-            rx, ry = root[x], root[y]
-            apart = rx != ry
-            if not apart.any():
-                break
-            x, y, rx, ry = x[apart], y[apart], rx[apart], ry[apart]
-            np.minimum.at(root, np.maximum(rx, ry), np.minimum(rx, ry))
-            while (deeper := root[root]).tobytes() != root.tobytes():
-                root = deeper
-    return root
-
-
 def _prefix(bits: int) -> Column:
     return F.shiftrightunsigned(F.col("fp"), 64 - bits)
 

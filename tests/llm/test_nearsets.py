@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 pytest.importorskip("public_tokenizers")
@@ -71,3 +72,33 @@ def test_decisions_are_by_row(spark):
     rows = [(1, a)] * 3 + [(None, b)] * 3 + [(2, a), (2, c), (None, a), (3, ""), (4, None), (5, "One two"), (6, "one TWO")]
     got = sorted(((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "") for r in staged(spark, rows)))
     assert got == sorted([(False, 1, a), (True, 0, b), (False, 2, c), (False, 3, ""), (False, 5, "One two")])
+
+
+@pytest.mark.parametrize("block_bytes", [700, 512 << 10])
+def test_texts_around_one_passage_are_compared_in_blocks(spark, monkeypatch, block_bytes):
+    monkeypatch.setattr(nearsets, "BLOCK_BYTES", block_bytes)
+    monkeypatch.setattr(nearsets, "FEWER", 0)  # every group that is left in parts goes to the grid
+    grids, grid = [], nearsets._grid
+
+    def seen(split, heavy, sets):
+        grids.append(heavy.count())
+        return grid(split, heavy, sets)
+
+    monkeypatch.setattr(nearsets, "_grid", seen)
+    rng = random.Random(9)
+    passage = [f"p{k}" for k in range(100)]
+    rows = [(k, " ".join(passage + [f"x{rng.randrange(10**9)}" for _ in range(rng.choice([6, 12, 25, 40]))])) for k in range(80)]
+    rows += [(100 + k, " ".join([f"y{k % 3}"] * (k % 5) + passage[k:])) for k in range(40)] + [(None, " ".join(passage)), (None, "")]
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in staged(spark, rows)) == kept_by_all_pairs(rows)
+    assert grids[0] > 0
+
+
+def test_blocks_of_sets_against_plain_similarity():
+    rng = np.random.default_rng(3)
+    base = np.sort(rng.choice(2**32, 3000, replace=False)).astype(np.uint32)
+    sets = [np.sort(np.concatenate([rng.choice(base, n, replace=False), rng.choice(2**32, extra).astype(np.uint32)])) for n, extra in ((3000, 0), (2900, 300), (2600, 0), (2500, 200), (2395, 0), (40, 2900), (1, 0))]
+    i, j = nearsets._alike(sets, sets[1:])
+    wanted = {(a, b) for a, x in enumerate(sets) for b, y in enumerate(sets[1:]) if 5 * len(np.intersect1d(x, y)) >= 4 * len(np.union1d(x, y))}
+    assert set(zip(i.tolist(), j.tolist(), strict=True)) == wanted
+    i, j = nearsets._alike(sets[:1], [np.array([base[0] ^ 1], np.uint32)])
+    assert not len(i)
