@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, license, packing, quality, simhash, substring, tokencount, toxicity, urlfilter
+from . import ann, audit, decontam, license, packing, quality, simhash, substring, tokencount, toxicity, urlfilter
 from .session import tables
 
 
@@ -60,6 +60,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.report(tables(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 11: what each order of five filters removes from every source."""
+    return audit.report(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "labels"))
+
+
 def pack_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 3 on instruction data, where its three limits differ: conversations packed under limits on tokens, turns and assistant tokens."""
     return packing.pack_conversations(tables(spark, sf_dir, "conversations"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -67,10 +72,11 @@ def pack_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _OPERATORS = [
     op1_toxicity, op2_decontamination, op3_packing, op4_simhash, op5_nearest, op6_token_counts, op7_urlfilter, op8_quality, op9_license, op10_substring_dedup,
-    pack_conversations,
+    op11_filter_audit, pack_conversations,
 ]
 QUERIES = {f.__name__: f for f in _OPERATORS}
 ORACLES = {
     "op2_decontamination": decontam.oracle(), "op5_nearest": ann.oracle(), "op7_urlfilter": urlfilter.oracle(),
     "op9_license": license.oracle(), "op10_substring_dedup": substring.oracle(),
+    "op11_filter_audit": audit.oracle(),
 }
