@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, audit, decontam, license, packing, quality, simhash, substring, tokencount, toxicity, urlfilter
+from . import ann, audit, codes, decontam, license, packing, quality, simhash, substring, tokencount, toxicity, urlfilter
 from .session import tables
 
 
@@ -65,6 +65,11 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.report(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "labels"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 12: every vector as 16 codebook indexes, with the error that is left."""
+    return codes.report(tables(spark, sf_dir, "embeddings"))
+
+
 def pack_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 3 on instruction data, where its three limits differ: conversations packed under limits on tokens, turns and assistant tokens."""
     return packing.pack_conversations(tables(spark, sf_dir, "conversations"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -72,11 +77,11 @@ def pack_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _OPERATORS = [
     op1_toxicity, op2_decontamination, op3_packing, op4_simhash, op5_nearest, op6_token_counts, op7_urlfilter, op8_quality, op9_license, op10_substring_dedup,
-    op11_filter_audit, pack_conversations,
+    op11_filter_audit, op12_vector_codes, pack_conversations,
 ]
 QUERIES = {f.__name__: f for f in _OPERATORS}
 ORACLES = {
     "op2_decontamination": decontam.oracle(), "op5_nearest": ann.oracle(), "op7_urlfilter": urlfilter.oracle(),
     "op9_license": license.oracle(), "op10_substring_dedup": substring.oracle(),
-    "op11_filter_audit": audit.oracle(),
+    "op11_filter_audit": audit.oracle(), "op12_vector_codes": codes.oracle(),
 }
