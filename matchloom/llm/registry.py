@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, audit, codes, decontam, license, packing, quality, simhash, substring, tokencount, toxicity, urlfilter
+from . import ann, audit, codes, decontam, license, packing, quality, rules, simhash, substring, tokencount, toxicity, urlfilter
 from .session import tables
 
 
@@ -70,6 +70,11 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.report(tables(spark, sf_dir, "embeddings"))
 
 
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 13: statistics of every whole text, the base rule, and the verdict of learnt rules."""
+    return rules.report(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "labels"))
+
+
 def pack_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 3 on instruction data, where its three limits differ: conversations packed under limits on tokens, turns and assistant tokens."""
     return packing.pack_conversations(tables(spark, sf_dir, "conversations"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -77,7 +82,7 @@ def pack_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _OPERATORS = [
     op1_toxicity, op2_decontamination, op3_packing, op4_simhash, op5_nearest, op6_token_counts, op7_urlfilter, op8_quality, op9_license, op10_substring_dedup,
-    op11_filter_audit, op12_vector_codes, pack_conversations,
+    op11_filter_audit, op12_vector_codes, op13_quality_rules, pack_conversations,
 ]
 QUERIES = {f.__name__: f for f in _OPERATORS}
 ORACLES = {

@@ -55,15 +55,19 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def repeated_words(words: Column) -> Column:
     """How many words lie in three-word windows that occur twice or more.
 
-    Windows are sorted by 33 bits of their hash and their place, as longs; neighbours of equal bits are sorted again by their words, so that windows are equal only if their words are. The places
-    of those with an equal neighbour, in order, cover three words each, less what the one before has covered.
+    Texts whose windows all have different hashes have none. In others, windows are sorted by 33 bits of their hash and their place, as longs; neighbours of equal bits are sorted again by their
+    words, so that windows are equal only if their words are. The places of those with an equal neighbour, in order, cover three words each, less what the one before has covered.
     """
     window = lambda w, p: F.concat_ws(" ", F.get(w, p), F.get(w, p + 1), F.get(w, p + 2))
     bits = lambda x: F.shiftright(x, 31)
     beside = lambda xs, i, same: F.coalesce(same(F.get(xs, i - 1)), F.lit(False)) | F.coalesce(same(F.get(xs, i + 1)), F.lit(False))
+    none = F.lit(0).cast("long")
 
-    def hashed(w: Column) -> Column:
-        return F.sort_array(F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda p: F.shiftleft(F.xxhash64(F.get(w, p), F.get(w, p + 1), F.get(w, p + 2)), 31).bitwiseOR(p.cast("long"))))
+    def hashes(w: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda p: F.xxhash64(F.get(w, p), F.get(w, p + 1), F.get(w, p + 2)))
+
+    def placed(h: Column) -> Column:
+        return F.sort_array(F.transform(h, lambda x, i: F.shiftleft(x, 31).bitwiseOR(i.cast("long"))))
 
     def alike(keys: Column) -> Column:
         return F.filter(keys, lambda x, i: beside(keys, i, lambda y: bits(x) == bits(y)))
@@ -78,8 +82,13 @@ def repeated_words(words: Column) -> Column:
     def covered(at: Column) -> Column:
         return F.aggregate(F.transform(at, lambda p, i: F.least(F.lit(3), F.coalesce(p - F.get(at, i - 1), F.lit(3)))), F.lit(0).cast("long"), lambda s, x: s + x)
 
-    count = lambda w: let(hashed(w), lambda keys: let(alike(keys), lambda near: let(spelt(w, near), lambda found: let(places(found), covered))))
-    return let(words, lambda w: F.when(F.size(w) < 3, F.lit(0).cast("long")).otherwise(count(w)))
+    def count(w: Column, h: Column) -> Column:
+        return let(placed(h), lambda keys: let(alike(keys), lambda near: let(spelt(w, near), lambda found: let(places(found), covered))))
+
+    def of(w: Column) -> Column:
+        return let(hashes(w), lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), none).otherwise(count(w, h)))
+
+    return let(words, lambda w: F.when(F.size(w) < 3, none).otherwise(of(w)))
 
 
 def statistics(docs: DataFrame) -> DataFrame:
@@ -140,17 +149,20 @@ def gain(bad: int, good: int, all_bad: int, all_good: int) -> float:
 
 
 def best(counts: list[tuple[int, int, int, int]], names: list[str], least: int) -> Condition | None:
-    """The condition of the largest gain. counts: (feature, value, bad, good) of the rows that a rule covers so far. Ties go to the earlier feature, `at least`, and the smaller value."""
+    """The condition of the largest gain. counts: (feature, value, bad, good) of the rows that a rule covers so far. Ties go to the earlier feature, `at least`, and the smaller value.
+
+    A threshold lies in the middle between the last value that it takes and the next that it leaves; one that leaves none is no condition.
+    """
     found, most = None, 1e-9
     for k, name in enumerate(names):
         own = sorted((v, b, g) for f, v, b, g in counts if f == k)
         all_bad, all_good = sum(x[1] for x in own), sum(x[2] for x in own)
         for at_least in (True, False):
             bad = good = 0
-            options = []
-            for v, b, g in reversed(own) if at_least else own:
+            options, inward = [], own[::-1] if at_least else own
+            for (v, b, g), (after, _, _) in zip(inward, inward[1:], strict=False):
                 bad, good = bad + b, good + g
-                options.append((v, bad, good))
+                options.append(((v + after + at_least) // 2, bad, good))
             for v, b, g in sorted(options):
                 if b >= least and (value := gain(b, g, all_bad, all_good)) > most + 1e-9:
                     found, most = Condition(name, at_least, v), value
