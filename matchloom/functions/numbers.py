@@ -44,7 +44,9 @@ def rrf_units(rank: Column) -> Column:
 
 
 #: Digits of the exact sum: sums of different value differ in them as long as the product of their denominators is below 10**RRF_DIGITS.
-RRF_DIGITS = 80
+RRF_DIGITS = 81
+#: Lists up to which the sum is made of decimals: the product of their denominators must be below 10**RRF_PRODUCT (four ranks of ten million each).
+RRF_LISTS, RRF_PRODUCT, RRF_STEP = 4, 28, 9
 
 
 @F.udf(returnType=T.StructType([T.StructField("units", T.StringType()), T.StructField("exact", T.StringType())]))
@@ -54,12 +56,34 @@ def _rrf_sum(ranks):
     return str(sum(RRF_LCM // d for d in own)), str(total.numerator * 10**RRF_DIGITS // total.denominator).zfill(RRF_DIGITS + 6)
 
 
-def rrf_sum(ranks: Column) -> Column:
+def _rrf_decimals(ranks: Column) -> Column:
+    """The same by long division of one fraction."""
+    whole = lambda x: x.cast("decimal(38,0)")
+    quotient = lambda a, b: whole((a - a % b) / b)
+    own = F.transform(F.filter(ranks, lambda r: r > 0), lambda r: whole(r + RRF_BASE))
+    units = F.aggregate(own, whole(F.lit(0)), lambda s, d: whole(s + quotient(F.lit(str(RRF_LCM)).cast("decimal(38,0)"), d)))
+    start = F.struct(whole(F.lit(0)).alias("n"), whole(F.lit(1)).alias("d"))
+    fraction = F.aggregate(own, start, lambda s, d: F.struct(whole(s["n"] * d + s["d"]).alias("n"), whole(s["d"] * d).alias("d")))
+
+    def digits(of: Column) -> Column:
+        step = lambda s: whole(s["rest"] * 10**RRF_STEP)
+        more = lambda s, _: F.struct(
+            F.concat(s["digits"], F.lpad(quotient(step(s), of["d"]).cast("string"), RRF_STEP, "0")).alias("digits"), whole(step(s) % of["d"]).alias("rest")
+        )
+        long = F.aggregate(F.sequence(F.lit(1), F.lit(RRF_DIGITS // RRF_STEP)), F.struct(F.lit("0" * 6).alias("digits"), of["n"].alias("rest")), more)["digits"]
+        return F.when(of["d"] < F.lit("1" + "0" * RRF_PRODUCT).cast("decimal(38,0)"), long).otherwise(F.raise_error("ranks are too large for an exact sum of decimals"))
+
+    return F.struct(units.cast("string").alias("units"), F.transform(F.array(fraction), digits)[0].alias("exact"))
+
+
+def rrf_sum(ranks: Column, lists: int | None = None) -> Column:
     """struct(units, exact) of an array of ranks of any size: 1 / (60 + rank) in whole units of 1 / RRF_LCM, summed, and the digits of the sum as one fraction.
 
-    Strings of digits: equal sums have equal `exact`, which sorts as the sums do. Null ranks count for nothing.
+    Strings of digits: equal sums have equal `exact`, which sorts as the sums do. Null ranks count for nothing. lists: the most ranks that an array has, if known; up to RRF_LISTS
+    of them are summed without Python.
     """
-    return _rrf_sum(F.transform(ranks, lambda r: r.cast("long")))
+    own = F.transform(ranks, lambda r: r.cast("long"))
+    return _rrf_sum(own) if lists is None or lists > RRF_LISTS else _rrf_decimals(own)
 
 
 def log_size(n: Column, most: int = 128) -> Column:

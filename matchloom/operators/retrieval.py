@@ -203,7 +203,7 @@ def fuse(first: DataFrame, second: DataFrame, by: str, key: str, families: DataF
     that are in neither list, which have no ranks and 0 units and come last.
     """
     a, b = first.select(by, key, F.col("rank").alias("rank_first")), second.select(by, key, F.col("rank").alias("rank_second"))
-    summed = a.join(b, [by, key], "full").withColumn("rrf__", rrf_sum(F.array("rank_first", "rank_second")))
+    summed = a.join(b, [by, key], "full").withColumn("rrf__", rrf_sum(F.array("rank_first", "rank_second"), 2))
     both = summed.select(by, key, "rank_first", "rank_second", F.col("rrf__.units").cast("decimal(38,0)").alias("rrf_units"), F.col("rrf__.exact").alias("exact__"))
     place = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("exact__"), key))
     out = both.withColumn("rank", place)
@@ -220,13 +220,13 @@ def fuse(first: DataFrame, second: DataFrame, by: str, key: str, families: DataF
     return found.unionByName(last, allowMissingColumns=True).drop("exact__")
 
 
-def vote(ranks: DataFrame, by: str, product: str) -> DataFrame:
+def vote(ranks: DataFrame, by: str, product: str, channels: int | None = None) -> DataFrame:
     """(by, product, units, support, rank): products by the exact sum of 1 / (60 + rank) over channels, from card ranks (by, channel, product, rank).
 
-    A channel counts a product once, at the dense rank of its best card among products.
+    A channel counts a product once, at the dense rank of its best card among products. channels: the most channels there are, if known (see rrf_sum).
     """
     best = ranks.groupBy(by, "channel", product).agg(F.min("rank").alias("first"))
     dense = best.withColumn("r", F.row_number().over(Window.partitionBy(by, "channel").orderBy("first", product)))
-    votes = dense.groupBy(by, product).agg(F.collect_list("r").alias("rs"), F.countDistinct("channel").alias("support")).withColumn("rrf__", rrf_sum(F.col("rs")))
+    votes = dense.groupBy(by, product).agg(F.collect_list("r").alias("rs"), F.countDistinct("channel").alias("support")).withColumn("rrf__", rrf_sum(F.col("rs"), channels))
     placed = votes.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("rrf__.exact"), product)))
     return placed.select(by, product, F.col("rrf__.units").cast("decimal(38,0)").alias("units"), "support", "rank")

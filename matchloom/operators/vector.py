@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,20 +25,28 @@ from .graph import checkpointed
 QUERY_BLOCK, GALLERY_BLOCK, GROUP = 1024, 4096, 8
 
 
-def _packed(rows: DataFrame, most: int) -> DataFrame:
-    """(block, payload): up to `most` rows as an Arrow stream."""
+def usable(rows: DataFrame, vector: str) -> DataFrame:
+    """Rows whose vector has components, all of them finite."""
+    return rows.where(F.col(vector).isNotNull() & (F.size(vector) > 0) & F.forall(vector, lambda x: F.coalesce((F.abs(x) < float("inf")) & ~F.isnan(x), F.lit(False))))
+
+
+def _packed(rows: DataFrame, most: int, vector: str) -> DataFrame:
+    """(dim, block, payload): up to `most` rows with vectors of one length as an Arrow stream. The vector is the last column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for lo in range(0, batch.num_rows, most):
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, batch.schema) as out:
-                    out.write_batch(batch.slice(lo, most))
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "payload"])
-                k += 1
+            sizes = pc.list_value_length(batch.column(batch.num_columns - 1)).to_numpy(zero_copy_only=False)
+            for dim in np.unique(sizes).tolist():
+                own = batch if (sizes == dim).all() else batch.take(pa.array(np.flatnonzero(sizes == dim)))
+                for lo in range(0, own.num_rows, most):
+                    sink = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(sink, own.schema) as out:
+                        out.write_batch(own.slice(lo, most))
+                    yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([k], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["dim", "block", "payload"])
+                    k += 1
 
-    return rows.mapInArrow(run, "block long, payload binary")
+    return usable(rows, vector).mapInArrow(run, "dim int, block long, payload binary")
 
 
 def _unpacked(payload: pa.Scalar) -> pa.Table:
@@ -49,6 +58,19 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return own.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(own), -1)
 
 
+def _codes(*columns: pa.Array) -> np.ndarray:
+    """A number for each row: equal where all columns are equal, nulls being one value."""
+    known: dict[tuple, int] = {}
+    return np.array([known.setdefault(values, len(known)) for values in zip(*(c.to_pylist() for c in columns), strict=True)], np.int64)
+
+
+def _same(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """(len(a), len(b)): which values are equal; null equals nothing."""
+    both = _codes(pa.chunked_array([a, b]).combine_chunks() if a.type == b.type else pa.chunked_array([a.cast(b.type), b]).combine_chunks())
+    x, y = both[: len(a)], both[len(a) :]
+    return (x[:, None] == y[None, :]) & ~np.asarray(a.is_null())[:, None]
+
+
 def norm_report(rows: DataFrame, vector: str, tolerance: float = 1e-4) -> DataFrame:
     """One row: n, vectors that are not finite or not of length 1, smallest and largest dimension."""
     v = F.col(vector)
@@ -57,18 +79,19 @@ def norm_report(rows: DataFrame, vector: str, tolerance: float = 1e-4) -> DataFr
 
 
 def entity_scores(queries: DataFrame, gallery: DataFrame, query_id: str = "query_id", row_id: str = "row_id", entity: str = "entity", channel: str = "channel", vector: str = "vector") -> DataFrame:
-    """(query_id, channel, entity, score, row_id): the best row of each entity in each channel; ties go to the smaller row id.
+    """(query_id, channel, entity, score, row_id): the best row of each entity in each channel; ties go to the smaller row id, nulls last.
 
-    Queries: query_id, vector. A query is not compared with the gallery row of its own id. Vectors must have one length.
+    Queries: query_id, vector. A query is not compared with the gallery row of its own id, nor with vectors of another length. Rows of either side whose vector is null, empty or holds null or
+    non-finite components take no part. A null entity or channel is a value of its own; ids are of any type that sorts; repeated rows of the gallery change nothing, and the rows of one query id count as one query.
     """
     kinds = gallery.schema
     schema = T.StructType([T.StructField("query_id", queries.schema[query_id].dataType), T.StructField("channel", kinds[channel].dataType), T.StructField("entity", kinds[entity].dataType), T.StructField("score", T.DoubleType()), T.StructField("row_id", kinds[row_id].dataType)])
-    asked, rows = checkpointed(_packed(queries.select(query_id, vector), QUERY_BLOCK)), checkpointed(_packed(gallery.select(row_id, channel, entity, vector), GALLERY_BLOCK))
+    asked, rows = checkpointed(_packed(queries.select(query_id, vector), QUERY_BLOCK, vector)), checkpointed(_packed(gallery.select(row_id, channel, entity, vector), GALLERY_BLOCK, vector))
     p, q = (max(1, -(-side.count() // GROUP)) for side in (asked, rows))
     place = lambda n: F.pmod(F.xxhash64("block"), F.lit(n)).alias
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias
-    left = asked.select(place(p)("g"), every(q)("h"), F.col("payload").alias("query_rows"))
-    right = rows.select(every(p)("g"), place(q)("h"), F.col("payload").alias("gallery_rows"))
+    left = asked.select("dim", place(p)("g"), every(q)("h"), F.col("payload").alias("query_rows"))
+    right = rows.select("dim", every(p)("g"), place(q)("h"), F.col("payload").alias("gallery_rows"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -76,15 +99,17 @@ def entity_scores(queries: DataFrame, gallery: DataFrame, query_id: str = "query
                 yield tile(_unpacked(x), _unpacked(y))
 
     def tile(some: pa.Table, held: pa.Table) -> pa.RecordBatch:
-        ids, q = some.column(0), _matrix(some.column(1))
+        ids, q = some.column(0).combine_chunks(), _matrix(some.column(1))
         own, chan, ent, x = *(held.column(k).combine_chunks() for k in range(3)), _matrix(held.column(3))
         scores = np.zeros((len(q), len(x)))
         for d in range(x.shape[1]):  # a sum from the first component on, so that equal vectors have equal scores
             scores += q[:, d : d + 1] * x[None, :, d]
-        scores[np.array(ids.to_pylist(), object)[:, None] == np.array(own.to_pylist(), object)[None, :]] = -np.inf
-        _, key = np.unique([f"{c}\x00{e}" for c, e in zip(chan.to_pylist(), ent.to_pylist(), strict=True)], return_inverse=True)
+        scores[_same(ids, own)] = -np.inf
+        key = _codes(chan, ent)
         # rows in order of key, then id: the first of the largest scores of a key is the one of the smallest id
-        order = np.lexsort((np.array(own.to_pylist()), key))
+        places = np.empty(len(x), np.int64)
+        places[pc.sort_indices(own, null_placement="at_end").to_numpy()] = np.arange(len(x))
+        order = np.lexsort((places, key))
         starts = np.flatnonzero(np.r_[True, np.diff(key[order]) > 0])
         which, best = [], []
         for at in np.split(order, starts[1:]):
@@ -93,12 +118,12 @@ def entity_scores(queries: DataFrame, gallery: DataFrame, query_id: str = "query
             which.append(ok)
             best.append(first[ok])
         i, j = np.concatenate(which), np.concatenate(best)
-        columns = [ids.combine_chunks().take(pa.array(i)), chan.take(pa.array(j)), ent.take(pa.array(j)), pa.array(scores[i, j]), own.take(pa.array(j))]
+        columns = [ids.take(pa.array(i)), chan.take(pa.array(j)), ent.take(pa.array(j)), pa.array(scores[i, j]), own.take(pa.array(j))]
         return pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    out = left.join(right, ["g", "h"]).select("query_rows", "gallery_rows").mapInArrow(run, schema)
-    best = F.max(F.struct(F.col("score"), (-F.col("row_id")).alias("back"))).alias("best")
-    return out.groupBy("query_id", "channel", "entity").agg(best).select("query_id", "channel", "entity", F.col("best.score").alias("score"), (-F.col("best.back")).alias("row_id"))
+    out = left.join(right, ["dim", "g", "h"]).select("query_rows", "gallery_rows").mapInArrow(run, schema)
+    best = F.min(F.struct((-F.col("score")).alias("back"), F.col("row_id").isNull().alias("unknown"), "row_id")).alias("best")
+    return out.groupBy("query_id", "channel", "entity").agg(best).select("query_id", "channel", "entity", (-F.col("best.back")).alias("score"), "best.row_id")
 
 
 def ranked(scores: DataFrame, by: list[str], score: str = "score", key: str = "entity") -> DataFrame:

@@ -113,7 +113,7 @@ SELECT query_id, product::INT AS product, split_part(units, '.', 1) AS units, su
 def product_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Products by the exact sum of reciprocal ranks over channels, each channel counting a product once."""
     ranks = _ranks(spark, sf_dir).withColumn("product", F.floor(F.col("entity") / 2).cast("int"))
-    return retrieval.vote(ranks, "query_id", "product").withColumn("units", F.col("units").cast("string"))
+    return retrieval.vote(ranks, "query_id", "product", 2).withColumn("units", F.col("units").cast("string"))
 
 
 @query(f"""WITH {SQL_RANKS}

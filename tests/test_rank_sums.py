@@ -1,7 +1,12 @@
 """Fusion and votes at ranks beyond 20, and families with members outside the lists."""
 
+import random
 from fractions import Fraction
 
+import pytest
+from pyspark.sql import functions as F
+
+from matchloom.functions import numbers
 from matchloom.functions.numbers import RRF_LCM
 from matchloom.operators import retrieval
 
@@ -36,3 +41,15 @@ def test_vote_counts_every_rank(spark):
     got = retrieval.vote(spark.createDataFrame(rows, "q int, channel int, p int, rank int"), "q", "p").orderBy("rank").collect()
     total = {p: sum(Fraction(1, 60 + r) for _, _, x, r in rows if x == p) for p in range(41)}
     assert [r["p"] for r in got] == sorted(total, key=lambda p: (-total[p], p)) and all(r["support"] == 2 for r in got)
+
+
+def test_sums_of_decimals_are_those_of_fractions(spark):
+    rng = random.Random(2)
+    rows = [[rng.choice([None, 0, -3, 1, 2, rng.randint(1, 400), rng.randint(1, 9_000_000)]) for _ in range(rng.randint(0, 4))] for _ in range(400)]
+    df = spark.createDataFrame([(r,) for r in rows], "r array<int>").select("r", numbers.rrf_sum(F.col("r")).alias("a"), numbers.rrf_sum(F.col("r"), 4).alias("b"))
+    for x in df.collect():
+        assert x.a == x.b
+        total = sum((Fraction(1, 60 + r) for r in x.r if r is not None and r > 0), Fraction(0))
+        assert int(x.b.exact) == total.numerator * 10**numbers.RRF_DIGITS // total.denominator
+    with pytest.raises(Exception, match="too large"):
+        spark.range(1).select(numbers.rrf_sum(F.array(*[F.lit(1 << 30)] * 4), 4)).collect()
