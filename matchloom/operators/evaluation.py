@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .graph import running
+from .graph import checkpointed, running
 
 
 def tally(rows: DataFrame, old: Column, new: Column, slices: str) -> DataFrame:
@@ -91,20 +91,23 @@ def set_report(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return x.join(y, key, "full").agg(F.count_if(F.col("in_b").isNull()).alias("only_a"), F.count_if(F.col("in_a").isNull()).alias("only_b"), F.count_if(F.col("in_a").isNotNull() & F.col("in_b").isNotNull()).alias("both"))
 
 
-def nested_values(rows: DataFrame, key: str, document: str, name: str, depth: int = 6) -> DataFrame:
-    """(key, path, value): every value under a name in a JSON document (text), down to `depth` levels of objects; a document that does not parse has none.
+def nested_values(rows: DataFrame, key: str, document: str, name: str) -> DataFrame:
+    """(key, path, value): every value under a name in a JSON document (text), at any depth, in objects and in arrays; paths are like a.b[0].c.
 
-    A level is taken apart into its members, whose own objects are the next level: as many steps as levels, whatever the number of rows.
+    A level is taken apart into its members, and those that are objects or arrays are the next level, until one is empty: as many steps as the deepest document has levels. A value is its
+    text, an object's or array's its JSON, a JSON null null. A document that does not parse, or has a name twice in one object, has no values.
     """
-    level = rows.select(key, F.lit("").alias("at"), F.col(document).alias("doc"))
+    level = checkpointed(rows.select(F.col(key).alias("own"), F.lit("").alias("at"), F.try_parse_json(document).alias("doc")).where(F.schema_of_variant("doc").rlike("^(OBJECT|ARRAY)")))
     out = None
-    for _ in range(depth):
-        members = level.select(key, "at", F.explode(F.from_json("doc", "map<string,string>")).alias("name", "value"))
-        path = F.when(F.col("at") == "", F.col("name")).otherwise(F.concat_ws(".", "at", "name"))
-        found = members.where(F.col("name") == name).select(key, path.alias("path"), "value")
+    while True:
+        members = level.lateralJoin(rows.sparkSession.tvf.variant_explode(F.col("doc").outer()))  # pos, key (null in arrays), value
+        step = F.when(F.col("key").isNull(), F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]"))).when(F.col("at") == "", F.col("key")).otherwise(F.concat(F.lit("."), "key"))
+        members = members.select("own", F.concat("at", step).alias("at"), F.col("key").alias("name"), F.col("value").alias("doc"))
+        found = members.where(F.col("name") == name).select(F.col("own").alias(key), F.col("at").alias("path"), F.col("doc").cast("string").alias("value"))
         out = found if out is None else out.union(found)
-        level = members.where(F.col("value").startswith("{")).select(key, path.alias("at"), F.col("value").alias("doc"))
-    return out
+        level = checkpointed(members.where(F.schema_of_variant("doc").rlike("^(OBJECT|ARRAY)")).select("own", "at", "doc"))
+        if level.isEmpty():
+            return out
 
 
 def scrubbed(rows: DataFrame, columns: list[str], pattern: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .graph import checkpointed
 from .retrieval import fuzzy_pairs
 
 
@@ -38,20 +39,35 @@ def distinct_names(names: DataFrame, owner: str, name: str) -> DataFrame:
     return own.join(held, [owner, name], "left_anti")
 
 
+def _without(i: Column) -> Column:
+    """The column form less its word at place i, from 1."""
+    return F.concat(F.slice("form", F.lit(1), i - 1), F.slice("form", i + 1, F.size("form")))
+
+
 def short_forms(products: DataFrame, product: str, words: str) -> DataFrame:
-    """(product, form, n_words): sets of up to three words that one product alone has and no subset of which does; form is sorted and joined by spaces."""
-    t = F.sort_array(F.array_distinct(words))
-    one = F.transform(t, lambda x: F.array(x))
-    two = F.flatten(F.transform(t, lambda x: F.transform(F.filter(t, lambda y: y > x), lambda y: F.array(x, y))))
-    three = F.flatten(F.transform(two, lambda p: F.transform(F.filter(t, lambda z: z > p[1]), lambda z: F.concat(p, F.array(z)))))
-    forms = products.select(F.col(product).alias("product"), F.explode(F.concat(one, two, three)).alias("form"))
-    alone = forms.groupBy("form").agg(F.min("product").alias("product"), F.max("product").alias("most")).where("product = most").select("product", "form")
-    parts = F.when(F.size("form") == 1, F.array().cast("array<array<string>>")).otherwise(F.transform("form", lambda x: F.array_remove("form", x)))
-    # a set of three has sets of one below its sets of two
-    parts = F.concat(parts, F.when(F.size("form") == 3, F.transform("form", lambda x: F.array(x))).otherwise(F.array().cast("array<array<string>>")))
-    shorter = alone.select("product", "form", F.explode(parts).alias("part")).join(alone.select(F.col("form").alias("part")), "part", "left_semi").select("product", "form").distinct()
-    minimal = alone.join(shorter, ["product", "form"], "left_anti")
-    return minimal.select(F.col("product").alias(product), F.array_join("form", " ").alias("form"), F.size("form").alias("n_words"))
+    """(product, form, n_words): sets of words of any size that one product alone has and no subset of which does; form is sorted and joined by spaces.
+
+    Level by level: a set is extended by a later word of its product only if two products or more share it, and what comes out is looked at only if all its subsets are shared too. Sets that are
+    nobody else's end there, so that no set above a short form is ever made. Null products and words take no part; the rows of one product are judged by themselves, and together are one product.
+    """
+    t = F.sort_array(F.array_distinct(F.array_compact(words)))
+    own = checkpointed(products.where(F.col(product).isNotNull()).select(F.col(product).alias("product"), t.alias("t")).where(F.size("t") > 0).distinct().withColumn("row", F.xxhash64("product", "t")))
+    level = own.select("product", "row", F.explode(F.transform("t", lambda x: F.array(x))).alias("form"))
+    out, size = None, 1
+    while True:
+        level = checkpointed(level)
+        holders = level.groupBy("form").agg(F.min("product").alias("least"), F.max("product").alias("most"))
+        alone = holders.where("least = most").select(F.col("least").alias(product), F.array_join("form", " ").alias("form"), F.lit(size).alias("n_words"))
+        out = alone if out is None else out.union(alone)
+        shared = checkpointed(level.join(holders.where("least < most").select("form"), "form", "left_semi"))
+        if shared.isEmpty():
+            return out
+        longer = shared.join(own.select("row", "t"), "row").select("product", "row", F.explode(F.transform(F.filter("t", lambda x: x > F.element_at("form", -1)), lambda x: F.array_append("form", x))).alias("form"))
+        # the subset without the last word is shared; so must be those without another one
+        subsets = F.explode(F.transform(F.sequence(F.lit(1), F.lit(size)), _without))
+        held = longer.withColumn("sub", subsets).join(shared.select("row", F.col("form").alias("sub")), ["row", "sub"], "left_semi")
+        longer = held.groupBy("product", "row", "form").agg(F.count("*").alias("n")).where(F.col("n") == size).drop("n")
+        level, size = longer, size + 1
 
 
 def word_roles(named: DataFrame, printed: DataFrame, owner: str, product: str, word: str) -> DataFrame:

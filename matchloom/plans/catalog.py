@@ -109,13 +109,17 @@ def mine_distinct_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mining.distinct_names(names, "p_brand", "name")
 
 
-@query(f"""WITH t AS (SELECT DISTINCT p_partkey AS product, unnest({sql_words("p_name || ' ' || p_type || ' ' || p_brand || ' ' || p_size::VARCHAR")}) AS t FROM part),
-f AS (SELECT product, [t] AS form FROM t UNION ALL SELECT a.product, [a.t, b.t] FROM t a JOIN t b ON a.product = b.product AND a.t < b.t
- UNION ALL SELECT a.product, [a.t, b.t, c.t] FROM t a JOIN t b ON a.product = b.product AND a.t < b.t JOIN t c ON c.product = a.product AND b.t < c.t),
+_PART_WORDS = sql_words("p_name || ' ' || p_type || ' ' || p_brand || ' ' || p_size::VARCHAR")
+
+
+@query(f"""
+WITH t AS (SELECT p_partkey AS product, list_sort(list_distinct({_PART_WORDS})) AS t FROM part),
+f AS (SELECT product, list_filter(t, lambda x, i: (bits >> (i - 1)) & 1 = 1) AS form FROM (SELECT product, t, unnest(range(1, (1::BIGINT << len(t)::INT)::BIGINT)) AS bits FROM t)),
 s AS (SELECT form, min(product) AS product FROM f GROUP BY form HAVING count(*) = 1)
-SELECT product AS p_partkey, array_to_string(form, ' ') AS form, len(form)::INT AS n_words FROM s WHERE NOT EXISTS (SELECT 1 FROM s x WHERE x.product = s.product AND len(x.form) < len(s.form) AND list_has_all(s.form, x.form))""")
+SELECT product AS p_partkey, array_to_string(form, ' ') AS form, len(form)::INT AS n_words FROM s
+WHERE NOT EXISTS (SELECT 1 FROM s x WHERE x.product = s.product AND len(x.form) < len(s.form) AND list_has_all(s.form, x.form))""")
 def mine_short_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Smallest sets of up to three words of name, type, brand and size that only one part has."""
+    """Smallest sets of words of name, type, brand and size, of any number, that only one part has. The SQL makes all subsets."""
     p = table(spark, sf_dir, "part").select("p_partkey", tx.words(F.concat_ws(" ", "p_name", "p_type", "p_brand", F.col("p_size").cast("string"))).alias("w"))
     return mining.short_forms(p, "p_partkey", "w")
 

@@ -225,8 +225,15 @@ def text_unmarked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.col("b") != F.lower("text")).alias("had_marks"))
 
 
-@query("""WITH a AS (SELECT event_id, json_extract_string(props, '$.k') AS k FROM events) SELECT event_id, 'k' AS path, k AS value FROM a WHERE k IS NOT NULL UNION ALL SELECT event_id, 'outer.k', k FROM a WHERE k IS NOT NULL AND event_id % 2 = 0""")
+@query("""
+WITH a AS (SELECT event_id, json_extract_string(props, '$.k') AS k FROM events)
+SELECT event_id, 'k' AS path, k AS value FROM a WHERE k IS NOT NULL
+UNION ALL SELECT event_id, 'outer.k', k FROM a WHERE k IS NOT NULL AND event_id % 2 = 0
+UNION ALL SELECT event_id, 'list[' || i || '].in.k', CASE i WHEN 0 THEN k WHEN 1 THEN '{"k":' || k || '}' END FROM a, range(2) t(i) WHERE k IS NOT NULL AND event_id % 2 = 0
+UNION ALL SELECT event_id, 'list[1].in.k.k', k FROM a WHERE k IS NOT NULL AND event_id % 2 = 0""")
 def doc_nested_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every value under a name, at any depth of nested properties, with its path."""
-    props = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('{"outer": '), F.col("props"), F.lit(', '), F.expr("substring(props, 2)"))).otherwise(F.col("props"))
+    """Every value under a name, at any depth of nested properties and lists, with its path."""
+    p = F.col("props")
+    deep = F.concat(F.lit('{"outer": '), p, F.lit(', "list": [{"in": '), p, F.lit('}, {"in": {"k": '), p, F.lit("}}], "), F.expr("substring(props, 2)"))
+    props = F.when(F.col("event_id") % 2 == 0, deep).otherwise(p)
     return evaluation.nested_values(table(spark, sf_dir, "events").select("event_id", props.alias("props")), "event_id", "props", "k")
