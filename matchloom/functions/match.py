@@ -1,42 +1,13 @@
-"""Graded equality of tokens: exact, by look-alike letters, by phonetic key, by edits."""
+"""Kinds of graded equality of tokens."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from . import text as tx
-
 #: Kinds of a match, best first.
 KINDS = ["exact", "homoglyph", "translit", "fuzzy"]
 
 
-def pieces(raw: Column) -> Column:
-    """Runs of digits and runs of other letters, in order."""
-    return F.coalesce(F.regexp_extract_all(F.lower(raw), F.lit(r"[0-9]+|[^\W0-9_]+"), F.lit(0)), F.array().cast("array<string>"))
-
-
-def forms(token: Column) -> Column:
-    """A token and, where letters of both scripts stand in it, its all-Latin reading."""
-    reading = F.when(tx.script_class(token) == "MIXED", tx.latin_reading(token))
-    return F.array_distinct(F.array_compact(F.array(token, reading)))
-
-
-def rank(token: Column, claim: Column) -> Column:
-    """The place of the kind of match in KINDS, from 0; null without one.
-
-    A phonetic key counts from three letters on, edits of phonetic keys from five on; years and other digits match exactly or not.
-    """
-    a, b = tx.skeleton(token), tx.skeleton(claim)
-    reading = F.when(tx.script_class(token) == "MIXED", tx.latin_reading(token))
-    return (
-        F.when(token == claim, 0)
-        .when(claim == "", None)
-        .when(reading == claim, 1)
-        .when((F.length(b) >= 3) & (a == b), 2)
-        .when((F.length(b) >= 5) & tx.fuzzy_equal(a, b), 3)
-    )
-
-
 def kind(rank_of: Column) -> Column:
     return F.coalesce(*[F.when(rank_of == i, F.lit(k)) for i, k in enumerate(KINDS)])

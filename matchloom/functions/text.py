@@ -94,28 +94,6 @@ def script_class(text: Column) -> Column:
     return F.when(lat & cyr, "MIXED").when(cyr, "CYR").when(lat, "LAT").when(text.rlike(r"\p{L}"), "OTHER").otherwise("NONE")
 
 
-#: Letters that look alike, Cyrillic and the Latin they are read as.
-HOMOGLYPHS = ("авекмнорстух", "abekmhopctyx")
-
-
-def latin_reading(token: Column) -> Column:
-    """The all-Latin reading of a token of look-alikes, or null if some Cyrillic letter has none."""
-    read = F.translate(token, *HOMOGLYPHS)
-    return F.when(~read.rlike(r"[Ѐ-ӿ]"), read)
-
-
-#: Folding rules of skeletons, in order: pattern and replacement (Java regular expressions).
-SKELETON_RULES = [(r"ph", "f"), (r"(?<=[aeiou])y", "i"), (r"ck|k|q", "c"), (r"x", "cs"), (r"w", "v"), (r"h(?=[bcdfgjlmnpqrstvz])", ""), (r"iya\b", "ia"), (r"(.)\1+", "$1")]
-
-
-def skeleton(token: Column) -> Column:
-    """A phonetic key: spelling variants folded, doubled letters squeezed."""
-    out = F.lower(token)
-    for pattern, new in SKELETON_RULES:
-        out = F.regexp_replace(out, pattern, new)
-    return out
-
-
 def spelling(text: Column) -> Column:
     return F.regexp_replace(text, r"iya\b", "ia")
 

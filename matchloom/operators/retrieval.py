@@ -150,7 +150,7 @@ def inverted_candidates(queries: DataFrame, docs: DataFrame, owner: str, k: int,
     return best.withColumn("rank", F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("coverage"), owner))).where(F.col("rank") <= k).select(query_key, owner, doc_key, "coverage", "rank")
 
 
-def _less(words: Column, most: Column) -> Column:
+def left_out(words: Column, most: Column) -> Column:
     """A word and what is left of it without up to `most` (0 to 2) of its characters, distinct."""
     one = lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))
     once = F.when(most >= 1, one(words)).otherwise(F.array().cast("array<string>"))
@@ -169,7 +169,7 @@ def fuzzy_pairs(words: DataFrame, word: str = "word", unblocked: bool = False) -
     limit = F.least(tx.edit_limit(F.length(a)), tx.edit_limit(F.length(b)))
     if unblocked:
         plain = distinct.where(~F.col("w").rlike("[0-9]") & (F.length("w") >= 5))
-        left_out = plain.select("w", F.explode(_less(F.col("w"), tx.edit_limit(F.length("w")))).alias("rest"))
+        left_out = plain.select("w", F.explode(left_out(F.col("w"), tx.edit_limit(F.length("w")))).alias("rest"))
         pairs = left_out.withColumnRenamed("w", "a").join(left_out.withColumnRenamed("w", "b"), "rest").where(a < b).select("a", "b").distinct()
         return pairs.select("a", "b", F.levenshtein(a, b).alias("distance"), limit.alias("most")).where("distance <= most").select("a", "b", "distance")
     keyed = distinct.select("w", F.explode(F.array(F.concat(F.lit("^"), F.substring("w", 1, 1)), F.concat(F.lit("$"), F.substring(F.col("w"), F.length("w"), F.lit(1))))).alias("end"), F.length("w").alias("n"))

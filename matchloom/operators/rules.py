@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchloom.functions import readings as rd
 from matchloom.functions import text as tx
 
 
@@ -76,8 +77,8 @@ def first_source(rows: DataFrame, key: str, sources: list[str], value: str, sour
 
 def unattested(aliases: DataFrame, known: DataFrame, form: str) -> DataFrame:
     """aliases whose phonetic key no known form has."""
-    keyed = known.select(tx.skeleton(F.col(form)).alias("k__")).distinct()
-    return aliases.withColumn("k__", tx.skeleton(F.col(form))).join(keyed, "k__", "left_anti").drop("k__")
+    keyed = known.select(rd.search_key(F.col(form)).alias("k__")).distinct()
+    return aliases.withColumn("k__", rd.search_key(F.col(form))).join(keyed, "k__", "left_anti").drop("k__")
 
 
 def derived_aliases(names: DataFrame, owner: str, name: str, prefixes: list[str]) -> DataFrame:

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchloom.functions import match
+from matchloom.functions import readings as rd
 from matchloom.functions import text as tx
 from matchloom.operators import matching
 
-from .common import sql_skeleton, sql_words, table
+from .common import sql_key, sql_lookalikes, sql_norms, sql_words, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -25,39 +26,89 @@ def query(sql: str | None = None):
     return add
 
 
-_PLAIN = f"list_filter({sql_words('text')}, lambda w: regexp_matches(w, '^[a-z0-9]+$'))"
-_TOKENS = f"""o AS (SELECT DISTINCT token FROM (SELECT unnest({sql_words("text")}) AS token FROM benchmark) WHERE regexp_matches(token, '^[a-z0-9]+$')), k AS (SELECT DISTINCT token AS claim FROM o WHERE length(token) % 2 = 0),
-os AS (SELECT token, {sql_skeleton("token")} AS a FROM o), ks AS (SELECT claim, {sql_skeleton("claim")} AS b FROM k),
-e AS (SELECT *, CASE WHEN length(a) < 5 THEN 0 WHEN length(a) < 9 THEN 1 ELSE 2 END AS ea, CASE WHEN length(b) < 5 THEN 0 WHEN length(b) < 9 THEN 1 ELSE 2 END AS eb FROM os, ks WHERE token = claim OR a = b OR (a[1] = b[1] AND abs(length(a) - length(b)) <= 2)),
-m AS (SELECT token, claim, CASE WHEN token = claim THEN 0 WHEN length(b) >= 3 AND a = b THEN 2
-  WHEN length(b) >= 5 AND NOT regexp_matches(a || b, '[0-9]') AND least(ea, eb) > 0 AND levenshtein(a, b) <= least(ea, eb) THEN 3 END AS rank FROM e)"""
+#: Words as print may garble them, by their length: some Cyrillic letters, other ones, or a 0 for an o.
+_GARBLED = """CASE length(word) % 4 WHEN 1 THEN translate(word, 'aeopcxy', 'аеорсху') WHEN 2 THEN replace(word, 'o', '0')
+  WHEN 3 THEN translate(word, 'aeo', 'аео') ELSE word END"""
 
 
-@query(f"WITH {_TOKENS} SELECT token, claim, rank, ['exact', 'homoglyph', 'translit', 'fuzzy'][rank + 1] AS kind FROM m WHERE rank IS NOT NULL")
+def _sql_grades(words: str) -> str:
+    """m: (word, part, claim, rank) of the words of a table w (word) and the claims of a table k (claim)."""
+    return f"""{words},
+p AS (SELECT word, strip_accents(word) AS plain, {sql_norms("word")} AS norms FROM w),
+d AS (SELECT word, part, CASE WHEN len(norms) = 1 THEN [norms[part]] || {sql_lookalikes("plain", "norms[1]")} ELSE [norms[part]] END AS forms
+  FROM (SELECT word, plain, norms, unnest(range(1, len(norms) + 1)) AS part FROM p)),
+f AS (SELECT word, part, forms[i] AS form, i, {sql_key("forms[i]")} AS a FROM (SELECT word, part, forms, unnest(range(1, len(forms) + 1)) AS i FROM d)),
+kk AS (SELECT claim, {sql_key("claim")} AS b FROM k),
+ka AS (SELECT DISTINCT a FROM f WHERE length(a) >= 5 AND NOT regexp_matches(a, '[0-9]')), kb AS (SELECT DISTINCT b FROM kk WHERE length(b) >= 5 AND NOT regexp_matches(b, '[0-9]')),
+near AS (SELECT a, b FROM ka JOIN kb ON a[1] = b[1] AND levenshtein(a, b) <= CASE WHEN length(a) >= 9 AND length(b) >= 9 THEN 2 ELSE 1 END),
+g AS (SELECT word, part, claim, CASE WHEN i = 1 THEN 0 ELSE 1 END AS rank FROM f JOIN k ON claim = form
+  UNION ALL SELECT word, part, claim, 2 FROM f JOIN kk ON a = b WHERE length(b) >= 3
+  UNION ALL SELECT word, part, claim, 3 FROM f JOIN near USING (a) JOIN kk USING (b)),
+m AS (SELECT word, part - 1 AS part, claim, min(rank) AS rank FROM g GROUP BY ALL)"""
+
+
+@query(f"""
+WITH {_sql_grades(f"""o AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+')) AS word FROM benchmark), w AS (SELECT DISTINCT {_GARBLED} AS word FROM o),
+k AS (SELECT DISTINCT claim FROM (SELECT unnest({sql_norms("word")}) AS claim FROM o) WHERE length(claim) % 2 = 0)""")}
+SELECT word, part, claim, rank, ['exact', 'homoglyph', 'translit', 'fuzzy'][rank + 1] AS kind FROM m""")
 def match_token_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Plain words of the benchmark against those of even length: exact, by phonetic key, or by edits of it (Latin words: no look-alikes)."""
-    o = table(spark, sf_dir, "benchmark").select(F.explode(tx.words(F.col("text"))).alias("token")).where(F.col("token").rlike("^[a-z0-9]+$"))
-    got = matching.token_matches(o, o.where("length(token) % 2 = 0").select(F.col("token").alias("claim")))
+    """Words of the benchmark, many of them garbled by letters of another script or digits, against all normal forms of even length: the form itself, a look-alike, an equal or a near phonetic key."""
+    o = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).alias("word")).distinct()
+    claims = matching.dictionary(o, "word").select(F.col("forms")[0].alias("claim")).where("length(claim) % 2 = 0")
+    got = matching.token_matches(matching.dictionary(o.select(F.expr(_GARBLED).alias("word")), "word"), claims)
     return got.withColumn("kind", match.kind(F.col("rank")))
 
 
-@query(f"""WITH {_TOKENS}, li AS (SELECT item_id, i AS pos, ws[i] AS token FROM (SELECT item_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT item_id, {_PLAIN} AS ws FROM benchmark))),
-ph AS (SELECT item_id AS phrase, ws[2:3] AS p FROM (SELECT item_id, {_PLAIN} AS ws FROM benchmark) WHERE len(ws) >= 3),
-r1 AS (SELECT li.item_id, phrase, pos, rank FROM ph JOIN m ON claim = p[1] JOIN li USING (token) WHERE rank IS NOT NULL), r2 AS (SELECT li.item_id, phrase, pos, rank FROM ph JOIN m ON claim = p[2] JOIN li USING (token) WHERE rank IS NOT NULL),
-z AS (SELECT r1.item_id, r1.phrase, greatest(r1.rank, r2.rank) AS weakest, r1.rank + r2.rank AS total, r1.pos - 1 AS start FROM r1 JOIN r2 ON r1.item_id = r2.item_id AND r1.phrase = r2.phrase AND r2.pos = r1.pos + 1)
-SELECT item_id, phrase, weakest, total::BIGINT AS total, start FROM z QUALIFY row_number() OVER (PARTITION BY item_id, phrase ORDER BY weakest, total, start) = 1""".replace("WHERE length(token) % 2 = 0", ""))
-def match_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of plain words: where the second and third word of a benchmark item stand in a row in another, each matched in some kind; the best place of each."""
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.filter(tx.words(F.col("text")), lambda w: w.rlike("^[a-z0-9]+$")).alias("words"))
-    phrases = b.where(F.size("words") >= 3).select(F.col("item_id").alias("phrase"), F.slice("words", 2, 2).alias("words"))
-    return matching.phrase_matches(b, phrases, "item_id", "phrase")
+_PIECES = r"regexp_extract_all(text, '\p{L}+|[0-9]+')"
 
 
-@query(r"""SELECT p_partkey, array_to_string(regexp_extract_all(lower(p_brand || '-' || p_type || p_size), '[0-9]+|[^\W0-9_]+'), ' ') AS pieces FROM part""")
+@query(f"""
+WITH {_sql_grades(f"""w AS (SELECT DISTINCT unnest({_PIECES}) AS word FROM benchmark), k AS (SELECT DISTINCT unnest({sql_norms("word")}) AS claim FROM w)""")},
+y AS (SELECT word, part - 1 AS part, forms[1] AS norm FROM d WHERE NOT regexp_matches(forms[1], '^(18|19|20)[0-9][0-9]$')),
+li AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY i, part) - 1 AS pos, word, part, norm
+  FROM (SELECT item_id, i, ws[i] AS word FROM (SELECT item_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT item_id, {_PIECES} AS ws FROM benchmark))) JOIN y USING (word)),
+ph AS (SELECT a.item_id AS phrase, a.norm AS p1, b.norm AS p2 FROM li a JOIN li b ON a.item_id = b.item_id AND a.pos = 1 AND b.pos = 2),
+r1 AS (SELECT item_id, phrase, pos, rank FROM ph JOIN m ON claim = p1 JOIN li USING (word, part)), r2 AS (SELECT item_id, phrase, pos, rank FROM ph JOIN m ON claim = p2 JOIN li USING (word, part)),
+z AS (SELECT r1.item_id, r1.phrase, greatest(r1.rank, r2.rank) AS weakest, r1.rank + r2.rank AS total, r1.pos AS start
+  FROM r1 JOIN r2 ON r1.item_id = r2.item_id AND r1.phrase = r2.phrase AND r2.pos = r1.pos + 1)
+SELECT item_id, phrase, weakest, total::BIGINT AS total, start FROM z QUALIFY row_number() OVER (PARTITION BY item_id, phrase ORDER BY weakest, total, start) = 1""")
+def match_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the second and third token of a benchmark item stand in a row in another, each matched in some kind; the best place of each."""
+    b = table(spark, sf_dir, "benchmark")
+    words = matching.dictionary(b.select(F.explode(rd.pieces(F.col("text"))).alias("word")), "word")
+    tokens = matching.line_tokens(b, "item_id", "text", words)
+    norms = words.select("word", "part", F.col("forms")[0].alias("norm"))
+    second = tokens.where("pos in (1, 2)").join(norms, ["word", "part"]).groupBy(F.col("item_id").alias("phrase"))
+    phrases = second.agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "norm"))), lambda x: x["norm"]).alias("claims")).where(F.size("claims") == 2)
+    return matching.phrase_matches(tokens, phrases, matching.token_matches(words, norms.select(F.col("norm").alias("claim"))), "item_id", "phrase")
+
+
+@query(f"""
+WITH p AS (SELECT p_partkey, p_name || ' ' || p_type AS text FROM part), w AS (SELECT p_partkey, unnest(string_split(text, ' ')) AS word FROM p),
+t AS (SELECT p_partkey, {_GARBLED} AS span, word, row_number() OVER () AS i FROM w),
+s AS (SELECT DISTINCT p_partkey, span, word FROM t)
+SELECT p_partkey, span FROM s WHERE span <> word AND NOT regexp_matches(span, '[0-9]')""")
+def text_recovered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of a part garbled by letters of another script, and which of them its own name and type still hold: all but those with a digit."""
+    p = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("text"))
+    w = p.select("p_partkey", F.explode(F.split("text", " ")).alias("word")).withColumn("span", F.expr(_GARBLED)).where("span != word")
+    got = matching.recovered(w, p.withColumn("field", F.lit("name")), "p_partkey", "span", "field", "text")
+    return got.select("p_partkey", "span")
+
+
+@query(r"""
+WITH p AS (SELECT p_partkey, p_brand || '-' || p_type || p_size || ' ' || replace(p_name, 'o', '0') || (p_size % 10) || ' x' || p_size || 'y' AS text FROM part),
+w AS (SELECT p_partkey, j, unnest(regexp_extract_all(ws[j], '\d+|\D+')) AS run, generate_subscripts(regexp_extract_all(ws[j], '\d+|\D+'), 1) AS i
+  FROM (SELECT p_partkey, ws, unnest(range(1, len(ws) + 1)) AS j FROM (SELECT p_partkey, regexp_extract_all(text, '[\p{L}\p{N}]+') AS ws FROM p))),
+g AS (SELECT *, regexp_matches(run, '^[0346]$') AS glue FROM w),
+n AS (SELECT *, CASE WHEN i = 1 OR NOT (glue OR lag(glue) OVER (PARTITION BY p_partkey, j ORDER BY i)) THEN 1 ELSE 0 END AS new FROM g),
+c AS (SELECT *, sum(new) OVER (PARTITION BY p_partkey, j ORDER BY i) AS piece FROM n),
+s AS (SELECT p_partkey, j, piece, string_agg(run, '' ORDER BY i) AS piece_text FROM c GROUP BY ALL)
+SELECT p_partkey, string_agg(piece_text, ' ' ORDER BY j, piece) AS pieces FROM s GROUP BY p_partkey""")
 def text_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Codes of parts cut into runs of digits and of letters."""
-    code = F.concat(F.concat_ws("-", "p_brand", "p_type"), F.col("p_size").cast("string"))
-    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(match.pieces(code), " ").alias("pieces"))
+    """Codes of parts cut where digits begin or end, but for single digits that may be letters."""
+    code = F.expr("concat(p_brand, '-', p_type, p_size, ' ', replace(p_name, 'o', '0'), p_size % 10, ' x', p_size, 'y')")
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(rd.pieces(code), " ").alias("pieces"))
 
 
 @query("""WITH o AS (SELECT o_orderkey, CASE WHEN o_orderpriority <> '5-LOW' THEN year(o_orderdate) END AS observed FROM orders), r AS (SELECT l_orderkey AS o_orderkey, max(year(l_shipdate)) AS reference, bool_and(l_linestatus = 'F') AS verified FROM lineitem GROUP BY ALL)

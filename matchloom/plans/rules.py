@@ -9,7 +9,7 @@ from matchloom.functions import boxes as bx
 from matchloom.functions import text as tx
 from matchloom.operators import ranking, rules
 
-from .common import sql_skeleton, sql_words, table
+from .common import sql_search_key, sql_words, table
 from .govern import _BOXES, _boxes
 
 QUERIES: dict = {}
@@ -104,7 +104,7 @@ def evidence_first_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.first_source(r, "l_orderkey", ["R", "A"], "value", "source", "disputed")
 
 
-@query(f"""WITH w AS (SELECT DISTINCT unnest({sql_words("text")}) AS form FROM benchmark), k AS (SELECT DISTINCT {sql_skeleton("form")} AS s FROM w WHERE length(form) % 2 = 0) SELECT form FROM w WHERE length(form) % 2 = 1 AND {sql_skeleton("form")} NOT IN (SELECT s FROM k)""")
+@query(f"""WITH w AS (SELECT DISTINCT unnest({sql_words("text")}) AS form FROM benchmark), k AS (SELECT DISTINCT {sql_search_key("form")} AS s FROM w WHERE length(form) % 2 = 0) SELECT form FROM w WHERE length(form) % 2 = 1 AND {sql_search_key("form")} NOT IN (SELECT s FROM k)""")
 def text_unattested(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark words of odd length whose phonetic key no word of even length has."""
     w = table(spark, sf_dir, "benchmark").select(F.explode(tx.words(F.col("text"))).alias("form")).distinct()

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from matchloom.functions import readings as rd
 from matchloom.functions import text as tx
 from matchloom.functions.numbers import RRF_LCM
 from matchloom.operators import ranking, retrieval, vector
 
-from .common import SQL_RANKS, gallery, sql_skeleton, sql_tokens, sql_words, table, vector_queries
+from .common import SQL_RANKS, gallery, sql_search_key, sql_tokens, sql_words, table, vector_queries
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -256,11 +257,11 @@ def text_typed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(tx.consumed_values(F.concat_ws(" ", "p_name", "p_type"), PART_ALIASES), ",").alias("found"))
 
 
-@query(f"""WITH w AS (SELECT DISTINCT unnest({sql_words("text")}) AS word FROM benchmark) SELECT {sql_skeleton("word")} AS skeleton, count(*) AS n, min(word) AS least, max(word) AS most FROM w GROUP BY 1 HAVING count(*) > 1""")
+@query(f"""WITH w AS (SELECT DISTINCT unnest({sql_words("text")}) AS word FROM benchmark) SELECT {sql_search_key("replace(strip_accents(word), 'ß', 'ss')")} AS skeleton, count(*) AS n, min(word) AS least, max(word) AS most FROM w GROUP BY 1 HAVING count(*) > 1""")
 def text_skeleton(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Skeletons shared by two or more different benchmark words."""
+    """Keys of the text search shared by two or more different benchmark words."""
     w = table(spark, sf_dir, "benchmark").select(F.explode(tx.words(F.col("text"))).alias("word")).distinct()
-    return w.groupBy(tx.skeleton(F.col("word")).alias("skeleton")).agg(F.count("*").alias("n"), F.min("word").alias("least"), F.max("word").alias("most")).where("n > 1")
+    return w.withColumn("folded", rd.decomposed("word")["folded"]).groupBy(rd.search_key(F.col("folded")).alias("skeleton")).agg(F.count("*").alias("n"), F.min("word").alias("least"), F.max("word").alias("most")).where("n > 1")
 
 
 @query()

@@ -3,27 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from matchloom.functions import match
-from matchloom.operators import evaluation, geometry, matching, pool, roster, rules
-
-
-def test_kinds_of_matches(spark):
-    pairs = [("moct", "moct"), ("моcт", "moct"), ("chateau", "chatteau"), ("phare", "fare"), ("margots", "margotz"), ("1999", "1998"), ("vin", "vino"), ("", "x"), ("x", "")]
-    rows = spark.createDataFrame(pairs, "a string, b string").select(match.kind(match.rank(F.col("a"), F.col("b")))).collect()
-    assert [r[0] for r in rows] == ["exact", "homoglyph", "translit", "translit", "fuzzy", None, None, None, None]
-    found = matching.token_matches(spark.createDataFrame([(a,) for a, _ in pairs], "token string"), spark.createDataFrame([(b,) for _, b in pairs], "claim string"))
-    assert {(a, b) for a, b in pairs[:5]} <= {(r["token"], r["claim"]) for r in found.collect()}
-
-
-def test_forms_and_pieces(spark):
-    r = spark.createDataFrame([("моcт", "Ab12c-3")], "a string, b string").select(match.forms(F.col("a")), match.pieces(F.col("b"))).first()
-    assert r[0] == ["моcт", "moct"] and r[1] == ["ab", "12", "c", "3"]
-
-
-def test_best_place_of_a_phrase(spark):
-    lines = spark.createDataFrame([(1, ["grand", "vin", "margauz", "x", "grand", "vin", "margaux"]), (2, ["vin", "grand"]), (3, [])], "line int, words array<string>")
-    got = matching.phrase_matches(lines, spark.createDataFrame([("p", ["vin", "margaux"])], "phrase string, words array<string>"), "line", "phrase").collect()
-    assert [(r["line"], r["start"], r["weakest"]) for r in got] == [(1, 5, 0)]
+from matchloom.operators import evaluation, geometry, pool, roster, rules
 
 
 def test_candidates_that_only_control_or_supply_has(spark):
