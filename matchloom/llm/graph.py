@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import checkpointed
+from .session import checkpointed, few
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -39,15 +39,16 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     now = edges.where("u is not null and v is not null and u != v")
     now = checkpointed(now.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    if now.isEmpty():
+    n = now.count()
+    if not n:
         return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     seen = None
     for _ in range(most_rounds):
-        now = checkpointed(_small_star(_large_star(now)))
+        now = checkpointed(few(_small_star(_large_star(now)), n))
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             break
-        seen = state
+        seen, n = state, state[0]
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

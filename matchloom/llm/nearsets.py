@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .graph import components, forest
-from .session import checkpointed, dealt, may_hold, small_batches
+from .session import ROWS_A_FILE, checkpointed, dealt, few, may_hold, small_batches
 from .words import SPACE, Texts, mix, runs, slices
 
 SHINGLE, BANDS, ROWS = 5, 20, 5
@@ -100,8 +100,8 @@ def _sets(rows: DataFrame) -> DataFrame:
     return rows.select("row", "text").mapInArrow(run, "node long, shingles binary")
 
 
-def _near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs (u, v), which are distinct, whose sets are at least LEAST alike. sets: (node, shingles), dealt by node."""
+def _near(pairs: DataFrame, sets: DataFrame, most: int) -> DataFrame:
+    """Those of the pairs (u, v), which are distinct and `most` at most, whose sets are at least LEAST alike. sets: (node, shingles), dealt by node."""
     both = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
     p, q = LEAST
 
@@ -117,8 +117,9 @@ def _near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 ok.append(shared * q >= (len(a) + len(b) - shared) * p)
             yield batch.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
+    # compared in as many tasks as a shuffle has, and written in as few files as so many pairs need
     with small_batches(pairs.sparkSession, 1000):
-        return checkpointed(both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long"))
+        return checkpointed(both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long").repartition(max(1, -(-most // ROWS_A_FILE))))
 
 
 def _alike(x: list[np.ndarray], y: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -208,34 +209,36 @@ def near_copies(rows: DataFrame, proposed: DataFrame | None = None) -> DataFrame
     placed = nodes.select("node", F.explode("bands").alias("band"))
     many = placed.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("band", "least")
     groups = checkpointed(placed.join(many, "band"))
+    n = groups.count()
     known = checkpointed(_between_nodes(proposed, own, nodes)) if proposed is not None else None
     ends = groups.select("node")
     if known is not None:
         ends = ends.union(known.select("u")).union(known.select("v"))
     # whole sets of the rows that are in some pair, and of few others
     sets = dealt(_sets(may_hold(rows, "row", ends, "node").where("may")), "node")
-    stars = _near(known, sets) if known is not None else None
+    stars = _near(known, sets, known.count()) if known is not None else None
     # a node is first compared with the smallest of its bands' smallest nodes, then with those that it is not yet one with
     partners = groups.where("node != least").groupBy("node").agg(F.min("least").alias("least"))
     for pairs in (partners, groups.where("node != least").select("least", "node").distinct()):
         pairs = pairs.select(F.col("least").alias("u"), F.col("node").alias("v"))
         if stars is not None:
-            one = checkpointed(components(stars))
+            one = components(stars)
             at = pairs.join(one.select(F.col("node").alias("u"), F.col("root").alias("p")), "u", "left").join(one.select(F.col("node").alias("v"), F.col("root").alias("q")), "v", "left")
             pairs = at.where(F.coalesce("p", "u") != F.coalesce("q", "v")).select("u", "v")
-        found = _near(pairs, sets)
+        found = _near(pairs, sets, n)
         stars = found if stars is None else stars.union(found)
     roots = components(stars).withColumnRenamed("root", "part")
-    split = checkpointed(groups.join(roots, "node", "left").select("band", "node", F.coalesce("part", "node").alias("part")))
+    split = checkpointed(few(groups.join(roots, "node", "left").select("band", "node", F.coalesce("part", "node").alias("part")), n))
     sized = split.join(sets.select("node", F.octet_length("shingles").alias("bytes")), "node")
-    parts = checkpointed(sized.groupBy("band", "part").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")))
-    heavy = checkpointed(_heavy(parts))
+    parts = checkpointed(few(sized.groupBy("band", "part").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")), n))
+    heavy = checkpointed(few(_heavy(parts), n))
     stars = stars.union(_grid(split, heavy, sets))
     parts = parts.join(heavy, "band", "left_anti").select("band", "part")
     crossed = parts.join(parts.select("band", F.col("part").alias("other")), "band").where("part < other")
     left, right = split.select("band", "part", F.col("node").alias("a")), split.select("band", F.col("part").alias("other"), F.col("node").alias("b"))
     pairs = crossed.join(left, ["band", "part"]).join(right, ["band", "other"]).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
-    joined = components(stars.union(_near(checkpointed(pairs), sets)))
+    pairs = checkpointed(pairs)
+    joined = components(stars.union(_near(pairs, sets, pairs.count())))
     rooted = nodes.join(joined, "node", "left").select("same", "best", F.coalesce("root", "node").alias("root"))
     kept = rooted.groupBy("root").agg(F.min("best").alias("best")).select("root", F.col("best.row").alias("kept"))
     return own.select("row", "same").join(rooted.join(kept, "root").select("same", "kept"), "same").select("row", "kept")

@@ -29,6 +29,8 @@ ROUNDS, SHARE, SURE, WEIGHT = 3, 0.1, 3.0, 0.3
 #: Steps of a logit by which thresholds are found.
 STEPS = 100
 WORDS, LANGS, SOURCES = 512, 8, 32
+#: Files of a table of rows of a fit.
+FILES = 8
 SHAPES = 6
 
 
@@ -271,10 +273,11 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, given: int
         if model is None:
             return None
         if k < ROUNDS:
-            drawn = checkpointed(exchange(checkpointed(_sure(rest, model)), float(model["positive"]), k + 1, given))
+            # the rows of a fit are bounded, and are written as few files
+            drawn = checkpointed(exchange(checkpointed(_sure(rest, model)), float(model["positive"]), k + 1, given).coalesce(FILES))
             keys = F.broadcast(drawn.select("key").distinct())
             features = rest.join(keys, "key", "left_semi").select("label", "key", *_INPUT).dropDuplicates(["key"]).mapInArrow(_sampled, _VIEWS)
-            rows = checkpointed(own.unionByName(features.drop("label").join(F.broadcast(drawn), "key")))
+            rows = checkpointed(own.unionByName(features.drop("label").join(F.broadcast(drawn), "key")).coalesce(FILES))
     return model
 
 

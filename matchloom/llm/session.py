@@ -28,6 +28,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a few numbers that one partition of a written table holds.
+ROWS_A_FILE = 500_000
+
+
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """df, of at most `rows` short rows, in as many partitions as they need: a small table is written as few files, however many partitions a shuffle has."""
+    return df.coalesce(max(1, -(-rows // ROWS_A_FILE)))
+
+
 def dealt(df: DataFrame, key: str) -> DataFrame:
     """df checkpointed in partitions by key, as many as the session shuffles to; joins and groups by that key do not shuffle it again.
 
