@@ -43,29 +43,43 @@ def weights(tf: str = "tf", df: str = "df", n: str = "n_docs") -> Column:
     return (1 + F.log(tf)) * (F.log((F.col(n) + 1) / (F.col(df) + 1)) + 1)
 
 
-def weighted(index: DataFrame, key: str, df: DataFrame, n_docs: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
-    """(key, term, w): weights of length 1 by key, of the wanted terms alone if given. One pass: lengths are summed where the wanted terms are gathered."""
-    raw = index.join(df, "term").join(F.broadcast(n_docs)).select(key, "term", weights().alias("w"))
-    if wanted is not None:
-        raw = raw.join(wanted.select("term", F.lit(True).alias("wanted")), "term", "left")
-    held = F.struct("term", "w") if wanted is None else F.when(F.col("wanted"), F.struct("term", "w"))
-    rows = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"), F.collect_list(held).alias("terms"))
-    return rows.select(key, "len", F.explode("terms").alias("t")).select(key, F.col("t.term").alias("term"), (F.col("t.w") / F.col("len")).alias("w"))
+def profiles(index: DataFrame, key: str) -> DataFrame:
+    """(key, class__, terms) of postings, written: texts of equal terms and frequencies are of one class, whatever their order."""
+    own = index.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("term", "tf"))).alias("terms"))
+    spelt = F.array_join(F.transform("terms", lambda x: F.concat(x["term"], F.lit("\x1e"), x["tf"].cast("string"))), "\x1f")
+    return checkpointed(own.withColumn("class__", F.sha2(spelt, 256)))
+
+
+def _classes(own: DataFrame, df: DataFrame, n_docs: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """(class__, term, w): weights of length 1 by class, of the wanted terms alone if given; terms that are not in df count for nothing."""
+    each = own.groupBy("class__").agg(F.first("terms").alias("terms")).select("class__", F.explode("terms").alias("t")).select("class__", "t.term", "t.tf")
+    raw = each.join(sided(df), "term").join(F.broadcast(n_docs)).select("class__", "term", weights().alias("w"))
+    lengths = raw.groupBy("class__").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"))
+    held = raw if wanted is None else raw.join(sided(wanted), "term", "left_semi")
+    return held.join(lengths, "class__").select("class__", "term", (F.col("w") / F.col("len")).alias("w"))
 
 
 def cosine_top(queries: DataFrame, docs: DataFrame, k: int, query_key: str = "query_id", doc_key: str = "doc_id", text: str = "text", terms=tx.tokens) -> DataFrame:
     """(query, doc, score, rank): the k documents of largest TF-IDF cosine; terms unknown to the documents count for nothing.
 
-    terms: what a text is made of, words or character n-grams. Scores are compared at nine digits, so that equal texts tie and the smaller id comes first.
+    terms: what a text is made of, words or character n-grams. Scores are compared at nine digits, so that equal texts tie and the smaller id comes first. Texts of equal terms are compared
+    once, on both sides: pairs are of classes of texts, and only the k best classes of a query's class, of each of which the k smallest ids can count, are taken apart into documents.
     """
-    index = postings(docs, doc_key, text, terms)
-    df, n = checkpointed(document_frequency(index, doc_key)), docs.agg(F.countDistinct(doc_key).alias("n_docs"))
-    asked = checkpointed(postings(queries, query_key, text, terms))
-    q = weighted(asked, query_key, df, n).withColumnRenamed("w", "wq")
-    d = weighted(index, doc_key, sided(df), n, sided(asked.select("term").distinct()))
-    scored = sided(checkpointed(q)).join(d, "term").groupBy(query_key, doc_key).agg(F.round(F.sum(F.col("w") * F.col("wq")), 9).alias("score"))
-    w = Window.partitionBy(query_key).orderBy(F.desc("score"), doc_key)
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    held = profiles(postings(docs, doc_key, text, terms), doc_key)
+    df = checkpointed(held.select(F.explode("terms.term").alias("term")).groupBy("term").agg(F.count("*").alias("df")))
+    n = docs.agg(F.countDistinct(doc_key).alias("n_docs"))
+    # what is known of a query makes its class
+    asked = profiles(postings(queries, query_key, text, terms).join(sided(df.select("term")), "term", "left_semi"), query_key)
+    q = checkpointed(_classes(asked, df, n)).select(F.col("class__").alias("asked__"), "term", F.col("w").alias("wq"))
+    d = _classes(held, df, n, q.select("term").distinct())
+    scored = sided(q).join(d, "term").groupBy("asked__", "class__").agg(F.round(F.sum(F.col("w") * F.col("wq")), 9).alias("score"))
+    members = held.withColumn("r__", F.row_number().over(Window.partitionBy("class__").orderBy(doc_key))).where(F.col("r__") <= k).select("class__", doc_key)
+    least = members.groupBy("class__").agg(F.min(doc_key).alias("least__"))
+    first = Window.partitionBy("asked__").orderBy(F.desc("score"), "least__")
+    best = scored.join(least, "class__").withColumn("r__", F.row_number().over(first)).where(F.col("r__") <= k).select("asked__", "class__", "score")
+    w = Window.partitionBy("asked__").orderBy(F.desc("score"), doc_key)
+    found = best.join(members, "class__").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("asked__", doc_key, "score", "rank")
+    return asked.select(query_key, F.col("class__").alias("asked__")).join(found, "asked__").select(query_key, doc_key, "score", "rank")
 
 
 def query_terms(queries: DataFrame, docs: DataFrame, query_key: str, doc_key: str, text: str, idf: Column, terms=tx.tokens) -> DataFrame:
