@@ -10,20 +10,11 @@ from matchloom.functions import text as tx
 from matchloom.operators import mining
 
 from . import govern
-from .common import sql_words, table
+from .common import query_into, sql_words, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
+query = query_into(QUERIES, ORACLES)
 
 
 @query("""WITH q AS (SELECT o_orderpriority AS g, o_custkey AS q, avg(o_totalprice) AS m1, avg(o_totalprice * o_totalprice) AS m2 FROM orders GROUP BY ALL),

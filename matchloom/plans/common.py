@@ -9,7 +9,23 @@ from matchloom.functions import readings as rd
 from matchloom.functions import text as tx
 from matchloom.sources.readers import table
 
-__all__ = ["table", "sql_key", "sql_lookalikes", "sql_norms", "sql_search_key", "sql_tokens", "sql_words", "gallery", "vector_queries"]
+__all__ = ["query_into", "table", "sql_key", "sql_lookalikes", "sql_norms", "sql_search_key", "sql_tokens", "sql_words", "gallery", "vector_queries"]
+
+
+def query_into(queries: dict, oracles: dict):
+    """A decorator that registers a query under its name, with its SQL if it has one."""
+
+    def query(sql: str | None = None):
+        def add(f):
+            queries[f.__name__] = f
+            if sql:
+                oracles[f.__name__] = sql
+            return f
+
+        return add
+
+    return query
+
 
 _STOP = ", ".join(f"'{w}'" for w in tx.STOP_WORDS)
 

@@ -9,20 +9,11 @@ from pyspark.sql import functions as F
 from matchloom.functions import text as tx
 from matchloom.operators import evidence, ranking, retrieval, vector
 
-from .common import SQL_RANKS, gallery, sql_tokens, sql_words, table, vector_queries
+from .common import SQL_RANKS, gallery, query_into, sql_tokens, sql_words, table, vector_queries
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
+query = query_into(QUERIES, ORACLES)
 
 
 @query(f"""WITH l AS (SELECT doc_id, i - 1 AS idx, ls[i] AS line FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))),

@@ -15,20 +15,11 @@ from matchloom.operators import evaluation, ranking
 from matchloom.sources import readers, sinks
 from matchloom.streaming import journal
 
-from .common import sql_words, table
+from .common import query_into, sql_words, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
+query = query_into(QUERIES, ORACLES)
 
 
 def _folder(spark: SparkSession) -> str:

@@ -11,18 +11,11 @@ from matchloom.operators import geometry
 
 from .govern import _BOXES, _LIST_IOU, _boxes
 
+from .common import query_into
+
 QUERIES: dict = {}
 ORACLES: dict = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
+query = query_into(QUERIES, ORACLES)
 
 
 def _sql_both(a: str, b: str) -> str:

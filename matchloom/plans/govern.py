@@ -8,20 +8,11 @@ from pyspark.sql import functions as F
 from matchloom.functions import text as tx
 from matchloom.operators import evaluation, geometry, governance, graph
 
-from .common import sql_words, table
+from .common import query_into, sql_words, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
+query = query_into(QUERIES, ORACLES)
 
 
 

@@ -10,20 +10,11 @@ from matchloom.functions import readings as rd
 from matchloom.functions import text as tx
 from matchloom.operators import matching
 
-from .common import sql_key, sql_lookalikes, sql_norms, sql_words, table
+from .common import query_into, sql_key, sql_lookalikes, sql_norms, sql_words, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
+query = query_into(QUERIES, ORACLES)
 
 
 #: Words as print may garble them, by their length: some Cyrillic letters, other ones, or a 0 for an o.

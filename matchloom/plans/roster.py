@@ -9,20 +9,11 @@ from matchloom.functions import text as tx
 from matchloom.operators import roster
 
 from . import govern
-from .common import sql_words, table
+from .common import query_into, sql_words, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
+query = query_into(QUERIES, ORACLES)
 
 
 @query("""WITH f AS (SELECT l_orderkey AS o_orderkey, CASE WHEN l_returnflag = 'N' THEN 'keep' ELSE 'drop' END AS decision FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) = 1),

@@ -9,21 +9,12 @@ from matchloom.functions import boxes as bx
 from matchloom.functions import text as tx
 from matchloom.operators import ranking, rules
 
-from .common import sql_search_key, sql_words, table
+from .common import query_into, sql_search_key, sql_words, table
 from .govern import _BOXES, _boxes
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
+query = query_into(QUERIES, ORACLES)
 
 
 _ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]

@@ -10,20 +10,11 @@ from matchloom.functions import text as tx
 from matchloom.functions.numbers import RRF_LCM
 from matchloom.operators import ranking, retrieval, vector
 
-from .common import SQL_RANKS, gallery, sql_search_key, sql_tokens, sql_words, table, vector_queries
+from .common import SQL_RANKS, gallery, query_into, sql_search_key, sql_tokens, sql_words, table, vector_queries
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
+query = query_into(QUERIES, ORACLES)
 
 
 def _ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
