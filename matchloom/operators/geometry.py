@@ -154,3 +154,47 @@ def best_region(rows: DataFrame, image: str, priority: Column, clear: float = 0.
     first = rows.withColumn("p__", priority).withColumns({"r": F.row_number().over(w), "next": F.lead("p__").over(w), "n": F.count("*").over(Window.partitionBy(image))}).where("r = 1")
     clear_ = F.coalesce(F.col("p__") - F.col("next") >= clear, F.lit(True))
     return first.select(image, F.when(clear_, F.col("key")).alias("key"), "n", F.when(clear_, "chosen").otherwise("ambiguous").alias("state"))
+
+
+def grid_pairs(a: DataFrame, b: DataFrame, by: str, cell: float) -> DataFrame:
+    """(by, a, b): keys of boxes of one image that meet, edges included, each pair once. a, b: (by, key, x1, y1, x2, y2).
+
+    Boxes are dealt to the cells of a grid that they touch, and meet there; a pair counts in the cell of the lower corner of what they share. Boxes without a corner or with crossed ones meet none.
+    """
+    at = lambda x: F.floor(x / cell).cast("long")
+    ok = "x1 <= x2 and y1 <= y2"
+
+    def dealt(rows: DataFrame, name: str) -> DataFrame:
+        cells = rows.where(ok).withColumn("cx", F.explode(F.sequence(at(F.col("x1")), at(F.col("x2"))))).withColumn("cy", F.explode(F.sequence(at(F.col("y1")), at(F.col("y2")))))
+        return cells.select(by, "cx", "cy", F.col("key").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in ("x1", "y1", "x2", "y2")))
+
+    both = dealt(a, "a").join(dealt(b, "b"), [by, "cx", "cy"])
+    low = {c: F.greatest(f"a_{c}", f"b_{c}") for c in ("x1", "y1")}
+    meets = (low["x1"] <= F.least("a_x2", "b_x2")) & (low["y1"] <= F.least("a_y2", "b_y2"))
+    return both.where(meets & (at(low["x1"]) == F.col("cx")) & (at(low["y1"]) == F.col("cy"))).select(by, "a", "b")
+
+
+def orphans(labels: DataFrame, parents: DataFrame, targets: DataFrame, by: str, most_gap: float = 10.0, overlap: float = 0.5, same: float = 0.5, cell: float = 50.0) -> DataFrame:
+    """(by, key, parent, state, x1, y1, x2, y2) of labels without a parent: the one parent beneath, and the envelope of both, or why there is none.
+
+    labels, parents, targets: (by, key, x1, y1, x2, y2), y growing downwards from a parent to the label above it as in beneath(): a parent ends at most `most_gap` before the label begins and covers at least `overlap` of its width. state: adopted; no_parent_beneath;
+    ambiguous_parent_beneath, if there are several; existing_target, if a target's IoU with the envelope is above `same`. Candidates come from a grid, not from all boxes of an image.
+    """
+    below = labels.select(by, "key", "x1", (F.col("y1") - most_gap).alias("y1"), "x2", F.col("y1").alias("y2"))
+    pairs = grid_pairs(below, parents, by, cell)
+    box = lambda rows, name: rows.select(by, F.col("key").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in ("x1", "y1", "x2", "y2")))
+    near = pairs.join(box(labels, "a"), [by, "a"]).join(box(parents, "b"), [by, "b"])
+    gap, width = F.col("a_y1") - F.col("b_y2"), F.least("a_x2", "b_x2") - F.greatest("a_x1", "b_x1")
+    near = near.where(gap.between(0, most_gap) & (width >= overlap * (F.col("a_x2") - F.col("a_x1"))))
+    union = [F.least("a_x1", "b_x1").alias("x1"), F.least("a_y1", "b_y1").alias("y1"), F.greatest("a_x2", "b_x2").alias("x2"), F.greatest("a_y2", "b_y2").alias("y2")]
+    one = near.groupBy(by, F.col("a").alias("key")).agg(F.count("*").alias("n"), F.min(F.struct(F.col("b").alias("parent"), *union)).alias("m"))
+    held = labels.select(by, "key").join(one, [by, "key"], "left").select(by, "key", "n", "m.*")
+    alone = held.where("n = 1").select(by, "key", "x1", "y1", "x2", "y2")
+    hits = grid_pairs(alone, targets, by, cell).join(box(alone, "a"), [by, "a"]).join(box(targets, "b"), [by, "b"])
+    area = lambda n: (F.col(f"{n}_x2") - F.col(f"{n}_x1")) * (F.col(f"{n}_y2") - F.col(f"{n}_y1"))
+    shared = (F.least("a_x2", "b_x2") - F.greatest("a_x1", "b_x1")) * (F.least("a_y2", "b_y2") - F.greatest("a_y1", "b_y1"))
+    taken = hits.where(shared > same * (area("a") + area("b") - shared)).select(by, F.col("a").alias("key")).distinct().withColumn("taken", F.lit(True))
+    out = held.join(taken, [by, "key"], "left")
+    state = F.when(F.col("n").isNull(), "no_parent_beneath").when(F.col("n") > 1, "ambiguous_parent_beneath").when(F.col("taken"), "existing_target").otherwise("adopted")
+    mine = lambda c: F.when(F.col("n") == 1, F.col(c)).alias(c)
+    return out.select(by, "key", mine("parent"), state.alias("state"), *(mine(c) for c in ("x1", "y1", "x2", "y2")))
