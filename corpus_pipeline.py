@@ -16,6 +16,14 @@ from matchloom.llm import decontam, packing, quality, simhash, substring
 from matchloom.llm.session import checkpointed, shared_folder, without
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Whole texts that a task hands to Python at a time, so that its memory does not hold many long ones. Each stage sets it for the session, since a stage's result is computed when it is written.
+TEXTS_AT_A_TIME = 500
+
+
+def _few_texts(spark: SparkSession) -> None:
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > TEXTS_AT_A_TIME:
+        spark.conf.set(name, str(TEXTS_AT_A_TIME))
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,6 +32,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Null and empty texts, null ids, languages and sources are scored like others; every copy of a repeated row gets the same score; an empty table gives
     no rows; without labels of both kinds all stay; further columns go.
     """
+    _few_texts(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     docs = docs.select(COLUMNS)
     return quality.scored(docs, quality.fit(docs, labels), COLUMNS).where("quality_score >= 0.5").select(COLUMNS)
@@ -36,6 +45,7 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     The row of the smallest doc_id stays, nulls last, then that of the smallest number. Decisions are by row: of two rows of one id, each is judged by its own text.
     Null, empty and wordless texts are one group; repeated rows are one text; an empty table gives no rows; further columns go.
     """
+    _few_texts(spark)
     at = f"{shared_folder(spark)}/near-copies-{spark.sparkContext.applicationId}-{os.urandom(6).hex()}"
     docs.select(F.monotonically_increasing_id().alias("row"), *COLUMNS).write.parquet(at)
     rows = spark.read.parquet(at)
@@ -49,6 +59,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Null texts stay null, rows with a null id and rows of one id are not compared, a text that loses no word stays byte for byte, one that loses all is
     empty; no row goes; an empty table gives no rows; further columns go.
     """
+    _few_texts(spark)
     return substring.cleaned(docs.select(COLUMNS), COLUMNS)
 
 
@@ -57,12 +68,14 @@ def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     Null and empty texts hold none; repeated rows go or stay together; ids play no part; an empty benchmark takes no row away; further columns go.
     """
+    _few_texts(spark)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontam.scan(docs, items, keep=tuple(COLUMNS)).where("not contaminated").select(COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences of at most 1024 ids; null and empty texts are one piece of the end id, repeated rows and rows without an id are packed each."""
+    _few_texts(spark)
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
