@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.operators import geometry, ranking, replay, vector
+from matchloom.operators import canonical, geometry, ranking, replay, vector
 
 from . import govern
 from .common import SQL_RANKS, gallery, query_into, table, vector_queries
@@ -112,3 +112,29 @@ def geo_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = govern._boxes(spark, sf_dir)
     box = lambda where: b.where(where).select("image", "key", "x1", "y1", "x2", "y2")
     return geometry.orphans(box("score <= 40000"), box("score > 40000"), box("score > 60000"), "image").select("image", "key", "parent", "state")
+
+
+@query("""
+WITH RECURSIVE w AS (SELECT l_orderkey, string_split(string_agg(p_name, ' ' ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice), ' ') AS ws FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL),
+n AS (SELECT DISTINCT p_name, string_split(p_name, ' ') AS s FROM part),
+al AS (SELECT s AS phrase, min(atom) AS atom FROM (SELECT s, 'zz' || array_to_string(s, '') || 'zz' AS atom FROM n
+    UNION ALL SELECT [a.s[2], b.s[1], b.s[2]], 'yy' || a.s[2] || b.s[2] || 'yy' FROM n a JOIN n b ON a.s[1] = b.s[1] AND a.s[2] < b.s[2]
+    UNION ALL SELECT [s[1]], 'xx' || s[1] || 'xx' FROM n WHERE s[1] < 'm') GROUP BY s),
+r AS (SELECT l_orderkey, ws, 1 AS i, []::VARCHAR[] AS tokens, 0 AS applied FROM w
+  UNION ALL SELECT l_orderkey, ws, i + coalesce(len(phrase), 1), list_append(tokens, coalesce(atom, ws[i])), applied + CASE WHEN phrase IS NULL THEN 0 ELSE 1 END
+  FROM (SELECT r.*, phrase, atom, row_number() OVER (PARTITION BY l_orderkey ORDER BY len(phrase) DESC NULLS LAST) AS best FROM r LEFT JOIN al ON r.ws[r.i:r.i + len(phrase) - 1] = phrase WHERE i <= len(ws)) WHERE best = 1)
+SELECT l_orderkey, array_to_string(tokens, ' ') AS tokens, applied FROM r WHERE i > len(ws)""")
+def text_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The names of an order's parts as running words, in which names, and words across two names, are aliases of one to three words."""
+    p = table(spark, sf_dir, "part")
+    li = table(spark, sf_dir, "lineitem").join(p, F.col("l_partkey") == F.col("p_partkey"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "p_name"))), lambda x: x["p_name"])
+    rows = li.groupBy("l_orderkey").agg(F.split(F.array_join(lines, " "), " ").alias("ws"))
+    n = p.select(F.split("p_name", " ").alias("s")).distinct()
+    a, b = n.select(F.col("s")[0].alias("x"), F.col("s")[1].alias("y")), n.select(F.col("s")[0].alias("x"), F.col("s")[1].alias("z"))
+    alias = lambda phrase, atom: (phrase.alias("phrase"), F.concat(*atom).alias("atom"), F.lit(0).alias("priority"))
+    whole = n.select(*alias(F.col("s"), [F.lit("zz"), F.array_join("s", ""), F.lit("zz")]))
+    across = a.join(b, "x").where("y < z").select(*alias(F.array("y", "x", "z"), [F.lit("yy"), F.col("y"), F.col("z"), F.lit("yy")]))
+    first = a.where("x < 'm'").select("x").distinct().select(*alias(F.array("x"), [F.lit("xx"), F.col("x"), F.lit("xx")]))
+    out = canonical.canonical(rows, "ws", whole.union(across).union(first))
+    return out.select("l_orderkey", F.array_join("tokens", " ").alias("tokens"), F.size("applied").alias("applied"))
