@@ -183,8 +183,8 @@ def fuzzy_pairs(words: DataFrame, word: str = "word", unblocked: bool = False) -
     limit = F.least(tx.edit_limit(F.length(a)), tx.edit_limit(F.length(b)))
     if unblocked:
         plain = distinct.where(~F.col("w").rlike("[0-9]") & (F.length("w") >= 5))
-        left_out = plain.select("w", F.explode(left_out(F.col("w"), tx.edit_limit(F.length("w")))).alias("rest"))
-        pairs = left_out.withColumnRenamed("w", "a").join(left_out.withColumnRenamed("w", "b"), "rest").where(a < b).select("a", "b").distinct()
+        rests = plain.select("w", F.explode(left_out(F.col("w"), tx.edit_limit(F.length("w")))).alias("rest"))
+        pairs = rests.withColumnRenamed("w", "a").join(rests.withColumnRenamed("w", "b"), "rest").where(a < b).select("a", "b").distinct()
         return pairs.select("a", "b", F.levenshtein(a, b).alias("distance"), limit.alias("most")).where("distance <= most").select("a", "b", "distance")
     keyed = distinct.select("w", F.explode(F.array(F.concat(F.lit("^"), F.substring("w", 1, 1)), F.concat(F.lit("$"), F.substring(F.col("w"), F.length("w"), F.lit(1))))).alias("end"), F.length("w").alias("n"))
     left = keyed.select(F.col("w").alias("a"), F.col("end"), F.explode(F.array(*[F.col("n") + d for d in range(-2, 3)])).alias("n"))
