@@ -74,10 +74,19 @@ def masked(rows: DataFrame, truth: Column, candidate: Column, pairs: DataFrame)
 
 
 def edges_admitted(members: DataFrame, group: str, member: str, edges: DataFrame) -> DataFrame:
-    """(group, pairs, admitted, all_admitted): pairs of members of a group, and how many are edges (column pair). Counts alone: no pair is listed twice."""
+    """(group, pairs, admitted, all_admitted): pairs of members of a group, and how many are edges. Counts alone: no pair is listed twice.
+
+    edges: columns x and y, in either order; or a column pair of both joined by one #, in which a member that holds a # itself cannot be told and is refused.
+    """
     a, b = members.select(group, F.col(member).alias("a")).distinct(), members.select(group, F.col(member).alias("b")).distinct()
     n = members.groupBy(group).agg(F.countDistinct(member).alias("n")).select(group, (F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("pairs"))
-    ends = edges.select(F.split("pair", "#")[0].alias("x"), F.split("pair", "#")[1].alias("y")).distinct()
+    if {"x", "y"} <= set(edges.columns):
+        ends = edges.select(F.least(F.col("x").cast("string"), F.col("y").cast("string")).alias("x"), F.greatest(F.col("x").cast("string"), F.col("y").cast("string")).alias("y"))
+        ends = ends.where("x != y").distinct()
+    else:
+        parts = F.split("pair", "#")
+        whole = F.when(F.size(parts) == 2, parts).otherwise(F.raise_error("a pair of members that hold a #: give the edges as x and y"))
+        ends = edges.where(F.col("pair").isNotNull()).select(whole[0].alias("x"), whole[1].alias("y")).distinct()
     hit = ends.join(a, ends["x"] == a["a"].cast("string")).join(b, [group]).where(F.col("y") == F.col("b").cast("string")).groupBy(group).agg(F.count("*").alias("admitted"))
     return n.join(hit, group, "left").select(group, "pairs", F.coalesce("admitted", F.lit(0)).alias("admitted"), (F.coalesce("admitted", F.lit(0)) == F.col("pairs")).alias("all_admitted"))
 

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from matchloom.operators import geometry, replay, vector
+from matchloom.operators import geometry, governance, replay, vector
 
 
 def test_packets(spark):
@@ -74,3 +74,11 @@ def test_orphans(spark):
     targets = [(1, 20, 400.0, 80.0, 410.0, 109.0)]
     got = {r.key: (r.parent, r.state, r.y1, r.y2) for r in geometry.orphans(*(spark.createDataFrame(x, kind) for x in (labels, parents, targets)), "image").collect()}
     assert got == {1: (10, "adopted", 80.0, 110.0), 2: (None, "ambiguous_parent_beneath", None, None), 3: (None, "no_parent_beneath", None, None), 4: (13, "existing_target", 80.0, 110.0)}
+
+
+def test_edges_of_members_that_hold_the_mark(spark):
+    members = spark.createDataFrame([(1, "a#b"), (1, "c"), (1, "d"), (2, "c"), (1, None)], "g int, m string")
+    edges = spark.createDataFrame([("c", "a#b"), ("a#b", "c"), ("c", "c"), (None, "c"), ("d", "x")], "x string, y string")
+    assert sorted(map(tuple, governance.edges_admitted(members, "g", "m", edges).collect())) == [(1, 3, 1, False), (2, 0, 0, True)]
+    with pytest.raises(Exception, match="hold a #"):
+        governance.edges_admitted(members, "g", "m", spark.createDataFrame([("a#b#c",)], "pair string")).collect()
