@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.operators import canonical, geometry, ranking, replay, vector
+from matchloom.operators import canonical, conflicts, geometry, ranking, replay, vector
 
 from . import govern
 from .common import SQL_RANKS, gallery, query_into, table, vector_queries
@@ -138,3 +138,62 @@ def text_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = a.where("x < 'm'").select("x").distinct().select(*alias(F.array("x"), [F.lit("xx"), F.col("x"), F.lit("xx")]))
     out = canonical.canonical(rows, "ws", whole.union(across).union(first))
     return out.select("l_orderkey", F.array_join("tokens", " ").alias("tokens"), F.size("applied").alias("applied"))
+
+
+_CONFLICTS = """pr AS (SELECT DISTINCT p_brand || '/' || p_type AS product, p_brand, p_type FROM part),
+pairs AS (SELECT a.product AS a, b.product AS b, a.p_brand || ':' || a.p_type || '-' || b.p_type AS conflict FROM pr a JOIN pr b ON a.p_brand = b.p_brand AND a.p_type < b.p_type)"""
+
+
+def _products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select(F.concat_ws("/", "p_brand", "p_type").alias("product"), "p_brand", "p_type").distinct()
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two types of one brand as a pair in conflict."""
+    a = _products(spark, sf_dir)
+    b = a.select("p_brand", F.col("product").alias("b"), F.col("p_type").alias("other"))
+    return a.withColumnRenamed("product", "a").join(b, "p_brand").where("p_type < other").select("a", "b", F.concat("p_brand", F.lit(":"), "p_type", F.lit("-"), "other").alias("conflict"))
+
+
+@query(f"""
+WITH {_CONFLICTS}, l AS (SELECT l_orderkey, p_brand || '/' || p_type AS product, p_type, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_partkey, l_suppkey) AS rank FROM lineitem JOIN part ON l_partkey = p_partkey),
+t AS (SELECT l_orderkey, product, min(rank) AS rank FROM l WHERE rank <= 5 GROUP BY ALL), f AS (SELECT l_orderkey, arg_min(product, rank) AS top1 FROM t GROUP BY ALL),
+m AS (SELECT f.l_orderkey, top1, t.product AS y, conflict FROM f JOIN t USING (l_orderkey) JOIN pairs ON (a = top1 AND b = t.product) OR (b = top1 AND a = t.product)),
+g AS (SELECT l_orderkey, top1, list_sort(list_append(list(DISTINCT y), top1)) AS members, list_sort(list(DISTINCT conflict)) AS conflicts FROM m GROUP BY l_orderkey, top1),
+o AS (SELECT l_orderkey, list(DISTINCT p_type) AS seen FROM l WHERE l_linenumber >= 4 GROUP BY ALL),
+s AS (SELECT g.*, list_filter(members, lambda x: list_contains(coalesce(seen, []), split_part(x, '/', 2))) AS hit FROM g LEFT JOIN o USING (l_orderkey))
+SELECT l_orderkey, top1, array_to_string(members, ',') AS members, array_to_string(conflicts, ',') AS conflicts, CASE WHEN len(hit) = 1 THEN hit[1] END AS selectable,
+  CASE WHEN len(hit) = 1 THEN 'conflict_resolved_by_text' ELSE 'ambiguous_reference_conflict' END AS status FROM s""")
+def guard_annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders whose dearest line is of a brand that another of the first five lines has in another type: a conflict that the types of later lines may resolve."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_type", F.concat_ws("/", "p_brand", "p_type").alias("product"))
+    li = table(spark, sf_dir, "lineitem").join(p, F.col("l_partkey") == F.col("p_partkey"))
+    ranks = ranking.placed(li, "l_orderkey", [F.desc("l_extendedprice"), "l_partkey", "l_suppkey"], "rank").select("l_orderkey", "product", "rank")
+    values = _products(spark, sf_dir).select("product", F.col("p_type").alias("value"))
+    observed = li.where("l_linenumber >= 4").select("l_orderkey", F.col("p_type").alias("value"))
+    out = conflicts.annotated(ranks, _pairs(spark, sf_dir), values, observed, "l_orderkey", "product", 5)
+    return out.select("l_orderkey", "top1", F.array_join("members", ",").alias("members"), F.array_join("conflicts", ",").alias("conflicts"), "selectable", "status")
+
+
+@query(f"""
+WITH {_CONFLICTS}, s AS (SELECT o_orderkey AS step, o_orderpriority AS kind, a.p_brand || '/' || a.p_type AS x, b.p_brand || '/' || b.p_type AS y, max(o_orderkey) OVER () + 1 AS cycle
+  FROM orders JOIN part a ON a.p_partkey = o_orderkey % (SELECT count(*) FROM part) JOIN part b ON b.p_partkey = o_custkey % (SELECT count(*) FROM part))
+SELECT kind, sum(greatest(0, (cycle * 2 + cycle // 2 - step) // cycle + 1))::BIGINT AS n FROM s JOIN pairs ON (x = a AND y = b) OR (x = b AND y = a) GROUP BY kind""")
+def guard_presentations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A schedule of orders, each showing two parts, replayed two and a half times: how often it shows two types of one brand, by priority."""
+    p = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws("/", "p_brand", "p_type").alias("product"))
+    n, o = p.count(), table(spark, sf_dir, "orders")
+    side = lambda name, at: p.select(F.col("product").alias(name), F.col("p_partkey").alias(at))
+    steps = o.select(F.col("o_orderkey").alias("step"), F.col("o_orderpriority").alias("kind"), (F.col("o_orderkey") % n).alias("i"), (F.col("o_custkey") % n).alias("j")).join(side("x", "i"), "i").join(side("y", "j"), "j")
+    cycle = o.agg(F.max("o_orderkey")).first()[0] + 1
+    return conflicts.presentations(steps.select("step", "kind", "x", "y"), _pairs(spark, sf_dir), cycle * 2 + cycle // 2)
+
+
+@query("""
+WITH r AS (SELECT p_partkey, p_brand, p_type, p_size, p_retailprice FROM part), g AS (SELECT * FROM r WHERE p_size > 20)
+SELECT w.p_partkey, (SELECT arg_min(g.p_partkey, (g.p_retailprice, g.p_partkey)) FROM g WHERE g.p_brand = w.p_brand AND g.p_type = w.p_type AND g.p_partkey <> w.p_partkey) AS donor FROM r w WHERE w.p_size < 10 OR w.p_size > 45""")
+def roster_donors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For small and for very large parts the cheapest other part of size over 20 of their brand and type."""
+    p = table(spark, sf_dir, "part")
+    giving = p.where("p_size > 20").select("p_partkey", "p_brand", "p_type", "p_retailprice")
+    return conflicts.donors(giving, p.where("p_size < 10 or p_size > 45").select("p_partkey", "p_brand", "p_type"), "p_partkey", ["p_brand", "p_type"], ["p_retailprice"])
