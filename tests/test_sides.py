@@ -1,6 +1,6 @@
 """Sides of joins that grow with the input are not broadcast, however small Spark takes them for."""
 
-from matchloom.operators import mining
+from matchloom.operators import graph, mining
 
 
 def plans(spark, run):
@@ -17,3 +17,9 @@ def test_short_forms_broadcast_nothing(spark):
     rows = spark.createDataFrame([(p, [f"w{p % 3}", f"w{p % 4}", f"v{p}"]) for p in range(12)], "id int, w array<string>")
     text = plans(spark, lambda: mining.short_forms(rows, "id", "w").collect())
     assert "SortMergeJoin" in text and "BroadcastExchange" not in text
+
+
+def test_long_sides_are_shuffled(spark):
+    side, other = spark.range(5), spark.range(9)
+    assert "BroadcastExchange" not in plans(spark, lambda: other.join(graph.sided(side, 4), "id").collect())
+    assert "BroadcastExchange" in plans(spark, lambda: other.join(graph.sided(side, 5), "id").collect())
