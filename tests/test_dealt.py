@@ -1,6 +1,9 @@
 """Figures of a pool are made where its rows lie: no side is dealt by line, token or claim."""
 
-from matchloom.operators import features
+import math
+import re
+
+from matchloom.operators import features, pool
 
 
 def plans(spark, run):
@@ -27,3 +30,15 @@ def test_phrases_are_looked_for_inside_a_pool(spark):
     assert (a.txt_name_full_any, a.txt_name_full_high, a.txt_producer_full_high, a.txt_name_cover_high) == (1.0, 0.0, 1.0, 0.5)
     assert (b.txt_name_full_any, b.txt_name_cover_any, b.txt_producer_cover_any, b.txt_producer_other_read_high) == (0.0, 1.0, 0.0, 1.0)
     assert (c.txt_name_full_any, c.txt_name_cover_any, c.txt_name_distinct_any) == (0.0, 0.0, 0.0)
+
+
+CLAIMS = [(1, 1, "red"), (1, 1, "ring"), (1, 2, "ring"), (1, 3, "blue"), (2, 1, "red")]
+
+
+def test_name_tokens_are_not_dealt(spark):
+    claims, read = spark.createDataFrame(CLAIMS, "pool int, key int, token string"), spark.createDataFrame([(1, "red"), (1, "ring"), (1, "hot")], "pool int, token string")
+    got = {}
+    text = plans(spark, lambda: got.update({(r.pool, r.key): r for r in pool.name_features(claims, read, "pool", "key").collect()}))
+    assert not re.search(r"hashpartitioning\([^)]*token#", text)
+    assert {k: (r.n_tokens, r.n_read, r.n_distinct, r.coverage) for k, r in got.items()} == {(1, 1): (2, 2, 2, 1.0), (1, 2): (1, 1, 1, 1.0), (1, 3): (1, 0, 0, 0.0), (2, 1): (1, 0, 0, 0.0)}
+    assert abs(got[1, 1].mass - (math.log(4 / 2) + math.log(4 / 3)) / math.log(4)) < 1e-12 and got[1, 3].mass == 0
