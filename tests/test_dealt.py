@@ -42,3 +42,12 @@ def test_name_tokens_are_not_dealt(spark):
     assert not re.search(r"hashpartitioning\([^)]*token#", text)
     assert {k: (r.n_tokens, r.n_read, r.n_distinct, r.coverage) for k, r in got.items()} == {(1, 1): (2, 2, 2, 1.0), (1, 2): (1, 1, 1, 1.0), (1, 3): (1, 0, 0, 0.0), (2, 1): (1, 0, 0, 0.0)}
     assert abs(got[1, 1].mass - (math.log(4 / 2) + math.log(4 / 3)) / math.log(4)) < 1e-12 and got[1, 3].mass == 0
+
+
+def test_pairs_meet_by_pool(spark):
+    claims, read = spark.createDataFrame(CLAIMS, "pool int, key int, token string"), spark.createDataFrame([(1, "red"), (1, "ring")], "pool int, token string")
+    pairs = spark.createDataFrame([(1, 1, 2), (1, 2, 2), (1, 2, 3), (1, 9, 1)], "pool int, winner int, agreed int")
+    weights, got = spark.createDataFrame([("red", 2.0)], "token string, w double"), {}
+    text = plans(spark, lambda: got.update({(r.winner, r.agreed): (r.n_counted, r.weight, r.relation) for r in pool.pairwise(pairs, claims, read, weights, "pool", "key").collect()}))
+    assert not re.search(r"hashpartitioning\([^)]*token#", text)
+    assert got == {(1, 2): (1, 2.0, "unknown"), (2, 2): (0, 0.0, "same"), (2, 3): (1, 0.0, "different"), (9, 1): (0, 0.0, "unknown")}
