@@ -3,7 +3,7 @@
 import math
 import re
 
-from matchloom.operators import features, pool
+from matchloom.operators import features, pool, retrieval
 
 
 def plans(spark, run):
@@ -51,3 +51,11 @@ def test_pairs_meet_by_pool(spark):
     text = plans(spark, lambda: got.update({(r.winner, r.agreed): (r.n_counted, r.weight, r.relation) for r in pool.pairwise(pairs, claims, read, weights, "pool", "key").collect()}))
     assert not re.search(r"hashpartitioning\([^)]*token#", text)
     assert got == {(1, 2): (1, 2.0, "unknown"), (2, 2): (0, 0.0, "same"), (2, 3): (1, 0.0, "different"), (9, 1): (0, 0.0, "unknown")}
+
+
+def test_texts_are_dealt_before_their_terms(spark):
+    docs = spark.createDataFrame([(1, "red ring"), (2, "ring red"), (3, "blue bolt")], "doc_id int, text string")
+    asked, got = spark.createDataFrame([(7, "red"), (8, "bolt"), (9, "none")], "query_id int, text string"), []
+    text = plans(spark, lambda: got.extend(retrieval.cosine_top(asked, docs, 1).select("query_id", "doc_id", "rank").collect()))
+    assert not re.search(r"hashpartitioning\((doc|query)_id#\d+L?, term#", text)
+    assert sorted(map(tuple, got)) == [(7, 1, 1), (8, 3, 1)]
