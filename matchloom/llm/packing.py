@@ -212,6 +212,8 @@ def pack_conversations(turns: DataFrame, tokenizer_file: str, tokens: int = 2048
     turns: conv_id, role, text. One row a conv_id (rows of a null id are one): n_tokens, n_loss, n_turns and where it lies, as pack_examples says, segments being turns.
     Null texts are empty and null roles no assistant; the sums of a conversation are combined before their shuffle, however many turns it has.
     """
+    # a file of few row groups is few tasks, which count tokens far longer than dealing the texts takes
+    turns = turns.select("conv_id", "role", "text").repartition(int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     counted = token_sizes(turns, tokenizer_file, ["conv_id", "role"])
     bearing = F.sum(F.when(F.col("role") == "assistant", F.col("n_tokens")).otherwise(0)).alias("n_loss")
     sums = counted.groupBy("conv_id").agg(F.sum("n_tokens").alias("n_tokens"), bearing, F.count("*").alias("n_turns"))
