@@ -42,9 +42,9 @@ SELECT item_id, doc_id, round(hit / mass, 6) AS coverage, n_read FROM hit JOIN m
 def evidence_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which documents read at least a quarter of an item's weighted terms; short terms count half."""
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    claims = retrieval.query_terms(items, docs, "item_id", "doc_id", "text", F.log((F.col("n_docs") + 1) / (F.col("df") + 1)))
+    claims, held = retrieval.query_terms(items, docs, "item_id", "doc_id", "text", F.log((F.col("n_docs") + 1) / (F.col("df") + 1)))
     grade = F.when(F.length("term") > 4, 1.0).otherwise(0.5)
-    got = retrieval.covering(claims, retrieval.sets(docs, "doc_id", "text"), "item_id", "doc_id", "idf", 0.25, grade)
+    got = retrieval.covering(claims, held, "item_id", "doc_id", "idf", 0.25, grade)
     return got.select("item_id", "doc_id", F.round(F.col("hit") / F.col("mass"), 6).alias("coverage"), "n_read")
 
 
