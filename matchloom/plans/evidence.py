@@ -190,10 +190,9 @@ WITH r AS (SELECT l_orderkey, 'price' AS channel, l_partkey, row_number() OVER (
 SELECT l_orderkey, min(l_partkey) AS l_partkey FROM r WHERE rank = 1 GROUP BY l_orderkey HAVING count(DISTINCT l_partkey) = 1 AND count(DISTINCT channel) >= 3""")
 def rank_agreed_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders whose dearest, largest and most discounted line is of one part; orders without a discount have no third list."""
-    li = table(spark, sf_dir, "lineitem")
-    first = lambda name, column, rows: rows.groupBy("l_orderkey").agg(F.min(F.struct(-F.col(column), "l_partkey")).alias("b")).select("l_orderkey", F.lit(name).alias("channel"), F.col("b.l_partkey").alias("l_partkey"))
-    lists = first("price", "l_extendedprice", li).union(first("quantity", "l_quantity", li)).union(first("discount", "l_discount", li.where("l_discount > 0.05")))
-    return ranking.agreed(lists.withColumn("rank", F.lit(1)), "l_orderkey", "channel", "l_partkey", least=3)
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_extendedprice", "l_quantity", "l_discount")
+    channels = {"price": F.col("l_extendedprice"), "quantity": F.col("l_quantity"), "discount": F.when(F.col("l_discount") > 0.05, F.col("l_discount"))}
+    return ranking.agreed_first(li, "l_orderkey", "l_partkey", channels, least=3)
 
 
 @query(f"""WITH {_FEATURES}, a AS (SELECT query_id, entity AS first FROM (SELECT query_id, entity, round(coalesce(s0, 0) * 2.0 + coalesce(s1, 0) * 1.5 + coalesce(rr0, 0) * 0.6 + coalesce(rr1, 0) * 0.4 + support * 0.25, 9) AS s FROM f) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, entity) = 1),
