@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import spread
+
 
 def held(rows: DataFrame, key: str, decisions: DataFrame, order: list[str], checks: dict[str, Column]) -> DataFrame:
     """(key, decision, reasons, role): rows with the first decision on them, by `order`, and why they are held: 'decision' if that is not 'keep', and every check that holds.
@@ -93,8 +95,11 @@ def unique_versions(asked: DataFrame, versions: DataFrame, digest: str, version:
 
 
 def listwise_admitted(rows: DataFrame, query: str, key: str, label: str, ignored: str) -> DataFrame:
-    """(query, n, positives, kept, reasons, admitted) of ranking rows: keys are unique, there is a positive, no positive is ignored, and of the kept rows there are two or more, of both kinds."""
-    g = rows.groupBy(query).agg(
+    """(query, n, positives, kept, reasons, admitted) of ranking rows: keys are unique, there is a positive, no positive is ignored, and of the kept rows there are two or more, of both kinds.
+
+    Rows are dealt by query once, and counted where they lie.
+    """
+    g = spread(rows, query).groupBy(query).agg(
         F.count("*").alias("n"), F.countDistinct(key).alias("keys"), F.count_if(F.col(label) == 1).alias("positives"), F.count_if((F.col(label) == 1) & F.col(ignored)).alias("hidden"),
         F.count_if(~F.col(ignored)).alias("kept"), F.count_if(~F.col(ignored) & (F.col(label) == 0)).alias("negatives"),
     )
