@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .graph import sided
 from .vector import entity_scores, ranked
 
 
@@ -39,12 +40,14 @@ def rekeyed(rows: DataFrame, key: str, ids: str, aligned: list[str], mapping: Da
     own = rows.select(key, F.col(ids).alias("ids__"), *aligned, (F.col(ids).isNotNull() & whole).alias("whole__"))
     # an array that cannot be aligned is not taken apart
     each = own.select(key, "whole__", F.posexplode_outer(F.when(F.col("whole__"), F.arrays_zip(F.col("ids__").alias("ids__"), *aligned))).alias("at__", "z__"))
-    each = each.select(key, "whole__", "at__", F.col("z__.ids__").alias("old__"), *(F.col(f"z__.{a}").alias(a) for a in aligned)).join(known, "old__", "left")
-    item = F.when(F.col("at__").isNotNull(), F.struct(F.col("new__"), "at__", *aligned))
-    held = each.groupBy(key).agg(
-        F.min("whole__").alias("whole__"), F.count_if(F.col("at__").isNotNull() & F.col("new__").isNull()).alias("gone__"), F.countDistinct("old__").alias("n_old"), F.countDistinct("new__").alias("n_new"),
-        F.array_sort(F.collect_list(item)).alias("items"),
-    )
+    each = each.select(key, "whole__", "at__", F.col("z__.ids__").alias("old__"), *(F.col(f"z__.{a}").alias(a) for a in aligned)).join(sided(known), "old__", "left")
+    item = F.when(F.col("at__").isNotNull(), F.struct(F.col("new__"), "at__", *aligned, "old__"))
+    # ids are gathered once and told apart in their row
+    held = each.groupBy(key).agg(F.min("whole__").alias("whole__"), F.array_sort(F.collect_list(item)).alias("items"))
+    held = held.withColumns({
+        "gone__": F.size(F.filter("items", lambda x: x["new__"].isNull())), "n_old": F.size(F.array_distinct(F.array_compact(F.transform("items", lambda x: x["old__"])))),
+        "n_new": F.size(F.array_distinct(F.array_compact(F.transform("items", lambda x: x["new__"])))),
+    })
     state = F.when(~F.col("whole__"), "misaligned").when(F.col("gone__") > 0, "unknown").when(F.col("n_new") < F.col("n_old"), "merged").otherwise("ok")
     out = held.withColumn("state", state)
     ok = F.col("state") == "ok"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.operators import canonical, conflicts, geometry, ranking, replay, vector
+from matchloom.operators import canonical, conflicts, geometry, graph, ranking, replay, vector
 
 from . import govern
 from .common import SQL_RANKS, gallery, query_into, table, vector_queries
@@ -39,7 +39,8 @@ SELECT l_orderkey, state, CASE WHEN state = 'ok' THEN array_to_string(ids, ',')
 def replay_rekeyed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts of orders, with their quantities aligned, under ids of name and size: some ids are missing, and some orders hold two parts that become one."""
     parts = table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_size") != 7, F.concat_ws("/", "p_name", "p_size")).alias("id"))
-    each = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_partkey").agg(F.max("l_quantity").alias("q"))
+    lines = graph.spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity"), "l_orderkey")
+    each = lines.groupBy("l_orderkey", "l_partkey").agg(F.max("l_quantity").alias("q"))
     nested = each.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_partkey", "q"))).alias("s")).select("l_orderkey", F.col("s.l_partkey").alias("ids"), F.col("s.q").alias("quantities"))
     out = replay.rekeyed(nested, "l_orderkey", "ids", ["quantities"], parts, "p_partkey", "id")
     joined = lambda c: F.when(F.col(c).isNotNull(), F.array_join(F.col(c), ",")).alias(c)
@@ -166,8 +167,13 @@ SELECT l_orderkey, top1, array_to_string(members, ',') AS members, array_to_stri
   CASE WHEN len(hit) = 1 THEN 'conflict_resolved_by_text' ELSE 'ambiguous_reference_conflict' END AS status FROM s""")
 def guard_annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders whose dearest line is of a brand that another of the first five lines has in another type: a conflict that the types of later lines may resolve."""
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_type", F.concat_ws("/", "p_brand", "p_type").alias("product"))
-    li = table(spark, sf_dir, "lineitem").join(p, F.col("l_partkey") == F.col("p_partkey"))
+    p = graph.sided(table(spark, sf_dir, "part").select("p_partkey", "p_type", F.concat_ws("/", "p_brand", "p_type").alias("product")))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice")
+    n, same = lines.count(), F.col("l_partkey") == F.col("p_partkey")
+    if table(spark, sf_dir, "part").count() <= graph.MOST_BROADCAST:
+        li = graph.spread(lines, "l_orderkey", rows=n).join(p, same)
+    else:
+        li = graph.spread(graph.spread(lines, "l_partkey", rows=n).join(p, same), "l_orderkey", rows=n)
     ranks = ranking.placed(li, "l_orderkey", [F.desc("l_extendedprice"), "l_partkey", "l_suppkey"], "rank").select("l_orderkey", "product", "rank")
     values = _products(spark, sf_dir).select("product", F.col("p_type").alias("value"))
     observed = li.where("l_linenumber >= 4").select("l_orderkey", F.col("p_type").alias("value"))
