@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .graph import checkpointed, sided
+
 
 def _both_ways(pairs: DataFrame) -> DataFrame:
     """(x, y, conflict) of pairs (a, b, conflict), in both orders; pairs with a null or of one member are none."""
@@ -18,13 +20,16 @@ def annotated(candidates: DataFrame, pairs: DataFrame, values: DataFrame, observ
     candidates: (by, key, rank), null keys are passed over; pairs: (a, b, conflict); values: (key, value) of cards; observed: (by, value). selectable: the one member, first candidate or partner, whose card value was observed, null
     if none or several are. members and conflicts are sorted lists. A key at several ranks counts at its best.
     """
-    top = candidates.where(F.col(key).isNotNull() & (F.col("rank") <= top_k)).groupBy(by, key).agg(F.min("rank").alias("rank"))
-    first = top.groupBy(by).agg(F.min(F.struct("rank", key)).alias("f")).select(by, F.col(f"f.{key}").alias("top1"))
-    met = first.join(_both_ways(pairs).withColumnRenamed("x", "top1"), "top1").join(top.select(by, F.col(key).alias("y")), [by, "y"])
+    # what is known of a ranking is one row of it, dealt by `by` alone; pairs and values go to it where they are few
+    top = candidates.where(F.col(by).isNotNull() & F.col(key).isNotNull() & (F.col("rank") <= top_k)).groupBy(by).agg(F.min(F.struct("rank", key)).alias("f"), F.collect_set(key).alias("keys__"))
+    met = top.select(by, F.col(f"f.{key}").alias("top1"), F.explode("keys__").alias("y")).join(sided(checkpointed(_both_ways(pairs).select(F.col("x").alias("top1"), "y", "conflict"))), ["top1", "y"])
     noted = met.groupBy(by, "top1").agg(F.array_sort(F.collect_set("conflict")).alias("conflicts"), F.collect_set("y").alias("partners"))
     group = noted.select(by, "top1", "conflicts", F.array_sort(F.array_append("partners", F.col("top1"))).alias("members"))
-    seen = observed.where(F.col("value").isNotNull()).select(by, "value").distinct()
-    hit = group.select(by, F.explode("members").alias(key)).join(values.select(key, "value").distinct(), key).join(seen, [by, "value"]).groupBy(by).agg(F.countDistinct(key).alias("n"), F.min(key).alias("one"))
+    seen = observed.where(F.col("value").isNotNull()).groupBy(by).agg(F.collect_set("value").alias("seen__"))
+    told = group.select(by, F.explode("members").alias(key)).join(sided(checkpointed(values.select(key, "value").distinct())), key)
+    told = told.groupBy(by).agg(F.collect_list(F.struct(F.col(key).alias("k"), "value")).alias("told__"))
+    own = F.array_distinct(F.transform(F.filter("told__", lambda x: F.array_contains("seen__", x["value"])), lambda x: x["k"]))
+    hit = told.join(seen, by).select(by, F.size(own).alias("n"), F.array_min(own).alias("one"))
     out = group.join(hit, by, "left").withColumn("selectable", F.when(F.col("n") == 1, F.col("one")))
     status = F.when(F.col("selectable").isNotNull(), "conflict_resolved_by_text").otherwise("ambiguous_reference_conflict")
     return out.select(by, "top1", "members", "conflicts", "selectable", status.alias("status"))
