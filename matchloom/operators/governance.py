@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from matchloom.functions.text import hash_share, pair_key
 
-from .graph import checkpointed, running
+from .graph import MOST_BROADCAST, ROWS_A_TASK, checkpointed, running
 
 
 def audit(rows: DataFrame, key: str, pools: list[tuple[str, DataFrame, str, str]]) -> DataFrame:
@@ -29,16 +29,27 @@ def audit(rows: DataFrame, key: str, pools: list[tuple[str, DataFrame, str, str]
 
 def closure(edges: DataFrame, roots: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node): everything reachable from the roots along (parent, child) edges, roots included. Cycles end the walk."""
-    seen = checkpointed(roots.select("node").distinct())
-    front = seen
+    edges = checkpointed(edges.where(F.col("parent").isNotNull()).select("parent", "child"))
+    side = lambda df, n: F.broadcast(df) if n <= MOST_BROADCAST else df.hint("merge")
+    # every round is written once and read by few tasks while it is small; what was seen is the rounds together
+    front, n = _compact(roots.select("node").distinct())
+    seen, total = front, n
     for _ in range(most_rounds):
-        front = checkpointed(edges.join(front, edges["parent"] == front["node"]).select(F.col("child").alias("node")).distinct().join(seen, "node", "left_anti"))
-        if front.isEmpty():
+        new = edges.join(side(front.select(F.col("node").alias("parent")), n), "parent").select(F.col("child").alias("node")).distinct()
+        front, n = _compact(new.join(side(seen, total), "node", "left_anti"))
+        if n == 0:
             return seen
-        seen = checkpointed(seen.union(front))
+        seen, total = seen.union(front), total + n
     raise RuntimeError(f"the closure did not settle in {most_rounds} rounds")
 
 
+def _compact(rows: DataFrame) -> tuple[DataFrame, int]:
+    """rows, written, read by one task if they are few, and their number."""
+    rows = checkpointed(rows)
+    n = rows.count()
+    return (rows.coalesce(1) if n <= ROWS_A_TASK else rows), n
+
+
 def grouped_split(groups: DataFrame, group: str, size: str, salt: str, share: float, overshoot: float = 1.25) -> DataFrame:
     """(group, role): groups in the order of a salted hash go to 'selection' until it has `share` of all rows; one that would pass `overshoot` times that is skipped.
 
