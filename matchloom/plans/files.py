@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from matchloom.functions import boxes as bx
 from matchloom.functions import numbers
 from matchloom.functions import text as tx
-from matchloom.operators import evaluation, ranking
+from matchloom.operators import evaluation, ranking, retrieval
 from matchloom.sources import readers, sinks
 from matchloom.streaming import journal
 
@@ -212,8 +212,8 @@ def loss_listwise(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT lang, count(*) AS n, count(*) FILTER (lower(strip_accents(text)) <> lower(text)) AS had_marks FROM documents WHERE regexp_matches(text, '^[\\x00-\\x{024F}]*$') GROUP BY lang""")
 def text_unmarked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of Latin letters whose letters have marks, by language."""
-    d = table(spark, sf_dir, "documents").where(F.col("text").rlike("(?s)^[\\x00-\\x{024F}]*$")).select("lang", "text", tx.unmarked("text").alias("b"))
-    return d.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.col("b") != F.lower("text")).alias("had_marks"))
+    d = table(spark, sf_dir, "documents").where(F.col("text").rlike("(?s)^[\\x00-\\x{024F}]*$"))
+    return retrieval.changed(d, "lang", "text", {"had_marks": tx.unmarked})
 
 
 @query("""

@@ -258,8 +258,7 @@ def text_skeleton(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def text_normal_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many documents each Unicode form changes (no DuckDB form)."""
-    d = table(spark, sf_dir, "documents").select("lang", "text", tx.nfkc_casefold("text").alias("a"), tx.unmarked("text").alias("b"))
-    return d.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.col("a") != F.lower("text")).alias("folded_apart"), F.count_if(F.col("b") != F.lower("text")).alias("had_marks"))
+    return retrieval.changed(table(spark, sf_dir, "documents"), "lang", "text", {"folded_apart": tx.nfkc_casefold, "had_marks": tx.unmarked})
 
 
 
