@@ -48,25 +48,27 @@ def short_forms(products: DataFrame, product: str, words: str) -> DataFrame:
     """(product, form, n_words): sets of words of any size that one product alone has and no subset of which does; form is sorted and joined by spaces.
 
     Level by level: a set is extended by a later word of its product only if two products or more share it, and what comes out is looked at only if all its subsets are shared too. Sets that are
-    nobody else's end there, so that no set above a short form is ever made. The sides of its joins grow with the products and are never broadcast: of lists of words Spark's guess is far too low. Null products and words take no part; the rows of one product are judged by themselves, and together are one product.
+    nobody else's end there, so that no set above a short form is ever made. Products of equal words are one row, so that copies add none. The sides of its joins grow with the products and are never broadcast: of lists of words Spark's guess
+    is far too low. Null products and words take no part; the rows of one product are judged by themselves, and together are one product.
     """
     t = F.sort_array(F.array_distinct(F.array_compact(words)))
-    own = checkpointed(products.where(F.col(product).isNotNull()).select(F.col(product).alias("product"), t.alias("t")).where(F.size("t") > 0).distinct().withColumn("row", F.xxhash64("product", "t")))
-    level = own.select("product", "row", F.explode(F.transform("t", lambda x: F.array(x))).alias("form"))
+    rows = products.where(F.col(product).isNotNull()).select(F.col(product).alias("product"), t.alias("t")).where(F.size("t") > 0)
+    own = checkpointed(rows.groupBy("t").agg(F.min("product").alias("least"), F.max("product").alias("most")).withColumn("row", F.monotonically_increasing_id()))
+    level = own.select("least", "most", "row", F.explode(F.transform("t", lambda x: F.array(x))).alias("form"))
     out, size = None, 1
     while True:
         level = checkpointed(level)
-        holders = level.groupBy("form").agg(F.min("product").alias("least"), F.max("product").alias("most"))
+        holders = level.groupBy("form").agg(F.min("least").alias("least"), F.max("most").alias("most"))
         alone = holders.where("least = most").select(F.col("least").alias(product), F.array_join("form", " ").alias("form"), F.lit(size).alias("n_words"))
         out = alone if out is None else out.union(alone)
         shared = checkpointed(level.join(holders.where("least < most").select("form").hint("merge"), "form", "left_semi"))
         if shared.isEmpty():
             return out
-        longer = shared.join(own.select("row", "t").hint("merge"), "row").select("product", "row", F.explode(F.transform(F.filter("t", lambda x: x > F.element_at("form", -1)), lambda x: F.array_append("form", x))).alias("form"))
+        longer = shared.join(own.select("row", "t").hint("merge"), "row").select("least", "most", "row", F.explode(F.transform(F.filter("t", lambda x: x > F.element_at("form", -1)), lambda x: F.array_append("form", x))).alias("form"))
         # the subset without the last word is shared; so must be those without another one
         subsets = F.explode(F.transform(F.sequence(F.lit(1), F.lit(size)), _without))
         held = longer.withColumn("sub", subsets).join(shared.select("row", F.col("form").alias("sub")).hint("merge"), ["row", "sub"], "left_semi")
-        longer = held.groupBy("product", "row", "form").agg(F.count("*").alias("n")).where(F.col("n") == size).drop("n")
+        longer = held.groupBy("least", "most", "row", "form").agg(F.count("*").alias("n")).where(F.col("n") == size).drop("n")
         level, size = longer, size + 1
 
 
