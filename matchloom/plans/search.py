@@ -145,7 +145,7 @@ SELECT item_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION B
 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 5""")
 def text_tfidf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every benchmark item the five documents of largest TF-IDF cosine."""
-    out = retrieval.cosine_top(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), 5, "item_id")
+    out = retrieval.cosine_top_long(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), 5, "item_id")
     return out.withColumn("score", F.round("score", 6))
 
 
